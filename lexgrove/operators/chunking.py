@@ -411,43 +411,42 @@ def split_oversized(
 ) -> Column:
     """Items over ``size`` are split again; later parts get ``-p2``, ``-p3`` … labels.
 
-    Each item becomes ``struct(content, label, base)`` with the unsuffixed label.
+    Items are ``struct(part, content, label, limited)``; ``limited`` items are held
+    to the size. ``base`` is added: the label without suffix.
     """
 
-    def parts(item: Column) -> Column:
-        label = item["label"]
-
-        def part(text: Column, i: Column) -> Column:
-            suffix = F.when(i > 0, F.concat(F.lit("-p"), (i + 1).cast("string"))).otherwise("")
+    def sized(item: Column) -> Column:
+        def piece(text: Column, label: Column) -> Column:
             return F.struct(
+                item["part"].alias("part"),
                 text.alias("content"),
-                F.concat(label, suffix).alias("label"),
-                label.alias("base"),
+                label.alias("label"),
+                item["label"].alias("base"),
             )
 
-        whole = F.array(
-            F.struct(item["content"].alias("content"), label.alias("label"), label.alias("base"))
-        )
-        split = F.transform(
-            split_text(item["content"], fv.VERDICT_SEPARATORS, size, overlap), part
+        def suffixed(text: Column, i: Column) -> Column:
+            suffix = F.when(i > 0, F.concat(F.lit("-p"), (i + 1).cast("string"))).otherwise("")
+            return piece(text, F.concat(item["label"], suffix))
+
+        long = item["limited"] & (F.length(item["content"]) > size)
+        parts = F.transform(
+            split_text(item["content"], fv.VERDICT_SEPARATORS, size, overlap), suffixed
         )
-        return F.when(F.length(item["content"]) > size, split).otherwise(whole)
+        return F.when(long, parts).otherwise(F.array(piece(item["content"], item["label"])))
 
-    return F.flatten(F.transform(items, parts))
+    return F.flatten(F.transform(items, sized))
 
 
-def _sized(items: Column, divided: Column, parity: bool, size: int, overlap: int) -> Column:
-    """Size limit everywhere; in parity mode only where a section was divided."""
-    limited = split_oversized(items, size, overlap)
-    if not parity:
-        return limited
-    whole = F.transform(
+def _of_part(part: str, items: Column, limited: Column) -> Column:
+    return F.transform(
         items,
         lambda c: F.struct(
-            c["content"].alias("content"), c["label"].alias("label"), c["label"].alias("base")
+            F.lit(part).alias("part"),
+            c["content"].alias("content"),
+            c["label"].alias("label"),
+            limited.alias("limited"),
         ),
     )
-    return F.when(divided, limited).otherwise(whole)
 
 
 def verdict_chunks(
@@ -476,58 +475,48 @@ def verdict_chunks(
         }
     )
 
-    def typed(items: Column, kind, party=None, point=None, number=None) -> Column:
-        blank = F.lit("")
-        return F.transform(
-            items,
-            lambda c: F.struct(
-                c["content"].alias("content"),
-                kind(c).alias("section_type"),
-                (party(c) if party else blank).alias("party_role"),
-                (point(c) if point else blank).alias("point_number"),
-                (number(c) if number else blank).alias("item_number"),
-            ),
-        )
-
-    deciding = "label" if parity else "base"
-    fee = F.lit(fv.FEE_LABEL)
-
-    def is_fee(c: Column) -> Column:
-        return F.lower(c["label"]).contains(fee)
-
-    def sized(name: str, divided: Column) -> Column:
-        return _sized(F.col(name), divided, parity, size, overlap)
-
-    def was_divided(name: str, *undivided: str) -> Column:
-        return ~F.coalesce(F.get(F.col(name), F.lit(0))["label"].isin(*undivided) & (F.size(name) == 1), F.lit(False))
-
-    chunks = F.concat(
-        typed(sized("_header", F.lit(False)), lambda c: F.lit("header")),
-        typed(
-            sized("_facts", was_divided("_facts", fv.FACTS_LABEL)),
-            lambda c: F.when(c[deciding] == fv.LOWER_COURT_LABEL, "lower_court_decision").otherwise(
-                "fact"
-            ),
-            party=lambda c: c["label"],
-        ),
-        typed(
-            sized("_reasoning", was_divided("_reasoning", "")),
-            lambda c: F.lit("reasoning"),
-            point=lambda c: c["label"],
-        ),
-        typed(
-            sized("_decision", ~F.get(F.col("_decision"), F.lit(0))["label"].isin("", fv.DECISION_LABEL)),
-            lambda c: F.when(is_fee(c), "court_fee").otherwise("decision_item"),
-            number=lambda c: F.when(
-                is_fee(c), F.replace(c["label"], F.lit(fv.FEE_LABEL + " "), F.lit(""))
-            ).otherwise(c["label"]),
+    def limited(name: str, *whole_labels: str) -> Column:
+        """In parity mode a section that was not divided is not held to the size."""
+        if not parity:
+            return F.lit(True)
+        first = F.get(F.col(name), F.lit(0))["label"]
+        return F.coalesce(~((F.size(name) == 1) & first.isin(*whole_labels)), F.lit(False))
+
+    items = F.concat(
+        _of_part("header", F.col("_header"), F.lit(not parity)),
+        _of_part("facts", F.col("_facts"), limited("_facts", fv.FACTS_LABEL)),
+        _of_part("reasoning", F.col("_reasoning"), limited("_reasoning", "")),
+        _of_part(
+            "decision",
+            F.col("_decision"),
+            limited("_decision", "") & (F.get(F.col("_decision"), F.lit(0))["label"] != fv.DECISION_LABEL)
+            if parity
+            else F.lit(True),
         ),
     )
+    part, label = F.col("c.part"), F.col("c.label")
+    deciding = F.col("c.label") if parity else F.col("c.base")
+    is_fee = F.lower(label).contains(fv.FEE_LABEL)
+    section = (
+        F.when((part == "facts") & (deciding == fv.LOWER_COURT_LABEL), "lower_court_decision")
+        .when(part == "facts", "fact")
+        .when((part == "decision") & is_fee, "court_fee")
+        .when(part == "decision", "decision_item")
+        .otherwise(part)
+    )
+
+    def in_part(name: str, value: Column) -> Column:
+        return F.when(part == name, value).otherwise("")
+
+    bare = F.when(is_fee, F.replace(label, F.lit(fv.FEE_LABEL + " "), F.lit(""))).otherwise(label)
     verdict_id = F.when(F.col("case_number") != "", F.col("case_number")).otherwise(
         F.col("filename")
     )
     rows = cut.select(
-        "filename", *fields, "summary", F.posexplode(chunks).alias("chunk_index", "c")
+        "filename",
+        *fields,
+        "summary",
+        F.posexplode(split_oversized(items, size, overlap)).alias("chunk_index", "c"),
     )
     return rows.select(
         corpus_ids.verdict_chunk_id(verdict_id, F.col("chunk_index"), F.col("c.content")).alias(
@@ -536,7 +525,11 @@ def verdict_chunks(
         verdict_id.alias("verdict_id"),
         "filename",
         "chunk_index",
-        "c.*",
+        F.col("c.content").alias("content"),
+        section.alias("section_type"),
+        in_part("facts", label).alias("party_role"),
+        in_part("reasoning", label).alias("point_number"),
+        in_part("decision", bare).alias("item_number"),
         *fields,
         "summary",
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import fixed_values as fv
 from lexgrove.operators.sequences import context_of
+from lexgrove.operators.sizes import if_small
 from lexgrove.operators.vectors import cosine_topk
 
 LEGAL_HIT_FIELDS = ["content", "dieu", "dieu_title", "chuong", "doc_id", "chunk_index"]
@@ -89,11 +90,20 @@ def related_documents(documents: DataFrame, number: str = "doc_number") -> DataF
 
 # ------------------------------------------------------------------- hydration
 def hydrate(
-    hits: DataFrame, chunks: DataFrame, documents: DataFrame | None, chunk_id: str, doc_key: str
+    hits: DataFrame,
+    chunks: DataFrame,
+    documents: DataFrame | None,
+    chunk_id: str,
+    doc_key: str,
+    max_hits: int | None = None,
 ) -> DataFrame:
-    """Chunk and document columns of ranked ids; ids without a row are dropped."""
-    rows = hits.withColumnRenamed("id", chunk_id).join(chunks, chunk_id)
-    return rows if documents is None else rows.join(documents, doc_key)
+    """Chunk and document columns of ranked ids; ids without a row are dropped.
+
+    ``max_hits`` bounds the hits (queries times k). If it is small the hits are
+    sent to the chunk scan, and the chunk texts are not shuffled.
+    """
+    rows = chunks.join(if_small(hits.withColumnRenamed("id", chunk_id), max_hits), chunk_id)
+    return rows if documents is None else documents.join(if_small(rows, max_hits, 10_000), doc_key)
 
 
 def hits_per_query(queries: DataFrame, hits: DataFrame, found: str = "id") -> DataFrame:
@@ -132,6 +142,7 @@ def complete_sections(
     chunk_id: str,
     required: Sequence[str] = fv.KEY_SECTIONS,
     order: str = "chunk_index",
+    max_hits: int | None = None,
 ) -> DataFrame:
     """All chunks of the required sections that a hit case lacks among its hits.
 
@@ -150,7 +161,8 @@ def complete_sections(
         .withColumn(section, F.explode(F.array(*[F.lit(s) for s in required])))
     )
     missing = needed.join(present, ["query_id", case, section], "left_anti")
-    added = missing.join(chunks, [case, section]).join(
+    most = None if max_hits is None else max_hits * len(required)
+    added = chunks.join(if_small(missing, most), [case, section]).join(
         hits.select("query_id", chunk_id), ["query_id", chunk_id], "left_anti"
     )
     by_case = Window.partitionBy("query_id").orderBy(case, order, chunk_id)
@@ -185,15 +197,17 @@ def legal_search(
     top = cosine_topk(queries, _candidates(vectors, allowed), k)
     if ids_only:
         return top
+    most = queries.count() * k
     hits = hydrate(
         top,
         chunks.select("chunk_id", "position", *LEGAL_HIT_FIELDS),
         documents.select("doc_id", *LEGAL_DOC_FIELDS),
         "chunk_id",
         "doc_id",
+        most,
     )
     if context_window:
-        hits = context_of(hits, chunks, "doc_id", "position", "content", context_window)
+        hits = context_of(hits, chunks, "doc_id", "position", "content", context_window, most)
     return hits
 
 
@@ -217,13 +231,16 @@ def verdict_search(
             F.col("vchunk_id").alias("id")
         )
     top = cosine_topk(queries, _candidates(vectors, allowed), k * 2 if boost else k)
+    most = queries.count() * k * 2
     details = chunks.select("vchunk_id", "position", *VERDICT_HIT_FIELDS).join(
         verdicts.select("verdict_id", *VERDICT_DOC_FIELDS), "verdict_id"
     )
-    hits = hydrate(top, details, None, "vchunk_id", "verdict_id")
+    hits = hydrate(top, details, None, "vchunk_id", "verdict_id", most)
     if boost:
         hits = boosted(hits, k)
-    extra = complete_sections(hits, details, "case_number", "section_type", "vchunk_id")
+    extra = complete_sections(
+        hits, details, "case_number", "section_type", "vchunk_id", max_hits=most
+    )
     last = hits.groupBy("query_id").agg(F.max("rank").alias("_last"))
     extra = extra.join(last, "query_id").withColumn("rank", F.col("_last") + F.col("extra_rank"))
     rows = hits.unionByName(extra.select(*hits.columns))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrove.functions import fixed_values as fv
+from lexgrove.operators.sizes import if_small
 
 SEGMENT_WIDTH = 100_000
 
@@ -128,6 +129,7 @@ def context_of(
     position: str,
     content: str,
     window: int = 1,
+    max_hits: int | None = None,
 ) -> DataFrame:
     """Add ``context_before`` and ``context_after`` to hits.
 
@@ -135,7 +137,8 @@ def context_of(
     the separator; null where there is none. ``position`` is dense (see
     ``with_position``). Neighbours are fetched by an equi-join on
     ``(group, position)``: the work follows the number of hits, and a long
-    document is never gathered or sorted as a whole.
+    document is never gathered or sorted as a whole. If ``max_hits``, a bound on
+    the hits, is small, the chunk texts are not shuffled.
     """
     keys = hits.select(group, position).distinct()
     offsets = [o for o in range(-window, window + 1) if o != 0]
@@ -147,7 +150,10 @@ def context_of(
         F.col(position).alias("_of"),
         F.explode(F.array(*[F.lit(o) for o in offsets])).alias("_offset"),
     ).withColumn(position, F.col("_of") + F.col("_offset"))
-    found = wanted.join(chunks.select(group, position, content), [group, position])
+    most = None if max_hits is None else max_hits * len(offsets)
+    found = chunks.select(group, position, content).join(
+        if_small(wanted, most), [group, position]
+    )
 
     def side(condition: Column) -> Column:
         # at most ``window`` rows per side and key

@@ -1,8 +1,8 @@
 """Vector top-k: exact cosine search of a table of queries against a table.
 
 A set of queries up to a checked size is sent to every task, which scores its
-share of the vectors by matrix product and keeps the best k per query: one scan,
-and a shuffle of at most ``tasks x queries x k`` small rows. A larger set of
+share of the vectors by matrix product and keeps a running best k per query: one
+scan, and a shuffle of at most ``tasks x queries x k`` small rows. A larger set of
 queries is cut into blocks that meet blocks of vectors in one task each; no pair
 leaves a task unless it is among the block's best k. Both ways give the same
 rows. Scores are rounded before ranking so that ties are broken by id, not by
@@ -55,12 +55,24 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return out / norms
 
 
+def _order_codes(ids: pa.Array) -> np.ndarray:
+    """Numbers that sort like the ids, whatever their type."""
+    return np.unique(np.asarray(ids.to_pandas()), return_inverse=True)[1].ravel()
+
+
+def _cut(query: np.ndarray, ids: pa.Array, score: np.ndarray, k: int):
+    """Best k rows per query number: highest score, then lowest id."""
+    order = np.lexsort((_order_codes(ids), -score, query))
+    query, score = query[order], score[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    best = place < k
+    return query[best], ids.take(pa.array(order[best])), score[best]
+
+
 def _block_best(
     qids: pa.Array, queries: np.ndarray, ids: pa.Array, vectors: np.ndarray, k: int, skip_self: bool
-) -> pa.RecordBatch:
-    """Best k of one block for each query: highest score, then lowest id."""
-    id_order = np.argsort(np.asarray(ids.to_pandas()), kind="stable")
-    ids, vectors = ids.take(pa.array(id_order)), vectors[id_order]
+):
+    """Query numbers, ids and scores of the best k of one block for each query."""
     id_values = np.asarray(ids.to_pandas()) if skip_self else None
     qid_values = np.asarray(qids.to_pandas()) if skip_self else None
     tile = max(1, _SCORE_TILE // max(1, len(ids)))
@@ -71,19 +83,18 @@ def _block_best(
             scores[qid_values[start : start + tile, None] == id_values[None, :]] = -np.inf
         keep = min(k, scores.shape[1])
         floor = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
-        # all ties at the floor are candidates; ids are ascending inside a row
+        # every row that ties with the k-th score is still a candidate
         row, col = np.nonzero((scores >= floor) & (scores > -np.inf))
-        value = scores[row, col]
-        order = np.lexsort((col, -value, row))
-        row, col, value = row[order], col[order], value[order]
-        first = np.searchsorted(row, np.arange(scores.shape[0]))
-        best = np.arange(len(row)) - first[row] < k
-        out_q.append(row[best] + start)
-        out_i.append(col[best])
-        out_s.append(value[best])
-    take = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+        out_q.append(row + start)
+        out_i.append(col)
+        out_s.append(scores[row, col])
+    query, place, score = (np.concatenate(parts) for parts in (out_q, out_i, out_s))
+    return _cut(query, ids.take(pa.array(place)), score, k)
+
+
+def _hit_batch(qids: pa.Array, query: np.ndarray, ids: pa.Array, score: np.ndarray):
     return pa.RecordBatch.from_arrays(
-        [qids.take(take(out_q)), ids.take(take(out_i)), take(out_s).cast(pa.float64())],
+        [qids.take(pa.array(query)), ids, pa.array(score, pa.float64())],
         names=["query_id", "id", "score"],
     )
 
@@ -116,11 +127,23 @@ def _scan_with(queries: pa.Table, vectors: DataFrame, k: int, skip_self: bool, s
 
     def best_of_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, matrix = shared.value
+        best = None
         for batch in batches:
-            if batch.num_rows and len(qids):
-                yield _block_best(
-                    qids, matrix, batch.column("id"), _matrix(batch.column("vector")), k, skip_self
+            if not batch.num_rows or not len(qids):
+                continue
+            ids = batch.column("id")
+            found = _block_best(qids, matrix, ids, _matrix(batch.column("vector")), k, skip_self)
+            if best is not None:
+                merged = pa.concat_arrays([best[1], found[1]])
+                found = _cut(
+                    np.concatenate([best[0], found[0]]),
+                    merged,
+                    np.concatenate([best[2], found[2]]),
+                    k,
                 )
+            best = found
+        if best is not None:
+            yield _hit_batch(qids, *best)
 
     return vectors.select("id", "vector").mapInArrow(best_of_share, schema)
 
@@ -143,15 +166,16 @@ def _cogrouped(
                     "score": pa.array([], pa.float64()),
                 }
             )
-        batch = _block_best(
-            left["query_id"].combine_chunks(),
+        qids = left["query_id"].combine_chunks()
+        best = _block_best(
+            qids,
             _matrix(left["vector"]),
             right["id"].combine_chunks(),
             _matrix(right["vector"]),
             k,
             skip_self,
         )
-        return pa.Table.from_batches([batch])
+        return pa.Table.from_batches([_hit_batch(qids, *best)])
 
     return (
         queries.groupBy(*keys)

@@ -34,7 +34,7 @@ from lexgrove.operators import (
     vectors,
 )
 from lexgrove.plans import evaluation_set, sheet_merge
-from lexgrove.sources.readers import payloads, sheet_records
+from lexgrove.sources.readers import payloads, sheet_records, spread
 from lexgrove.streaming import incremental
 
 KNN_K = 5
@@ -44,14 +44,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 # ----------------------------------------------------------------- text columns
 def clean_lines(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return docs.select("doc_id", legal.clean_document(F.col("text")).alias("clean_text"))
 
 
 def doc_metadata(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     body = F.col("text")
     return docs.withColumn("signing_date", legal.signing_date(body)).select(
         "doc_id",
@@ -85,11 +89,11 @@ def section_chunks(spark, sf):
 
 
 def packed_chunks(spark, sf):
-    return chunking.packed_chunks(table(spark, sf, "documents"), "doc_id", "text")
+    return chunking.packed_chunks(documents(spark, sf), "doc_id", "text")
 
 
 def _as_files(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     name = F.concat(F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return docs.select(name.alias("filename"), "text")
 
@@ -369,7 +373,8 @@ def boosted_rerank(spark, sf):
 def hydrate_hits(spark, sf):
     top = vectors.cosine_topk(_queries(spark, sf), _points(spark, sf), KNN_K, skip_self=True)
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    return _shown(retrieval.hydrate(top, docs, None, "doc_id", "doc_id")).select(
+    most = _queries(spark, sf).count() * KNN_K
+    return _shown(retrieval.hydrate(top, docs, None, "doc_id", "doc_id", most)).select(
         "query_id", "rank", "doc_id", "score", "lang", "source", "n_chars"
     )
 
@@ -430,7 +435,8 @@ def prompt_blocks(spark, sf):
         F.col("doc_id").cast("string").alias("doc_number"),
         F.col("text").alias("content"),
     )
-    hits = retrieval.hydrate(top, docs, None, "doc_id", "doc_id").withColumns(
+    most = queries.count() * KNN_K
+    hits = retrieval.hydrate(top, docs, None, "doc_id", "doc_id", most).withColumns(
         {
             "dieu": F.lit(None).cast("string"),
             "dieu_title": F.lit(None).cast("string"),
@@ -455,7 +461,7 @@ def lsh_topk(spark, sf):
 
 
 def hash_encode(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     model = encode.fit_hashed(docs, "text", 256)
     return encode.encode_hashed(docs, model).select("doc_id", "vector")
 
@@ -639,7 +645,7 @@ def route_queries(spark, sf):
 
 def route_defaults(spark, sf):
     """The built-in rule set over all document texts."""
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     routed = routing.with_route(docs, "text")
     return routed.groupBy("route").agg(
         F.count(F.lit(1)).alias("documents"),

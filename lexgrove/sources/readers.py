@@ -12,6 +12,16 @@ from lexgrove.functions.records import class_list, owner_parts
 from lexgrove.functions.text import null_to_blank, strip
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores, for map-only work that is heavy per row.
+
+    Only a scan with fewer splits than cores is shuffled; a large table already
+    has far more splits and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """``(filename, text)`` of ``*.txt``, one row per file; empty files are skipped."""
     files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
@@ -62,8 +72,6 @@ def sheets(spark: SparkSession, folder: str) -> DataFrame:
     blank. ``file`` and ``row`` give the reading order: file name, then the
     position of the row in its file.
     """
-    # a data source that returns each file's own header is not needed: files of
-    # one export share their header, and rows shorter than it are padded
     raw = (
         spark.read.option("header", True)
         .option("enforceSchema", False)
@@ -72,13 +80,13 @@ def sheets(spark: SparkSession, folder: str) -> DataFrame:
         .option("pathGlobFilter", "*.csv")
         .csv(folder)
     )
-    with_order = raw.select(
+    # a multi-line file is read by one task, so the id rises with the rows of a file
+    placed = raw.select(
         "*",
         F.col("_metadata.file_name").alias("file"),
-        (F.col("_metadata.file_block_start") * F.lit(1)).alias("_block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return sheet_records(with_order.drop("_block"))
+    return sheet_records(placed)
 
 
 def sheet_records(raw: DataFrame, order: tuple[str, ...] = ("file", "row")) -> DataFrame:
