@@ -34,13 +34,13 @@ def l2_normalised(vector: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vector columns of one row, inside the JVM."""
+    """Cosine of two vector columns of one row, inside the JVM; 0 for a zero vector."""
 
     def dot(x: Column, y: Column) -> Column:
         products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
         return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
 
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
