@@ -54,8 +54,7 @@ def new_texts(spark: SparkSession, folder: str, files_per_batch: int = 1000) ->
     files = (
         spark.readStream.option("pathGlobFilter", "*.txt")
         .option("maxFilesPerTrigger", files_per_batch)
-        .option("wholetext", True)
-        .text(folder)
+        .text(folder, wholetext=True)
     )
     return files.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
 
