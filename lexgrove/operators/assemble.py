@@ -159,8 +159,10 @@ def session_titles(
     messages: DataFrame, session: str, order: str, role: str, content: str
 ) -> DataFrame:
     """``(session, title)`` from the first user message; the default title without one."""
-    first = F.min_by(content, F.when(F.col(role) == "user", F.col(order)))
     limit = fv.SESSION_TITLE_CHARS
+    # one character more than the title tells whether the message is longer
+    opening = head(F.col(content), limit + 1)
+    first = F.min_by(opening, F.when(F.col(role) == "user", F.col(order)))
     titled = messages.groupBy(session).agg(first.alias("_first"))
     title = F.when(
         F.length("_first") > limit, F.concat(head(F.col("_first"), limit), F.lit("..."))

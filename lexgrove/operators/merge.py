@@ -20,26 +20,38 @@ def _order(columns: list[str]) -> Column:
     return F.struct(*columns)
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row per key; ``order`` must be unique per key."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), _order(order)).alias("_row"))
-    return picked.select(*keys, "_row.*").select(*df.columns)
+def _one_per_key(df, keys: list[str], order: list[str], choose, columns) -> DataFrame:
+    columns = columns or df.columns
+    rest = [c for c in columns if c not in keys]
+    if not rest:
+        return df.select(*keys).distinct().select(*columns)
+    picked = df.groupBy(*keys).agg(choose(F.struct(*rest), _order(order)).alias("_row"))
+    return picked.select(*keys, "_row.*").select(*columns)
 
 
-def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Last row per key; ``order`` must be unique per key."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), _order(order)).alias("_row"))
-    return picked.select(*keys, "_row.*").select(*df.columns)
+def first_by(
+    df: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None
+) -> DataFrame:
+    """First row per key; ``order`` must be unique per key. ``columns`` limits the result."""
+    return _one_per_key(df, keys, order, F.min_by, columns)
+
+
+def last_by(
+    df: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None
+) -> DataFrame:
+    """Last row per key; ``order`` must be unique per key. ``columns`` limits the result."""
+    return _one_per_key(df, keys, order, F.max_by, columns)
 
 
 def dedupe_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """First row per non-blank key; rows without a key are all kept."""
-    keyed = blank_to_null(F.col(key)).isNotNull()
-    return first_by(df.where(keyed), [key], order).unionByName(
-        df.where(F.coalesce(~keyed, F.lit(True)))
-    )
+    """First row per non-blank key; rows without a key are all kept.
+
+    Rows without a key are told apart by the order columns, so one pass over the
+    table does both.
+    """
+    keyed = F.coalesce(blank_to_null(F.col(key)).isNotNull(), F.lit(False))
+    marked = df.withColumn("_alone", F.when(~keyed, _order(order)))
+    return first_by(marked, [key, "_alone"], order, [*df.columns, "_alone"]).drop("_alone")
 
 
 def _paired(target: DataFrame, source: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
@@ -54,7 +66,7 @@ def merge_overwrite(
     target: DataFrame, source: DataFrame, keys: list[str], order: list[str]
 ) -> DataFrame:
     """Upsert: a source row replaces the whole target row; the latest source row wins."""
-    latest = last_by(source, keys, order).select(*target.columns)
+    latest = last_by(source, keys, order, target.columns)
     pairs, _ = _paired(target, latest, keys)
     return pairs.select(*keys, F.coalesce("s", "t").alias("r")).select(*keys, "r.*").select(
         *target.columns

@@ -7,7 +7,9 @@ on character grams, and the expensive tests run only on pairs that share one:
   trigram (or shorter gram), so that gram alone is the join key;
 * similarity: sets whose Jaccard score exceeds ``t`` must share one of their
   ``n - floor(t*n)`` rarest trigrams. A pair is kept only at its first common
-  gram, so it is produced once and no ``distinct`` is needed.
+  gram, so it is produced once and no ``distinct`` is needed. A high threshold
+  needs only the rarest grams and is tried first; a query that then has enough
+  names is finished, since every other name scores lower.
 
 Work is done on distinct names; copies are expanded after the top-k cut. Grams
 held by very many names are split into parts, which the query side visits all.
@@ -24,6 +26,7 @@ from lexgrove.functions import fixed_values as fv
 from lexgrove.functions.trigrams import plain_grams, similarity, trigrams
 
 GRAM_PART_ROWS = 50_000
+FIRST_THRESHOLD = 0.4
 
 
 def _parts(names_with_gram: Column, part_rows: int) -> Column:
@@ -101,7 +104,8 @@ def contains_tier(
         plain_grams(F.col("_lower"), 3),
         *([F.array(F.lit(""))] if wildcards else []),
     )
-    postings = names.withColumn("_gram", F.explode(all_grams))
+    # outer: else a non-empty test of the grams is pushed below the distinct
+    postings = names.withColumn("_gram", F.explode_outer(all_grams))
     # only grams some query asks for are counted and kept
     wanted = asked.select("_gram").distinct()
     held = postings.join(wanted, "_gram", "left_semi")
@@ -147,7 +151,9 @@ def contains_tier(
 
 def _ordered_grams(names: DataFrame, id_cols: list[str], counts: DataFrame, t: float) -> DataFrame:
     """Add ``_prefix``: the rarest grams of each set that decide about a match."""
-    grams = names.select(*id_cols, F.explode("_grams").alias("_gram"))
+    grams = names.select(*id_cols, F.explode_outer("_grams").alias("_gram")).where(
+        F.col("_gram").isNotNull()
+    )
     ranked = grams.join(counts, "_gram", "left").select(
         *id_cols,
         F.struct(
@@ -177,7 +183,7 @@ def similar_pairs(
         .withColumn("_grams", trigrams(F.col("lower_name")))
     )
     counts = (
-        names.select(F.explode("_grams").alias("_gram"))
+        names.select(F.explode_outer("_grams").alias("_gram"))
         .groupBy("_gram")
         .agg(F.count(F.lit(1)).alias("_names"))
     )
@@ -220,17 +226,34 @@ def fuzzy_tier(
     limit: int = fv.NAME_LIMIT,
     threshold: float = fv.NAME_SIMILARITY_THRESHOLD,
     part_rows: int = GRAM_PART_ROWS,
+    first_threshold: float | None = FIRST_THRESHOLD,
 ) -> DataFrame:
     """Most similar names by trigrams; ties by name and key; scores are capped."""
-    pairs = similar_pairs(queries, register, threshold, part_rows)
     spelled = register.select("name", F.lower("name").alias("lower_name")).distinct()
     by_name = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "name")
-    best = (
-        pairs.join(spelled, "lower_name")
-        .withColumn("_r", F.row_number().over(by_name))
-        .where(F.col("_r") <= limit)
-        .drop("_r", "lower_name")
-    )
+
+    def best_above(asked: DataFrame, t: float) -> DataFrame:
+        return (
+            similar_pairs(asked, register, t, part_rows)
+            .join(spelled, "lower_name")
+            .withColumn("_r", F.row_number().over(by_name))
+            .where(F.col("_r") <= limit)
+            .drop("_r", "lower_name")
+        )
+
+    asked = queries.select("query_id", "name")
+    if first_threshold is None or first_threshold <= threshold:
+        best = best_above(asked, threshold)
+    else:
+        high = best_above(asked, first_threshold)
+        enough = (
+            high.groupBy("query_id")
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .where(F.col("_n") >= limit)
+            .select("query_id")
+        )
+        rest = best_above(asked.join(enough, "query_id", "left_anti"), threshold)
+        best = high.join(enough, "query_id", "left_semi").unionByName(rest)
     rows = _expanded(best, register, [F.col("similarity").desc()], limit, "name")
     score = F.round(F.least(F.col("similarity"), F.lit(fv.NAME_FUZZY_CAP)), 4)
     return rows.withColumns({"score": score, "match_type": F.lit("fuzzy")}).drop("similarity")

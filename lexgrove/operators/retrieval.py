@@ -249,6 +249,44 @@ def verdict_search(
     return rows
 
 
+def reranked_by_route(
+    top: DataFrame,
+    routes: DataFrame,
+    sources: dict[str, list[str]],
+    limits: dict[str, int],
+    boosted_source: str = "verdict",
+    section: str = "section_type",
+    boosts: Sequence[tuple[object, float]] = tuple(fv.SECTION_BOOSTS),
+) -> DataFrame:
+    """Result sets of routed queries from one vector search.
+
+    ``top`` holds the hits of all queries, fetched deep enough for the largest
+    set; ``routes(query_id, route)``. A route lists its ``sources``; each source
+    has its own limit, and one of them is boosted by section before the cut. The
+    vectors are thus scanned once for all routes.
+    """
+    listed = F.create_map(
+        *[x for r, names in sources.items() for x in (F.lit(r), F.array(*[F.lit(n) for n in names]))]
+    )
+    limit = F.create_map(*[x for n, k in limits.items() for x in (F.lit(n), F.lit(k))])
+    factor = F.lit(1.0)
+    for value, weight in boosts:
+        factor = F.when(F.col(section) == F.lit(value), F.lit(weight)).otherwise(factor)
+    score = F.when(F.col("source") == boosted_source, F.col("score") * factor).otherwise(
+        F.col("score")
+    )
+    by_score = Window.partitionBy("query_id", "source").orderBy(F.col("score").desc(), "_first_rank")
+    return (
+        top.join(routes, "query_id")
+        .withColumn("source", F.explode(listed[F.col("route")]))
+        .withColumn("score", score)
+        .withColumnRenamed("rank", "_first_rank")
+        .withColumn("rank", F.row_number().over(by_score))
+        .where(F.col("rank") <= limit[F.col("source")])
+        .drop("_first_rank")
+    )
+
+
 def combined_search(legal_hits: DataFrame, verdict_hits: DataFrame) -> DataFrame:
     """Both result sets side by side, told apart by ``source``."""
     return legal_hits.withColumn("source", F.lit("legal")).unionByName(

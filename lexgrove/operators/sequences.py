@@ -19,7 +19,7 @@ SEGMENT_WIDTH = 100_000
 
 
 def _segmented(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_segment", F.floor(F.col(order) / F.lit(width)))
+    return df.withColumn("_segment", F.expr(f"`{order}` div {width}"))
 
 
 def _from_segments(df: DataFrame, group: str, state: Column, carried: Column) -> DataFrame:

@@ -552,9 +552,12 @@ def merge_coalesce(spark, sf):
 
 
 def dedupe_first(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    kept = merge.dedupe_first(docs, "text", ["doc_id"])
-    return kept.select("doc_id", "lang", F.length("text").alias("chars"))
+    """Texts are compared by digest, so the shuffle carries no text."""
+    digest = F.when(tx.strip(F.col("text")) != "", F.sha2("text", 256))
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "lang", F.length("text").alias("chars"), digest.alias("digest")
+    )
+    return merge.dedupe_first(docs, "digest", ["doc_id"]).drop("digest")
 
 
 def bridge_build(spark, sf):
@@ -659,28 +662,19 @@ def routed_search(spark, sf):
     routed = routing.with_route(asked, "text", ROUTING).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", "route"
     )
-    vectors_of = _queries(spark, sf).withColumnRenamed("query_id", "conv_id")
-    routed = routed.join(vectors_of, "conv_id").drop("conv_id")
-    points, section = _points(spark, sf), _section_of(spark, sf)
-
-    def statutes(queries: DataFrame) -> DataFrame:
-        return vectors.cosine_topk(queries, points, fv.LEGAL_TOP_K).join(section, "id")
-
-    def verdicts(queries: DataFrame) -> DataFrame:
-        top = vectors.cosine_topk(queries, points, 2 * fv.VERDICT_TOP_K).join(section, "id")
-        return retrieval.boosted(top, fv.VERDICT_TOP_K, boosts=[(1, 1.3), (2, 1.1)])
-
-    def both(queries: DataFrame) -> DataFrame:
-        return retrieval.combined_search(statutes(queries), verdicts(queries))
-
-    found = routing.fan_out(
-        routed,
+    queries = routed.join(_queries(spark, sf).withColumnRenamed("query_id", "conv_id"), "conv_id")
+    top = vectors.cosine_topk(queries, _points(spark, sf), 2 * fv.VERDICT_TOP_K)
+    found = retrieval.reranked_by_route(
+        top.join(_section_of(spark, sf), "id"),
+        routed.select("query_id", "route"),
         {
-            "legal": lambda q: statutes(q).withColumn("source", F.lit("legal")),
-            "verdict": lambda q: verdicts(q).withColumn("source", F.lit("verdict")),
-            "trademark": lambda q: statutes(q).withColumn("source", F.lit("trademark")),
-            "combined": both,
+            "legal": ["legal"],
+            "verdict": ["verdict"],
+            "trademark": ["trademark"],
+            "combined": ["legal", "verdict"],
         },
+        {"legal": fv.LEGAL_TOP_K, "verdict": fv.VERDICT_TOP_K, "trademark": fv.LEGAL_TOP_K},
+        boosts=[(1, 1.3), (2, 1.1)],
     )
     return _shown(found.select("query_id", "route", "source", "rank", "id", "score"))
 
