@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove import session
@@ -106,6 +106,68 @@ def verdict_chunks(spark, sf):
     return chunking.verdict_chunks(_as_files(spark, sf))
 
 
+def _plain_lines() -> Column:
+    """Lines of a document reduced to letters and blanks."""
+    bare = F.transform(
+        F.split("text", "\n"), lambda line: F.trim(F.regexp_replace(line, r"[^\p{L} ]+", " "))
+    )
+    return F.filter(bare, lambda line: line != "")
+
+
+def statute_articles(spark, sf):
+    """Documents written out as decrees: each line an article, a chapter every seventh."""
+
+    def article(line: Column, i: Column) -> Column:
+        number = (i + 1).cast("string")
+        chapter = F.concat(F.lit("Chương "), number, F.lit("\nTiêu đề "), number, F.lit("\n"))
+        return F.concat(
+            F.when(i % 7 == 0, chapter).otherwise(""), F.lit("Điều "), number, F.lit(". "), line
+        )
+
+    decree = F.concat(
+        F.lit("CHÍNH PHỦ\nNghị định số: "),
+        F.col("doc_id").cast("string"),
+        F.lit("/2020/NĐ-CP\nHà Nội, ngày 5 tháng 6 năm 2020\n"),
+        F.array_join(F.transform(_plain_lines(), article), "\n"),
+    )
+    docs = documents(spark, sf).select(F.col("source").alias("filename"), decree.alias("text"))
+    return chunking.statute_chunks(docs).select(
+        "chunk_id", "doc_id", "content", "chunk_index", "chunk_type", "chuong", "chuong_title",
+        "dieu", "dieu_title", "is_continuation", "doc_type", "issuing_agency", "signing_date",
+    )
+
+
+def verdict_items(spark, sf):
+    """Documents written out as judgments: lines dealt to facts, points and items."""
+
+    def dealt(rest: int, form) -> Column:
+        numbered = F.transform(
+            _plain_lines(),
+            lambda line, i: F.when(i % 3 == rest, form(line, (i + 1).cast("string"))),
+        )
+        return F.array_join(F.array_compact(numbered), "\n")
+
+    judgment = F.concat(
+        F.lit("TÒA ÁN NHÂN DÂN TỈNH A\nBản án số: "),
+        F.col("doc_id").cast("string"),
+        F.lit("/2020/DS-ST\nNgày 3 tháng 4 năm 2020\nV/v: Tranh chấp nhãn hiệu\n- Nguyên đơn: Ông "),
+        F.col("source"),
+        F.lit("\n- Bị đơn: Bà B;\nNỘI DUNG VỤ ÁN:\n"),
+        dealt(0, lambda line, n: F.concat(F.lit("Nguyên đơn A trình bày: "), line)),
+        F.lit("\nNHẬN ĐỊNH CỦA TÒA ÁN:\n"),
+        dealt(1, lambda line, n: F.concat(F.lit("["), n, F.lit("] "), line)),
+        F.lit("\nVì các lẽ trên,\nQUYẾT ĐỊNH:\n"),
+        dealt(2, lambda line, n: F.concat(n, F.lit(". "), line)),
+    )
+    docs = documents(spark, sf).select(F.col("source").alias("filename"), judgment.alias("text"))
+    chunks = chunking.verdict_chunks(docs, size=1_000_000_000)
+    return chunks.select(
+        "vchunk_id", "verdict_id", "chunk_index", "content", "section_type", "party_role",
+        "point_number", "item_number", "court_name", "judgment_date", "trial_level", "plaintiff",
+        "defendant", F.array_join("ip_types", ",").alias("ip_types"), "summary",
+    )
+
+
 def page_records(spark, sf):
     """Block elements of pages as labelled lines; headings name the records."""
     blocks = F.regexp_replace("html", r"<(h1|h2|p|li|title)[ >/]", "\n$1\n")
@@ -800,7 +862,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_lines, doc_metadata, doc_type_route, section_chunks, packed_chunks, statute_chunks,
-        verdict_chunks, page_records, carry_forward, next_edges, context_window, context_window_2,
+        verdict_chunks, statute_articles, verdict_items, page_records, carry_forward, next_edges, context_window, context_window_2,
         history_last5, session_titles, typed_edges, doc_dimension, duplicate_keys,
         validity_filter, corpus_subset, resume_anti, point_lookup, related_rows, null_profile,
         type_counts, store_stats, daily_activity, prefix_plan, page_listing, retention,

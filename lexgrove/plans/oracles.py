@@ -113,7 +113,7 @@ FROM pages
 )
 
 # --------------------------------------------------------------------- chunking
-_CHUNK_ID = "substr(md5({owner} || '_' || {index} || '_' || substr({content}, 1, 100)), 1, 16)"
+CHUNK_ID = "substr(md5({owner} || '_' || {index} || '_' || substr({content}, 1, 100)), 1, 16)"
 _SECTIONS = f"""
   SELECT doc_id, unnest(parts) AS content, generate_subscripts(parts, 1) - 1 AS chunk_index FROM (
     SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: {strip("p")}),
@@ -121,7 +121,7 @@ _SECTIONS = f"""
 """
 _SECTION_ROWS = f"""
 SELECT doc_id, chunk_index, content,
-  {_CHUNK_ID.format(owner="doc_id::VARCHAR", index="chunk_index::VARCHAR", content="content")} AS chunk_id
+  {CHUNK_ID.format(owner="doc_id::VARCHAR", index="chunk_index::VARCHAR", content="content")} AS chunk_id
 FROM ({_SECTIONS})
 """
 add("section_chunks", _SECTION_ROWS)
@@ -162,7 +162,7 @@ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDE
 """,
 )
 _TURNS = f"""
-  SELECT *, {_CHUNK_ID.format(owner="conv_id::VARCHAR", index="turn::VARCHAR", content="text")} AS chunk_id
+  SELECT *, {CHUNK_ID.format(owner="conv_id::VARCHAR", index="turn::VARCHAR", content="text")} AS chunk_id
   FROM conversations
 """
 add(
