@@ -299,23 +299,24 @@ def search(
     queries: DataFrame,
     register: DataFrame,
     limit: int = fv.NAME_LIMIT,
-    filter_first: bool = False,
+    only_classes: list[str] | None = None,
     wildcards: bool = False,
     part_rows: int = GRAM_PART_ROWS,
 ) -> DataFrame:
     """Both tiers, merged, class-filtered and cut: ``rank`` 1..limit per query.
 
     ``queries`` may carry ``classes`` (wanted classes). The tiers are cut before
-    the class filter, so fewer than ``limit`` rows may remain; ``filter_first``
-    removes other classes from the register beforehand, which needs all queries
-    to want the same classes and is therefore given as a filtered register.
+    this filter, so fewer than ``limit`` rows may remain. ``only_classes``, one
+    list for all queries, filters the register before the search instead.
     """
+    if only_classes:
+        register = class_filter(register, F.array(*[F.lit(c) for c in only_classes]))
     tiers = [
         contains_tier(queries, register, limit, wildcards, part_rows),
         fuzzy_tier(queries, register, limit, part_rows=part_rows),
     ]
     merged = merge_tiers(tiers)
-    if "classes" in queries.columns and not filter_first:
+    if "classes" in queries.columns:
         wanted = queries.select("query_id", F.col("classes").alias("_wanted"))
         merged = class_filter(merged.join(wanted, "query_id"), F.col("_wanted")).drop("_wanted")
     final = Window.partitionBy("query_id").orderBy("position")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexgrove import session
@@ -516,6 +516,55 @@ def prompt_blocks(spark, sf):
     )
 
 
+def verdict_blocks(spark, sf):
+    """Context blocks of hits read as verdict chunks, with the cases they cite."""
+    top = vectors.cosine_topk(_queries(spark, sf), _points(spark, sf), KNN_K, skip_self=True)
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.col("text").alias("content"),
+        F.when(F.col("lang") != "fr", F.col("source")).otherwise("").alias("case_number"),
+        F.col("lang").alias("court_name"),
+    )
+    sections = F.array(*[F.lit(name) for name, _ in fv.SECTION_LABELS])
+    kind = F.coalesce(F.get(sections, F.col("section_type")), F.lit("other"))
+    hits = top.join(_section_of(spark, sf), "id").join(docs, "id").withColumns(
+        {
+            "section_type": kind,
+            "point_number": F.when(F.col("rank") % 2 == 0, F.lit("[2]")).otherwise(""),
+            "party_role": F.when(F.col("rank") == 3, F.lit("bị đơn")).otherwise(""),
+            "item_number": F.when(F.col("rank") > 1, F.lit("1.")).otherwise(""),
+            "ip_types": F.array(F.lit("nhãn hiệu"), F.col("court_name")),
+            "context_before": F.when(F.col("rank") == 1, F.lit("trước")),
+            "context_after": F.when(F.col("rank") == 5, F.lit("sau")),
+            **{c: F.lit("") for c in ("judgment_date", "trial_level", "plaintiff", "defendant")},
+        }
+    )
+    blocks = assemble.contexts(hits, assemble.verdict_block())
+    return blocks.join(assemble.case_lists(hits), "query_id", "left").select(
+        "query_id", F.md5("context").alias("context_md5"), "case_list"
+    )
+
+
+def evaluation_run(spark, sf):
+    """Quality of ranking the turns of a conversation by length; answers are relevant."""
+    turns = table(spark, sf, "conversations").withColumnRenamed("conv_id", "query_id")
+    queries = turns.groupBy("query_id").agg(
+        F.min_by(F.substring("text", 1, 50), F.when(F.col("role") == "user", F.col("turn"))).alias("text")
+    )
+    qrels = turns.where(F.col("role") == "assistant").select(
+        "query_id", F.col("turn").alias("corpus_id")
+    )
+    # turns of one conversation: at most a few
+    longest = Window.partitionBy("query_id").orderBy(F.length("text").desc(), "turn")
+    hits = turns.select(
+        "query_id", F.col("turn").alias("id"), F.row_number().over(longest).alias("rank")
+    ).where(F.col("rank") <= 5)
+    means, _ = metrics.evaluate(queries, qrels, hits, (1, 3, 5))
+    return means.select(
+        "k", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr")], "queries"
+    )
+
+
 def lsh_topk(spark, sf):
     return _shown(
         vectors.lsh_topk(_queries(spark, sf), _points(spark, sf), KNN_K, 64, skip_self=True)
@@ -586,6 +635,31 @@ def name_search(spark, sf):
     )
 
 
+def trademark_blocks(spark, sf):
+    """Text block of the parts whose name contains a word, one per word."""
+    parts = table(spark, sf, "part")
+    register = parts.select(
+        F.col("p_partkey").alias("key"),
+        F.col("p_name").alias("name"),
+        F.when(F.col("p_size") > 10, F.array("p_type")).alias("classes"),
+        F.col("p_brand").alias("owner_name"),
+        F.lit("VN").alias("owner_country"),
+        F.col("p_partkey").cast("string").alias("registration_number"),
+        F.when(F.col("p_size") > 20, F.col("p_size").cast("string")).alias("st13"),
+        F.when(F.col("p_size") > 30, F.col("p_type")).alias("feature"),
+        *[
+            F.lit(None).cast("string").alias(c)
+            for c in (
+                "application_number", "ipr_type", "country_of_filing", "ip_office", "status",
+                "application_date", "registration_date", "expiry_date",
+            )
+        ],
+    )
+    hits = names.contains_tier(_first_words(spark, sf), register, 5)
+    blocks = assemble.contexts(hits, assemble.trademark_block(), "\n\n")
+    return blocks.select("query_id", F.col("context"))
+
+
 # ----------------------------------------------------------------------- merges
 def _customer_changes(spark, sf) -> tuple[DataFrame, DataFrame]:
     target = table(spark, sf, "customer").select(
@@ -867,8 +941,8 @@ QUERIES = {
         validity_filter, corpus_subset, resume_anti, point_lookup, related_rows, null_profile,
         type_counts, store_stats, daily_activity, prefix_plan, page_listing, retention,
         cascade_delete, knn_topk, knn_filtered, boosted_rerank, hydrate_hits, hits_per_query,
-        retrieval_metrics, complete_sections, prompt_blocks, lsh_topk, hash_encode, unit_vectors,
-        name_contains, name_fuzzy, name_pairs, name_search, merge_overwrite, merge_coalesce,
+        retrieval_metrics, complete_sections, prompt_blocks, verdict_blocks, evaluation_run, lsh_topk, hash_encode, unit_vectors,
+        name_contains, name_fuzzy, name_pairs, name_search, trademark_blocks, merge_overwrite, merge_coalesce,
         dedupe_first, bridge_build, sheet_records_merged, sheet_report, trademark_merge,
         route_queries, route_defaults, routed_search, corpus_ids, bench_queries,
         bench_queries_mixed, bench_manifest, seeded_sample, seeded_order, stream_daily_activity,

@@ -488,6 +488,53 @@ SELECT query_id, md5(prompt) AS prompt_md5, length(prompt) AS prompt_chars, case
 FROM p LEFT JOIN s USING (query_id)
 """,
 )
+_LABEL = "CASE label " + " ".join(
+    f"WHEN {i} THEN {quoted(text)}" for i, (_, text) in enumerate(fv.SECTION_LABELS)
+) + " ELSE 'other' END"
+_VERDICT_BLOCK = _filled(
+    fv.VERDICT_BLOCK,
+    index="t.rank::VARCHAR",
+    case_number="coalesce(nullif(cn, ''), 'N/A')",
+    court_name="lang",
+    judgment_date="'N/A'",
+    trial_level="'N/A'",
+    ip_types="'nhãn hiệu, ' || lang",
+    plaintiff="'N/A'",
+    defendant="'N/A'",
+    section_label=_LABEL,
+    section_detail="CASE WHEN t.rank % 2 = 0 THEN ' | Luận điểm [2]' WHEN t.rank = 3 THEN ' | bị đơn' "
+    "WHEN t.rank > 1 THEN ' | Khoản 1.' ELSE '' END",
+    content="CASE WHEN t.rank = 1 THEN '[Context trước]' || chr(10) || 'trước' || chr(10) ELSE '' END || text"
+    " || CASE WHEN t.rank = 5 THEN chr(10) || '[Context sau]' || chr(10) || 'sau' ELSE '' END",
+)
+add(
+    "verdict_blocks",
+    f"""
+WITH h AS (SELECT t.query_id, t.rank, cn, {_VERDICT_BLOCK} AS block
+  FROM ({_top(KNN_K)}) t JOIN embeddings e ON e.vec_id = t.id
+  JOIN (SELECT *, CASE WHEN lang <> 'fr' THEN source ELSE '' END AS cn FROM documents) ON doc_id = t.id),
+s AS (SELECT query_id, string_agg(cn, ', ' ORDER BY first) AS case_list FROM (
+  SELECT query_id, cn, min(rank) AS first FROM h WHERE cn <> '' GROUP BY ALL) GROUP BY 1)
+SELECT query_id, md5(string_agg(block, chr(10) ORDER BY rank)) AS context_md5, any_value(case_list) AS case_list
+FROM h LEFT JOIN s USING (query_id) GROUP BY query_id
+""",
+)
+add(
+    "evaluation_run",
+    """
+WITH q AS (SELECT conv_id FROM conversations GROUP BY 1 HAVING
+    coalesce(arg_min(substr(text, 1, 50), turn) FILTER (WHERE role = 'user'), '') <> ''
+    AND count(*) FILTER (WHERE role = 'assistant') > 0),
+h AS (SELECT conv_id, role = 'assistant' AS rel,
+  row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS rank FROM conversations),
+n AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1),
+m AS (SELECT q.conv_id, k, any_value(n.n) AS n, count(*) FILTER (WHERE rel AND rank <= least(k, 5)) AS found,
+    min(rank) FILTER (WHERE rel AND rank <= 5) AS first
+  FROM q JOIN n USING (conv_id) JOIN h USING (conv_id) CROSS JOIN (SELECT unnest([1, 3, 5]) AS k) GROUP BY ALL)
+SELECT k, round(avg(found::DOUBLE / k), 6) AS precision, round(avg(found::DOUBLE / n), 6) AS recall,
+  round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, count(*) AS queries FROM m GROUP BY k
+""",
+)
 add(
     "unit_vectors",
     """
@@ -565,6 +612,21 @@ QUALIFY rank <= {fv.NAME_LIMIT}
 """,
 )
 
+add(
+    "trademark_blocks",
+    f"""
+SELECT query_id, string_agg('[' || rank || '] Nhãn hiệu: ' || name || chr(10)
+  || '    Chủ sở hữu: ' || p_brand || ' (VN)' || chr(10) || '    Số đăng ký: ' || key || chr(10)
+  || CASE WHEN p_size > 20 THEN '    ST13: ' || p_size || chr(10) ELSE '' END
+  || '    Nhóm Nice: ' || CASE WHEN p_size > 10 THEN t.p_type ELSE 'N/A' END || chr(10)
+  || '    Loại: ' || CASE WHEN p_size > 30 THEN t.p_type ELSE 'N/A' END || chr(10)
+  || '    Nước đăng ký: N/A' || chr(10) || '    Trạng thái: ' || chr(10)
+  || '    Mức giống: ' || CASE WHEN score = 1 THEN '100' ELSE '80' END || '% (exact)',
+  chr(10) || chr(10) ORDER BY rank) AS context
+FROM ({_contains_tier(_WORDS)}) t JOIN part ON p_partkey = key WHERE rank <= 5 GROUP BY query_id
+""",
+)
+
 # ----------------------------------------------------------------------- merges
 _CHANGES = """
   SELECT o_custkey AS key, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS amount,

@@ -101,6 +101,8 @@ def test_class_filter(spark):
     wanting = asked.withColumn("classes", F.array(F.lit("2")))
     kept = nm.search(wanting, reg).collect()
     assert kept and all(not r["classes"] or "2" in r["classes"] for r in kept)
+    first = nm.search(asked, reg, limit=5, only_classes=["2"]).collect()
+    assert len(first) > 5 and all(not r["classes"] or "2" in r["classes"] for r in first)
     plain = nm.search(asked.withColumn("classes", F.lit(None).cast("array<string>")), reg)
     assert plain.count() == nm.search(asked, reg).count()
 
