@@ -8,8 +8,8 @@ on character grams, and the expensive tests run only on pairs that share one:
 * similarity: sets whose Jaccard score exceeds ``t`` must share one of their
   ``n - floor(t*n)`` rarest trigrams. A pair is kept only at its first common
   gram, so it is produced once and no ``distinct`` is needed. A high threshold
-  needs only the rarest grams and is tried first; a query that then has enough
-  names is finished, since every other name scores lower.
+  needs only the rarest grams and is tried first on large registers; a query that
+  then has enough names is finished, since every other name scores lower.
 
 Work is done on distinct names; copies are expanded after the top-k cut. Grams
 held by very many names are split into parts, which the query side visits all.
@@ -27,6 +27,7 @@ from lexgrove.functions.trigrams import plain_grams, similarity, trigrams
 
 GRAM_PART_ROWS = 50_000
 FIRST_THRESHOLD = 0.4
+LADDER_ROWS = 1_000_000  # registers above this size try the high threshold first
 
 
 def _parts(names_with_gram: Column, part_rows: int) -> Column:
@@ -226,9 +227,13 @@ def fuzzy_tier(
     limit: int = fv.NAME_LIMIT,
     threshold: float = fv.NAME_SIMILARITY_THRESHOLD,
     part_rows: int = GRAM_PART_ROWS,
-    first_threshold: float | None = FIRST_THRESHOLD,
+    first_threshold: float = FIRST_THRESHOLD,
+    ladder_rows: int = LADDER_ROWS,
 ) -> DataFrame:
-    """Most similar names by trigrams; ties by name and key; scores are capped."""
+    """Most similar names by trigrams; ties by name and key; scores are capped.
+
+    Above ``ladder_rows`` register rows, ``first_threshold`` is tried first.
+    """
     spelled = register.select("name", F.lower("name").alias("lower_name")).distinct()
     by_name = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "name")
 
@@ -242,7 +247,7 @@ def fuzzy_tier(
         )
 
     asked = queries.select("query_id", "name")
-    if first_threshold is None or first_threshold <= threshold:
+    if first_threshold <= threshold or register.count() <= ladder_rows:
         best = best_above(asked, threshold)
     else:
         high = best_above(asked, first_threshold)

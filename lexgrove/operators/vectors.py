@@ -21,8 +21,7 @@ from pyspark.sql import types as T
 
 SCORE_DIGITS = 9
 BROADCAST_QUERY_VALUES = 8_000_000  # numbers; 64 MB as doubles
-QUERY_BLOCK_ROWS = 2_048
-VECTOR_BLOCK_ROWS = 65_536
+BLOCK_VALUES = 8_000_000  # numbers of one side of a block
 _SCORE_TILE = 4_000_000  # scores held at once by a task
 
 
@@ -190,8 +189,7 @@ def cosine_topk(
     k: int,
     skip_self: bool = False,
     broadcast_values: int = BROADCAST_QUERY_VALUES,
-    query_block: int = QUERY_BLOCK_ROWS,
-    vector_block: int = VECTOR_BLOCK_ROWS,
+    block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
     """``(query_id, rank, id, score)``: exact best k vectors for every query.
 
@@ -207,8 +205,8 @@ def cosine_topk(
     if n * width <= broadcast_values:
         partial = _scan_with(queries.toArrow(), vectors, k, skip_self, schema)
         return ranked(partial, k)
-    q_blocks = -(-n // query_block)
-    v_blocks = max(1, -(-vectors.count() // vector_block))
+    q_blocks = max(1, -(-n * width // block_values))
+    v_blocks = max(1, -(-vectors.count() * width // block_values))
     left = queries.withColumn("_q", _block_key("query_id", q_blocks)).withColumn(
         "_v", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1)))
     )
@@ -227,13 +225,14 @@ def lsh_topk(
     bits: int = 6,
     seed: int = 42,
     skip_self: bool = False,
-    bucket_rows: int = VECTOR_BLOCK_ROWS,
+    block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
     """Approximate best k by random hyperplanes; recall is measured against exact.
 
     Every table assigns a vector to one of ``2**bits`` buckets; a query meets the
-    vectors of its bucket in each table. Buckets above ``bucket_rows`` are split
-    into salted parts that the query visits one by one.
+    vectors of its bucket in each table. A bucket above ``block_values`` numbers
+    on either side is split into parts, and every part of one side meets every
+    part of the other.
     """
     planes = np.random.default_rng(seed).standard_normal((tables * bits, width))
     weights = 1 << np.arange(bits)
@@ -260,18 +259,26 @@ def lsh_topk(
         )
 
     left, right = bucketed(queries, "query_id"), bucketed(vectors, "id")
+    bucket = ["_table", "_bucket"]
+
+    def parts_of(df: DataFrame, name: str) -> DataFrame:
+        blocks = F.ceil(F.count(F.lit(1)) * F.lit(width) / F.lit(block_values))
+        return df.groupBy(*bucket).agg(blocks.cast("int").alias(name))
+
+    def own_part(id_col: str, parts: str) -> Column:
+        return F.pmod(F.xxhash64(id_col), F.col(parts)).cast("int")
+
+    def all_parts(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
     # at most tables * 2**bits rows
-    parts = right.groupBy("_table", "_bucket").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(bucket_rows)).cast("int").alias("_parts")
-    )
-    left = left.join(parts, ["_table", "_bucket"]).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    )
-    right = right.join(parts, ["_table", "_bucket"]).withColumn(
-        "_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")
-    )
+    parts = parts_of(left, "_qparts").join(parts_of(right, "_vparts"), bucket)
+    left = left.join(parts, bucket).withColumn("_q", own_part("query_id", "_qparts"))
+    left = left.withColumn("_v", all_parts("_vparts")).drop("_qparts", "_vparts")
+    right = right.join(parts, bucket).withColumn("_v", own_part("id", "_vparts"))
+    right = right.withColumn("_q", all_parts("_qparts")).drop("_qparts", "_vparts")
     schema = _hit_schema(queries, vectors)
     found = _cogrouped(
-        left.drop("_parts"), right.drop("_parts"), ["_table", "_bucket", "_part"], k, skip_self, schema
+        left, right, [*bucket, "_q", "_v"], k, skip_self, schema
     )
     return ranked(found.dropDuplicates(["query_id", "id"]), k)

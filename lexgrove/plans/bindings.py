@@ -916,7 +916,7 @@ def stream_rolling_messages(spark, sf):
     )
     run = (
         rolling.writeStream.outputMode("update")
-        .foreachBatch(incremental._logging(f"{out}/log", lambda df: df))
+        .foreachBatch(incremental.batch_writer(f"{out}/log"))
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start()

@@ -23,7 +23,9 @@ from lexgrove.operators.merge import last_by, trademark_upsert
 BATCH = "batch_id"
 
 
-def _logging(path: str, prepare: Callable[[DataFrame], DataFrame]):
+def batch_writer(path: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df):
+    """``foreachBatch`` function that logs ``prepare(batch)`` under its batch number."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
         prepare(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
@@ -38,7 +40,7 @@ def start_log(
     once: bool = True,
 ) -> StreamingQuery:
     """Log ``prepare(micro-batch)``; ``once`` takes what is there and stops."""
-    writer = stream.writeStream.foreachBatch(_logging(path, prepare)).option(
+    writer = stream.writeStream.foreachBatch(batch_writer(path, prepare)).option(
         "checkpointLocation", checkpoint
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -99,7 +101,7 @@ def log_daily_activity(
     writer = (
         daily_activity(events, ts, delay)
         .writeStream.outputMode("update")
-        .foreachBatch(_logging(path, lambda df: df))
+        .foreachBatch(batch_writer(path))
         .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()

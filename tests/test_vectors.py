@@ -36,7 +36,7 @@ def test_both_ways_equal_brute_force(spark):
     for skip in (False, True):
         expected = brute(data, 25, 12, skip)
         assert collected(vx.cosine_topk(queries, vec, 12, skip)) == expected
-        blocks = vx.cosine_topk(queries, vec, 12, skip, broadcast_values=0, query_block=10, vector_block=37)
+        blocks = vx.cosine_topk(queries, vec, 12, skip, broadcast_values=0, block_values=90)
         assert collected(blocks) == expected
 
 
@@ -75,7 +75,7 @@ def test_lsh_recall_and_split_buckets(spark, data):
     near = vx.lsh_topk(queries, vec, 5, 64, tables=16, bits=3, skip_self=True)
     recall = near.select("query_id", "id").intersect(exact).count() / exact.count()
     assert recall > 0.8
-    split = vx.lsh_topk(queries, vec, 5, 64, tables=16, bits=3, skip_self=True, bucket_rows=10)
+    split = vx.lsh_topk(queries, vec, 5, 64, tables=16, bits=3, skip_self=True, block_values=640)
     assert split.select("query_id", "id", "rank").exceptAll(near.select("query_id", "id", "rank")).count() == 0
 
 
