@@ -201,25 +201,19 @@ def trademark_upsert(
         F.min(F.struct(F.col("st13").isNull().alias("last"), "st13")).alias("_owner"),
         F.count(F.lit(1)).alias("_owners"),
     )
-    hit = loose.join(owners, number, "left")
-    patches = hit.where(F.col("_owners").isNotNull()).select(
-        number,
-        F.col("_owner.st13").alias("_st13"),
-        F.struct(*[c for c in TRADEMARK_FIELDS if c not in (number, "st13")]).alias("_patch"),
-    )
-    same = (F.col("b." + number) == F.col("p." + number)) & F.col("b.st13").eqNullSafe(
-        F.col("p._st13")
-    )
-    patched = base.alias("b").join(patches.alias("p"), same, "left").select(
+    owns = F.col("_owner").isNotNull() & F.col("st13").eqNullSafe(F.col("_owner.st13"))
+    marked = base.join(owners, number, "left").withColumn("_owns", owns)
+    rest = [c for c in TRADEMARK_FIELDS if c not in (number, "st13")]
+    patches = loose.select(number, F.lit(True).alias("_owns"), F.struct(*rest).alias("_patch"))
+    # one join updates the owning rows and adds the numbers nobody carries
+    merged = marked.join(patches, [number, "_owns"], "full_outer").select(
         *[
-            F.col("b." + c) if c in (number, "st13")
-            else F.coalesce(F.col("p._patch")[c], F.col("b." + c)).alias(c)
+            F.col(c) if c in (number, "st13") else F.coalesce(F.col("_patch")[c], F.col(c)).alias(c)
             for c in TRADEMARK_FIELDS
         ]
     )
-    fresh = hit.where(F.col("_owners").isNull()).select(*TRADEMARK_FIELDS)
-    ambiguous = hit.where(F.col("_owners") > 1).select(number, F.col("_owners").alias("rows"))
-    return patched.unionByName(fresh), ambiguous
+    ambiguous = owners.where(F.col("_owners") > 1).join(loose, number, "left_semi")
+    return merged, ambiguous.select(number, F.col("_owners").alias("rows"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

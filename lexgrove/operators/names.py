@@ -27,6 +27,7 @@ from lexgrove.functions.trigrams import plain_grams, similarity, trigrams
 
 GRAM_PART_ROWS = 50_000
 FIRST_THRESHOLD = 0.4
+SALTS = 16
 LADDER_ROWS = 1_000_000  # registers above this size try the high threshold first
 
 
@@ -46,6 +47,16 @@ def _one_part(df: DataFrame, by: str) -> DataFrame:
     )
 
 
+def _per_salt(facts: DataFrame) -> DataFrame:
+    """A small table with one row per gram, repeated for every salt."""
+    return facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _with_salt(postings: DataFrame, by: str) -> DataFrame:
+    """Spreads the rows of one gram over the salts, so no join task gets them all."""
+    return postings.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
 def _expanded(
     best_names: DataFrame, register: DataFrame, order: list[Column], limit: int, name_col: str
 ) -> DataFrame:
@@ -106,10 +117,10 @@ def contains_tier(
         *([F.array(F.lit(""))] if wildcards else []),
     )
     # outer: else a non-empty test of the grams is pushed below the distinct
-    postings = names.withColumn("_gram", F.explode_outer(all_grams))
+    postings = _with_salt(names.withColumn("_gram", F.explode_outer(all_grams)), "name")
     # only grams some query asks for are counted and kept
-    wanted = asked.select("_gram").distinct()
-    held = postings.join(wanted, "_gram", "left_semi")
+    wanted = _per_salt(asked.select("_gram").distinct())
+    held = postings.join(wanted, ["_gram", "_salt"], "left_semi")
     counts = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_names"))
     # a query with a gram that no name holds has no match
     keys = (
@@ -127,10 +138,11 @@ def contains_tier(
             _parts(F.col("_rarest._names"), part_rows).alias("_parts"),
         )
     )
-    used = keys.select("_gram", "_parts").distinct()
+    used = _per_salt(keys.select("_gram", "_parts").distinct())
+    chosen = held.join(used, ["_gram", "_salt"]).drop("_salt")
     matched = (
         _visit_all_parts(keys)
-        .join(_one_part(held.join(used, "_gram"), "name"), ["_gram", "_part"])
+        .join(_one_part(chosen, "name"), ["_gram", "_part"])
         .where(
             F.like("_lower", F.concat(F.lit("%"), "_query", F.lit("%")))
             if wildcards
@@ -155,7 +167,8 @@ def _ordered_grams(names: DataFrame, id_cols: list[str], counts: DataFrame, t: f
     grams = names.select(*id_cols, F.explode_outer("_grams").alias("_gram")).where(
         F.col("_gram").isNotNull()
     )
-    ranked = grams.join(counts, "_gram", "left").select(
+    salted = _with_salt(grams, id_cols[0])
+    ranked = salted.join(_per_salt(counts), ["_gram", "_salt"], "left").select(
         *id_cols,
         F.struct(
             F.coalesce("_names", F.lit(0)).alias("names"), F.col("_gram").alias("gram")

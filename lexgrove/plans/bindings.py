@@ -239,14 +239,17 @@ def typed_edges(spark, sf):
 
 
 def doc_dimension(spark, sf):
-    """First turn describes a conversation; conversations with one opening are one."""
-    turns = table(spark, sf, "conversations").withColumns(
-        {"opening": F.substring("text", 1, 12), "length": F.length("text")}
+    """One row per source and language: described by its last document's first section."""
+    docs = table(spark, sf, "documents")
+    facts = docs.select(
+        "doc_id", "lang", F.concat("source", F.lit("/"), "lang").alias("doc_key")
+    )
+    sections = chunking.marker_chunks(docs, "doc_id", "text", r"\n").select(
+        "doc_id", "chunk_index", F.length("content").alias("first_chars")
     )
-    per_conv = merge.first_by(
-        turns.select("conv_id", "turn", "role", "opening", "length"), ["conv_id"], ["turn"]
+    return graph.dimension_of(
+        sections.join(facts, "doc_id"), "doc_id", "chunk_index", "doc_key", ["lang", "first_chars"]
     )
-    return merge.last_by(per_conv.drop("turn"), ["opening"], ["conv_id"])
 
 
 def duplicate_keys(spark, sf):

@@ -223,12 +223,11 @@ FROM ({_TURNS}) WHERE role IN ('user', 'assistant')
 )
 add(
     "doc_dimension",
-    """
-SELECT conv_id, role, opening, length FROM (
-  SELECT *, row_number() OVER (PARTITION BY opening ORDER BY conv_id DESC) AS rn FROM (
-    SELECT conv_id, role, substr(text, 1, 12) AS opening, length(text) AS length FROM conversations
-    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1))
-WHERE rn = 1
+    f"""
+SELECT doc_id, doc_key, lang, first_chars FROM (
+  SELECT s.doc_id, source || '/' || lang AS doc_key, lang, length(content) AS first_chars
+  FROM ({_SECTIONS}) s JOIN documents d ON d.doc_id = s.doc_id WHERE chunk_index = 0)
+QUALIFY row_number() OVER (PARTITION BY doc_key ORDER BY doc_id DESC) = 1
 """,
 )
 add(

@@ -27,6 +27,8 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, sql, data, name):
     df = entry.queries()[name](spark, data)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     got = bag(df.columns, [tuple(r) for r in df.collect()])
     if name not in entry.oracle_sql():
         assert sum(got[1].values()) > 0
