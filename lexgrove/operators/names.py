@@ -11,6 +11,10 @@ on character grams, and the expensive tests run only on pairs that share one:
   needs only the rarest grams and is tried first on large registers; a query that
   then has enough names is finished, since every other name scores lower.
 
+Similarity of a checked number of queries takes a shorter way: their grams are
+broadcast, and each task counts shared grams for its share of the names and keeps
+the best names per query; one scan, nothing exploded, only results are shuffled.
+
 Work is done on distinct names; copies are expanded after the top-k cut. Grams
 held by very many names are split into parts, which the query side visits all.
 ``register`` has ``key`` and ``name`` (and ``classes`` for the class filter);
@@ -19,13 +23,23 @@ held by very many names are split into parts, which the query side visits all.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexgrove.functions import fixed_values as fv
 from lexgrove.functions.trigrams import plain_grams, similarity, trigrams
+from lexgrove.operators.sizes import if_small
 
 GRAM_PART_ROWS = 50_000
+BROADCAST_GRAMS = 2_000_000  # grams of all queries together
+_SCORE_TILE = 4_000_000  # scores held at once by a task
 FIRST_THRESHOLD = 0.4
 SALTS = 16
 LADDER_ROWS = 1_000_000  # registers above this size try the high threshold first
@@ -58,22 +72,25 @@ def _with_salt(postings: DataFrame, by: str) -> DataFrame:
 
 
 def _expanded(
-    best_names: DataFrame, register: DataFrame, order: list[Column], limit: int, name_col: str
+    best_names: DataFrame, register: DataFrame, order: list[Column], limit: int, queries: int
 ) -> DataFrame:
     """Register rows of the chosen names, cut to ``limit`` per query again.
 
-    At most ``limit`` rows of one name can be used, the ones with the lowest
-    keys, so copies beyond that are cut before the join.
+    There are at most ``queries * limit`` chosen names. If they cannot be sent to
+    the register scan, copies of a name that can never be used, those beyond
+    ``limit`` in key order, are cut before the join.
     """
-    of_name = Window.partitionBy(name_col).orderBy("key")
-    few = (
-        register.withColumn("_copy", F.row_number().over(of_name))
-        .where(F.col("_copy") <= limit)
-        .drop("_copy")
-    )
+    chosen = if_small(best_names, queries * limit)
+    if chosen is best_names:
+        of_name = Window.partitionBy("name").orderBy("key")
+        register = (
+            register.withColumn("_copy", F.row_number().over(of_name))
+            .where(F.col("_copy") <= limit)
+            .drop("_copy")
+        )
     of_query = Window.partitionBy("query_id").orderBy(*order, "name", "key")
     return (
-        best_names.join(few, name_col)
+        register.join(chosen, "name")
         .withColumn("rank", F.row_number().over(of_query))
         .where(F.col("rank") <= limit)
     )
@@ -157,7 +174,7 @@ def contains_tier(
         .where(F.col("_r") <= limit)
         .drop("_r")
     )
-    rows = _expanded(best, register, [not_equal], limit, "name")
+    rows = _expanded(best, register, [not_equal], limit, queries.count())
     score = F.when(F.col("_equal"), fv.NAME_EXACT_SCORE).otherwise(fv.NAME_CONTAINS_SCORE)
     return rows.withColumns({"score": score, "match_type": F.lit("exact")}).drop("_equal")
 
@@ -234,6 +251,89 @@ def similar_pairs(
     return asked.join(scored, "_q").select("query_id", "lower_name", "similarity")
 
 
+class _QueryGrams:
+    """Grams of all queries as an inverted list: gram number to query numbers."""
+
+    def __init__(self, table: pa.Table):
+        self.ids = table["query_id"].combine_chunks()
+        lists = table["grams"].combine_chunks()
+        self.sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        self.vocabulary = flat.unique()
+        gram = pc.index_in(flat, value_set=self.vocabulary).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(self.ids)), self.sizes)
+        order = np.argsort(gram, kind="stable")
+        self.owners = owner[order]
+        self.starts = np.searchsorted(gram[order], np.arange(len(self.vocabulary) + 1))
+
+    def similarities(self, lists: pa.ListArray) -> np.ndarray:
+        """Jaccard score of every name (row) with every query (column)."""
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        gram = pc.fill_null(pc.index_in(lists.flatten(), value_set=self.vocabulary), -1)
+        gram = gram.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)[gram >= 0]
+        gram = gram[gram >= 0]
+        hits = self.starts[gram + 1] - self.starts[gram]
+        # positions in the inverted list: start of the gram plus 0, 1, 2, ...
+        place = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
+        query = self.owners[np.repeat(self.starts[gram], hits) + place]
+        n = len(self.ids)
+        shared = np.bincount(np.repeat(row, hits) * n + query, minlength=len(sizes) * n)
+        shared = shared.reshape(len(sizes), n)
+        union = sizes[:, None] + self.sizes[None, :] - shared
+        return shared / np.maximum(union, 1)
+
+
+def _best_names(found: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Best distinct names per query: highest similarity, then name."""
+    found = found.drop_duplicates(["query", "name"])
+    found = found.sort_values(["query", "similarity", "name"], ascending=[True, False, True])
+    return found[found.groupby("query").cumcount() < limit]
+
+
+def _scan_names(
+    grams: pa.Table, register: DataFrame, limit: int, threshold: float, schema: T.StructType
+) -> DataFrame:
+    shared = register.sparkSession.sparkContext.broadcast(_QueryGrams(grams))
+
+    def best_of_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
+        best = None
+        tile = max(1, _SCORE_TILE // max(1, len(queries.ids)))
+        for batch in batches:
+            fresh = ~pd.Series(batch.column("name").to_pandas()).duplicated().to_numpy()
+            batch = batch.filter(pa.array(fresh))
+            for start in range(0, batch.num_rows, tile):
+                part = batch.slice(start, tile)
+                scores = queries.similarities(part.column("grams"))
+                # a name below the best ``limit`` scores of this tile cannot be a result
+                keep = min(limit, scores.shape[0])
+                floor = -np.partition(-scores, keep - 1, axis=0)[keep - 1]
+                row, query = np.nonzero((scores > threshold) & (scores >= floor))
+                found = pd.DataFrame(
+                    {
+                        "query": query,
+                        "name": np.asarray(part.column("name").to_pandas(), object)[row],
+                        "similarity": scores[row, query],
+                    }
+                )
+                best = _best_names(found if best is None else pd.concat([best, found]), limit)
+        if best is not None and len(best):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    queries.ids.take(pa.array(best["query"].to_numpy())),
+                    pa.array(best["name"].to_numpy(), pa.string()),
+                    pa.array(best["similarity"].to_numpy(), pa.float64()),
+                ],
+                names=["query_id", "name", "similarity"],
+            )
+
+    names = register.where(F.col("name").isNotNull()).select(
+        "name", trigrams(F.col("name")).alias("grams")
+    )
+    return names.mapInArrow(best_of_share, schema)
+
+
 def fuzzy_tier(
     queries: DataFrame,
     register: DataFrame,
@@ -242,41 +342,70 @@ def fuzzy_tier(
     part_rows: int = GRAM_PART_ROWS,
     first_threshold: float = FIRST_THRESHOLD,
     ladder_rows: int = LADDER_ROWS,
+    broadcast_grams: int = BROADCAST_GRAMS,
 ) -> DataFrame:
     """Most similar names by trigrams; ties by name and key; scores are capped.
 
-    Above ``ladder_rows`` register rows, ``first_threshold`` is tried first.
+    Queries with up to ``broadcast_grams`` grams are answered by one scan. More of
+    them go through the gram join, above ``ladder_rows`` register rows with
+    ``first_threshold`` tried first. All ways give the same rows.
     """
-    spelled = register.select("name", F.lower("name").alias("lower_name")).distinct()
     by_name = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "name")
 
-    def best_above(asked: DataFrame, t: float) -> DataFrame:
+    def cut(found: DataFrame) -> DataFrame:
         return (
-            similar_pairs(asked, register, t, part_rows)
-            .join(spelled, "lower_name")
-            .withColumn("_r", F.row_number().over(by_name))
+            found.withColumn("_r", F.row_number().over(by_name))
             .where(F.col("_r") <= limit)
-            .drop("_r", "lower_name")
+            .drop("_r")
         )
 
-    asked = queries.select("query_id", "name")
-    if first_threshold <= threshold or register.count() <= ladder_rows:
-        best = best_above(asked, threshold)
+    asked = queries.where(F.col("name").isNotNull()).select("query_id", "name")
+    coded = asked.select("query_id", trigrams(F.col("name")).alias("grams"))
+    size = coded.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("grams")
+    ).first()
+    if size["grams"] <= broadcast_grams:
+        schema = T.StructType(
+            [
+                T.StructField("query_id", queries.schema["query_id"].dataType),
+                T.StructField("name", T.StringType()),
+                T.StructField("similarity", T.DoubleType()),
+            ]
+        )
+        partial = _scan_names(coded.toArrow(), register, limit, threshold, schema)
+        best = cut(partial.distinct())
     else:
-        high = best_above(asked, first_threshold)
-        enough = (
-            high.groupBy("query_id")
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") >= limit)
-            .select("query_id")
+        best = _joined_best(
+            asked, register, limit, threshold, part_rows, first_threshold, ladder_rows, cut
         )
-        rest = best_above(asked.join(enough, "query_id", "left_anti"), threshold)
-        best = high.join(enough, "query_id", "left_semi").unionByName(rest)
-    rows = _expanded(best, register, [F.col("similarity").desc()], limit, "name")
+    rows = _expanded(best, register, [F.col("similarity").desc()], limit, size["n"])
     score = F.round(F.least(F.col("similarity"), F.lit(fv.NAME_FUZZY_CAP)), 4)
     return rows.withColumns({"score": score, "match_type": F.lit("fuzzy")}).drop("similarity")
 
 
+def _joined_best(
+    asked, register, limit, threshold, part_rows, first_threshold, ladder_rows, cut
+) -> DataFrame:
+    """Best names per query by the gram join, with the threshold ladder."""
+    spelled = register.select("name", F.lower("name").alias("lower_name")).distinct()
+
+    def best_above(some: DataFrame, t: float) -> DataFrame:
+        pairs = similar_pairs(some, register, t, part_rows).join(spelled, "lower_name")
+        return cut(pairs.drop("lower_name"))
+
+    if first_threshold <= threshold or register.count() <= ladder_rows:
+        return best_above(asked, threshold)
+    high = best_above(asked, first_threshold)
+    enough = (
+        high.groupBy("query_id")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") >= limit)
+        .select("query_id")
+    )
+    rest = best_above(asked.join(enough, "query_id", "left_anti"), threshold)
+    return high.join(enough, "query_id", "left_semi").unionByName(rest.select(*high.columns))
+
+
 def class_filter(hits: DataFrame, wanted: Column, classes: str = "classes") -> DataFrame:
     """Keep rows without classes or with one of the wanted; no wanted, no filter."""
     have = F.coalesce(F.col(classes), F.array().cast("array<string>"))

@@ -52,10 +52,14 @@ def test_tiers_equal_all_pairs(spark):
     for parts in (nm.GRAM_PART_ROWS, 3):
         contains = nm.contains_tier(asked, reg, 20, part_rows=parts).cache()
         fuzzy = nm.fuzzy_tier(asked, reg, 20, part_rows=parts).cache()
-        few = nm.fuzzy_tier(asked, reg, 3, part_rows=parts, first_threshold=0.3, ladder_rows=0).cache()
+        joined = nm.fuzzy_tier(asked, reg, 20, part_rows=parts, broadcast_grams=0).cache()
+        few = nm.fuzzy_tier(
+            asked, reg, 3, part_rows=parts, first_threshold=0.3, ladder_rows=0, broadcast_grams=0
+        ).cache()
         for query_id, name in queries:
             assert got(contains, query_id) == brute_contains(register, name, 20), name
             assert got(fuzzy, query_id) == brute_fuzzy(register, name, 20), name
+            assert got(joined, query_id) == brute_fuzzy(register, name, 20), name
             assert got(few, query_id) == brute_fuzzy(register, name, 3), name
 
 
