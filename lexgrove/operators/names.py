@@ -11,9 +11,10 @@ on character grams, and the expensive tests run only on pairs that share one:
   needs only the rarest grams and is tried first on large registers; a query that
   then has enough names is finished, since every other name scores lower.
 
-Similarity of a checked number of queries takes a shorter way: their grams are
-broadcast, and each task counts shared grams for its share of the names and keeps
-the best names per query; one scan, nothing exploded, only results are shuffled.
+A checked number of queries takes a shorter way: they are broadcast (for
+similarity as an inverted list of their grams), and each task tests its share of
+the names and keeps the best names per query; one scan, nothing exploded, only
+results are shuffled. Above the limit the gram joins give the same rows.
 
 Work is done on distinct names; copies are expanded after the top-k cut. Grams
 held by very many names are split into parts, which the query side visits all.
@@ -38,6 +39,7 @@ from lexgrove.functions.trigrams import plain_grams, similarity, trigrams
 from lexgrove.operators.sizes import if_small
 
 GRAM_PART_ROWS = 50_000
+SCAN_QUERIES = 2_000
 BROADCAST_GRAMS = 2_000_000  # grams of all queries together
 _SCORE_TILE = 4_000_000  # scores held at once by a task
 FIRST_THRESHOLD = 0.4
@@ -96,19 +98,52 @@ def _expanded(
     )
 
 
+def _cut_names(found: DataFrame, order: Column, limit: int) -> DataFrame:
+    """Best ``limit`` names per query, ties by name."""
+    by_name = Window.partitionBy("query_id").orderBy(order, "name")
+    return (
+        found.withColumn("_r", F.row_number().over(by_name)).where(F.col("_r") <= limit).drop("_r")
+    )
+
+
 def contains_tier(
     queries: DataFrame,
     register: DataFrame,
     limit: int = fv.NAME_LIMIT,
     wildcards: bool = False,
     part_rows: int = GRAM_PART_ROWS,
+    scan_queries: int = SCAN_QUERIES,
 ) -> DataFrame:
     """Names that contain the query, equal names first, then by name and key.
 
     With ``wildcards`` the characters ``%`` and ``_`` of a query act as in LIKE.
-    Blank queries match nothing, or every name with ``wildcards``.
+    Blank queries match nothing, or every name with ``wildcards``. Up to
+    ``scan_queries`` queries are answered by one scan, more by the gram join.
     """
-    asked = queries.select("query_id", F.lower("name").alias("_query"))
+    asked = queries.where(F.col("name").isNotNull()).select(
+        "query_id", F.lower("name").alias("_query")
+    )
+    if not wildcards:
+        asked = asked.where(F.col("_query") != "")
+    n = asked.count()
+    not_equal = (~F.col("_equal")).cast("int")
+    if n <= scan_queries:
+        found = _scan_containing(
+            asked.toArrow(), register, limit, wildcards, _found_schema(queries)
+        ).distinct()
+        found = found.select("query_id", "name", (F.col("loss") == 0).alias("_equal"))
+    else:
+        found = _joined_containing(asked, register, wildcards, part_rows)
+    best = _cut_names(found, not_equal, limit)
+    rows = _expanded(best, register, [not_equal], limit, n)
+    score = F.when(F.col("_equal"), fv.NAME_EXACT_SCORE).otherwise(fv.NAME_CONTAINS_SCORE)
+    return rows.withColumns({"score": score, "match_type": F.lit("exact")}).drop("_equal")
+
+
+def _joined_containing(
+    asked: DataFrame, register: DataFrame, wildcards: bool, part_rows: int
+) -> DataFrame:
+    """``(query_id, name, _equal)`` of all containing names, by the rarest gram."""
     fragments = (
         F.split("_query", "[%_]+") if wildcards else F.array(F.col("_query"))
     )
@@ -157,7 +192,7 @@ def contains_tier(
     )
     used = _per_salt(keys.select("_gram", "_parts").distinct())
     chosen = held.join(used, ["_gram", "_salt"]).drop("_salt")
-    matched = (
+    return (
         _visit_all_parts(keys)
         .join(_one_part(chosen, "name"), ["_gram", "_part"])
         .where(
@@ -167,16 +202,6 @@ def contains_tier(
         )
         .select("query_id", "name", (F.col("_lower") == F.col("_query")).alias("_equal"))
     )
-    not_equal = (~F.col("_equal")).cast("int")
-    by_name = Window.partitionBy("query_id").orderBy(not_equal, "name")
-    best = (
-        matched.withColumn("_r", F.row_number().over(by_name))
-        .where(F.col("_r") <= limit)
-        .drop("_r")
-    )
-    rows = _expanded(best, register, [not_equal], limit, queries.count())
-    score = F.when(F.col("_equal"), fv.NAME_EXACT_SCORE).otherwise(fv.NAME_CONTAINS_SCORE)
-    return rows.withColumns({"score": score, "match_type": F.lit("exact")}).drop("_equal")
 
 
 def _ordered_grams(names: DataFrame, id_cols: list[str], counts: DataFrame, t: float) -> DataFrame:
@@ -285,48 +310,65 @@ class _QueryGrams:
 
 
 def _best_names(found: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """Best distinct names per query: highest similarity, then name."""
-    found = found.drop_duplicates(["query", "name"])
-    found = found.sort_values(["query", "similarity", "name"], ascending=[True, False, True])
+    """Best distinct names per query: lowest loss, then name."""
+    found = found.drop_duplicates(["query", "name"]).sort_values(["query", "loss", "name"])
     return found[found.groupby("query").cumcount() < limit]
 
 
-def _scan_names(
+def _running_best(
+    batches: Iterator[pa.RecordBatch], ids: pa.Array, limit: int, find
+) -> Iterator[pa.RecordBatch]:
+    """Best names per query over all batches of a task; ``find`` scores a slice."""
+    best = None
+    tile = max(1, _SCORE_TILE // max(1, len(ids)))
+    for batch in batches:
+        fresh = ~pd.Series(batch.column("name").to_pandas()).duplicated().to_numpy()
+        batch = batch.filter(pa.array(fresh))
+        for start in range(0, batch.num_rows, tile):
+            part = batch.slice(start, tile)
+            row, query, loss = find(part)
+            names = np.asarray(part.column("name").to_pandas(), object)[row]
+            found = pd.DataFrame({"query": query, "name": names, "loss": loss})
+            best = _best_names(found if best is None else pd.concat([best, found]), limit)
+    if best is not None and len(best):
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids.take(pa.array(best["query"].to_numpy())),
+                pa.array(best["name"].to_numpy(), pa.string()),
+                pa.array(best["loss"].to_numpy(), pa.float64()),
+            ],
+            names=["query_id", "name", "loss"],
+        )
+
+
+def _found_schema(queries: DataFrame) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("name", T.StringType()),
+            T.StructField("loss", T.DoubleType()),
+        ]
+    )
+
+
+def _scan_similar(
     grams: pa.Table, register: DataFrame, limit: int, threshold: float, schema: T.StructType
 ) -> DataFrame:
+    """``(query_id, name, loss)``, the loss being the negative similarity."""
     shared = register.sparkSession.sparkContext.broadcast(_QueryGrams(grams))
 
     def best_of_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
-        best = None
-        tile = max(1, _SCORE_TILE // max(1, len(queries.ids)))
-        for batch in batches:
-            fresh = ~pd.Series(batch.column("name").to_pandas()).duplicated().to_numpy()
-            batch = batch.filter(pa.array(fresh))
-            for start in range(0, batch.num_rows, tile):
-                part = batch.slice(start, tile)
-                scores = queries.similarities(part.column("grams"))
-                # a name below the best ``limit`` scores of this tile cannot be a result
-                keep = min(limit, scores.shape[0])
-                floor = -np.partition(-scores, keep - 1, axis=0)[keep - 1]
-                row, query = np.nonzero((scores > threshold) & (scores >= floor))
-                found = pd.DataFrame(
-                    {
-                        "query": query,
-                        "name": np.asarray(part.column("name").to_pandas(), object)[row],
-                        "similarity": scores[row, query],
-                    }
-                )
-                best = _best_names(found if best is None else pd.concat([best, found]), limit)
-        if best is not None and len(best):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    queries.ids.take(pa.array(best["query"].to_numpy())),
-                    pa.array(best["name"].to_numpy(), pa.string()),
-                    pa.array(best["similarity"].to_numpy(), pa.float64()),
-                ],
-                names=["query_id", "name", "similarity"],
-            )
+
+        def find(part: pa.RecordBatch):
+            scores = queries.similarities(part.column("grams"))
+            # a name below the best ``limit`` scores of this slice cannot be a result
+            keep = min(limit, scores.shape[0])
+            floor = -np.partition(-scores, keep - 1, axis=0)[keep - 1]
+            row, query = np.nonzero((scores > threshold) & (scores >= floor))
+            return row, query, -scores[row, query]
+
+        return _running_best(batches, queries.ids, limit, find)
 
     names = register.where(F.col("name").isNotNull()).select(
         "name", trigrams(F.col("name")).alias("grams")
@@ -334,6 +376,38 @@ def _scan_names(
     return names.mapInArrow(best_of_share, schema)
 
 
+def _scan_containing(
+    asked: pa.Table, register: DataFrame, limit: int, wildcards: bool, schema: T.StructType
+) -> DataFrame:
+    """``(query_id, name, loss)``, the loss being 0 for equal names, else 1."""
+    ids = asked["query_id"].combine_chunks()
+    shared = register.sparkSession.sparkContext.broadcast((ids, asked["_query"].to_pylist()))
+
+    def best_of_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, texts = shared.value
+
+        def find(part: pa.RecordBatch):
+            lower = part.column("_lower")
+            rows, owners, losses = [], [], []
+            for number, text in enumerate(texts):
+                hit = (
+                    pc.match_like(lower, f"%{text}%")
+                    if wildcards
+                    else pc.match_substring(lower, text)
+                )
+                at = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+                equal = pc.equal(lower.take(pa.array(at)), text).to_numpy(zero_copy_only=False)
+                rows.append(at)
+                owners.append(np.full(len(at), number))
+                losses.append(np.where(equal, 0.0, 1.0))
+            return np.concatenate(rows), np.concatenate(owners), np.concatenate(losses)
+
+        return _running_best(batches, qids, limit, find) if texts else iter(())
+
+    names = register.where(F.col("name").isNotNull()).select("name", F.lower("name").alias("_lower"))
+    return names.mapInArrow(best_of_share, schema)
+
+
 def fuzzy_tier(
     queries: DataFrame,
     register: DataFrame,
@@ -350,14 +424,9 @@ def fuzzy_tier(
     them go through the gram join, above ``ladder_rows`` register rows with
     ``first_threshold`` tried first. All ways give the same rows.
     """
-    by_name = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "name")
 
     def cut(found: DataFrame) -> DataFrame:
-        return (
-            found.withColumn("_r", F.row_number().over(by_name))
-            .where(F.col("_r") <= limit)
-            .drop("_r")
-        )
+        return _cut_names(found, F.col("similarity").desc(), limit)
 
     asked = queries.where(F.col("name").isNotNull()).select("query_id", "name")
     coded = asked.select("query_id", trigrams(F.col("name")).alias("grams"))
@@ -365,15 +434,10 @@ def fuzzy_tier(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("grams")
     ).first()
     if size["grams"] <= broadcast_grams:
-        schema = T.StructType(
-            [
-                T.StructField("query_id", queries.schema["query_id"].dataType),
-                T.StructField("name", T.StringType()),
-                T.StructField("similarity", T.DoubleType()),
-            ]
+        partial = _scan_similar(
+            coded.toArrow(), register, limit, threshold, _found_schema(queries)
         )
-        partial = _scan_names(coded.toArrow(), register, limit, threshold, schema)
-        best = cut(partial.distinct())
+        best = cut(partial.distinct().withColumn("similarity", -F.col("loss")).drop("loss"))
     else:
         best = _joined_best(
             asked, register, limit, threshold, part_rows, first_threshold, ladder_rows, cut

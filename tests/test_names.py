@@ -50,7 +50,8 @@ def got(df, query_id):
 def test_tiers_equal_all_pairs(spark):
     register, queries, reg, asked = frames(spark)
     for parts in (nm.GRAM_PART_ROWS, 3):
-        contains = nm.contains_tier(asked, reg, 20, part_rows=parts).cache()
+        contains = nm.contains_tier(asked, reg, 20).cache()
+        by_gram = nm.contains_tier(asked, reg, 20, part_rows=parts, scan_queries=0).cache()
         fuzzy = nm.fuzzy_tier(asked, reg, 20, part_rows=parts).cache()
         joined = nm.fuzzy_tier(asked, reg, 20, part_rows=parts, broadcast_grams=0).cache()
         few = nm.fuzzy_tier(
@@ -58,6 +59,7 @@ def test_tiers_equal_all_pairs(spark):
         ).cache()
         for query_id, name in queries:
             assert got(contains, query_id) == brute_contains(register, name, 20), name
+            assert got(by_gram, query_id) == brute_contains(register, name, 20), name
             assert got(fuzzy, query_id) == brute_fuzzy(register, name, 20), name
             assert got(joined, query_id) == brute_fuzzy(register, name, 20), name
             assert got(few, query_id) == brute_fuzzy(register, name, 3), name
@@ -81,8 +83,10 @@ def test_similarity_is_symmetric_and_one_on_equal(spark):
 def test_wildcards(spark):
     reg = spark.createDataFrame([(1, "abc"), (2, "axc"), (3, "ab%c")], "key int, name string")
     asked = spark.createDataFrame([(1, "a_c"), (2, "b%c"), (3, "%")], "query_id int, name string")
-    wild = nm.contains_tier(asked, reg, wildcards=True).groupBy("query_id").agg(F.sort_array(F.collect_list("key")).alias("k"))
-    assert {r["query_id"]: r["k"] for r in wild.collect()} == {1: [1, 2], 2: [1, 3], 3: [1, 2, 3]}
+    for limit in (0, 100):
+        hits = nm.contains_tier(asked, reg, wildcards=True, scan_queries=limit)
+        wild = hits.groupBy("query_id").agg(F.sort_array(F.collect_list("key")).alias("k"))
+        assert {r["query_id"]: r["k"] for r in wild.collect()} == {1: [1, 2], 2: [1, 3], 3: [1, 2, 3]}
     plain = nm.contains_tier(asked, reg).select("query_id", "key").collect()
     assert {tuple(r) for r in plain} == {(2, 3), (3, 3)}
 
