@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from lexgrove.functions import fixed_values as fv
 from lexgrove.functions.trigrams import plain_grams, similarity, trigrams
 from lexgrove.operators.sizes import if_small
+from lexgrove.session import ship_package
 
 GRAM_PART_ROWS = 50_000
 SCAN_QUERIES = 2_000
@@ -355,6 +356,7 @@ def _scan_similar(
     grams: pa.Table, register: DataFrame, limit: int, threshold: float, schema: T.StructType
 ) -> DataFrame:
     """``(query_id, name, loss)``, the loss being the negative similarity."""
+    ship_package(register.sparkSession)
     shared = register.sparkSession.sparkContext.broadcast(_QueryGrams(grams))
 
     def best_of_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,6 +383,7 @@ def _scan_containing(
 ) -> DataFrame:
     """``(query_id, name, loss)``, the loss being 0 for equal names, else 1."""
     ids = asked["query_id"].combine_chunks()
+    ship_package(register.sparkSession)
     shared = register.sparkSession.sparkContext.broadcast((ids, asked["_query"].to_pylist()))
 
     def best_of_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

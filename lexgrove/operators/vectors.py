@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexgrove.session import ship_package
+
 SCORE_DIGITS = 9
 BROADCAST_QUERY_VALUES = 8_000_000  # numbers; 64 MB as doubles
 BLOCK_VALUES = 8_000_000  # numbers of one side of a block
@@ -196,6 +198,7 @@ def cosine_topk(
     ``queries(query_id, vector)`` and ``vectors(id, vector)``. With ``skip_self``
     a vector is not a hit of the query with the same id.
     """
+    ship_package(vectors.sparkSession)
     queries, vectors = queries.select("query_id", "vector"), vectors.select("id", "vector")
     schema = _hit_schema(queries, vectors)
     size = queries.agg(
@@ -234,6 +237,7 @@ def lsh_topk(
     on either side is split into parts, and every part of one side meets every
     part of the other.
     """
+    ship_package(vectors.sparkSession)
     planes = np.random.default_rng(seed).standard_normal((tables * bits, width))
     weights = 1 << np.arange(bits)
 

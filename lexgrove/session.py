@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
 
 def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "lexgrove") -> SparkSession:
     """Session used by tests and ``bench.py``; a cluster brings its own."""
@@ -27,6 +31,25 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "lexgro
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever they were started.
+
+    Called by the operators that run Python inside tasks; once per context.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_lexgrove_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="lexgrove-"), "lexgrove.zip")
+    with zipfile.ZipFile(archive, "w") as package:
+        for folder, _, files in os.walk(_PACKAGE):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    package.write(path, os.path.relpath(path, os.path.dirname(_PACKAGE)))
+    context.addPyFile(archive)
+    context._lexgrove_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named in ``spark.checkpoint.dir``.
 

@@ -19,6 +19,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from lexgrove.operators import chunking
 from lexgrove.operators.merge import last_by, trademark_upsert
+from lexgrove.session import ship_package
 
 BATCH = "batch_id"
 
@@ -120,6 +121,7 @@ def rolling_messages(
     The state of a session is its ``n`` newest messages; new rows arrive in
     bounded batches and are reduced one batch at a time.
     """
+    ship_package(messages.sparkSession)
     key_type = messages.schema[session].dataType
     listed = [
         T.StructField("orders", T.ArrayType(T.LongType())),
