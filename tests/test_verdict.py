@@ -65,7 +65,7 @@ def test_metadata(spark):
 
 def test_ocr_repair(spark):
     fixed = one(spark, verdict.repair_ocr(F.col("text")), "12  Tòa\n[ 3] a\n[4   Bị\n a    b\n\n\n\n\nc")
-    assert fixed == "[12]  Tòa\n[3] a\n[4] Bị\n a  b\n\n\nc"
+    assert fixed == "[12] Tòa\n[3] a\n[4] Bị\n a  b\n\n\nc"
 
 
 def test_macro_sections(spark):
