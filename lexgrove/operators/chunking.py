@@ -24,6 +24,17 @@ from lexgrove.functions.splitting import split_text
 from lexgrove.functions.text import cut_at, head, let, null_to_blank, rx, strip
 
 
+def _exploded(df: DataFrame, keep: list, pieces: Column, value: str) -> DataFrame:
+    """One row per array element with its ``chunk_index``.
+
+    The outer form is used and its empty rows are dropped afterwards: for the plain
+    form Spark adds a test of the array size in front, which would compute the
+    whole array a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(pieces).alias("chunk_index", value))
+    return rows.where(F.col("chunk_index").isNotNull())
+
+
 # ------------------------------------------------------------- generic chunkers
 def packed_chunks(
     docs: DataFrame,
@@ -34,13 +45,8 @@ def packed_chunks(
     overlap: int = fv.CHUNK_OVERLAP,
 ) -> DataFrame:
     """Size-limited chunks of every document: ``id, chunk_index, content, chunk_id``."""
-    pieces = docs.select(
-        id_col,
-        F.posexplode(split_text(F.col(text_col), separators, size, overlap)).alias(
-            "chunk_index", "content"
-        ),
-    )
-    return pieces.withColumn(
+    pieces = split_text(F.col(text_col), separators, size, overlap)
+    return _exploded(docs, [id_col], pieces, "content").withColumn(
         "chunk_id",
         corpus_ids.legal_chunk_id(
             F.col(id_col).cast("string"), F.col("chunk_index"), F.col("content")
@@ -64,9 +70,7 @@ def marker_chunks(
         trimmed,
         lambda p, i: (p != "") & ((i > 0) | (F.length(p) > intro_chars)),
     )
-    return docs.select(
-        id_col, F.posexplode(kept).alias("chunk_index", "content")
-    ).withColumn(
+    return _exploded(docs, [id_col], kept, "content").withColumn(
         "chunk_id",
         corpus_ids.legal_chunk_id(
             F.col(id_col).cast("string"), F.col("chunk_index"), F.col("content")
@@ -149,9 +153,7 @@ def statute_chunks(
     """
     separators = fv.STATUTE_SEPARATORS_PARITY if parity else fv.STATUTE_SEPARATORS
     text = F.col("text")
-    clean = docs.select("filename", legal.clean_document(F.col("text")).alias("text")).where(
-        text != ""
-    )
+    clean = docs.select("filename", legal.clean_document(F.col("text")).alias("text"))
     described = clean.withColumns(
         {
             "doc_type": legal.document_type(F.col("filename"), text),
@@ -168,8 +170,11 @@ def statute_chunks(
             split_text(text, fv.PLAIN_SEPARATORS, size, overlap)
         ),
     )
-    rows = found.withColumn("total", F.size("parts")).select(
-        "*", F.explode(_carried(F.col("parts"))).alias("c")
+    rows = _exploded(
+        found.withColumn("total", F.size("parts")).drop("text"),
+        ["*"],
+        _carried(F.col("parts")),
+        "c",
     )
     doc_id = F.when(F.col("doc_number") != "", F.col("doc_number")).otherwise(F.col("filename"))
     content = F.col("c.content")
@@ -512,11 +517,8 @@ def verdict_chunks(
     verdict_id = F.when(F.col("case_number") != "", F.col("case_number")).otherwise(
         F.col("filename")
     )
-    rows = cut.select(
-        "filename",
-        *fields,
-        "summary",
-        F.posexplode(split_oversized(items, size, overlap)).alias("chunk_index", "c"),
+    rows = _exploded(
+        cut, ["filename", *fields, "summary"], split_oversized(items, size, overlap), "c"
     )
     return rows.select(
         corpus_ids.verdict_chunk_id(verdict_id, F.col("chunk_index"), F.col("c.content")).alias(
