@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import exact_dedup, language_id, mixing, packing, simhash_dedup
+from lexgrove.llm import exact_dedup, language_id, mixing, packing, quality_rules, secret_scan, simhash_dedup, warc
 from lexgrove.llm.common import table
 
 
@@ -15,6 +15,14 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scanned(table(spark, sf_dir, "documents"))
+
+
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,12 +47,61 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", *quality_rules.BASE, "base_failed", "kept"
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op3_simhash_dedup, op4_exact_dedup, op7_best_fit_packing, op8_source_mixing, op9_language_id)
+    for f in (op1_secret_scan, op2_warc_archive, op3_simhash_dedup, op4_exact_dedup, op7_best_fit_packing, op8_source_mixing, op9_language_id,
+              op10_quality_rules)
 }
 
 ORACLES = {
+    "op2_warc_archive": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload,
+                   max(page_id) OVER (PARTITION BY coalesce(html, '')) AS holder FROM pages),
+        h AS (SELECT *, sha1(payload) AS hex FROM p)
+        SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
+               list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((('0x' || substr(hex, (i // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - i % 4 * 5)::INTEGER) & 31)::BIGINT + 1, 1)),
+                   'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> holder THEN holder END AS refers_to
+        FROM h""",
+    "op10_quality_rules": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents),
+        w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS n FROM d),
+        e AS (
+            SELECT doc_id, n, [word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o,
+                               lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o] AS eight,
+                   lead(n, 7) OVER o IS NOT NULL AS whole
+            FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+        f AS (SELECT doc_id, n, count(*) OVER (PARTITION BY doc_id, eight) AS times FROM e WHERE whole),
+        r AS (
+            SELECT doc_id, count(DISTINCT n + k)::BIGINT AS n_repeat_words
+            FROM (SELECT doc_id, n, unnest(range(0, 8)) AS k FROM f WHERE times > 1) GROUP BY doc_id),
+        m AS (
+            SELECT doc_id, len(words)::BIGINT AS n_words,
+                   length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+                   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+                   len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_lettered
+            FROM d LEFT JOIN r USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words
+                    OR 10 * n_dup_lines > 4 * n_lines OR word_chars > 15 * n_words OR word_chars < 2 * n_words
+                    OR 10 * n_lettered < 7 * n_words) AS kept
+        FROM m""",
     "op4_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
