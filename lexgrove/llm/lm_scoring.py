@@ -24,7 +24,6 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import pickle
 import uuid
 import zlib
 
@@ -34,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexgrove.llm.blobs import gaps, narrow, packed, shard_of, unpacked
 from lexgrove.llm.common import checkpointed, columns, shared_folder, ship_package, shuffle_width
 
 FOLDS, HELD_OUT = 5, 1
@@ -49,28 +49,6 @@ _STEPS = 1 << 16
 _LOWEST = -12.0
 
 
-def _packed(*arrays) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
-
-
-def _unpacked(data: bytes):
-    import zstandard
-
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-
-
-def _narrow(values: np.ndarray) -> np.ndarray:
-    """The same numbers in the smallest unsigned type."""
-    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
-
-
-def _gaps(values: np.ndarray) -> np.ndarray:
-    """Sorted numbers as differences; ``np.cumsum`` gives them back."""
-    return _narrow(np.diff(values, prepend=0))
-
-
 def _held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
@@ -106,7 +84,7 @@ def _batches(docs: DataFrame) -> DataFrame:
         def row():
             ids, held, lengths, sequence, keys = _encoded(waiting)
             train = int(lengths[~held].sum())
-            body = _packed(ids, held, _narrow(lengths), sequence.astype(np.min_scalar_type(len(keys))), _gaps(keys))
+            body = packed(ids, held, narrow(lengths), sequence.astype(np.min_scalar_type(len(keys))), gaps(keys))
             return pa.RecordBatch.from_pydict({"batch": [first + number], "n_train": [train], "body": [body]})
 
         for frame in frames:
@@ -126,10 +104,10 @@ class _Batch:
     """A batch with what shards have answered so far."""
 
     def __init__(self, body: bytes):
-        self.ids, self.held, lengths, sequence, gaps = _unpacked(body)
+        self.ids, self.held, lengths, sequence, steps = unpacked(body)
         self.lengths = lengths.astype(np.int64)
         self.sequence = sequence.astype(np.int64)
-        self.keys = np.cumsum(gaps.astype(np.int64))
+        self.keys = np.cumsum(steps.astype(np.int64))
         self.ends = np.cumsum(self.lengths)
         self.train = np.repeat(~self.held, self.lengths)
         self.before = np.empty_like(self.sequence)  # the word before: for a first word, the end token
@@ -137,12 +115,6 @@ class _Batch:
         self.before[:1] = self.sequence[-1:]
 
 
-def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-
-
 def _entries(batch: _Batch, level: int, state: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct entries of a level as (parent, word, context count, count in training documents), sorted by parent
     and word; ``state[level]`` gets, for every token, the index of its entry or -1."""
@@ -184,7 +156,7 @@ def _answered(frames: list[pd.DataFrame], shards: list[int], batch: _Batch) -> d
         node, count, code = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
         for number, body in zip(answers["shard"], answers["body"]):
             mine = np.flatnonzero(shard == number)
-            found, places, counts, codes = _unpacked(body)
+            found, places, counts, codes = unpacked(body)
             hit = mine[np.cumsum(found.astype(np.int64))]
             node[hit], count[hit], code[hit] = places.astype(np.int64) * n_shards + number, counts, codes
         if level == 1:
@@ -196,8 +168,8 @@ def _answered(frames: list[pd.DataFrame], shards: list[int], batch: _Batch) -> d
 def _entry_shard(level: int, parent: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
     """All children of a word pair in one shard; those of a single word, of which some are very common, in 16 groups."""
     if level == 1:
-        return _shard_of(word, shards)
-    return _shard_of(parent * 31 + (word & 15 if level == 2 else 0), shards)
+        return shard_of(word, shards)
+    return shard_of(parent * 31 + (word & 15 if level == 2 else 0), shards)
 
 
 def _requests(level: int, entries: tuple, n_shards: int, batch_id: int):
@@ -205,7 +177,7 @@ def _requests(level: int, entries: tuple, n_shards: int, batch_id: int):
     shard = _entry_shard(level, parent, word, n_shards)
     for number in np.unique(shard):
         mine = shard == number
-        body = _packed(_gaps(parent[mine]), _gaps(word[mine]) if level == 1 else _narrow(word[mine]), _narrow(seen[mine]), _narrow(counts[mine]))
+        body = packed(gaps(parent[mine]), gaps(word[mine]) if level == 1 else narrow(word[mine]), narrow(seen[mine]), narrow(counts[mine]))
         yield int(number), batch_id, body
 
 
@@ -219,7 +191,7 @@ def _serve(level: int):
 
         asked = []
         for body in frame["body"]:
-            parent, word, seen, counts = _unpacked(body)
+            parent, word, seen, counts = unpacked(body)
             word = np.cumsum(word.astype(np.int64)) if level == 1 else word.astype(np.int64)
             asked.append((np.cumsum(parent.astype(np.int64)), word, seen.astype(np.int64), counts.astype(np.int64)))
         parent, word, seen, counts = (np.concatenate(a) for a in zip(*asked))
@@ -240,7 +212,7 @@ def _serve(level: int):
                 found = np.flatnonzero(place >= 0)
                 at = place[found]
                 rows.append((batch, int(frame["shard"].iloc[0]), len(parent),
-                             _packed(_gaps(found), _narrow(at), _narrow(counts[at]), codes[at])))
+                             packed(gaps(found), narrow(at), narrow(counts[at]), codes[at])))
             del trie
         return pd.DataFrame(rows, columns=["batch", "shard", "n_kept", "body"])
 
@@ -286,11 +258,11 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     ship_package(spark)
-    narrow = columns(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
-    id_type = narrow.schema["doc_id"].dataType.simpleString()
+    rows = columns(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
     # bucketed by batch, so that the joins below move the answers and not the corpus
     name, width = f"lm_{uuid.uuid4().hex}", max(16, shuffle_width(spark))
-    writer = _batches(narrow).write.format("parquet").option("path", f"{shared_folder(spark)}/{name}")
+    writer = _batches(rows).write.format("parquet").option("path", f"{shared_folder(spark)}/{name}")
     writer.bucketBy(width, "batch").saveAsTable(name)
     batches = spark.table(name)
     total = batches.agg(F.sum("n_train")).first()[0] or 0

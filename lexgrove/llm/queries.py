@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.llm import (
-    exact_dedup, language_id, lm_scoring, mixing, packing, quality_rules, secret_scan, simhash_dedup, warc,
+    exact_dedup, language_id, lm_scoring, mixing, packing, quality_rules, secret_scan, simhash_dedup,
+    suffix_dedup, warc,
 )
 from lexgrove.llm.common import table
 
@@ -33,6 +34,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scores(table(spark, sf_dir, "documents"))
 
@@ -61,8 +66,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_warc_archive, op3_simhash_dedup, op4_exact_dedup, op6_lm_scoring, op7_best_fit_packing, op8_source_mixing, op9_language_id,
-              op10_quality_rules)
+    for f in (
+        op1_secret_scan, op2_warc_archive, op3_simhash_dedup, op4_exact_dedup, op5_suffix_dedup, op6_lm_scoring,
+        op7_best_fit_packing, op8_source_mixing, op9_language_id, op10_quality_rules,
+    )
 }
 
 ORACLES = {
