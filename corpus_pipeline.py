@@ -29,8 +29,9 @@ def only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without text or letters go."""
-    said = language_id.identify(docs.withColumn("_text", F.col("text")), language_id.fit(docs), *docs.columns)
-    return said.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    names = ("_said", "_score", "_unclear")
+    said = language_id.identify(docs, language_id.fit(docs), *docs.columns, names=names)
+    return said.where(F.col("_said") != language_id.UNKNOWN).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

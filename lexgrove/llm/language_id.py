@@ -157,14 +157,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, counts)
 
 
-def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep``, ``lang_pred``, ``score``, ``ambiguous`` of every row of ``docs``; no shuffle."""
+def identify(
+    docs: DataFrame, model: Model, *keep: str, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")
+) -> DataFrame:
+    """``keep``, ``lang_pred``, ``score``, ``ambiguous`` (under ``names``) of every row of ``docs``; no shuffle."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits and BUCKETS x bits numbers
     keep = keep or ("doc_id",)
     narrow = docs.select(*[F.col(f"`{k}`") for k in keep], F.col("`text`").cast("string").alias("_text"))
     types = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + ["lang_pred string, score double, ambiguous boolean"])
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + [f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"))])
 
     def run(batches):
         model = shared.value
@@ -172,8 +174,8 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             table = pa.Table.from_batches([batch])
             said = [model.predict(t) for t in table.column("_text").to_pylist()]
             lang, score, unclear = zip(*said) if said else ((), (), ())
-            out = table.select(list(keep)).append_column("lang_pred", pa.array(lang, pa.string()))
-            out = out.append_column("score", pa.array(score, pa.float64()))
-            yield from out.append_column("ambiguous", pa.array(unclear, pa.bool_())).to_batches()
+            out = table.select(list(keep)).append_column(names[0], pa.array(lang, pa.string()))
+            out = out.append_column(names[1], pa.array(score, pa.float64()))
+            yield from out.append_column(names[2], pa.array(unclear, pa.bool_())).to_batches()
 
     return narrow.mapInArrow(run, schema)
