@@ -9,7 +9,8 @@ _BUCKET_HEX = 3  # 4096 buckets
 
 
 def seeded_digest(id_col: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(str(seed)), id_col.cast("string")))
+    """Digest of seed and id; a null id counts as the empty one."""
+    return F.md5(F.concat(F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit(""))))
 
 
 def seeded_positions(df: DataFrame, id_col: str, seed: int, name: str = "position") -> DataFrame:

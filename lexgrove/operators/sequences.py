@@ -4,7 +4,8 @@ A group (a document, a conversation) may hold a large share of all rows, so no
 operator here sorts a whole group in one task. The order column, a whole number,
 is cut into segments of ``width``; windows run inside ``(group, segment)``, one
 small row per segment passes the state on, and is joined back by an equi-join.
-The result equals the plain window over the group.
+The result equals the plain window over the group, null groups and a null order
+(first in its group) included.
 """
 
 from __future__ import annotations
@@ -28,6 +29,13 @@ def _from_segments(df: DataFrame, group: str, state: Column, carried: Column) ->
     return per_segment.select(group, "_segment", carried.alias("_carried"))
 
 
+def _with_segments(seg: DataFrame, passed: DataFrame, group: str) -> DataFrame:
+    """``seg`` with ``_carried`` of its segment; null groups and null orders meet as well."""
+    named = passed.select(F.col(group).alias("_g"), F.col("_segment").alias("_s"), "_carried")
+    same = F.col(group).eqNullSafe(F.col("_g")) & F.col("_segment").eqNullSafe(F.col("_s"))
+    return seg.join(named, same).drop("_g", "_s")
+
+
 def with_position(
     df: DataFrame, group: str, order: str, width: int = SEGMENT_WIDTH, name: str = "position"
 ) -> DataFrame:
@@ -41,8 +49,7 @@ def with_position(
         seg, group, F.count(F.lit(1)), F.coalesce(F.sum("_state").over(before), F.lit(0))
     )
     return (
-        seg.withColumn("_inner", F.row_number().over(inside) - 1)
-        .join(offsets, [group, "_segment"])
+        _with_segments(seg.withColumn("_inner", F.row_number().over(inside) - 1), offsets, group)
         .withColumn(name, F.col("_carried") + F.col("_inner"))
         .drop("_segment", "_inner", "_carried")
     )
@@ -56,12 +63,13 @@ def with_successor(
     inside = Window.partitionBy(group, "_segment").orderBy(order)
     by_segment = Window.partitionBy(group).orderBy("_segment")
     opening = _from_segments(
-        seg, group, F.min_by(value, order), F.lead("_state").over(by_segment)
+        seg, group, F.min_by(value, F.struct(order)), F.lead("_state").over(by_segment)
+    )
+    seg = seg.withColumn("_inner_next", F.lead(value).over(inside)).withColumn(
+        "_last", F.lead(F.lit(1)).over(inside).isNull()
     )
     return (
-        seg.withColumn("_inner_next", F.lead(value).over(inside))
-        .withColumn("_last", F.lead(order).over(inside).isNull())
-        .join(opening, [group, "_segment"])
+        _with_segments(seg, opening, group)
         .withColumn(name, F.when(F.col("_last"), F.col("_carried")).otherwise(F.col("_inner_next")))
         .drop("_segment", "_inner_next", "_last", "_carried")
     )
@@ -90,7 +98,7 @@ def carry_forward(
     )
     state = F.struct(
         *[
-            F.max_by(source, F.when(F.col(source).isNotNull(), F.col(order))).alias(target)
+            F.max_by(source, F.when(F.col(source).isNotNull(), F.struct(order))).alias(target)
             for source, target in columns.items()
         ]
     )
@@ -105,7 +113,7 @@ def carry_forward(
         target: F.last(source, ignorenulls=True).over(inside)
         for source, target in columns.items()
     }
-    joined = seg.withColumns(own).join(passed, [group, "_segment"])
+    joined = _with_segments(seg.withColumns(own), passed, group)
     return joined.withColumns(
         {t: F.coalesce(F.col(t), F.col("_carried")[t]) for t in columns.values()}
     ).drop("_segment", "_carried")

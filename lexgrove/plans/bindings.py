@@ -889,12 +889,21 @@ def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
+def _arrivals(rows: DataFrame, parts: list, folder: str):
+    """Write each part of ``rows`` (a condition) to the folder a stream watches, one after the other."""
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(folder)
+        yield rows.sparkSession.readStream.schema(rows.schema).parquet(folder)
+
+
 def stream_daily_activity(spark, sf):
+    """Events in three arrivals, each with days older than those before it."""
     out = _scratch(spark, "daily")
-    run = incremental.log_daily_activity(
-        _stream(spark, sf, "events"), "ts", f"{out}/log", f"{out}/checkpoint"
-    )
-    run.awaitTermination()
+    third = F.pmod("event_id", F.lit(3))
+    parts = [F.day("ts") > 10, (F.day("ts") <= 10) & (third == 0), (F.day("ts") <= 10) & (third > 0)]
+    for events in _arrivals(table(spark, sf, "events"), parts, f"{out}/events"):
+        run = incremental.log_daily_activity(events, "ts", f"{out}/log", f"{out}/checkpoint")
+        run.awaitTermination()
     return incremental.current_days(spark, f"{out}/log")
 
 
@@ -913,19 +922,14 @@ def stream_chunks(spark, sf):
 
 
 def stream_rolling_messages(spark, sf):
+    """Conversations in two arrivals, the later turns first."""
     out = _scratch(spark, "messages")
-    rolling = incremental.rolling_messages(
-        _stream(spark, sf, "conversations"), "conv_id", "turn", "text", fv.HISTORY_MESSAGES
-    )
-    run = (
-        rolling.writeStream.outputMode("update")
-        .foreachBatch(incremental.batch_writer(f"{out}/log"))
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    last = merge.last_by(incremental.read_log(spark, f"{out}/log"), ["conv_id"], ["batch_id"])
+    parts = [F.col("turn") % 3 > 0, F.col("turn") % 3 == 0]
+    for messages in _arrivals(table(spark, sf, "conversations"), parts, f"{out}/messages"):
+        incremental.log_last_messages(
+            messages, "conv_id", "turn", "text", f"{out}/log", f"{out}/checkpoint", fv.HISTORY_MESSAGES
+        ).awaitTermination()
+    last = incremental.current_messages(spark, f"{out}/log", "conv_id", "turn", "text", fv.HISTORY_MESSAGES)
     return last.select(
         "conv_id",
         F.array_join(F.transform("orders", lambda o: o.cast("string")), ",").alias("turns"),
@@ -933,8 +937,6 @@ def stream_rolling_messages(spark, sf):
     )
 
 
-
-
 QUERIES = {
     f.__name__: f
     for f in (

@@ -31,11 +31,20 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_file(spark: SparkSession, path: str, metadata: T.StructType) -> DataFrame:
-    """Chunk interchange file (JSON array of content and metadata) as flat rows."""
+    """Chunk interchange file (one JSON array of content and metadata, read by one task) as flat rows.
+
+    ``chunk_lines`` reads the form with one object per line.
+    """
     rows = spark.read.schema(schemas.chunk_file(metadata)).option("multiLine", True).json(path)
     return rows.select("content", "metadata.*")
 
 
+def chunk_lines(spark: SparkSession, path: str, metadata: T.StructType) -> DataFrame:
+    """Chunk interchange with one object per line, as ``writers.chunk_file`` writes it; files can be split."""
+    rows = spark.read.schema(schemas.chunk_file(metadata)).json(path)
+    return rows.select("content", "metadata.*")
+
+
 def evaluation_set(
     spark: SparkSession, folder: str, split: str = "test"
 ) -> tuple[DataFrame, DataFrame]:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.functions.corpus_ids import content_id
 from lexgrove.operators.merge import merge_overwrite
 
 
 def chunk_file(chunks: DataFrame, path: str, metadata: list[str]) -> None:
-    """Chunk interchange: one JSON object of content and metadata per line."""
+    """Chunk interchange: one JSON object of content and metadata per line, for ``readers.chunk_lines``."""
     chunks.select("content", F.struct(*metadata).alias("metadata")).write.option(
         "ignoreNullFields", False
     ).json(path)
@@ -58,10 +57,5 @@ def evaluation_result(
         per_query.write.json(f"{path}/per_query")
 
 
-def point_id(owner: Column, index: Column, content: Column, prefix: str = "") -> Column:
-    """Key of a vector row: its content id, not a running number."""
-    return content_id(owner, index, content, prefix)
-
-
 def relational(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
     df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()

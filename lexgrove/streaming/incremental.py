@@ -8,18 +8,16 @@ batch, and the log can be compacted at any time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lexgrove.operators import chunking
 from lexgrove.operators.merge import last_by, trademark_upsert
-from lexgrove.session import ship_package
+from lexgrove.operators.sequences import last_n
 
 BATCH = "batch_id"
 
@@ -47,8 +45,14 @@ def start_log(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """All rows logged so far; none, with this schema, if nothing has arrived yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if schema is None or error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], f"{schema}, {BATCH} int")
 
 
 # K1 ------------------------------------------------------------ corpus ingest
@@ -84,66 +88,49 @@ def current_trademarks(
 
 
 # K3 ------------------------------------------------------------ daily activity
-def daily_activity(events: DataFrame, ts: str, delay: str = "1 day") -> DataFrame:
-    """Tumbling daily counts; a day is final once the watermark has passed it."""
-    return (
-        events.withColumn(ts, F.col(ts).cast("timestamp"))
-        .withWatermark(ts, delay)
-        .groupBy(F.window(ts, "1 day").alias("w"))
-        .agg(F.count(F.lit(1)).alias("visits"))
-        .select(F.to_date("w.start").alias("day"), "visits")
+def day_counts(events: DataFrame, ts: str) -> DataFrame:
+    """Visits per day among these rows."""
+    return events.groupBy(F.to_date(F.col(ts).cast("timestamp")).alias("day")).agg(
+        F.count(F.lit(1)).alias("visits")
     )
 
 
 def log_daily_activity(
-    events: DataFrame, ts: str, path: str, checkpoint: str, delay: str = "1 day", once: bool = True
+    events: DataFrame, ts: str, path: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
-    """Log changed days per batch; ``current_days`` reads the newest count of each."""
-    writer = (
-        daily_activity(events, ts, delay)
-        .writeStream.outputMode("update")
-        .foreachBatch(batch_writer(path))
-        .option("checkpointLocation", checkpoint)
-    )
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    """Log the day counts of each micro-batch. A count is partial, so a day may be as late as it likes: no state
+    is kept and nothing is dropped; ``current_days`` adds the parts up."""
+    return start_log(events, path, checkpoint, lambda batch: day_counts(batch, ts), once)
 
 
 def current_days(spark: SparkSession, path: str) -> DataFrame:
-    return last_by(read_log(spark, path), ["day"], [BATCH]).drop(BATCH)
+    """``(day, visits)`` over all batches logged so far."""
+    log = read_log(spark, path, "day date, visits long")
+    return log.groupBy("day").agg(F.sum("visits").alias("visits"))
 
 
 # K4 ------------------------------------------------------ rolling last messages
-def rolling_messages(
-    messages: DataFrame, session: str, order: str, content: str, n: int = 5
+def log_last_messages(
+    messages: DataFrame, session: str, order: str, content: str, path: str, checkpoint: str, n: int = 5, once: bool = True
+) -> StreamingQuery:
+    """Log each micro-batch's last ``n`` messages per session; every map task cuts its share of a session first."""
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        rows = batch.select(session, F.col(order).cast("long").alias(order), content)
+        return last_n(rows, session, [F.col(order), F.col(content)], n)
+
+    return start_log(messages, path, checkpoint, prepare, once)
+
+
+def current_messages(
+    spark: SparkSession, path: str, session: str, order: str, content: str, n: int = 5, schema: str | None = None
 ) -> DataFrame:
-    """Update stream ``(session, orders, contents)`` of the last ``n`` messages.
-
-    The state of a session is its ``n`` newest messages; new rows arrive in
-    bounded batches and are reduced one batch at a time.
-    """
-    ship_package(messages.sparkSession)
-    key_type = messages.schema[session].dataType
-    listed = [
-        T.StructField("orders", T.ArrayType(T.LongType())),
-        T.StructField("contents", T.ArrayType(T.StringType())),
-    ]
-    out = T.StructType([T.StructField(session, key_type), *listed])
-
-    def update(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        kept = list(zip(*state.get)) if state.exists else []
-        for batch in batches:
-            rows = list(zip(batch[order].tolist(), batch[content].tolist()))
-            kept = sorted({*kept, *rows})[-n:]
-        orders, contents = [o for o, _ in kept], [c for _, c in kept]
-        state.update((orders, contents))
-        yield pd.DataFrame({session: [key[0]], "orders": [orders], "contents": [contents]})
-
-    return (
-        messages.select(session, F.col(order).cast("long").alias(order), content)
-        .groupBy(session)
-        .applyInPandasWithState(
-            update, out, T.StructType(listed), "update", GroupStateTimeout.NoTimeout
-        )
+    """``(session, orders, contents)`` of the last ``n`` messages over all batches; of equal orders the later batch's
+    message is the later one."""
+    log = read_log(spark, path, schema)
+    newest = last_n(log, session, [F.col(order), F.col(BATCH), F.col(content)], n)
+    # at most n rows of a session
+    rows = F.array_sort(F.collect_list(F.struct(order, BATCH, content)))
+    return newest.groupBy(session).agg(rows.alias("_rows")).select(
+        session, F.col(f"_rows.{order}").alias("orders"), F.col(f"_rows.{content}").alias("contents")
     )

@@ -37,6 +37,20 @@ def test_position_successor_carry(spark):
         same(carried, df.select("g", "o", F.last("v", True).over(running).alias("last_v")))
 
 
+def test_null_groups_and_orders_keep_their_rows(spark):
+    rows = [(g, o, v, f"t{g}.{o}") for g in (None, 1) for o, v in ((None, "n"), (0, None), (3, "a"), (9, None), (11, None))]
+    df = spark.createDataFrame(rows, "g int, o int, v string, t string").repartition(3)
+    w = Window.partitionBy("g").orderBy("o")
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    for width in (2, 4, 100):
+        pos = sq.with_position(df, "g", "o", width).select("g", "o", F.col("position").cast("int"))
+        same(pos, df.select("g", "o", (F.row_number().over(w) - 1).alias("position")))
+        nxt = sq.with_successor(df, "g", "o", "t", "n", width).select("g", "o", "n")
+        same(nxt, df.select("g", "o", F.lead("t").over(w).alias("n")))
+        carried = sq.carry_forward(df, "g", "o", {"v": "last_v"}, width).select("g", "o", "last_v")
+        same(carried, df.select("g", "o", F.last("v", True).over(running).alias("last_v")))
+
+
 def test_edges_per_group(spark):
     df = frame(spark)
     edges = sq.next_edges(df, "g", "o", "t", width=5)

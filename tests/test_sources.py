@@ -26,10 +26,23 @@ def test_chunk_file_round_trip(spark, tmp_path):
     assert (read.first()["title"], read.first()["chunk_index"], read.first()["dieu"]) == ("t", 3, None)
     out = str(tmp_path / "out")
     writers.chunk_file(read, out, schemas.STATUTE_METADATA.fieldNames())
-    again = spark.read.schema(schemas.chunk_file(schemas.STATUTE_METADATA)).json(out).select("content", "metadata.*")
+    again = readers.chunk_lines(spark, out, schemas.STATUTE_METADATA)
     assert again.exceptAll(read).count() == 0 and again.count() == 1
 
 
+def test_chunk_lines_round_trip_over_many_rows_and_files(spark, tmp_path):
+    schema = schemas.STATUTE_METADATA
+    one = spark.createDataFrame([(f"line one\nline {i}", f"t{i}", i) for i in range(23)], "content string, title string, chunk_index int")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in one.columns]
+    rows = one.select("*", *empty).select("content", *schema.fieldNames()).repartition(4)
+    writers.chunk_file(rows, str(tmp_path / "out"), schema.fieldNames())
+    again = readers.chunk_lines(spark, str(tmp_path / "out"), schema)
+    assert len(list((tmp_path / "out").glob("part-*"))) == 4
+    assert again.count() == 23 and {tuple(r) for r in again.select("content", "chunk_index").collect()} == {
+        (f"line one\nline {i}", i) for i in range(23)
+    }
+
+
 def test_evaluation_files(spark, tmp_path):
     (tmp_path / "qrels").mkdir()
     (tmp_path / "queries.jsonl").write_text('{"_id": "1", "text": "a"}\n\n{"_id": "2", "text": ""}\n')

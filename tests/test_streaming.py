@@ -1,7 +1,5 @@
 import datetime
 
-from pyspark.sql import functions as F
-
 from lexgrove.operators.merge import TRADEMARK_FIELDS
 from lexgrove.streaming import incremental as inc
 
@@ -35,39 +33,33 @@ def test_incremental_trademarks(spark, tmp_path):
     assert got == {("C", "S1", None, None), ("D", None, "R2", "y")} and ambiguous.count() == 0
 
 
-def test_daily_activity_over_two_arrivals(spark, tmp_path):
+def test_daily_activity_with_late_days(spark, tmp_path):
     src, log, point = (str(tmp_path / n) for n in ("src", "log", "checkpoint"))
     day = lambda d, h=1: datetime.datetime(2024, 1, d, h)
-    run = lambda: inc.log_daily_activity(
-        spark.readStream.schema("i int, ts timestamp").parquet(src), "ts", log, point
-    ).awaitTermination()
-    spark.createDataFrame([(1, day(1)), (2, day(1, 5)), (3, day(2))], "i int, ts timestamp").write.parquet(src)
-    run()
-    spark.createDataFrame([(4, day(2, 9)), (5, day(3))], "i int, ts timestamp").write.mode("append").parquet(src)
-    run()
-    got = {r["day"].day: r["visits"] for r in inc.current_days(spark, log).collect()}
-    assert got == {1: 2, 2: 2, 3: 1}
+    assert inc.current_days(spark, log).collect() == []
+    arrivals = [[(1, day(9)), (2, day(9, 5)), (3, day(12))], [(4, day(1)), (5, day(9, 7))], [(6, day(1, 3)), (7, None)]]
+    for rows in arrivals:
+        spark.createDataFrame(rows, "i int, ts timestamp").write.mode("append").parquet(src)
+        stream = spark.readStream.schema("i int, ts timestamp").parquet(src)
+        inc.log_daily_activity(stream, "ts", log, point).awaitTermination()
+    got = {r["day"] and r["day"].day: r["visits"] for r in inc.current_days(spark, log).collect()}
+    assert got == {1: 2, 9: 3, 12: 1, None: 1}
 
 
 def test_rolling_messages(spark, tmp_path):
-    src = str(tmp_path / "src")
-    rows = [(1, i, f"m{i}") for i in range(9)] + [(2, 0, "x")]
+    src, log, point = (str(tmp_path / n) for n in ("src", "log", "checkpoint"))
+    rows = [(1, i, f"m{i}") for i in range(9)] + [(2, 0, "x"), (2, 0, None), (None, 1, "n")]
     df = spark.createDataFrame(rows, "s int, t int, c string")
-    df.where("t < 4").write.parquet(src)
-    stream = spark.readStream.schema("s int, t int, c string").parquet(src)
-    rolling = inc.rolling_messages(stream, "s", "t", "c", 3)
-    seen = {}
+    assert inc.current_messages(spark, log, "s", "t", "c", 3, "s int, t long, c string").count() == 0
 
-    def keep(batch, _):
-        seen.update({r["s"]: (r["orders"], r["contents"]) for r in batch.collect()})
+    def arrive(part):
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema("s int, t int, c string").parquet(src)
+        inc.log_last_messages(stream, "s", "t", "c", log, point, 3).awaitTermination()
+        rows = inc.current_messages(spark, log, "s", "t", "c", 3).collect()
+        return {r["s"]: (r["orders"], r["contents"]) for r in rows}
 
-    def run():
-        rolling.writeStream.outputMode("update").foreachBatch(keep).option(
-            "checkpointLocation", str(tmp_path / "checkpoint")
-        ).trigger(availableNow=True).start().awaitTermination()
-
-    run()
-    assert seen == {1: ([1, 2, 3], ["m1", "m2", "m3"]), 2: ([0], ["x"])}
-    df.where(F.col("t") >= 4).write.mode("append").parquet(src)
-    run()
-    assert seen[1] == ([6, 7, 8], ["m6", "m7", "m8"])
+    seen = arrive(df.where("t % 2 = 0"))
+    assert seen[1] == ([4, 6, 8], ["m4", "m6", "m8"]) and sorted(seen[2][1], key=str) == [None, "x"]
+    seen = arrive(df.where("t % 2 = 1"))  # older messages of the same session
+    assert seen[1] == ([6, 7, 8], ["m6", "m7", "m8"]) and seen[None] == ([1], ["n"])
