@@ -15,7 +15,7 @@ BLANKS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# A noncharacter marks cut positions; it cannot occur in valid interchange text.
+# A noncharacter marks cut positions; see ``_mark`` for texts that hold it.
 CUT = "\uffff"
 
 
@@ -74,10 +74,21 @@ def iso_date(text: Column, pattern: str, **flags) -> Column:
     return F.concat(year, F.lit("-"), month, F.lit("-"), day)
 
 
+def _mark(text: Column) -> Column:
+    """A string that the text does not hold: the cut character or, if that is in it, one with checksums of the text."""
+    own = F.concat(F.lit(CUT), F.crc32(text).cast("string"), F.abs(F.xxhash64(text)).cast("string"), F.lit(CUT))
+    return F.when(F.contains(text, F.lit(CUT)), own).otherwise(F.lit(CUT))
+
+
 def title_case(c: Column) -> Column:
     """Capital after every non-letter, not only after a blank."""
-    opened = F.regexp_replace(F.lower(c), r"([^\p{L}\p{M} ])", f"$1{CUT} ")
-    return F.replace(F.initcap(opened), F.lit(CUT + " "), F.lit(""))
+
+    def cased(text: Column) -> Column:
+        gap = F.concat(_mark(text), F.lit(" "))
+        opened = F.regexp_replace(F.lower(text), F.lit(r"([^\p{L}\p{M} ])"), F.concat(F.lit("$1"), gap))
+        return F.replace(F.initcap(opened), gap, F.lit(""))
+
+    return let(c, cased)
 
 
 def any_contains(c: Column, needles: Sequence[str]) -> Column:
@@ -100,8 +111,14 @@ def cut_at(text: Column, pattern: str, **flags) -> Column:
 
     The first element is the text before the first match and may be empty.
     """
-    marked = F.regexp_replace(text, rx("(?:" + pattern + ")", **flags), CUT + "$0")
-    return F.split(marked, CUT)
+
+    def cut(whole: Column) -> Column:
+        marked = F.regexp_replace(
+            whole, F.lit(rx("(?:" + pattern + ")", **flags)), F.concat(_mark(whole), F.lit("$0"))
+        )
+        return F.split(marked, _mark(whole))
+
+    return let(text, cut)
 
 
 def fill(template: str, **values: Column) -> Column:

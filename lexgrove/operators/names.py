@@ -117,7 +117,7 @@ def contains_tier(
 ) -> DataFrame:
     """Names that contain the query, equal names first, then by name and key.
 
-    With ``wildcards`` the characters ``%`` and ``_`` of a query act as in LIKE.
+    With ``wildcards`` the characters ``%`` and ``_`` of a query act as in LIKE; a backslash is only itself.
     Blank queries match nothing, or every name with ``wildcards``. Up to
     ``scan_queries`` queries are answered by one scan, more by the gram join.
     """
@@ -197,7 +197,7 @@ def _joined_containing(
         _visit_all_parts(keys)
         .join(_one_part(chosen, "name"), ["_gram", "_part"])
         .where(
-            F.like("_lower", F.concat(F.lit("%"), "_query", F.lit("%")))
+            F.like("_lower", F.concat(F.lit("%"), F.replace("_query", F.lit("\\"), F.lit("\\\\")), F.lit("%")))
             if wildcards
             else F.contains("_lower", "_query")
         )
@@ -378,6 +378,12 @@ def _scan_similar(
     return names.mapInArrow(best_of_share, schema)
 
 
+def _like(text: str) -> str:
+    """Pattern of a query in which ``%`` and ``_`` are the only signs."""
+    signs = {"%": ".*", "_": "."} | {c: "\\" + c for c in r"\.^$|?*+()[]{}"}
+    return "(?s)" + "".join(signs.get(c, c) for c in text)
+
+
 def _scan_containing(
     asked: pa.Table, register: DataFrame, limit: int, wildcards: bool, schema: T.StructType
 ) -> DataFrame:
@@ -394,7 +400,7 @@ def _scan_containing(
             rows, owners, losses = [], [], []
             for number, text in enumerate(texts):
                 hit = (
-                    pc.match_like(lower, f"%{text}%")
+                    pc.match_substring_regex(lower, _like(text))
                     if wildcards
                     else pc.match_substring(lower, text)
                 )

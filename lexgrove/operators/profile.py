@@ -116,7 +116,8 @@ def prefix_plan(
     A prefix is a ``leaf`` if it has at most ``cap`` rows, is split otherwise, and
     is an ``overflow`` leaf at the greatest depth. ``ends`` rows count the names
     that end at a split prefix. Row counts shrink with depth, so it is enough to
-    look at the direct parent. Every name is in exactly one row of the plan.
+    look at the direct parent. Names without a first letter are ``empty`` and ``null``
+    rows of their own, so every name is in exactly one row of the plan.
     """
     text = F.lower(name)
     prefixes = names.select(
@@ -146,7 +147,11 @@ def prefix_plan(
     ends = split.where(F.col("_ending") > 0).select(
         "prefix", F.lit("ends").alias("kind"), F.col("_ending").alias("rows")
     )
-    return leaves.unionByName(ends)
+    bare = F.when(F.col(name).isNull(), "null").when(F.length(name) == 0, "empty")
+    without = names.select(bare.alias("kind")).where("kind is not null").groupBy("kind").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    return leaves.unionByName(ends).unionByName(without.select(F.lit("").alias("prefix"), "kind", "rows"))
 
 
 def merge_report(before: DataFrame, after: DataFrame, office: str = "VN") -> DataFrame:

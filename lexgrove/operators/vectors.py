@@ -49,6 +49,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
+    widths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if column.null_count or (rows and (widths != widths[0]).any()):
+        raise ValueError(f"vectors of different widths, or null ones, in one table: {sorted(set(widths.tolist()), key=str)}")
     flat = np.asarray(column.flatten(), dtype=np.float64)
     out = flat.reshape(rows, -1) if rows else np.zeros((0, 1))
     norms = np.linalg.norm(out, axis=1, keepdims=True)
@@ -74,6 +77,8 @@ def _block_best(
     qids: pa.Array, queries: np.ndarray, ids: pa.Array, vectors: np.ndarray, k: int, skip_self: bool
 ):
     """Query numbers, ids and scores of the best k of one block for each query."""
+    if len(queries) and len(vectors) and queries.shape[1] != vectors.shape[1]:
+        raise ValueError(f"vectors of different widths: {queries.shape[1]} and {vectors.shape[1]}, ids from {ids[0]}")
     id_values = np.asarray(ids.to_pandas()) if skip_self else None
     qid_values = np.asarray(qids.to_pandas()) if skip_self else None
     tile = max(1, _SCORE_TILE // max(1, len(ids)))
@@ -196,10 +201,12 @@ def cosine_topk(
     """``(query_id, rank, id, score)``: exact best k vectors for every query.
 
     ``queries(query_id, vector)`` and ``vectors(id, vector)``. With ``skip_self``
-    a vector is not a hit of the query with the same id.
+    a vector is not a hit of the query with the same id. Rows without a vector take
+    no part; vectors of different widths are an error.
     """
     ship_package(vectors.sparkSession)
-    queries, vectors = queries.select("query_id", "vector"), vectors.select("id", "vector")
+    queries = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
+    vectors = vectors.select("id", "vector").where(F.col("vector").isNotNull())
     schema = _hit_schema(queries, vectors)
     size = queries.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")

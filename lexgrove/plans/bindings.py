@@ -818,6 +818,100 @@ def routed_search(spark, sf):
     return _shown(found.select("query_id", "route", "source", "rank", "id", "score"))
 
 
+#: Questions with the built-in word lists, one for each way to a route; the document's source is added.
+QUESTIONS = (
+    "Thủ tục gia hạn văn bằng gồm những giấy tờ nào",
+    "Bị đơn kháng cáo, tòa án xét phần thiệt hại ra làm sao",
+    "Trademark này có xung đột với nhãn hiệu khác không",
+    "Nhờ kiểm tra giúp nhãn hiệu",
+    "Đối thủ bắt chước bao bì, muốn đòi bồi thường",
+    "Nghị định, thông tư cho nguyên đơn được bồi thường bao nhiêu",
+    "Phán quyết dẫn thông tư số mấy",
+    "Văn phòng mở cửa lúc mấy giờ",
+    " ",
+)
+
+
+def route_questions(spark, sf):
+    """Routes of questions that meet the built-in rules, one text per document."""
+    asked = F.get(F.array(*[F.lit(q) for q in QUESTIONS]), (F.col("doc_id") % len(QUESTIONS)).cast("int"))
+    text = F.when(asked != " ", F.concat_ws(" ", asked, "source")).otherwise(asked)
+    docs = table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    return routing.with_route(docs, "text").select(
+        "doc_id", "verdict_score", "legal_score", "trademark_score",
+        F.col("advisory").cast("int").alias("advisory"), "route",
+    )
+
+
+def _asked_vectors(spark, sf) -> DataFrame:
+    return _queries(spark, sf).where(F.col("query_id") % 50 == 0)
+
+
+def _source_number() -> Column:
+    return F.regexp_extract("source", r"(\d+)", 1).cast("int")
+
+
+def _context_digests() -> list[Column]:
+    return [F.md5(c).alias(f"{c}_md5") for c in ("content", "context_before", "context_after")]
+
+
+def legal_search(spark, sf):
+    """Statutes are sources, their chunks the documents; status, day and type follow the source's number."""
+    docs, n = table(spark, sf, "documents"), _source_number()
+    statutes = docs.select("source").distinct().select(
+        F.col("source").alias("doc_id"), F.upper("source").alias("doc_name"),
+        F.concat(F.lit("QD "), n).alias("doc_number"),
+        F.when(n % 4 == 0, "code").when(n % 2 == 0, "law").otherwise("decree").alias("doc_type"),
+        F.when(n % 5 != 4, F.concat(F.lit("20"), F.lpad((n + 5).cast("string"), 2, "0"), F.lit("-01-01"))).alias("effective_date"),
+        F.when(n % 3 == 2, "expired").otherwise("active").alias("status"),
+    )
+    chunks = sequences.with_position(
+        docs.select(
+            F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_index"),
+            F.col("text").alias("content"), F.col("lang").alias("dieu"), F.upper("lang").alias("dieu_title"),
+            F.lit(None).cast("string").alias("chuong"),
+        ),
+        "doc_id", "chunk_index",
+    )
+    found = retrieval.legal_search(
+        _asked_vectors(spark, sf), _points(spark, sf), chunks, statutes, 5, "2015-06-30", ["law", "decree"]
+    )
+    return _shown(found).select(
+        "query_id", "rank", "chunk_id", "score", "doc_id", "doc_name", "doc_number", "doc_type", "effective_date", "dieu",
+        "dieu_title", "chunk_index", *_context_digests(),
+    )
+
+
+def verdict_search(spark, sf):
+    """Verdicts are sources; the language of a document stands for its section."""
+    docs, n = table(spark, sf, "documents"), _source_number()
+    blank = F.lit(None).cast("string")
+    verdicts = docs.select("source").distinct().select(
+        F.col("source").alias("verdict_id"), F.concat(n, F.lit("/KDTM")).alias("case_number"),
+        F.upper("source").alias("court_name"), blank.alias("judgment_date"), blank.alias("dispute_type"),
+        F.when(n % 3 == 0, F.array(F.lit("mark"))).when(n % 3 == 1, F.array(F.lit("patent"), F.lit("design")))
+        .otherwise(F.array(F.lit("author"))).alias("ip_types"),
+        blank.alias("plaintiff"), blank.alias("defendant"),
+        F.when(n % 2 == 0, "first").otherwise("appeal").alias("trial_level"), blank.alias("summary"),
+    )
+    section = F.when(F.col("lang") == "en", "reasoning").when(F.col("lang") == "fr", "decision_item").otherwise("facts")
+    chunks = sequences.with_position(
+        docs.select(
+            F.col("source").alias("verdict_id"), F.col("doc_id").alias("vchunk_id"), F.col("doc_id").alias("chunk_index"),
+            F.col("text").alias("content"), section.alias("section_type"), F.lit(None).cast("int").alias("point_number"),
+            blank.alias("party_role"), F.lit(None).cast("int").alias("item_number"),
+        ),
+        "verdict_id", "chunk_index",
+    )
+    found = retrieval.verdict_search(
+        _asked_vectors(spark, sf), _points(spark, sf), chunks, verdicts, 8, ["mark", "design"], "first"
+    )
+    return _shown(found).select(
+        "query_id", "rank", "vchunk_id", "score", "verdict_id", "case_number", "court_name", "trial_level", "section_type",
+        "chunk_index", *_context_digests(),
+    )
+
+
 def _articles(spark, sf) -> DataFrame:
     """Documents as article payloads: the source is the statute, the id the article."""
     docs = table(spark, sf, "documents")
@@ -949,7 +1043,7 @@ QUERIES = {
         retrieval_metrics, complete_sections, prompt_blocks, verdict_blocks, evaluation_run, lsh_topk, hash_encode, unit_vectors,
         name_contains, name_fuzzy, name_pairs, name_search, trademark_blocks, merge_overwrite, merge_coalesce,
         dedupe_first, bridge_build, sheet_records_merged, sheet_report, trademark_merge,
-        route_queries, route_defaults, routed_search, corpus_ids, bench_queries,
+        route_queries, route_defaults, route_questions, routed_search, legal_search, verdict_search, corpus_ids, bench_queries,
         bench_queries_mixed, bench_manifest, seeded_sample, seeded_order, stream_daily_activity,
         stream_chunks, stream_rolling_messages,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexgrove.functions import fixed_values as fv
 from lexgrove.functions.text import BLANKS
-from lexgrove.plans.bindings import KNN_K, ROUTING
+from lexgrove.plans.bindings import KNN_K, QUESTIONS, ROUTING
 
 ORACLES: dict[str, str] = {}
 
@@ -760,6 +760,72 @@ SELECT route, count(*) AS documents, sum(v + l + t) AS score
 FROM ({_routed("documents", _DEFAULT_RULES)}) GROUP BY route
 """,
 )
+_QUESTIONS = (
+    "(SELECT doc_id, CASE WHEN q = ' ' THEN q ELSE q || ' ' || source END AS text FROM (SELECT *, "
+    f"[{', '.join(quoted(q) for q in QUESTIONS)}][(doc_id % {len(QUESTIONS)} + 1)::INTEGER] AS q FROM documents))"
+)
+add(
+    "route_questions",
+    f"""
+SELECT doc_id, v AS verdict_score, l AS legal_score, t AS trademark_score, a::INTEGER AS advisory, route
+FROM ({_routed(_QUESTIONS, _DEFAULT_RULES)})
+""",
+)
+_ASKED_VECTORS = "(SELECT * FROM embeddings WHERE vec_id % 50 = 0)"
+_NEIGHBOURS = """
+  SELECT doc_id AS chunk_id, source, lang, md5(text) AS content_md5,
+    md5(lag(text) OVER w || chr(10) || '---' || chr(10)) AS context_before_md5,
+    md5(lead(text) OVER w || chr(10) || '---' || chr(10)) AS context_after_md5
+  FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)
+"""
+add(
+    "legal_search",
+    f"""
+WITH c AS ({_NEIGHBOURS}),
+n AS (SELECT DISTINCT source, regexp_extract(source, '(\\d+)', 1)::INTEGER AS n FROM documents),
+s AS (
+  SELECT source, n, CASE WHEN n % 4 = 0 THEN 'code' WHEN n % 2 = 0 THEN 'law' ELSE 'decree' END AS doc_type,
+    CASE WHEN n % 5 <> 4 THEN '20' || lpad((n + 5)::VARCHAR, 2, '0') || '-01-01' END AS effective_date FROM n),
+pool AS (
+  SELECT e.* FROM embeddings e JOIN c ON c.chunk_id = e.vec_id JOIN s USING (source)
+  WHERE n % 3 <> 2 AND (effective_date IS NULL OR effective_date <= '2015-06-30') AND doc_type IN ('law', 'decree'))
+SELECT query_id, rank, chunk_id, round(score, 6) AS score, source AS doc_id, upper(source) AS doc_name,
+  'QD ' || n AS doc_number, doc_type, effective_date, lang AS dieu, upper(lang) AS dieu_title, chunk_id AS chunk_index,
+  content_md5, context_before_md5, context_after_md5
+FROM ({_top(5, "pool", False, _ASKED_VECTORS)}) t JOIN c ON c.chunk_id = t.id JOIN s USING (source)
+""",
+)
+add(
+    "verdict_search",
+    f"""
+WITH c AS (
+  SELECT *, regexp_extract(source, '([0-9]+)', 1)::INTEGER AS n,
+    CASE lang WHEN 'en' THEN 'reasoning' WHEN 'fr' THEN 'decision_item' ELSE 'facts' END AS section_type
+  FROM ({_NEIGHBOURS})),
+pool AS (SELECT e.* FROM embeddings e JOIN c ON c.chunk_id = e.vec_id WHERE n % 3 IN (0, 1) AND n % 2 = 0),
+h AS (
+  SELECT query_id, id, source, section_type, t.score * CASE section_type WHEN 'reasoning' THEN 1.3::DOUBLE
+      WHEN 'decision_item' THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS score,
+    row_number() OVER (PARTITION BY query_id ORDER BY t.score * CASE section_type WHEN 'reasoning' THEN 1.3::DOUBLE
+      WHEN 'decision_item' THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END DESC, t.rank) AS place
+  FROM ({_top(16, "pool", False, _ASKED_VECTORS)}) t JOIN c ON c.chunk_id = t.id QUALIFY place <= 8),
+missing AS (
+  SELECT DISTINCT query_id, source, section_type FROM (
+    SELECT DISTINCT query_id, source, unnest(['reasoning', 'decision_item']) AS section_type FROM h)
+  EXCEPT SELECT query_id, source, section_type FROM h),
+added AS (
+  SELECT m.query_id, c.chunk_id AS id, 0.5::DOUBLE AS score, row_number() OVER (
+    PARTITION BY m.query_id ORDER BY c.n || '/KDTM', c.chunk_id) + last AS rank
+  FROM missing m JOIN c ON c.source = m.source AND c.section_type = m.section_type
+  JOIN (SELECT query_id, max(place) AS last FROM h GROUP BY query_id) l ON l.query_id = m.query_id
+  WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = m.query_id AND h.id = c.chunk_id)),
+r AS (SELECT query_id, id, score, place AS rank FROM h UNION ALL SELECT query_id, id, score, rank FROM added)
+SELECT query_id, rank, id AS vchunk_id, round(score, 6) AS score, source AS verdict_id, n || '/KDTM' AS case_number,
+  upper(source) AS court_name, 'first' AS trial_level, section_type, id AS chunk_index,
+  content_md5, context_before_md5, context_after_md5
+FROM r JOIN c ON c.chunk_id = r.id
+""",
+)
 _ROUTED_QUERIES = (
     f"(SELECT conv_id * 1000 + turn AS vec_id, embedding, route FROM ({_routed(_ASKED, _RULES)}) "
     "JOIN embeddings ON embeddings.vec_id = conv_id)"

@@ -91,6 +91,22 @@ def test_wildcards(spark):
     assert {tuple(r) for r in plain} == {(2, 3), (3, 3)}
 
 
+def test_both_ways_on_signs_that_patterns_use(spark):
+    names = ["a\\b", "a%b", "a_b", "axb", "a\nb", "\\", "%", "A\\B c", "tab\there"]
+    reg = spark.createDataFrame(list(enumerate(names)), "key int, name string")
+    asked = spark.createDataFrame(list(enumerate(["a\\b", "\\", "a%b", "a_b", "\n", "_\\", "\\%", "b"])), "query_id int, name string")
+    for wildcards in (False, True):
+        scan, join = (
+            sorted((r["query_id"], r["key"]) for r in nm.contains_tier(asked, reg, wildcards=wildcards, scan_queries=n).collect())
+            for n in (100, 0)
+        )
+        expected = []
+        for i, q in enumerate(r["name"] for r in asked.orderBy("query_id").collect()):
+            like = re.escape(q.lower()).replace("%", ".*").replace("_", ".") if wildcards else re.escape(q.lower())
+            expected += [(i, k) for k, n in enumerate(names) if re.search(like, n.lower(), re.DOTALL)]
+        assert scan == join == sorted(expected)
+
+
 def test_merged_search(spark):
     register, queries, reg, asked = frames(spark)
     limit = 20

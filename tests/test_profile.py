@@ -25,10 +25,10 @@ def test_counts_series_page(spark):
 
 
 def test_prefix_plan_covers_every_name(spark):
-    names = ["ab"] * 3 + ["abc"] * 4 + ["abcde"] * 9 + ["b", "c", "Cd"] + ["d"] * 5
+    names = ["ab"] * 3 + ["abc"] * 4 + ["abcde"] * 9 + ["b", "c", "Cd"] + ["d"] * 5 + [None, "", ""]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     rows = {(r["prefix"], r["kind"]): r["rows"] for r in profile.prefix_plan(df, "n", cap=4, depth=4).collect()}
-    assert rows == {("ab", "ends"): 3, ("abc", "ends"): 4, ("abcd", "overflow"): 9, ("b", "leaf"): 1, ("c", "leaf"): 2, ("d", "ends"): 5}
+    assert rows == {("ab", "ends"): 3, ("abc", "ends"): 4, ("abcd", "overflow"): 9, ("b", "leaf"): 1, ("c", "leaf"): 2, ("d", "ends"): 5, ("", "null"): 1, ("", "empty"): 2}
     assert sum(rows.values()) == len(names)
 
 

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from lexgrove.functions import fixed_values as fv
+from lexgrove.functions import text
 from lexgrove.functions.splitting import pieces_of, split_text
 from lexgrove.operators.chunking import marker_chunks, packed_chunks
 
@@ -106,3 +107,10 @@ def test_marker_chunks_intro(spark):
     rows = marker_chunks(df, "id", "t", fv.POINT_MARKER, intro_chars=5).collect()
     got = {(r["id"], r["chunk_index"]): r["content"] for r in rows}
     assert got == {(1, 0): "intro text", (1, 1): "[1] one", (1, 2): "[2] two", (2, 0): "[1] x"}
+
+
+def test_texts_that_hold_the_cut_character(spark):
+    df = spark.createDataFrame([("ab\uffffcd; ef",), ("\uffff;\uffff \uffff x",), ("plain; text",)], "t string")
+    rows = df.select("t", text.cut_at(F.col("t"), ";").alias("p"), text.title_case(F.col("t")).alias("c")).collect()
+    assert all("".join(r["p"]) == r["t"] and len(r["p"]) == 2 and r["p"][1][0] == ";" for r in rows)
+    assert rows[0]["c"] == "Ab\uffffCd; Ef" and rows[2]["c"] == "Plain; Text"

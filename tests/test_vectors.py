@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexgrove.operators import vectors as vx
@@ -85,3 +86,16 @@ def test_row_cosine_and_normalise(spark):
     assert unit[0]["u"] == [0.6, 0.8] and unit[1]["u"] == [0.0, 0.0]
     scores = [r["c"] for r in df.select(vx.cosine(F.col("a"), F.col("b")).alias("c")).collect()]
     assert abs(scores[0] - 0.96) < 1e-12 and scores[1] == 0.0
+
+
+def test_null_vectors_take_no_part_and_widths_must_agree(spark):
+    data, queries, vec = frames(spark, n=90, q=10)
+    null = spark.createDataFrame([(None,), (None,)], "vector array<double>")
+    more_q = queries.unionByName(null.select(F.lit(900).cast("long").alias("query_id"), "vector"))
+    more_v = vec.unionByName(null.select(F.lit(901).cast("long").alias("id"), "vector"))
+    for limit in (10**6, 0):
+        got = vx.cosine_topk(more_q, more_v, 5, broadcast_values=limit, block_values=90)
+        assert collected(got) == brute(data, 10, 5, False)
+    ragged = vec.unionByName(spark.createDataFrame([(902, [1.0, 2.0])], vec.schema))
+    with pytest.raises(Exception, match="different widths"):
+        vx.cosine_topk(queries, ragged, 5).collect()
