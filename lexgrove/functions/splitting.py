@@ -14,11 +14,12 @@ Three steps, all column expressions (no shuffle, no Python worker):
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexgrove.functions.text import cut_at, let, strip
+from lexgrove.functions.text import cut_at, let, rx, strip
 
 _STRINGS = "array<string>"
 
@@ -27,12 +28,15 @@ def _piece(text: Column, opens: Column) -> Column:
     return F.struct(text.alias("text"), opens.alias("opens"))
 
 
-def _cut_long(pieces: Column, separator: str, size: int, flags: dict) -> Column:
-    """Cut the pieces of ``size`` or more characters at ``separator``."""
+def _cut_long(pieces: Column, separator: str, size: int, step: int, flags: dict) -> Column:
+    """Cut the pieces of ``size`` or more characters at ``separator``; at none, every ``step`` characters."""
 
     def cut(piece: Column) -> Column:
         text = piece["text"]
-        parts = F.split(text, "") if separator == "" else cut_at(text, separator, **flags)
+        if separator == "":
+            parts = F.regexp_extract_all(text, F.lit(rx(f".{{1,{step}}}", dot_all=True)), 0)
+        else:
+            parts = cut_at(text, separator, **flags)
         parts = F.filter(parts, lambda p: p != "")
         # the first part of a cut piece opens a run; the others belong to it
         fresh = F.transform(parts, lambda p, i: _piece(p, i == 0))
@@ -55,9 +59,12 @@ def _mark_runs(pieces: Column, size: int) -> Column:
     return let(pieces, marked)
 
 
-def pieces_of(text: Column, separators: Sequence[str], size: int, **flags) -> Column:
+def pieces_of(text: Column, separators: Sequence[str], size: int, overlap: int = 1, **flags) -> Column:
     """Array of ``struct(text, opens)`` whose texts concatenate to ``text``.
 
+    Text without any separator is cut every ``gcd(size, overlap)`` characters: packing
+    then gives the same chunks as with single characters, from far fewer pieces.
+
     A level's pieces are grouped by the parent they came from: after cutting,
     the sibling that follows a long piece opens a new run (``_mark_runs``).
     """
@@ -68,7 +75,7 @@ def pieces_of(text: Column, separators: Sequence[str], size: int, **flags) -> Co
             parts = F.filter(cut_at(text, separator, **flags), lambda p: p != "")
             pieces = F.transform(parts, lambda p: _piece(p, F.lit(False)))
         else:
-            pieces = _cut_long(_mark_runs(pieces, size), separator, size, flags)
+            pieces = _cut_long(_mark_runs(pieces, size), separator, size, gcd(size, overlap), flags)
     return _mark_runs(pieces, size)
 
 
@@ -127,4 +134,4 @@ def split_text(
     text: Column, separators: Sequence[str], size: int, overlap: int, **flags
 ) -> Column:
     """Array of trimmed, non-empty chunks of ``text`` in order."""
-    return pack(pieces_of(text, separators, size, **flags), size, overlap)
+    return pack(pieces_of(text, separators, size, overlap, **flags), size, overlap)

@@ -91,16 +91,17 @@ def daily_series(
 ) -> DataFrame:
     """``(day, <measures>)`` for the last ``days`` days up to the newest event, no gaps.
 
-    The series has ``days`` rows whatever the size of the events, so the join
-    side is bounded by construction.
+    The newest event is looked up first, so that the scan reads only the events of those days.
+    The series has ``days`` rows whatever the size of the events; without events it has none.
     """
-    last = events.agg(F.to_date(F.max(ts)).alias("last"))
-    calendar = last.select(
-        F.explode(
-            F.sequence(F.date_sub("last", days - 1), F.col("last"), F.expr("interval 1 day"))
-        ).alias("day")
+    last = events.agg(F.to_date(F.max(ts)).alias("last")).first()["last"]
+    first = F.date_sub(F.lit(last), days - 1)
+    calendar = events.sparkSession.range(days if last else 0).select(
+        F.date_add(first, F.col("id").cast("int")).alias("day")
     )
-    counted = events.groupBy(F.to_date(ts).alias("day")).agg(
+    # on the raw column, so that it reaches the scan
+    recent = events.where(F.col(ts) >= first.cast(events.schema[ts].dataType))
+    counted = recent.groupBy(F.to_date(ts).alias("day")).agg(
         *[m.alias(name) for name, m in measures.items()]
     )
     return calendar.join(counted, "day", "left").select(

@@ -114,3 +114,23 @@ def test_texts_that_hold_the_cut_character(spark):
     rows = df.select("t", text.cut_at(F.col("t"), ";").alias("p"), text.title_case(F.col("t")).alias("c")).collect()
     assert all("".join(r["p"]) == r["t"] and len(r["p"]) == 2 and r["p"][1][0] == ";" for r in rows)
     assert rows[0]["c"] == "Ab\uffffCd; Ef" and rows[2]["c"] == "Plain; Text"
+
+
+def test_unbroken_text_is_cut_as_by_single_characters(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcxyzé𝄞") for _ in range(n))
+    texts = [word(n) for n in (1, 19, 20, 21, 40, 97, 400)] + [f"{word(5)} {word(75)} {word(3)} {word(44)}" for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for size, overlap in ((20, 0), (20, 4), (30, 12), (25, 7)):
+        rows = df.select("i", split_text(F.col("text"), [r" ", ""], size, overlap).alias("c"))
+        got = {r["i"]: r["c"] for r in rows.collect()}
+        for i, whole in enumerate(texts):
+            expected, run = [], []
+            for part in [whole[a:b] for a, b in zip(e := sorted({0, *(m.start() for m in re.finditer(" ", whole)), len(whole)}), e[1:])] + [None]:
+                if part is not None and len(part) < size:
+                    run.append(part)
+                    continue
+                expected += merge(run, size, overlap) if run else []
+                run = []
+                expected += merge(list(part), size, overlap) if part is not None else []
+            assert got[i] == [c.strip() for c in expected if c.strip()], (size, overlap, whole)
