@@ -126,7 +126,8 @@ def test_unbroken_text_is_cut_as_by_single_characters(spark):
         got = {r["i"]: r["c"] for r in rows.collect()}
         for i, whole in enumerate(texts):
             expected, run = [], []
-            for part in [whole[a:b] for a, b in zip(e := sorted({0, *(m.start() for m in re.finditer(" ", whole)), len(whole)}), e[1:])] + [None]:
+            edges = sorted({0, *(m.start() for m in re.finditer(" ", whole)), len(whole)})
+            for part in [whole[a:b] for a, b in zip(edges, edges[1:])] + [None]:
                 if part is not None and len(part) < size:
                     run.append(part)
                     continue
