@@ -12,7 +12,6 @@ CHUNK_SIZE = 4000
 CHUNK_OVERLAP = 200
 CHUNK_ID_PREFIX_CHARS = 100
 CHUNK_ID_HEX = 16
-VECTOR_SIZE = 1024
 NAME_SIMILARITY_THRESHOLD = 0.15
 NAME_FUZZY_CAP = 0.95
 NAME_EXACT_SCORE = 1.0

@@ -40,10 +40,6 @@ def record_key(st13: Column, registration_number: Column) -> Column:
     return F.coalesce(blank_to_null(st13), blank_to_null(registration_number))
 
 
-def search_name(name: Column) -> Column:
-    return F.lower(strip(name))
-
-
 def stored(c: Column) -> Column:
     """Form in which a text field is stored: trimmed, '' as null."""
     return F.nullif(strip(c), F.lit(""))

@@ -7,7 +7,6 @@ reduced before the shuffle and never gathered.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,16 +204,17 @@ def trademark_upsert(
     marked = base.join(owners, number, "left").withColumn("_owns", owns)
     rest = [c for c in TRADEMARK_FIELDS if c not in (number, "st13")]
     patches = loose.select(number, F.lit(True).alias("_owns"), F.struct(*rest).alias("_patch"))
-    # one join updates the owning rows and adds the numbers nobody carries
-    merged = marked.join(patches, [number, "_owns"], "full_outer").select(
+    # one join updates the owning rows and adds the numbers nobody carries; rows without a
+    # number have no partner and stay out of it, where they would all be one key
+    numbered = F.col(number).isNotNull()
+    merged = marked.where(numbered).join(patches.where(numbered), [number, "_owns"], "full_outer").select(
         *[
             F.col(c) if c in (number, "st13") else F.coalesce(F.col("_patch")[c], F.col(c)).alias(c)
             for c in TRADEMARK_FIELDS
         ]
     )
+    alone = loose.where(~numbered).withColumn("st13", F.lit(None).cast(base.schema["st13"].dataType))
+    for rows in (base.where(~numbered), alone):
+        merged = merged.unionByName(rows.select(*TRADEMARK_FIELDS))
     ambiguous = owners.where(F.col("_owners") > 1).join(loose, number, "left_semi")
     return merged, ambiguous.select(number, F.col("_owners").alias("rows"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -46,16 +46,5 @@ def points_table(rows: DataFrame, path: str, recreate: bool = False) -> None:
     rows.write.mode("overwrite" if recreate else "append").parquet(path)
 
 
-def evaluation_result(
-    means: DataFrame, path: str, config: dict[str, object], per_query: DataFrame | None = None
-) -> None:
-    """Aggregate metrics with their configuration, and optional per-query rows."""
-    means.select(*[F.lit(v).alias(k) for k, v in config.items()], "*").coalesce(1).write.json(
-        f"{path}/aggregate"
-    )
-    if per_query is not None:
-        per_query.write.json(f"{path}/per_query")
-
-
 def relational(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
     df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
