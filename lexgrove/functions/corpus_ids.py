@@ -9,21 +9,20 @@ from lexgrove.functions import fixed_values as fv
 from lexgrove.functions.text import head, null_to_blank, rx, strip
 
 
-def content_id(owner: Column, index: Column, content: Column, prefix: str = "") -> Column:
-    """Hash of owner, position and the head of the content; stable across runs."""
-    key = F.concat_ws(
-        "_", owner, index.cast("string"), head(content, fv.CHUNK_ID_PREFIX_CHARS)
-    )
+def content_id(owner: Column, index: Column, content: Column, prefix: str = "", parity: bool = False) -> Column:
+    """Hash of owner, position and content; stable across runs. With ``parity`` of the content's head only."""
+    hashed = head(content, fv.CHUNK_ID_PREFIX_CHARS) if parity else content
+    key = F.concat_ws("_", owner, index.cast("string"), hashed)
     digest = head(F.md5(F.concat(F.lit(prefix), key)), fv.CHUNK_ID_HEX)
     return F.concat(F.lit(prefix), digest) if prefix else digest
 
 
-def legal_chunk_id(doc_id: Column, index: Column, content: Column) -> Column:
-    return content_id(doc_id, index, content)
+def legal_chunk_id(doc_id: Column, index: Column, content: Column, parity: bool = False) -> Column:
+    return content_id(doc_id, index, content, parity=parity)
 
 
-def verdict_chunk_id(verdict_id: Column, index: Column, content: Column) -> Column:
-    return content_id(verdict_id, index, content, prefix="v_")
+def verdict_chunk_id(verdict_id: Column, index: Column, content: Column, parity: bool = False) -> Column:
+    return content_id(verdict_id, index, content, prefix="v_", parity=parity)
 
 
 def document_number_key(number: Column) -> Column:

@@ -186,7 +186,7 @@ def statute_chunks(
         return F.when(F.col("structured"), F.col(c)).alias(c.split(".")[-1])
 
     return rows.select(
-        corpus_ids.legal_chunk_id(doc_id, F.col("c.index"), content).alias("chunk_id"),
+        corpus_ids.legal_chunk_id(doc_id, F.col("c.index"), content, parity).alias("chunk_id"),
         doc_id.alias("doc_id"),
         "filename",
         content.alias("content"),
@@ -521,7 +521,7 @@ def verdict_chunks(
         cut, ["filename", *fields, "summary"], split_oversized(items, size, overlap), "c"
     )
     return rows.select(
-        corpus_ids.verdict_chunk_id(verdict_id, F.col("chunk_index"), F.col("c.content")).alias(
+        corpus_ids.verdict_chunk_id(verdict_id, F.col("chunk_index"), F.col("c.content"), parity).alias(
             "vchunk_id"
         ),
         verdict_id.alias("verdict_id"),

@@ -113,7 +113,7 @@ FROM pages
 )
 
 # --------------------------------------------------------------------- chunking
-CHUNK_ID = "substr(md5({owner} || '_' || {index} || '_' || substr({content}, 1, 100)), 1, 16)"
+CHUNK_ID = "substr(md5({owner} || '_' || {index} || '_' || {content}), 1, 16)"
 _SECTIONS = f"""
   SELECT doc_id, unnest(parts) AS content, generate_subscripts(parts, 1) - 1 AS chunk_index FROM (
     SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: {strip("p")}),

@@ -134,7 +134,7 @@ r AS (
     CASE WHEN same > 1 THEN n || '.' ELSE '' END FROM t WHERE part = 2),
 k AS (SELECT *, regexp_replace(content, ' {{3,}}', '  ', 'g') AS body,
     row_number() OVER (PARTITION BY id ORDER BY s, n) - 1 AS chunk_index FROM r)
-SELECT 'v_' || substr(md5('v_' || id || '_' || chunk_index || '_' || substr(body, 1, 100)), 1, 16) AS vchunk_id,
+SELECT 'v_' || substr(md5('v_' || id || '_' || chunk_index || '_' || body), 1, 16) AS vchunk_id,
   id AS verdict_id, chunk_index, body AS content, section_type, party_role, point_number, item_number,
   'TÒA ÁN NHÂN DÂN TỈNH A' AS court_name, '2020-04-03' AS judgment_date, 'sơ thẩm' AS trial_level,
   'Ông ' || source AS plaintiff, 'Bà B' AS defendant, 'nhãn hiệu' AS ip_types,

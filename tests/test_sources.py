@@ -149,3 +149,9 @@ def test_key_uniqueness(spark, data):
     chunks = chunking.marker_chunks(docs, "doc_id", "text")
     assert graph.duplicate_keys(chunks, ["chunk_id"]).count() == 0
     assert graph.duplicate_keys(chunks, ["doc_id"]).count() > 0
+
+
+def test_chunk_ids_tell_late_differences_apart(spark):
+    df = spark.createDataFrame([("x" * 300 + "a",), ("x" * 300 + "b",)], "c string")
+    ids = lambda parity: {r[0] for r in df.select(corpus_ids.legal_chunk_id(F.lit("d"), F.lit(0), F.col("c"), parity)).collect()}
+    assert len(ids(False)) == 2 and len(ids(True)) == 1
