@@ -42,6 +42,7 @@ from lexgrove.session import ship_package
 GRAM_PART_ROWS = 50_000
 SCAN_QUERIES = 2_000
 BROADCAST_GRAMS = 2_000_000  # grams of all queries together
+_WAITING_ROWS = 2_000_000  # found names that wait to be merged
 _SCORE_TILE = 4_000_000  # scores held at once by a task
 FIRST_THRESHOLD = 0.4
 SALTS = 16
@@ -312,26 +313,56 @@ class _QueryGrams:
 
 def _best_names(found: pd.DataFrame, limit: int) -> pd.DataFrame:
     """Best distinct names per query: lowest loss, then name."""
-    found = found.drop_duplicates(["query", "name"]).sort_values(["query", "loss", "name"])
-    return found[found.groupby("query").cumcount() < limit]
+    query, loss = found["query"].to_numpy(), found["loss"].to_numpy()
+    code = pd.factorize(found["name"], sort=True)[0]
+    order = np.lexsort((code, loss, query))
+    query, loss, code = query[order], loss[order], code[order]
+    # a name has one loss for a query, so copies stand side by side
+    new = np.ones(len(order), bool)
+    new[1:] = (query[1:] != query[:-1]) | (code[1:] != code[:-1])
+    order, query = order[new], query[new]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return found.iloc[order[place < limit]]
 
 
 def _running_best(
     batches: Iterator[pa.RecordBatch], ids: pa.Array, limit: int, find
 ) -> Iterator[pa.RecordBatch]:
-    """Best names per query over all batches of a task; ``find`` scores a slice."""
-    best = None
+    """Best names per query over all batches of a task; ``find`` scores a slice.
+
+    What a slice finds waits until there is enough of it to be merged; once a query has
+    ``limit`` names, anything worse than its last one is left out at once.
+    """
+    best = pd.DataFrame({"query": np.zeros(0, np.int64), "name": np.zeros(0, object), "loss": np.zeros(0)})
+    worst = np.full(len(ids), np.inf)
+    waiting, rows = [], 0
     tile = max(1, _SCORE_TILE // max(1, len(ids)))
+
+    def merged() -> pd.DataFrame:
+        kept = _best_names(pd.concat([best, *waiting]), limit)
+        query = kept["query"].to_numpy()
+        full = np.bincount(query, minlength=len(ids)) >= limit
+        last = np.full(len(ids), -np.inf)
+        np.maximum.at(last, query, kept["loss"].to_numpy())
+        worst[full] = last[full]
+        return kept
+
     for batch in batches:
         fresh = ~pd.Series(batch.column("name").to_pandas()).duplicated().to_numpy()
         batch = batch.filter(pa.array(fresh))
         for start in range(0, batch.num_rows, tile):
             part = batch.slice(start, tile)
             row, query, loss = find(part)
+            useful = loss <= worst[query]
+            row, query, loss = row[useful], query[useful], loss[useful]
             names = np.asarray(part.column("name").to_pandas(), object)[row]
-            found = pd.DataFrame({"query": query, "name": names, "loss": loss})
-            best = _best_names(found if best is None else pd.concat([best, found]), limit)
-    if best is not None and len(best):
+            waiting.append(pd.DataFrame({"query": query, "name": names, "loss": loss}))
+            rows += len(row)
+            if rows > _WAITING_ROWS:
+                best, waiting, rows = merged(), [], 0
+    if waiting:
+        best = merged()
+    if len(best):
         yield pa.RecordBatch.from_arrays(
             [
                 ids.take(pa.array(best["query"].to_numpy())),
