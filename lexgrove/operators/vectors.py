@@ -24,6 +24,7 @@ from lexgrove.session import ship_package
 SCORE_DIGITS = 9
 BROADCAST_QUERY_VALUES = 8_000_000  # numbers; 64 MB as doubles
 BLOCK_VALUES = 8_000_000  # numbers of one side of a block
+LSH_BUCKET = 64  # vectors of one bucket, on average
 _SCORE_TILE = 4_000_000  # scores held at once by a task
 
 
@@ -232,7 +233,7 @@ def lsh_topk(
     k: int,
     width: int,
     tables: int = 8,
-    bits: int = 6,
+    bits: int | None = None,
     seed: int = 42,
     skip_self: bool = False,
     block_values: int = BLOCK_VALUES,
@@ -240,11 +241,15 @@ def lsh_topk(
     """Approximate best k by random hyperplanes; recall is measured against exact.
 
     Every table assigns a vector to one of ``2**bits`` buckets; a query meets the
-    vectors of its bucket in each table. A bucket above ``block_values`` numbers
+    vectors of its bucket in each table. Unless given, ``bits`` follows the number of
+    vectors, so that a bucket holds about ``LSH_BUCKET`` of them at any size. A query
+    whose buckets are nearly empty may get fewer than ``k`` rows. A bucket above ``block_values`` numbers
     on either side is split into parts, and every part of one side meets every
     part of the other.
     """
     ship_package(vectors.sparkSession)
+    if bits is None:
+        bits = max(1, min(24, round(np.log2(max(1, vectors.count() / LSH_BUCKET)))))
     planes = np.random.default_rng(seed).standard_normal((tables * bits, width))
     weights = 1 << np.arange(bits)
 
