@@ -11,14 +11,25 @@ import os
 
 import numpy as np
 
-_BYTE_ZEROS = 8 - np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.int64)
+_BYTE_ZEROS = 8 - np.bitwise_count(np.arange(256, dtype=np.uint8))
 #: Place of the r-th clear bit of a byte (8 where there is none), lowest bit first.
 _SELECT_ZERO = np.array(
     [[(lambda at: at[r] if r < len(at) else 8)([i for i in range(8) if not b >> i & 1]) for r in range(8)] for b in range(256)],
-    np.int64,
+    np.uint8,
 )
 
 
+def _select(data: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """In each 64-bit word the place of the clear bit of this rank."""
+    octets = np.ascontiguousarray(data).view(np.uint8).reshape(-1, 8)
+    before = np.cumsum(_BYTE_ZEROS[octets], axis=1, dtype=np.uint8)
+    rest = rest.astype(np.uint8)
+    byte = (before <= rest[:, None]).sum(axis=1)
+    row = np.arange(len(rest))
+    rest = rest - np.where(byte > 0, before[row, np.maximum(byte - 1, 0)], np.uint8(0))
+    return byte * 8 + _SELECT_ZERO[octets[row, byte], rest]
+
+
 def _stored(array: np.ndarray, folder: str | None, name: str) -> np.ndarray:
     """The array as a read-only memory map of a file, if a folder is given."""
     if folder is None or not array.size:
@@ -66,13 +77,7 @@ class EliasFano:
     def _select_zero(self, r: np.ndarray) -> np.ndarray:
         """Place of the r-th clear bit of the high part."""
         word = np.searchsorted(self.zeros, r, side="right") - 1
-        rest = r - self.zeros[word]
-        data = np.ascontiguousarray(self.high[word]).view(np.uint8).reshape(-1, 8)
-        before = np.cumsum(_BYTE_ZEROS[data], axis=1)
-        byte = (before <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(r))
-        rest = rest - np.where(byte > 0, before[row, np.maximum(byte - 1, 0)], 0)
-        return word * 64 + byte * 8 + _SELECT_ZERO[data[row, byte], rest]
+        return word * 64 + _select(self.high[word], r - self.zeros[word])
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each x the index of the first number that is not below it (n if none), and whether it equals x."""
@@ -82,19 +87,19 @@ class EliasFano:
         h = (x >> np.uint64(self.width)).astype(np.int64)
         beyond = h > self.last_high
         h = np.minimum(h, self.last_high)
-        # numbers with high part h stand between the clear bits h - 1 and h
+        # numbers with high part h follow the clear bit h - 1, one set bit each
         at = np.where(h > 0, self._select_zero(np.maximum(h - 1, 0)) + 1 - h, 0)
-        end = self._select_zero(h) - h
         low = x & np.uint64((1 << self.width) - 1)
-        going = np.flatnonzero((at < end) & ~beyond)
         found = np.zeros(len(x), bool)
+        going = np.flatnonzero(~beyond)
         while len(going):
+            bit = at[going] + h[going]
+            there = (self.high[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+            going = going[there]
             value = self._low(at[going])
             found[going[value == low[going]]] = True
-            below = value < low[going]
-            going = going[below]
+            going = going[value < low[going]]
             at[going] += 1
-            going = going[at[going] < end[going]]
         return np.where(beyond, self.n, at), found
 
     def get(self, i: np.ndarray) -> np.ndarray:
@@ -103,12 +108,7 @@ class EliasFano:
         ones = np.arange(len(self.zeros)) * 64 - self.zeros
         word = np.searchsorted(ones, i, side="right") - 1
         rest = i - ones[word]
-        data = ~np.ascontiguousarray(self.high[word]).view(np.uint8).reshape(-1, 8)  # set bits as clear ones
-        before = np.cumsum(_BYTE_ZEROS[data], axis=1)
-        byte = (before <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(i))
-        rest = rest - np.where(byte > 0, before[row, np.maximum(byte - 1, 0)], 0)
-        place = word * 64 + byte * 8 + _SELECT_ZERO[data[row, byte], rest]
+        place = word * 64 + _select(~self.high[word], rest)  # set bits as clear ones
         return ((place - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)
 
 
@@ -135,16 +135,20 @@ class TrieLevel:
         self.words = EliasFano(own + np.repeat(base, lengths), folder, name + ".word")
 
     def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Index of each entry, -1 where there is none."""
+        """Index of each entry, -1 where there is none; entries are asked for in the order of their parents."""
         out = np.full(len(parent), -1, np.int64)
-        at, known = self.contexts.successor(parent)
-        ask = np.flatnonzero(known)
-        if not len(ask):
+        new = np.flatnonzero(np.concatenate(([True], parent[1:] != parent[:-1]))) if len(parent) else np.zeros(0, np.int64)
+        at, known = self.contexts.successor(parent[new])
+        asked = np.flatnonzero(known)
+        if not len(asked):
             return out
-        first = self.pointers.get(at[ask]).astype(np.int64)
-        end = self.pointers.get(at[ask] + 1).astype(np.int64)
+        first = self.pointers.get(at[asked]).astype(np.int64)
+        end = self.pointers.get(at[asked] + 1).astype(np.int64)
         base = np.where(first > 0, self.words.get(np.maximum(first - 1, 0)).astype(np.int64), 0)
-        place, equal = self.words.successor((base + word[ask] + 1).astype(np.uint64))
-        hit = equal & (place >= first) & (place < end)
+        count = np.diff(np.append(new, len(parent)))
+        of_known = np.repeat(known, count)
+        ask, times = np.flatnonzero(of_known), count[asked]
+        place, equal = self.words.successor((np.repeat(base, times) + word[ask] + 1).astype(np.uint64))
+        hit = equal & (place >= np.repeat(first, times)) & (place < np.repeat(end, times))
         out[ask[hit]] = place[hit]
         return out

@@ -13,7 +13,7 @@ three totals.
 Model: p1(w) = (c + 0.5) / (N + 0.5 (V + 1)); above it, for a context u that has been
 seen c(u) times, p(w | u) = (c(u w) + M p') / (c(u) + M), with p' of the context without
 its first word. Each p sums to one over the vocabulary and one unknown word. The share
-c(u w) / (c(u) + M) is what the trie keeps, in ``1 << 16`` logarithmic steps. The end
+c(u w) / (c(u) + M) is what the trie keeps, in ``1 << 16`` steps of its log odds. The end
 token also stands before a text's first word. Trigrams are kept below contexts that were
 seen ``DEEP`` times or more; elsewhere the bigram's p holds.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.llm.blobs import gaps, narrow, packed, shard_of, unpacked
-from lexgrove.llm.common import checkpointed, columns, shared_folder, ship_package, shuffle_width
+from lexgrove.llm.common import columns, shared_folder, ship_package, shuffle_width
 
 FOLDS, HELD_OUT = 5, 1
 ORDER = 3
@@ -46,7 +46,7 @@ SHARD_ENTRIES = 1_500_000
 LEAST_SHARDS = 64
 END = b"\n"  # no word: it is white space
 _STEPS = 1 << 16
-_LOWEST = -12.0
+_WIDEST = 28.0
 
 
 def _held_out(doc_id) -> bool:
@@ -137,7 +137,7 @@ def _entries(batch: _Batch, level: int, state: dict) -> tuple[np.ndarray, np.nda
         parent[has], seen[has] = state["node", level - 1][entry[has]], state["count", level - 1][entry[has]]
         asked = (parent >= 0) & (word >= 0) & (seen >= DEEP)
     where = np.flatnonzero(asked)
-    order = where[np.lexsort((word[where], parent[where]))]
+    order = where[_order(parent[where], word[where])]
     p, w = parent[order], word[order]
     new = np.concatenate(([True], (p[1:] != p[:-1]) | (w[1:] != w[:-1]))) if len(p) else np.zeros(0, bool)
     entry_of = np.full(len(word), -1, np.int64)
@@ -147,18 +147,29 @@ def _entries(batch: _Batch, level: int, state: dict) -> tuple[np.ndarray, np.nda
     return p[new], w[new], seen[order][new], counts
 
 
-def _answered(frames: list[pd.DataFrame], shards: list[int], batch: _Batch) -> dict:
-    """Nodes, counts and codes of the batch's entries of every level answered so far."""
+def _order(parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Order by parent and word."""
+    wide = int(word.max(initial=0)) + 1
+    if (int(parent.max(initial=0)) + 1) * wide < 1 << 63:
+        return np.argsort(parent * wide + word)
+    return np.lexsort((word, parent))
+
+
+def _answered(given: list[list], shards: list[int], batch: _Batch) -> dict:
+    """Nodes, counts and codes of the batch's entries of every level answered so far; ``given``: (shard, body) of each level."""
     state: dict = {}
-    for level, (answers, n_shards) in enumerate(zip(frames, shards), 1):
+    for level, (answers, n_shards) in enumerate(zip(given, shards), 1):
         parent, word, _, _ = _entries(batch, level, state)
         shard = _entry_shard(level, parent, word, n_shards)
         node, count, code = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
-        for number, body in zip(answers["shard"], answers["body"]):
-            mine = np.flatnonzero(shard == number)
-            found, places, counts, codes = unpacked(body)
+        by_shard = np.argsort(shard, kind="stable")
+        cut = np.searchsorted(shard[by_shard], np.arange(n_shards + 1))
+        for answer in answers if answers is not None else ():
+            number = int(answer["shard"])
+            mine = by_shard[cut[number] : cut[number + 1]]
+            found, places, counts, codes = unpacked(answer["body"])
             hit = mine[np.cumsum(found.astype(np.int64))]
-            node[hit], count[hit], code[hit] = places.astype(np.int64) * n_shards + number, counts, codes
+            node[hit], count[hit], code[hit] = np.cumsum(places.astype(np.int64)) * n_shards + number, counts, codes
         if level == 1:
             state["node"], state["count"] = node, count
         state["node", level], state["count", level], state["code", level] = node, count, code
@@ -172,12 +183,30 @@ def _entry_shard(level: int, parent: np.ndarray, word: np.ndarray, shards: int)
     return shard_of(parent * 31 + (word & 15 if level == 2 else 0), shards)
 
 
+def _first_of_parent(parent: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], parent[1:] != parent[:-1]))) if len(parent) else np.zeros(0, np.int64)
+
+
+def _word_steps(parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Words, which rise below each parent, as steps from one to the next."""
+    step, first = np.diff(word, prepend=0), _first_of_parent(parent)
+    step[first] = word[first]
+    return narrow(step)
+
+
+def _words_of_steps(parent: np.ndarray, step: np.ndarray) -> np.ndarray:
+    total, first = np.cumsum(step.astype(np.int64)), _first_of_parent(parent)
+    before = np.zeros(len(first), np.int64)
+    before[1:] = total[first[1:] - 1]
+    return total - np.repeat(before, np.diff(np.append(first, len(parent))))
+
+
 def _requests(level: int, entries: tuple, n_shards: int, batch_id: int):
     parent, word, seen, counts = entries
     shard = _entry_shard(level, parent, word, n_shards)
     for number in np.unique(shard):
         mine = shard == number
-        body = packed(gaps(parent[mine]), gaps(word[mine]) if level == 1 else narrow(word[mine]), narrow(seen[mine]), narrow(counts[mine]))
+        body = packed(gaps(parent[mine]), _word_steps(parent[mine], word[mine]), narrow(seen[mine]), narrow(counts[mine]))
         yield int(number), batch_id, body
 
 
@@ -192,12 +221,12 @@ def _serve(level: int):
         asked = []
         for body in frame["body"]:
             parent, word, seen, counts = unpacked(body)
-            word = np.cumsum(word.astype(np.int64)) if level == 1 else word.astype(np.int64)
-            asked.append((np.cumsum(parent.astype(np.int64)), word, seen.astype(np.int64), counts.astype(np.int64)))
+            parent = np.cumsum(parent.astype(np.int64))
+            asked.append((parent, _words_of_steps(parent, word), seen.astype(np.int64), counts.astype(np.int64)))
         parent, word, seen, counts = (np.concatenate(a) for a in zip(*asked))
         kept = counts > 0
         parent, word, seen, counts = parent[kept], word[kept], seen[kept], counts[kept]
-        order = np.lexsort((word, parent))
+        order = _order(parent, word)
         parent, word, seen, counts = parent[order], word[order], seen[order], counts[order]
         new = np.concatenate(([True], (parent[1:] != parent[:-1]) | (word[1:] != word[:-1]))) if len(parent) else np.zeros(0, bool)
         starts = np.flatnonzero(new)
@@ -212,7 +241,7 @@ def _serve(level: int):
                 found = np.flatnonzero(place >= 0)
                 at = place[found]
                 rows.append((batch, int(frame["shard"].iloc[0]), len(parent),
-                             packed(gaps(found), narrow(at), narrow(counts[at]), codes[at])))
+                             packed(gaps(found), gaps(at), narrow(counts[at]), codes[at])))
             del trie
         return pd.DataFrame(rows, columns=["batch", "shard", "n_kept", "body"])
 
@@ -220,12 +249,13 @@ def _serve(level: int):
 
 
 def quantised(share: np.ndarray) -> np.ndarray:
-    """Probabilities as steps of their logarithm."""
-    return np.round(np.log10(np.maximum(share, 1e-12)) / _LOWEST * (_STEPS - 1)).astype(np.uint16)
+    """Probabilities as even steps of their log odds: fine near one, where a text's score adds up many."""
+    odds = np.log(np.maximum(share, 1e-12)) - np.log(np.maximum(1 - share, 1e-12))
+    return np.round((np.clip(odds / _WIDEST, -1, 1) + 1) / 2 * (_STEPS - 1)).astype(np.uint16)
 
 
 def share_of(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code.astype(np.float64) * (_LOWEST / (_STEPS - 1)))
+    return 1 / (1 + np.exp(-(code.astype(np.float64) / (_STEPS - 1) * 2 - 1) * _WIDEST))
 
 
 def _scores(batch: _Batch, state: dict, order: int, total: int, types: int):
@@ -260,24 +290,24 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     ship_package(spark)
     rows = columns(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    # bucketed by batch, so that the joins below move the answers and not the corpus
-    name, width = f"lm_{uuid.uuid4().hex}", max(16, shuffle_width(spark))
-    writer = _batches(rows).write.format("parquet").option("path", f"{shared_folder(spark)}/{name}")
-    writer.bucketBy(width, "batch").saveAsTable(name)
-    batches = spark.table(name)
-    total = batches.agg(F.sum("n_train")).first()[0] or 0
-    answers: list[DataFrame] = []
+    # tables are bucketed by batch, so that a batch meets its answers without another shuffle of either
+    table = _bucketed(_batches(rows), "batches")
+    total = table.agg(F.sum("n_train")).first()[0] or 0
+    known = table.select("batch", "body")
     shards: list[int] = []
     types = 0
     for level in range(1, order + 1):
         n_shards = max(LEAST_SHARDS, -(-int(total) // SHARD_ENTRIES))
-        asked = _with_answers(batches, answers, shards, "shard long, batch long, body binary", _asking(level, n_shards))
-        answer = asked.groupBy("shard").applyInPandas(_serve(level), "batch long, shard long, n_kept long, body binary")
-        answers.append(checkpointed(answer))
-        shards.append(n_shards)
+        asked = known.mapInPandas(_with_answers(shards, _asking(level, n_shards)), "shard long, batch long, body binary")
+        served = asked.groupBy("shard").applyInPandas(_serve(level), "batch long, shard long, n_kept long, body binary")
+        answer = served.groupBy("batch").agg(F.collect_list(F.struct("shard", "n_kept", "body")).alias(f"answers_{level}"))
+        if level < order:
+            answer = _bucketed(answer, f"answers_{level}")
         if level == 1:
-            kept = answers[0].select("shard", "n_kept").distinct()
+            kept = answer.select(F.explode("answers_1").alias("a")).select("a.shard", "a.n_kept").distinct()
             types = kept.agg(F.sum("n_kept")).first()[0] or 0
+        known = known.join(answer, "batch", "left")
+        shards.append(n_shards)
 
     def finish(batch_id, batch, state):
         n_tokens, n_known, base, model = _scores(batch, state, order, total, types)
@@ -289,7 +319,16 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     schema = (
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    return _with_answers(batches, answers, shards, schema, finish)
+    return known.mapInPandas(_with_answers(shards, finish), schema)
+
+
+def _bucketed(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a table in the shared folder, bucketed by batch."""
+    spark = df.sparkSession
+    name = f"lm_{what}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", f"{shared_folder(spark)}/{name}")
+    writer.bucketBy(max(16, shuffle_width(spark)), "batch").saveAsTable(name)
+    return spark.table(name)
 
 
 def _asking(level: int, n_shards: int):
@@ -300,27 +339,15 @@ def _asking(level: int, n_shards: int):
     return ask
 
 
-def _with_answers(batches: DataFrame, answers: list[DataFrame], shards: list[int], schema: str, use) -> DataFrame:
-    """``use(batch_id, batch, state)`` on every batch together with its answers."""
+def _with_answers(shards: list[int], use):
+    """Function for ``mapInPandas``: ``use(batch_id, batch, state)`` on every batch with its answers of the levels so far."""
     shards = list(shards)
-    if not answers:
-        def alone(frames):
-            for frame in frames:
-                for batch_id, body in zip(frame["batch"], frame["body"]):
-                    yield from use(int(batch_id), _Batch(body), {})
-
-        return batches.select("batch", "body").mapInPandas(alone, schema)
-    said = None
-    for level, answer in enumerate(answers, 1):
-        part = answer.select("batch", F.lit(level).alias("level"), "shard", "body")
-        said = part if said is None else said.unionByName(part)
-
-    def both(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for batch_id, body in zip(own["batch"], own["body"]):
-            batch = _Batch(body)
-            frames = [given[given["level"] == level] for level in range(1, len(shards) + 1)]
-            out += list(use(int(batch_id), batch, _answered(frames, shards, batch)))
-        return pd.concat(out, ignore_index=True)
-
-    return batches.select("batch", "body").groupBy("batch").cogroup(said.groupBy("batch")).applyInPandas(both, schema)
+
+    def run(frames):
+        for frame in frames:
+            given = [frame[f"answers_{level}"] for level in range(1, len(shards) + 1)]
+            for row, (batch_id, body) in enumerate(zip(frame["batch"], frame["body"])):
+                batch = _Batch(body)
+                yield from use(int(batch_id), batch, _answered([g.iloc[row] for g in given], shards, batch))
+
+    return run
