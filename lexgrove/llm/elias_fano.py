@@ -92,7 +92,7 @@ class EliasFano:
         low = x & np.uint64((1 << self.width) - 1)
         found = np.zeros(len(x), bool)
         going = np.flatnonzero(~beyond)
-        while len(going):
+        for _ in range(4):
             bit = at[going] + h[going]
             there = (self.high[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
             going = going[there]
@@ -100,6 +100,16 @@ class EliasFano:
             found[going[value == low[going]]] = True
             going = going[value < low[going]]
             at[going] += 1
+        if len(going):  # where many numbers share a high part: by halves, up to the clear bit h
+            first, end = at[going], self._select_zero(h[going]) - h[going]
+            stop, wanted = end.copy(), low[going]
+            while (open_ := first < stop).any():
+                middle = (first + stop) // 2
+                below = open_ & (self._low(np.minimum(middle, self.n - 1)) < wanted)
+                first = np.where(below, middle + 1, first)
+                stop = np.where(open_ & ~below, middle, stop)
+            at[going] = first
+            found[going] = (first < end) & (self._low(np.minimum(first, self.n - 1)) == wanted)
         return np.where(beyond, self.n, at), found
 
     def get(self, i: np.ndarray) -> np.ndarray:

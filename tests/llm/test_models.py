@@ -21,11 +21,12 @@ def words(text):
 
 def test_elias_fano():
     rng = np.random.default_rng(2)
-    for n, top in ((0, 1), (1, 1), (7, 3), (500, 20), (2000, 1 << 60)):
-        values = np.sort(rng.integers(0, top, n).astype(np.uint64))
+    crowded = np.concatenate((rng.integers(0, 9000, 3000), rng.integers(0, 1 << 50, 400)))  # many share a high part
+    for n, top in ((0, 1), (1, 1), (7, 3), (500, 20), (2000, 1 << 60), (3400, 1 << 50)):
+        values = np.sort((crowded if n == 3400 else rng.integers(0, top, n)).astype(np.uint64))
         made = EliasFano(values)
         assert (made.get(np.arange(n)) == values).all()
-        asked = np.concatenate((values, rng.integers(0, top + 9, 300).astype(np.uint64)))
+        asked = np.concatenate((values, rng.integers(0, top + 9, 300).astype(np.uint64), np.arange(9000, dtype=np.uint64)))
         place, equal = made.successor(asked)
         assert (place == np.searchsorted(values, asked)).all() and (equal == np.isin(asked, values)).all()
 
