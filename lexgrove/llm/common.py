@@ -63,11 +63,11 @@ def running_total(df: DataFrame, group: str, place: Column, order: list[Column],
     fine = fine.select(
         group, "_coarse", "_fine",
         F.coalesce(F.sum("_sum").over(before(group, "_coarse").orderBy("_fine")), F.lit(0)).alias("_step"),
-    ).join(coarse, [group, "_coarse"])
+    ).join(coarse.hint("merge"), [group, "_coarse"])
     fine = fine.select(group, "_fine", (F.col("_base") + F.col("_step")).alias("_before"))
     inner = before(group, "_fine").orderBy(*order)
     return (
-        marked.join(fine, [group, "_fine"])
+        marked.join(fine.hint("merge"), [group, "_fine"])  # it grows with the rows: never broadcast
         .withColumn(name, (F.col("_before") + F.coalesce(F.sum(value).over(inner), F.lit(0))).cast("long"))
         .drop("_fine", "_coarse", "_before")
     )

@@ -128,7 +128,7 @@ def mix(docs: DataFrame, *ids: str) -> tuple[DataFrame, DataFrame]:
     plan = checkpointed(targets(sizes))
     placed = checkpointed(stream(sizes, plan, *ids))
     slots = schedule(plan).withColumnRenamed("rank", "block")
-    return blocks(placed, *ids).join(slots, ["source_no", "block"]), placed
+    return blocks(placed, *ids).join(slots.hint("merge"), ["source_no", "block"]), placed
 
 
 def taken(docs: DataFrame, *ids: str) -> DataFrame:
@@ -137,7 +137,7 @@ def taken(docs: DataFrame, *ids: str) -> DataFrame:
     pieces, placed = mix(docs, *ids)
     # a document with words is the only one at its place of its source's stream
     sums = pieces.groupBy("source_no", "start").agg(F.sum("length").alias("_taken"))
-    return placed.join(sums, ["source_no", "start"], "left").select(
+    return placed.join(sums.hint("merge"), ["source_no", "start"], "left").select(
         *ids, "size", "source_size", "target",
         F.when(F.col("size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(0).cast("long").alias("taken"),
     )
