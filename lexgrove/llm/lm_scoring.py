@@ -41,7 +41,7 @@ ORDER = 3
 M = 4.0
 DEEP = 2
 #: Bytes of text in a batch, and entries that one shard may hold of a level.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 6_000_000
 SHARD_ENTRIES = 1_500_000
 LEAST_SHARDS = 64
 END = b"\n"  # no word: it is white space
@@ -106,7 +106,7 @@ class _Batch:
     def __init__(self, body: bytes):
         self.ids, self.held, lengths, sequence, steps = unpacked(body)
         self.lengths = lengths.astype(np.int64)
-        self.sequence = sequence.astype(np.int64)
+        self.sequence = sequence.astype(np.int32)
         self.keys = np.cumsum(steps.astype(np.int64))
         self.ends = np.cumsum(self.lengths)
         self.train = np.repeat(~self.held, self.lengths)
@@ -129,19 +129,20 @@ def _entries(batch: _Batch, level: int, state: dict) -> tuple[np.ndarray, np.nda
         asked = (parent >= 0) & (word >= 0)
     else:
         # the entry of the token before is the context; a text's first word has none
-        entry = np.full(len(batch.sequence), -1, np.int64)
+        entry = np.full(len(batch.sequence), -1, np.int32)
         entry[1:] = state[level - 1][:-1]
         entry[np.concatenate(([0], batch.ends[:-1]))] = -1
         has = entry >= 0
         parent, seen = np.full(len(entry), -1, np.int64), np.zeros(len(entry), np.int64)
         parent[has], seen[has] = state["node", level - 1][entry[has]], state["count", level - 1][entry[has]]
         asked = (parent >= 0) & (word >= 0) & (seen >= DEEP)
-    where = np.flatnonzero(asked)
+    where = np.flatnonzero(asked).astype(np.int32)
     order = where[_order(parent[where], word[where])]
     p, w = parent[order], word[order]
+    del where, parent, asked
     new = np.concatenate(([True], (p[1:] != p[:-1]) | (w[1:] != w[:-1]))) if len(p) else np.zeros(0, bool)
-    entry_of = np.full(len(word), -1, np.int64)
-    entry_of[order] = np.cumsum(new) - 1
+    entry_of = np.full(len(word), -1, np.int32)
+    entry_of[order] = np.cumsum(new, dtype=np.int32) - 1
     state[level] = entry_of
     counts = np.bincount(entry_of[order], batch.train[order], minlength=int(new.sum())).astype(np.int64)
     return p[new], w[new], seen[order][new], counts
@@ -161,8 +162,8 @@ def _answered(given: list[list], shards: list[int], batch: _Batch) -> dict:
     for level, (answers, n_shards) in enumerate(zip(given, shards), 1):
         parent, word, _, _ = _entries(batch, level, state)
         shard = _entry_shard(level, parent, word, n_shards)
-        node, count, code = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
-        by_shard = np.argsort(shard, kind="stable")
+        node, count, code = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int32), np.zeros(len(word), np.uint16)
+        by_shard = np.argsort(shard, kind="stable").astype(np.int32)
         cut = np.searchsorted(shard[by_shard], np.arange(n_shards + 1))
         for answer in answers if answers is not None else ():
             number = int(answer["shard"])
@@ -268,7 +269,7 @@ def _scores(batch: _Batch, state: dict, order: int, total: int, types: int):
         if level == 2:
             seen, usable = state["count"][batch.before].astype(np.float64), np.ones(len(entry), bool)
         else:
-            before = np.full(len(entry), -1, np.int64)
+            before = np.full(len(entry), -1, np.int32)
             before[1:] = state[level - 1][:-1]
             before[np.concatenate(([0], batch.ends[:-1]))] = -1
             seen = np.where(before >= 0, state["count", level - 1][before] if len(state["count", level - 1]) else 0, 0)
