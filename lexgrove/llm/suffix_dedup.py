@@ -43,7 +43,7 @@ ANCHOR = 24
 COMMON = 1000
 BATCH_BYTES = 8_000_000
 #: Bytes of corpus for one shard of the anchor count and of the suffix arrays.
-BYTES_A_SHARD = 8_000_000
+BYTES_A_SHARD = 4_000_000
 LEAST_SHARDS = 64
 _NO_ID = np.iinfo(np.int64).max
 _SEPARATOR = 0xFF  # in no UTF-8 text
