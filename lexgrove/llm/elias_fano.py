@@ -64,6 +64,7 @@ class EliasFano:
             _or_at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
         self.low = _stored(low, folder, name + ".low")
         self.last_high = int(high[-1]) if n else -1
+        self.ones: np.ndarray | None = None  # set bits before each word, made when first asked for
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -115,9 +116,10 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         """The numbers at these indexes."""
         i = np.asarray(i, np.int64)
-        ones = np.arange(len(self.zeros)) * 64 - self.zeros
-        word = np.searchsorted(ones, i, side="right") - 1
-        rest = i - ones[word]
+        if self.ones is None:
+            self.ones = np.arange(len(self.zeros)) * 64 - self.zeros
+        word = np.searchsorted(self.ones, i, side="right") - 1
+        rest = i - self.ones[word]
         place = word * 64 + _select(~self.high[word], rest)  # set bits as clear ones
         return ((place - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)
 

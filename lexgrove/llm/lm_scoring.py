@@ -205,10 +205,13 @@ def _words_of_steps(parent: np.ndarray, step: np.ndarray) -> np.ndarray:
 def _requests(level: int, entries: tuple, n_shards: int, batch_id: int):
     parent, word, seen, counts = entries
     shard = _entry_shard(level, parent, word, n_shards)
-    for number in np.unique(shard):
-        mine = shard == number
-        body = packed(gaps(parent[mine]), _word_steps(parent[mine], word[mine]), narrow(seen[mine]), narrow(counts[mine]))
-        yield int(number), batch_id, body
+    order = np.argsort(shard, kind="stable")  # entries of a shard keep their order
+    parent, word, seen, counts = parent[order], word[order], seen[order], counts[order]
+    cut = np.searchsorted(shard[order], np.arange(n_shards + 1)).tolist()
+    for number, (a, b) in enumerate(zip(cut, cut[1:])):
+        if a < b:
+            steps = _word_steps(parent[a:b], word[a:b])
+            yield number, batch_id, packed(gaps(parent[a:b]), steps, narrow(seen[a:b]), narrow(counts[a:b]))
 
 
 def _serve(level: int):
@@ -225,25 +228,31 @@ def _serve(level: int):
             parent = np.cumsum(parent.astype(np.int64))
             asked.append((parent, _words_of_steps(parent, word), seen.astype(np.int64), counts.astype(np.int64)))
         parent, word, seen, counts = (np.concatenate(a) for a in zip(*asked))
-        kept = counts > 0
-        parent, word, seen, counts = parent[kept], word[kept], seen[kept], counts[kept]
+        ends = np.cumsum([len(a[0]) for a in asked]).tolist()
+        del asked
         order = _order(parent, word)
-        parent, word, seen, counts = parent[order], word[order], seen[order], counts[order]
+        parent, word = parent[order], word[order]
         new = np.concatenate(([True], (parent[1:] != parent[:-1]) | (word[1:] != word[:-1]))) if len(parent) else np.zeros(0, bool)
         starts = np.flatnonzero(new)
-        counts = np.add.reduceat(counts, starts) if len(starts) else counts
-        parent, word, seen = parent[new], word[new], seen[new]
-        codes = quantised(counts / (seen + M)) if level > 1 else np.zeros(len(counts), np.uint16)
+        counts = np.add.reduceat(counts[order], starts) if len(starts) else counts
+        distinct = np.empty(len(order), np.int32)  # of each asked entry
+        distinct[order] = np.cumsum(new, dtype=np.int32) - 1
+        parent, word, seen = parent[starts], word[starts], seen[order][starts]
+        kept = counts > 0
+        n_kept, shares = int(kept.sum()), counts[kept] / (seen[kept] + M)
+        codes = quantised(shares) if level > 1 else np.zeros(n_kept, np.uint16)
         rows = []
         with tempfile.TemporaryDirectory() as folder:
-            trie = TrieLevel(parent, word, folder)
-            for batch, (p, w, _, _) in zip(frame["batch"], asked):
-                place = trie.find(p, w)
-                found = np.flatnonzero(place >= 0)
-                at = place[found]
-                rows.append((batch, int(frame["shard"].iloc[0]), len(parent),
-                             packed(gaps(found), gaps(at), narrow(counts[at]), codes[at])))
+            trie = TrieLevel(parent[kept], word[kept], folder)
+            place = trie.find(parent, word)  # each distinct entry once
             del trie
+        counts = counts[kept]
+        for batch, a, b in zip(frame["batch"], [0, *ends], ends):
+            own = place[distinct[a:b]]
+            found = np.flatnonzero(own >= 0)
+            at = own[found]
+            rows.append((batch, int(frame["shard"].iloc[0]), n_kept,
+                         packed(gaps(found), gaps(at), narrow(counts[at]), codes[at])))
         return pd.DataFrame(rows, columns=["batch", "shard", "n_kept", "body"])
 
     return run
