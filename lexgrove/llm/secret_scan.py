@@ -1,7 +1,8 @@
 """Secret scan with a random forest that removes false positives; DataFrame operations only.
 
-A candidate is a run of at least 12 key-like characters with a digit, or the value
-assigned to a credential's name. A forest trained from labelled findings scores each
+A candidate is the value of 8 characters or more that is assigned to a credential's name
+(upper or lower case, the name and the value in quotes or not), or a run of at least 12
+key-like characters with a digit; of ``NAME=value`` it is the value. A forest trained from labelled findings scores each
 candidate by its length, its character classes and their changes, the likelihood of its
 character pairs under the corpus's own words, how much of it dictionary words
 cover, its path and the words next to it.
@@ -35,11 +36,28 @@ TREES, DEPTH, SEED = 24, 6, 17
 NEIGHBOURS = 64
 #: A candidate stays if the forest gives it this much.
 STAYS = 0.5
+_RUN = "A-Za-z0-9+/_-"
 _KEY = "A-Za-z0-9+/=_-"
 _NAMES = "token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth|bearer"
+_QUOTE = r"\\?[\"']"
+_SIGN = r"(?:[=:]=?|=>)"
+#: From a credential's name to its value: NAME=, "name": ', name => and the like.
+_ASSIGNED = rf"(?:{_NAMES})(?:{_QUOTE})?[ \t]{{0,8}}{_SIGN}[ \t]{{0,8}}"
+_DIGIT = r"(?=[A-Za-z+/=_-]{0,64}[0-9])"
+#: In quotes to the closing quote; otherwise to white space, the next field of a query string or the last punctuation.
+_VALUE = (
+    r"(?<=\")[^\"\r\n]{8,}?(?=\\?\")|(?<=')[^'\r\n]{8,}?(?=\\?')"
+    rf"|(?![=>]|{_QUOTE})(?:[^\s\"'&]{{8,}}(?=&[A-Za-z_][\w.-]{{0,40}}=)|[^\s\"']{{7,}}[^\s\"',;.)\]}}>]|[^\s\"']{{8,}})"
+)
+#: NAME= before a value that is a candidate itself: no part of a run, so that the value has its name before it.
+_LEFT = (
+    rf"(?:[A-Za-z_-]*+(?:[0-9][A-Za-z_-]*+){{0,2}}|[A-Za-z0-9_-]*(?i:{_NAMES}))=(?!=){_DIGIT}[{_KEY}]{{12}}"
+    rf"|[A-Za-z0-9_-]*(?i:{_NAMES})=(?!=)(?:{_QUOTE})?[^\s\"'][^\"'\r\n]{{7}}"
+)
+#: Short look-behinds first: few places need the long one.
 CANDIDATE = (
-    rf"(?<![{_KEY}])(?=[A-Za-z+/=_-]{{0,64}}[0-9])[{_KEY}]{{12,}}"
-    rf"|(?<=(?:token|secret|password|passwd|api_key|apikey)[ ]?[=:][ ]?[\"']?)[^\s\"']{{8,}}"
+    rf"(?<=[\s\"'=:>])(?<=[=:>][ \t]{{0,8}}(?:{_QUOTE})?)(?<=(?i:{_ASSIGNED})(?:{_QUOTE})?)(?:{_VALUE})"
+    rf"|(?<![{_RUN}])(?!=)(?!{_LEFT}){_DIGIT}[{_KEY}]{{12,}}"
 )
 _FEATURES = [
     "length", "digits", "upper", "lower", "signs", "hex", "runs", "distinct", "pairs", "covered", "path_length",
@@ -123,8 +141,8 @@ def features(found: DataFrame, words: Words) -> DataFrame:
         F.length(path).cast("double").alias("path_length"), flag(path.rlike("test|example|sample|fixture|mock")).alias("path_test"),
         flag(path.rlike(r"\.(env|ini|cfg|conf|py|js|ts|java|go|rb|sh|ya?ml|json|toml)\b")).alias("path_code"),
         F.pmod(F.xxhash64(path), F.lit(16)).cast("double").alias("path_bucket"),
-        flag(near.rlike(rf"({_NAMES})\W*$")).alias("named"), flag(near.rlike(r"[=:]\s*[\"']?$")).alias("assigned"),
-        flag(near.rlike(r"[\"']$") & F.col("after").rlike(r"^[\"']")).alias("quoted"),
+        flag(near.rlike(rf"({_NAMES})\W*$")).alias("named"), flag(near.rlike(rf"{_SIGN}\s*(?:{_QUOTE})?$")).alias("assigned"),
+        flag(near.rlike(r"[\"']$") & F.col("after").rlike(rf"^{_QUOTE}")).alias("quoted"),
         flag(near.rlike(r"(sha|md5|hash|digest|checksum|commit|uuid|card|phone|call|id)\W*$")).alias("benign"),
         F.slice(F.split(F.concat_ws(" ", F.reverse(F.regexp_replace(near, r"[^a-z]+", " "))), " +"), 1, 4).alias("_left"),
         F.slice(F.split(F.regexp_replace(F.lower("after"), r"[^a-z]+", " "), " +"), 1, 3).alias("_right"),
@@ -165,14 +183,16 @@ def scan(found: DataFrame, words: Words, forest: PipelineModel | None, *ids: str
 def labelled_findings(found: DataFrame) -> DataFrame:
     """Findings that their surroundings label beyond doubt, for tables that come without a reviewer's labels.
 
-    Secret: the value assigned, in quotes, to a credential's name, of 20 or more characters with letters and
-    digits. Not a secret: digits alone, values with a word such as ``example`` in them, and what stands free in a text
-    with no name or sign of assignment before it. All else has no label.
+    Secret: what is assigned to a credential's name, in quotes with a letter and no white space or template in it, or
+    without quotes as 20 or more key-like characters with letters and digits. Not a secret: digits alone, and values
+    with a word such as ``example`` in them. All else has no label; standing free in a text says nothing.
     """
     c, near = F.col("candidate"), F.lower("before")
-    named = near.rlike(rf"({_NAMES})\W*$") & near.rlike(r"[=:]\s*[\"']$") & F.col("after").rlike(r"^[\"']")
-    secret = named & (F.length(c) >= 20) & c.rlike("[0-9]") & c.rlike("[A-Za-z]") & ~F.lower(c).rlike("example|sample|dummy|xxxx")
-    not_one = c.rlike("^[0-9+=_/-]+$") | F.lower(c).rlike("example|sample|dummy|xxxx") | near.rlike(r"[a-z,.]\s$")
+    example = F.lower(c).rlike("example|sample|dummy|xxxx")
+    quoted = near.rlike(rf"{_ASSIGNED}{_QUOTE}$") & F.col("after").rlike(rf"^{_QUOTE}") & ~c.rlike(r"[\s${}<>()]")
+    bare = near.rlike(rf"{_ASSIGNED}$") & (F.length(c) >= 20) & c.rlike(f"^[{_KEY}]+$") & c.rlike("[0-9]")
+    secret = (quoted | bare) & c.rlike("[A-Za-z]") & ~example
+    not_one = c.rlike("^[0-9+=_/-]+$") | example
     return found.withColumn("label", F.when(secret, 1).when(not_one, 0)).where("label is not null")
 
 

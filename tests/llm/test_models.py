@@ -161,3 +161,37 @@ def test_secrets_of_awkward_rows(edge, nothing):
     found = secret_scan.candidates(edge, "doc_id")
     kept = secret_scan.scan(found, secret_scan.words_of(edge), secret_scan.train(found.withColumn("label", F.lit(1)), None))
     assert all(r.is_secret and r.score is None for r in kept.collect())
+
+
+FORMS = [
+    ('PASSWORD="correct-horse-battery"', "correct-horse-battery"),
+    ('pwd = "Tr0ub4dor"', "Tr0ub4dor"),
+    ('DB_PASSWORD = "p@ss!W0rd!2024"', "p@ss!W0rd!2024"),
+    ('{"password": "correcthorsebattery"}', "correcthorsebattery"),
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCYzzTOPKEY", "wJalrXUtnFEMIK7MDENGbPxRfiCYzzTOPKEY"),
+    ("export Api-Key=abcdefgh-ijkl", "abcdefgh-ijkl"),
+    ("MYAPP1_TOKEN='two words, one secret'", "two words, one secret"),
+    ("private_key: Zm9vYmFyYmF6cXV4MTIzNA==", "Zm9vYmFyYmF6cXV4MTIzNA=="),
+    ('{\\"apikey\\": \\"q7-w8-e9-r0\\"}', "q7-w8-e9-r0"),
+    ("credential => hunter2hunter!,", "hunter2hunter!"),
+    ("https://a.b/c?access_key=abcd!efgh&auth=ijkl!mnop&x=1", "abcd!efgh ijkl!mnop"),
+]
+
+
+def test_secrets_of_ordinary_forms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    own = [(-1 - i, f"first line\n{text}\nlast line", ".env") for i, (text, _) in enumerate(FORMS)]
+    own.append((-99, "free 3f9a77c0d1e25b8846aa and token_count1=abc12345678 and S3_BUCKET=q1w2e3r4t5y6u7", ""))
+    rows = secret_scan.scanned(docs.unionByName(spark.createDataFrame(own, docs.schema))).where("doc_id < 0").collect()
+    for i, (text, values) in enumerate(FORMS):
+        mine = sorted((r for r in rows if r.doc_id == -1 - i), key=lambda r: r.nth)
+        assert [r.candidate for r in mine] == (values.split(" ") if "&" in text else [values])
+        assert all(r.is_secret for r in mine), text
+        assert all(re.search(secret_scan._NAMES, r.before.lower()) for r in mine)
+    free = sorted((r for r in rows if r.doc_id == -99), key=lambda r: r.nth)
+    assert [r.candidate for r in free] == ["3f9a77c0d1e25b8846aa", "token_count1=abc12345678", "q1w2e3r4t5y6u7"]
+    assert free[2].before.endswith("S3_BUCKET=")
+    labels = {r.candidate: r.label for r in secret_scan.labelled_findings(spark.createDataFrame(
+        [("3f9a77c0d1e25b8846aa", "stands free ", " "), ("4785380592391139", "free ", " "), ("Tr0ub4dor", 'PWD = "', '"')],
+        "candidate string, before string, after string")).collect()}
+    assert labels == {"4785380592391139": 0, "Tr0ub4dor": 1}
