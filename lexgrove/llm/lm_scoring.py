@@ -15,7 +15,7 @@ seen c(u) times, p(w | u) = (c(u w) + M p') / (c(u) + M), with p' of the context
 its first word. Each p sums to one over the vocabulary and one unknown word. The share
 c(u w) / (c(u) + M) is what the trie keeps, in ``1 << 16`` steps of its log odds. The end
 token also stands before a text's first word. Trigrams are kept below contexts that were
-seen ``DEEP`` times or more; elsewhere the bigram's p holds.
+seen ``DEEP`` times or more, which is all of them; elsewhere the bigram's p holds.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id counts as the
 empty text in the fold rule; repeated rows are documents of their own; an empty table
@@ -39,7 +39,7 @@ from lexgrove.llm.common import columns, shared_folder, ship_package, shuffle_wi
 FOLDS, HELD_OUT = 5, 1
 ORDER = 3
 M = 4.0
-DEEP = 2
+DEEP = 1
 #: Bytes of text in a batch, and entries that one shard may hold of a level.
 BATCH_BYTES = 6_000_000
 SHARD_ENTRIES = 1_500_000

@@ -71,6 +71,20 @@ def test_lm_scores_equal_brute_force(request, table, monkeypatch):
         assert a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=2e-3, abs=2e-3)
 
 
+def test_lm_trigrams_of_contexts_seen_once(spark):
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    train = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 != 1)
+    passage = "one passage that a single training document holds"
+    docs = spark.createDataFrame([(train, passage), (held, passage)], "doc_id long, text string")
+    scored = {r.doc_id: r for r in lm_scoring.scores(docs).collect()}
+    n = len(passage.split()) + 1
+    assert scored[held].held_out and scored[held].train_tokens == n
+    one = 1.5 / (n + 0.5 * (n + 1))  # every word once, the end too
+    two = (1 + 4 * one) / 5
+    expected = math.log10(two) + (n - 1) * math.log10((1 + 4 * two) / 5)
+    assert scored[held].score == pytest.approx(expected, abs=2e-3)
+
+
 def test_lm_scores_of_no_rows(nothing):
     assert lm_scoring.scores(nothing).collect() == []
 
