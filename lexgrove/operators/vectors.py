@@ -24,7 +24,10 @@ from lexgrove.session import ship_package
 SCORE_DIGITS = 9
 BROADCAST_QUERY_VALUES = 8_000_000  # numbers; 64 MB as doubles
 BLOCK_VALUES = 8_000_000  # numbers of one side of a block
-LSH_BUCKET = 64  # vectors of one bucket, on average
+LSH_BUCKET = 64  # vectors of one bucket, on average, at the least
+LSH_TABLES = 64  # tables at most
+LSH_RECALL = 0.95  # on sampled queries; what all queries get may be a little less
+LSH_SAMPLE = 200
 _SCORE_TILE = 4_000_000  # scores held at once by a task
 
 
@@ -227,12 +230,44 @@ def cosine_topk(
     return ranked(_cogrouped(left, right, ["_q", "_v"], k, skip_self, schema), k)
 
 
+def _planes(seed: int, tables: int, bits: int, width: int) -> np.ndarray:
+    """Fewer tables have the first planes of more."""
+    return np.random.default_rng(seed).standard_normal((tables * bits, width))
+
+
+def _lsh_shape(
+    queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int | None, bits: int | None, seed: int, skip_self: bool
+) -> tuple[int, int] | None:
+    """Tables and bits by which sampled queries meet ``LSH_RECALL`` of their exact best k while scoring the fewest vectors;
+    null if none scores fewer than an exact scan. What is given is kept."""
+    most = max(1, min(24, round(np.log2(max(1, vectors.count() / LSH_BUCKET)))))
+    asked = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
+    asked = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(LSH_SAMPLE)
+    asked = queries.sparkSession.createDataFrame(asked.toArrow(), asked.schema)
+    near = cosine_topk(asked, vectors, k, skip_self).select("query_id", "id")
+    found = near.join(vectors.select("id", F.col("vector").alias("_near")), "id").join(asked, "query_id")
+    pairs = found.select("vector", "_near").toArrow()
+    if not pairs.num_rows:
+        return tables or 8, bits or most
+    left, right = _matrix(pairs["vector"]), _matrix(pairs["_near"])
+    best = None
+    for b in [bits] if bits else range(1, most + 1):
+        planes = _planes(seed, tables or LSH_TABLES, b, width)
+        same = ((left @ planes.T > 0) == (right @ planes.T > 0)).reshape(len(left), -1, b).all(axis=2)
+        recall = np.logical_or.accumulate(same, axis=1).mean(axis=0)
+        if recall[-1] >= LSH_RECALL:
+            t = tables or int(np.argmax(recall >= LSH_RECALL)) + 1
+            if t < 1 << b and (best is None or t / (1 << b) < best[0] / (1 << best[1])):
+                best = t, b
+    return best
+
+
 def lsh_topk(
     queries: DataFrame,
     vectors: DataFrame,
     k: int,
     width: int,
-    tables: int = 8,
+    tables: int | None = None,
     bits: int | None = None,
     seed: int = 42,
     skip_self: bool = False,
@@ -241,16 +276,21 @@ def lsh_topk(
     """Approximate best k by random hyperplanes; recall is measured against exact.
 
     Every table assigns a vector to one of ``2**bits`` buckets; a query meets the
-    vectors of its bucket in each table. Unless given, ``bits`` follows the number of
-    vectors, so that a bucket holds about ``LSH_BUCKET`` of them at any size. A query
-    whose buckets are nearly empty may get fewer than ``k`` rows. A bucket above ``block_values`` numbers
-    on either side is split into parts, and every part of one side meets every
+    vectors of its bucket in each table. Unless both are given, ``tables`` and ``bits``
+    are chosen by the recall that ``LSH_SAMPLE`` queries would have against their exact
+    best k, at least ``LSH_RECALL``, so that recall does not fall as the input grows. Where
+    vectors lie so evenly that this takes as many scores as an exact scan, the exact
+    scan answers. A query whose buckets are nearly empty may get fewer than ``k`` rows. A bucket above
+    ``block_values`` numbers on either side is split into parts, and every part of one side meets every
     part of the other.
     """
     ship_package(vectors.sparkSession)
-    if bits is None:
-        bits = max(1, min(24, round(np.log2(max(1, vectors.count() / LSH_BUCKET)))))
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, width))
+    if tables is None or bits is None:
+        shape = _lsh_shape(queries, vectors, k, width, tables, bits, seed, skip_self)
+        if shape is None:
+            return cosine_topk(queries, vectors, k, skip_self)
+        tables, bits = shape
+    planes = _planes(seed, tables, bits, width)
     weights = 1 << np.arange(bits)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -574,6 +574,15 @@ def lsh_topk(spark, sf):
     )
 
 
+def lsh_recall(spark, sf):
+    """Share of the exact best k that ``lsh_topk`` finds with the query's parameters."""
+    ids = ["query_id", "id"]
+    exact = vectors.cosine_topk(_queries(spark, sf), _points(spark, sf), KNN_K, skip_self=True).select(*ids)
+    near = lsh_topk(spark, sf).select(*ids, F.lit(1).alias("hit"))
+    found = exact.join(near, ids, "left")
+    return found.agg(F.lit(KNN_K).alias("k"), F.count("hit").alias("found"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
 def hash_encode(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
     model = encode.fit_hashed(docs, "text", 256)
@@ -1040,7 +1049,7 @@ QUERIES = {
         validity_filter, corpus_subset, resume_anti, point_lookup, related_rows, null_profile,
         type_counts, store_stats, daily_activity, prefix_plan, page_listing, retention,
         cascade_delete, knn_topk, knn_filtered, boosted_rerank, hydrate_hits, hits_per_query,
-        retrieval_metrics, complete_sections, prompt_blocks, verdict_blocks, evaluation_run, lsh_topk, hash_encode, unit_vectors,
+        retrieval_metrics, complete_sections, prompt_blocks, verdict_blocks, evaluation_run, lsh_topk, lsh_recall, hash_encode, unit_vectors,
         name_contains, name_fuzzy, name_pairs, name_search, trademark_blocks, merge_overwrite, merge_coalesce,
         dedupe_first, bridge_build, sheet_records_merged, sheet_report, trademark_merge,
         route_queries, route_defaults, route_questions, routed_search, legal_search, verdict_search, corpus_ids, bench_queries,

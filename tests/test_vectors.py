@@ -80,6 +80,30 @@ def test_lsh_recall_and_split_buckets(spark, data):
     assert split.select("query_id", "id", "rank").exceptAll(near.select("query_id", "id", "rank")).count() == 0
 
 
+def default_recall(queries, vec, k, width):
+    exact = vx.cosine_topk(queries, vec, k, True).select("query_id", "id")
+    near = vx.lsh_topk(queries, vec, k, width, skip_self=True).select("query_id", "id")
+    return near.intersect(exact).count() / exact.count()
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_lsh_recall_of_the_default_parameters(spark, folder):
+    points = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    vec = points.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    assert default_recall(vec.select(F.col("id").alias("query_id"), "vector"), vec, 10, 64) >= 0.9
+
+
+@pytest.mark.parametrize("n", [1000, 8000])
+def test_lsh_recall_where_buckets_save_work(spark, n):
+    rng = np.random.default_rng(3)
+    groups = rng.standard_normal((n // 20, 16))
+    rows = np.repeat(groups, 20, axis=0) + 0.25 * rng.standard_normal((n, 16))
+    vec = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], ["id", "vector"]).repartition(4)
+    queries = vec.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    assert vx._lsh_shape(queries, vec, 10, 16, None, None, 42, True) is not None
+    assert default_recall(queries, vec, 10, 16) >= 0.9
+
+
 def test_row_cosine_and_normalise(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], ["a", "b"])
     unit = df.select(vx.l2_normalised(F.col("a")).alias("u")).collect()
