@@ -28,9 +28,12 @@ def only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without text or letters go."""
+    """Documents whose language can be told: those without text or letters go. Where no row teaches a language, only those go."""
     names = ("_said", "_score", "_unclear")
-    said = language_id.identify(docs, language_id.fit(docs), *docs.columns, names=names)
+    model = language_id.fit(docs)
+    if not model.languages:
+        return docs.where(text_of().rlike(r"\p{L}"))
+    said = language_id.identify(docs, model, *docs.columns, names=names)
     return said.where(F.col("_said") != language_id.UNKNOWN).select(*docs.columns)
 
 

@@ -236,3 +236,11 @@ def test_stages_on_awkward_and_no_rows(spark, data, edge, nothing, stage):
     if stage == "exact dedup":
         kept = function(spark, edge, data).collect()
         assert sorted(r.doc_id for r in kept) == [1, 3, 5, 6, 7, 8, 9] or len(kept) == 7
+
+
+def test_language_stage_without_labels_keeps_texts_with_letters(spark, data, edge):
+    from pyspark.sql import functions as F
+
+    unlabelled = edge.withColumn("lang", F.lit(None).cast("string"))
+    kept = [r.doc_id for r in corpus_pipeline.language(spark, unlabelled, data).collect()]
+    assert sorted(kept, key=str) == [1, 2, 5, 5, 6, 9, None]
