@@ -47,7 +47,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest doc_id."""
+    """One document of each component of near duplicates: the one with the smallest doc_id.
+
+    The rule is operator 3's, at most 4 of 64 bits over 4-word shingles; it finds close copies. Of edited copies with
+    a Jaccard similarity of 0.8 to 0.9 of their 5-word shingles, most stay (figures in the README).
+    """
     rows = checkpointed(simhash_dedup.with_fingerprint(identified(docs), ["doc_id", "_name"]))
     roots = simhash_dedup.fingerprint_roots(rows.select("fp").distinct())
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_name")
