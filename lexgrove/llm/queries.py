@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.llm import (
-    exact_dedup, language_id, lm_scoring, mixing, packing, quality_rules, secret_scan, simhash_dedup,
-    suffix_dedup, warc,
+    exact_dedup, fill_middle, language_id, lexical_search, license_scan, lm_scoring, mixing, packing, quality_rules,
+    secret_scan, simhash_dedup, suffix_dedup, warc,
 )
 from lexgrove.llm.common import table
+from lexgrove.llm.oracles import LATER_ORACLES
 
 
 def tokenizer_file() -> str:
@@ -64,15 +65,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transformed(table(spark, sf_dir, "documents"), "doc_id")
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents"), "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_warc_archive, op3_simhash_dedup, op4_exact_dedup, op5_suffix_dedup, op6_lm_scoring,
-        op7_best_fit_packing, op8_source_mixing, op9_language_id, op10_quality_rules,
+        op7_best_fit_packing, op8_source_mixing, op9_language_id, op10_quality_rules, op11_fill_middle,
+        op12_lexical_search, op13_license_scan,
     )
 }
 
-ORACLES = {
+ORACLES = LATER_ORACLES | {
     "op2_warc_archive": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload,
