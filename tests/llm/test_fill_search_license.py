@@ -258,8 +258,10 @@ def test_license_texts(spark):
     got = {r.doc_id: r for r in license_scan.scanned(docs).collect()}
     assert [got[i].labels for i in range(len(cases))] == [e for _, e in cases]
     assert got[5].n_base == 1 and got[5].first_word == got[5].last_word == 3 and got[5].score == pytest.approx(2 / 3)
-    found = license_scan.places(docs).where("doc_id = 4").orderBy("base").collect()
-    assert [(r.label, r.base, r.start, r.end) for r in found] == [("Apache-2.0", False, 0, 8), ("apache", True, 3, 5)]
+    found = license_scan.places(docs).where("doc_id = 4").orderBy("base", "start").collect()
+    assert [(r.label, r.base, r.start, r.end) for r in found] == [
+        ("Apache-2.0", False, 0, 8), ("Apache-2.0", False, 3, 8), ("apache", True, 3, 5)
+    ]
 
 
 def test_license_scan_of_awkward_rows(edge, nothing, documents):
