@@ -19,9 +19,7 @@ from math import gcd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexgrove.functions.text import cut_at, let, rx, strip
-
-_STRINGS = "array<string>"
+from lexgrove.functions.text import count_below, cut_at, let, running, rx, strip
 
 
 def _piece(text: Column, opens: Column) -> Column:
@@ -79,55 +77,58 @@ def pieces_of(text: Column, separators: Sequence[str], size: int, overlap: int =
     return _mark_runs(pieces, size)
 
 
+def _spans(edges: Column, opens: Column, size: int, overlap: int) -> Column:
+    """``struct(first, after)`` of the pieces of every chunk: the first piece and the one behind the last.
+
+    ``edges`` are the running lengths of the pieces, ``opens`` the places that open a run. A chunk's end
+    and the tail it carries over are found in them by binary search; the pieces are not visited.
+    """
+    n = F.size(edges)
+    edge = lambda i: F.when(i > 0, F.get(edges, i - 1)).otherwise(F.lit(0).cast("long"))
+
+    def tail(at: Column) -> Column:
+        """First of the whole pieces before ``at`` that are carried over: within the overlap, leaving room for the next."""
+        room = F.least(F.lit(overlap), F.lit(size) - (edge(at + 1) - edge(at)))
+        reaches = edge(at) - room
+        first = F.when(reaches > 0, count_below(edges, reaches) + 1).otherwise(F.lit(0))
+        opening = F.coalesce(F.get(opens, count_below(opens, at)) == at, F.lit(False))
+        return F.when(opening, at).otherwise(F.least(at, first))
+
+    def chunk(acc: Column) -> Column:
+        run_end = F.coalesce(F.get(opens, count_below(opens, acc["at"] + 1)), n)
+        full = count_below(edges, edge(acc["first"]) + size + 1)
+        after = F.greatest(acc["at"] + 1, F.least(run_end, full))
+        return let(after, lambda at: F.struct(
+            at.alias("at"), tail(at).alias("first"),
+            F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), at.alias("after")))).alias("out"),
+        ))
+
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("first"), F.array().cast("array<struct<first:int,after:int>>").alias("out")
+    )
+    return F.aggregate(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start,
+        lambda acc, _: F.when(acc["at"] < n, chunk(acc)).otherwise(acc), lambda acc: acc["out"],
+    )
+
+
 def pack(pieces: Column, size: int, overlap: int) -> Column:
     """Greedy packing of ``struct(text, opens)`` pieces into chunk texts."""
 
-    def flushed(acc: Column) -> Column:
-        body = strip(F.array_join(acc["open"], ""))
-        return F.when(body != "", F.concat(acc["out"], F.array(body))).otherwise(acc["out"])
-
-    def carried(acc: Column, incoming: Column) -> Column:
-        """Longest tail of whole pieces within the overlap that leaves room."""
-        room = F.least(F.lit(overlap), F.lit(size) - incoming)
-        back = F.reverse(acc["open"])
-        empty = F.struct(
-            F.array().cast(_STRINGS).alias("kept"),
-            F.lit(0).alias("chars"),
-            F.lit(False).alias("full"),
+    def packed(held: Column) -> Column:
+        lengths = F.transform(held, lambda p: F.length(p["text"]).cast("long"))
+        opens = F.filter(F.transform(held, lambda p, i: F.when(p["opens"], i)), lambda i: i.isNotNull())
+        places = F.struct(
+            running(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("edges"), opens.alias("opens"),
+            held["text"].alias("texts"),
         )
+        chunks = let(places, lambda h: F.transform(
+            _spans(h["edges"], h["opens"], size, overlap),
+            lambda s: strip(F.array_join(F.slice(h["texts"], s["first"] + 1, s["after"] - s["first"]), "")),
+        ))
+        return F.filter(chunks, lambda chunk: chunk != "")
 
-        def take(t: Column, p: Column) -> Column:
-            fits = ~t["full"] & (t["chars"] + F.length(p) <= room)
-            return F.struct(
-                F.when(fits, F.concat(F.array(p), t["kept"])).otherwise(t["kept"]).alias("kept"),
-                F.when(fits, t["chars"] + F.length(p)).otherwise(t["chars"]).alias("chars"),
-                (~fits).alias("full"),
-            )
-
-        # every piece has at least one character, so `overlap` pieces are enough
-        return F.aggregate(F.slice(back, 1, max(overlap, 1)), empty, take)
-
-    def step(acc: Column, piece: Column) -> Column:
-        text, n = piece["text"], F.length(piece["text"])
-        new_run = piece["opens"]
-        over = acc["chars"] + n > size
-        tail = carried(acc, n)  # only evaluated where a chunk is full
-        base = F.when(new_run, F.array().cast(_STRINGS)).when(over, tail["kept"]).otherwise(
-            acc["open"]
-        )
-        base_chars = F.when(new_run, F.lit(0)).when(over, tail["chars"]).otherwise(acc["chars"])
-        return F.struct(
-            F.when(new_run | over, flushed(acc)).otherwise(acc["out"]).alias("out"),
-            F.concat(base, F.array(text)).alias("open"),
-            (base_chars + n).alias("chars"),
-        )
-
-    start = F.struct(
-        F.array().cast(_STRINGS).alias("out"),
-        F.array().cast(_STRINGS).alias("open"),
-        F.lit(0).alias("chars"),
-    )
-    return F.aggregate(pieces, start, step, flushed)
+    return let(pieces, packed)
 
 
 def split_text(

@@ -29,6 +29,48 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, zero: Column, combine) -> Column:
+    """Inclusive running fold of an array: element i is ``combine`` over elements 0 to i.
+
+    The array is folded in blocks, and the blocks' results are folded in front, so that no array
+    longer than a block is regrown element by element: n elements cost about n ** (4 / 3) copies.
+    ``combine`` is evaluated twice a step and should be cheap.
+    """
+
+    def scan(items: Column, start: Column) -> Column:
+        first = F.struct(start.alias("last"), F.slice(F.array(start), 1, 0).alias("all"))
+
+        def step(acc: Column, x: Column) -> Column:
+            now = combine(acc["last"], x)
+            return F.struct(now.alias("last"), F.concat(acc["all"], F.array(now)).alias("all"))
+
+        return F.aggregate(items, first, step, lambda acc: acc["all"])
+
+    def by_blocks(whole: Column) -> Column:
+        block = F.greatest(F.lit(16), F.ceil(F.cbrt(2.0 * F.size(whole))).cast("int"))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(whole), F.lit(1)), block)
+        sums = scan(F.transform(starts, lambda at: F.aggregate(F.slice(whole, at, block), zero, combine)), zero)
+        before = lambda s, i: F.when(i > 0, F.get(s, i - 1)).otherwise(zero)
+        return let(sums, lambda s: F.flatten(F.transform(starts, lambda at, i: scan(F.slice(whole, at, block), before(s, i)))))
+
+    return let(values, by_blocks)
+
+
+def count_below(sorted_values: Column, value: Column) -> Column:
+    """How many elements of an ascending array are below ``value``; by binary search."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["low"] + acc["high"], 1)
+        right = (acc["low"] < acc["high"]) & (F.get(sorted_values, mid) < value)
+        return F.struct(
+            F.when(right, mid + 1).otherwise(acc["low"]).alias("low"), F.when(right, acc["high"]).otherwise(mid).alias("high")
+        )
+
+    n = F.size(sorted_values)
+    whole = F.struct(F.lit(0).alias("low"), n.alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(n))), whole, halve, lambda acc: acc["low"])
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lexgrove.functions import corpus_ids, legal, verdict
 from lexgrove.functions import fixed_values as fv
 from lexgrove.functions.splitting import split_text
-from lexgrove.functions.text import cut_at, head, let, null_to_blank, rx, strip
+from lexgrove.functions.text import cut_at, head, let, null_to_blank, running, rx, strip
 
 
 def _exploded(df: DataFrame, keep: list, pieces: Column, value: str) -> DataFrame:
@@ -87,9 +87,8 @@ def _carried(chunks: Column) -> Column:
     not start with a heading.
     """
 
-    def own(text: Column, i: Column) -> Column:
+    def own(text: Column) -> Column:
         return F.struct(
-            i.alias("index"),
             text.alias("content"),
             legal.part_heading(text).alias("phan"),
             legal.chapter_heading(text).alias("chapter"),
@@ -98,46 +97,40 @@ def _carried(chunks: Column) -> Column:
             legal.starts_with_heading(text).alias("headed"),
         )
 
-    row_type = (
-        "array<struct<index:int,content:string,phan:string,chuong:string,chuong_title:string,"
-        "muc:string,dieu:string,dieu_title:string,is_continuation:boolean>>"
-    )
-    start = F.struct(
-        F.lit(None).cast("string").alias("phan"),
-        F.lit(None).cast("struct<chuong:string,chuong_title:string>").alias("chapter"),
-        F.lit(None).cast("string").alias("muc"),
-        F.lit(None).cast("string").alias("dieu"),
-        F.array().cast(row_type).alias("rows"),
-    )
+    carried = ("phan", "chapter", "muc", "article")
     before, after = (F.lit(x) for x in fv.CONTINUED_TITLE)
 
-    def step(acc: Column, c: Column) -> Column:
-        phan = F.coalesce(c["phan"], acc["phan"])
-        chapter = F.coalesce(c["chapter"], acc["chapter"])
-        muc = F.coalesce(c["muc"], acc["muc"])
-        inherits = c["article"].isNull() & acc["dieu"].isNotNull() & ~c["headed"]
-        row = F.struct(
-            c["index"].alias("index"),
-            c["content"].alias("content"),
-            phan.alias("phan"),
-            chapter["chuong"].alias("chuong"),
-            chapter["chuong_title"].alias("chuong_title"),
-            muc.alias("muc"),
-            F.when(inherits, acc["dieu"]).otherwise(c["article"]["dieu"]).alias("dieu"),
-            F.when(inherits, F.concat(before, acc["dieu"], after))
-            .otherwise(c["article"]["dieu_title"])
-            .alias("dieu_title"),
-            inherits.alias("is_continuation"),
-        )
-        return F.struct(
-            phan.alias("phan"),
-            chapter.alias("chapter"),
-            muc.alias("muc"),
-            F.coalesce(c["article"]["dieu"], acc["dieu"]).alias("dieu"),
-            F.concat(acc["rows"], F.array(row)).alias("rows"),
+    def places(rows: Column) -> Column:
+        """For every chunk the place of the last one, up to itself, that names each heading; -1 if none does."""
+        named = F.transform(
+            rows, lambda r, i: F.struct(*[F.when(r[c].isNotNull(), i).otherwise(F.lit(-1)).alias(c) for c in carried])
         )
+        nowhere = F.struct(*[F.lit(-1).alias(c) for c in carried])
+        latest = lambda a, x: F.struct(*[F.greatest(a[c], x[c]).alias(c) for c in carried])
+        return running(named, nowhere, latest)
+
+    def looked_up(held: Column) -> Column:
+        rows, at = held["rows"], held["places"]
+
+        def row(c: Column, i: Column) -> Column:
+            last = lambda name: F.get(rows, F.get(at, i)[name])[name]
+            article = last("article")["dieu"]
+            inherits = c["article"].isNull() & article.isNotNull() & ~c["headed"]
+            return F.struct(
+                i.alias("index"),
+                c["content"].alias("content"),
+                last("phan").alias("phan"),
+                last("chapter")["chuong"].alias("chuong"),
+                last("chapter")["chuong_title"].alias("chuong_title"),
+                last("muc").alias("muc"),
+                F.when(inherits, article).otherwise(c["article"]["dieu"]).alias("dieu"),
+                F.when(inherits, F.concat(before, article, after)).otherwise(c["article"]["dieu_title"]).alias("dieu_title"),
+                inherits.alias("is_continuation"),
+            )
+
+        return F.transform(rows, row)
 
-    return F.aggregate(F.transform(chunks, own), start, step, lambda acc: acc["rows"])
+    return let(let(F.transform(chunks, own), lambda rows: F.struct(rows.alias("rows"), places(rows).alias("places"))), looked_up)
 
 
 def statute_chunks(

@@ -135,3 +135,35 @@ def test_unbroken_text_is_cut_as_by_single_characters(spark):
                 run = []
                 expected += merge(list(part), size, overlap) if part is not None else []
             assert got[i] == [c.strip() for c in expected if c.strip()], (size, overlap, whole)
+
+
+def test_running_folds_and_binary_search(spark):
+    rng = random.Random(2)
+    rows = [([rng.randint(0, 9) for _ in range(n)],) for n in (0, 1, 2, 15, 16, 17, 33, 300, 5000)]
+    df = spark.createDataFrame(rows, "v array<long>")
+    zero = F.lit(0).cast("long")
+    sums = text.running(F.col("v"), zero, lambda a, x: a + x)
+    tops = text.running(F.col("v"), zero, F.greatest)
+    got = df.select("v", sums.alias("s"), tops.alias("t")).withColumn(
+        "below", F.transform(F.sequence(F.lit(-1), F.lit(60)), lambda x: text.count_below(F.col("s"), x))
+    )
+    for r in got.collect():
+        total = top = 0
+        expected, highest = [], []
+        for x in r["v"]:
+            total, top = total + x, max(top, x)
+            expected.append(total)
+            highest.append(top)
+        assert r["s"] == expected and r["t"] == highest
+        assert r["below"] == [sum(s < x for s in expected) for x in range(-1, 61)]
+
+
+def test_many_pieces_of_one_document(spark):
+    """A document of 60,000 words and one of unbroken text: same chunks as by hand, in one row each."""
+    words, unbroken = "ab " * 60_000, "x" * 300_000
+    df = spark.createDataFrame([(0, words), (1, unbroken)], "i int, text string")
+    rows = df.select("i", split_text(F.col("text"), [r"\n\n", r" ", ""], 4000, 200).alias("c")).collect()
+    got = {r["i"]: r["c"] for r in rows}
+    parts = [words[a:b] for a, b in zip([0, *range(2, len(words), 3)], [*range(2, len(words), 3), len(words)])]
+    assert got[0] == [c.strip() for c in merge(parts, 4000, 200)]
+    assert "".join([got[1][0]] + [c[200:] for c in got[1][1:]]) == unbroken and max(map(len, got[1])) == 4000
