@@ -143,7 +143,7 @@ def test_running_folds_and_binary_search(spark):
     df = spark.createDataFrame(rows, "v array<long>")
     zero = F.lit(0).cast("long")
     sums = text.running(F.col("v"), zero, lambda a, x: a + x)
-    tops = text.running(F.col("v"), zero, F.greatest)
+    tops = text.running(F.col("v"), zero, lambda a, x: F.greatest(a, x))
     got = df.select("v", sums.alias("s"), tops.alias("t")).withColumn(
         "below", F.transform(F.sequence(F.lit(-1), F.lit(60)), lambda x: text.count_below(F.col("s"), x))
     )
