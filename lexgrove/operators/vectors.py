@@ -237,9 +237,9 @@ def _planes(seed: int, tables: int, bits: int, width: int) -> np.ndarray:
 
 def _lsh_shape(
     queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int | None, bits: int | None, seed: int, skip_self: bool
-) -> tuple[int, int] | None:
-    """Tables and bits by which sampled queries meet ``LSH_RECALL`` of their exact best k while scoring the fewest vectors;
-    null if none scores fewer than an exact scan. What is given is kept."""
+) -> tuple[int, int]:
+    """Tables and bits by which sampled queries meet ``LSH_RECALL`` of their exact best k while scoring the fewest vectors.
+    What is given is kept."""
     most = max(1, min(24, round(np.log2(max(1, vectors.count() / LSH_BUCKET)))))
     asked = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
     asked = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(LSH_SAMPLE)
@@ -257,9 +257,9 @@ def _lsh_shape(
         recall = np.logical_or.accumulate(same, axis=1).mean(axis=0)
         if recall[-1] >= LSH_RECALL:
             t = tables or int(np.argmax(recall >= LSH_RECALL)) + 1
-            if t < 1 << b and (best is None or t / (1 << b) < best[0] / (1 << best[1])):
+            if best is None or t / (1 << b) < best[0] / (1 << best[1]):
                 best = t, b
-    return best
+    return best or (tables or LSH_TABLES, bits or 1)
 
 
 def lsh_topk(
@@ -279,17 +279,14 @@ def lsh_topk(
     vectors of its bucket in each table. Unless both are given, ``tables`` and ``bits``
     are chosen by the recall that ``LSH_SAMPLE`` queries would have against their exact
     best k, at least ``LSH_RECALL``, so that recall does not fall as the input grows. Where
-    vectors lie so evenly that this takes as many scores as an exact scan, the exact
-    scan answers. A query whose buckets are nearly empty may get fewer than ``k`` rows. A bucket above
+    vectors lie evenly in all directions this scores more pairs than an exact scan; the inverted
+    file (``inverted_file``) suits such data better. A query whose buckets are nearly empty may get fewer than ``k`` rows. A bucket above
     ``block_values`` numbers on either side is split into parts, and every part of one side meets every
     part of the other.
     """
     ship_package(vectors.sparkSession)
     if tables is None or bits is None:
-        shape = _lsh_shape(queries, vectors, k, width, tables, bits, seed, skip_self)
-        if shape is None:
-            return cosine_topk(queries, vectors, k, skip_self)
-        tables, bits = shape
+        tables, bits = _lsh_shape(queries, vectors, k, width, tables, bits, seed, skip_self)
     planes = _planes(seed, tables, bits, width)
     weights = 1 << np.arange(bits)
 

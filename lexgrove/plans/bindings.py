@@ -22,6 +22,7 @@ from lexgrove.operators import (
     chunking,
     encode,
     graph,
+    inverted_file,
     lines,
     merge,
     metrics,
@@ -391,6 +392,11 @@ def cascade_delete(spark, sf):
 
 # ---------------------------------------------------------------------- vectors
 def _queries(spark, sf) -> DataFrame:
+    """The stated query set of the vector searches: every row whose id is divisible by 50, asked against all rows."""
+    return _all_queries(spark, sf).where(F.col("query_id") % 50 == 0)
+
+
+def _all_queries(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")
     )
@@ -583,6 +589,16 @@ def lsh_recall(spark, sf):
     return found.agg(F.lit(KNN_K).alias("k"), F.count("hit").alias("found"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
+def ann_topk(spark, sf):
+    """Best vectors by the inverted file: lists probed by measured recall, candidates scored exactly."""
+    return _shown(inverted_file.topk(_queries(spark, sf), _points(spark, sf), KNN_K, skip_self=True)[0])
+
+
+def ann_report(spark, sf):
+    """What the inverted file finds of the exact answer, and what it scores for it."""
+    return inverted_file.report(_queries(spark, sf), _points(spark, sf), KNN_K, skip_self=True)
+
+
 def hash_encode(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
     model = encode.fit_hashed(docs, "text", 256)
@@ -810,7 +826,7 @@ def routed_search(spark, sf):
     routed = routing.with_route(asked, "text", ROUTING).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", "route"
     )
-    queries = routed.join(_queries(spark, sf).withColumnRenamed("query_id", "conv_id"), "conv_id")
+    queries = routed.join(_all_queries(spark, sf).withColumnRenamed("query_id", "conv_id"), "conv_id")
     top = vectors.cosine_topk(queries, _points(spark, sf), 2 * fv.VERDICT_TOP_K)
     found = retrieval.reranked_by_route(
         top.join(_section_of(spark, sf), "id"),
@@ -853,7 +869,7 @@ def route_questions(spark, sf):
 
 
 def _asked_vectors(spark, sf) -> DataFrame:
-    return _queries(spark, sf).where(F.col("query_id") % 50 == 0)
+    return _queries(spark, sf)
 
 
 def _source_number() -> Column:
@@ -1049,7 +1065,7 @@ QUERIES = {
         validity_filter, corpus_subset, resume_anti, point_lookup, related_rows, null_profile,
         type_counts, store_stats, daily_activity, prefix_plan, page_listing, retention,
         cascade_delete, knn_topk, knn_filtered, boosted_rerank, hydrate_hits, hits_per_query,
-        retrieval_metrics, complete_sections, prompt_blocks, verdict_blocks, evaluation_run, lsh_topk, lsh_recall, hash_encode, unit_vectors,
+        retrieval_metrics, complete_sections, prompt_blocks, verdict_blocks, evaluation_run, ann_topk, ann_report, lsh_topk, lsh_recall, hash_encode, unit_vectors,
         name_contains, name_fuzzy, name_pairs, name_search, trademark_blocks, merge_overwrite, merge_coalesce,
         dedupe_first, bridge_build, sheet_records_merged, sheet_report, trademark_merge,
         route_queries, route_defaults, route_questions, routed_search, legal_search, verdict_search, corpus_ids, bench_queries,

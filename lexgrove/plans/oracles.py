@@ -365,7 +365,10 @@ WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') G
 
 
 # ---------------------------------------------------------------------- vectors
-def _top(k: int, pool: str = "embeddings", skip_self: bool = True, queries: str = "embeddings") -> str:
+_ASKED_VECTORS = "(SELECT * FROM embeddings WHERE vec_id % 50 = 0)"
+
+
+def _top(k: int, pool: str = "embeddings", skip_self: bool = True, queries: str = _ASKED_VECTORS) -> str:
     other = "AND q.vec_id <> v.vec_id" if skip_self else ""
     return f"""
   SELECT * FROM (
@@ -411,7 +414,7 @@ FROM ({_top(KNN_K)}) t JOIN documents ON doc_id = t.id
 add(
     "hits_per_query",
     f"""
-SELECT vec_id AS query_id, count(l.doc_id) AS total_found FROM embeddings
+SELECT vec_id AS query_id, count(l.doc_id) AS total_found FROM {_ASKED_VECTORS}
 LEFT JOIN ({_top(KNN_K)}) t ON t.query_id = vec_id
 LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = t.id GROUP BY vec_id
 """,
@@ -422,7 +425,8 @@ add(
 WITH t AS ({_top(max(fv.EVAL_KS))}),
 j AS (SELECT t.query_id, t.rank, h.label = q.label AS rel
   FROM t JOIN embeddings h ON h.vec_id = t.id JOIN embeddings q ON q.vec_id = t.query_id),
-n AS (SELECT vec_id AS query_id, count(*) OVER (PARTITION BY label) - 1 AS n FROM embeddings),
+n AS (SELECT * FROM (SELECT vec_id AS query_id, count(*) OVER (PARTITION BY label) - 1 AS n FROM embeddings)
+  WHERE query_id % 50 = 0),
 k AS (SELECT unnest({list(fv.EVAL_KS)}) AS k),
 m AS (SELECT n.query_id, k.k, count(*) FILTER (WHERE rel AND rank <= k.k) AS found, any_value(n.n) AS n,
     min(rank) FILTER (WHERE rel) AS first
@@ -482,7 +486,7 @@ s AS (SELECT query_id, string_agg(source, ', ' ORDER BY first) AS case_list FROM
   SELECT query_id, source, min(rank) AS first FROM h GROUP BY ALL) GROUP BY 1),
 p AS (SELECT vec_id AS query_id, CASE WHEN context IS NULL THEN {quoted(fv.NO_STATUTE)}
     ELSE chr(10) || {_PROMPT} END AS prompt
-  FROM (SELECT vec_id, vec_id AS query_id, context FROM embeddings LEFT JOIN c ON c.query_id = vec_id))
+  FROM (SELECT vec_id, vec_id AS query_id, context FROM {_ASKED_VECTORS} LEFT JOIN c ON c.query_id = vec_id))
 SELECT query_id, md5(prompt) AS prompt_md5, length(prompt) AS prompt_chars, case_list
 FROM p LEFT JOIN s USING (query_id)
 """,
@@ -771,7 +775,6 @@ SELECT doc_id, v AS verdict_score, l AS legal_score, t AS trademark_score, a::IN
 FROM ({_routed(_QUESTIONS, _DEFAULT_RULES)})
 """,
 )
-_ASKED_VECTORS = "(SELECT * FROM embeddings WHERE vec_id % 50 = 0)"
 _NEIGHBOURS = """
   SELECT doc_id AS chunk_id, source, lang, md5(text) AS content_md5,
     md5(lag(text) OVER w || chr(10) || '---' || chr(10)) AS context_before_md5,
