@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrove.functions import fixed_values as fv
+from lexgrove.session import cut_lineage
 
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -110,49 +111,41 @@ def daily_series(
 
 
 def prefix_plan(
-    names: DataFrame, name: str, cap: int = fv.PREFIX_CAP, depth: int = fv.PREFIX_DEPTH
+    names: DataFrame, name: str, cap: int = fv.PREFIX_CAP, depth: int | None = fv.PREFIX_DEPTH
 ) -> DataFrame:
     """``(prefix, kind, rows)``: a partition of a name column into prefixes of limited size.
 
-    A prefix is a ``leaf`` if it has at most ``cap`` rows, is split otherwise, and
-    is an ``overflow`` leaf at the greatest depth. ``ends`` rows count the names
-    that end at a split prefix. Row counts shrink with depth, so it is enough to
-    look at the direct parent. Names without a first letter are ``empty`` and ``null``
-    rows of their own, so every name is in exactly one row of the plan.
+    A prefix is a ``leaf`` if it has at most ``cap`` rows and is split otherwise, one character
+    further a level, over the names below split prefixes only. ``ends`` rows count the names that end
+    at a split prefix: these are equal, and no prefix divides them. With a ``depth`` the prefixes
+    that are too large there are ``overflow`` leaves; without one the plan goes on until none is left,
+    at most as many levels as the longest name that is not alone has characters. Names without a first
+    letter are ``empty`` and ``null`` rows of their own, so every name is in exactly one row of the plan.
     """
-    text = F.lower(name)
-    prefixes = names.select(
-        F.length(text).alias("_length"),
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.least(F.length(text), F.lit(depth))),
-                lambda n: F.substring(text, F.lit(1), n),
-            )
-        ).alias("prefix"),
-    ).where(F.length("prefix") >= 1)
-    counts = prefixes.groupBy("prefix").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("_length") == F.length("prefix")).alias("_ending"),
-    )
-    split = counts.where((F.col("rows") > cap) & (F.length("prefix") < depth))
-    parent = F.substring("prefix", F.lit(1), F.length("prefix") - 1)
-    reached = counts.withColumn("_parent", parent).join(
-        split.select(F.col("prefix").alias("_parent"), F.lit(True).alias("_parent_split")),
-        "_parent",
-        "left",
-    ).where((F.length("prefix") == 1) | F.col("_parent_split"))
-    kinds = F.when(F.col("rows") <= cap, "leaf").when(F.length("prefix") >= depth, "overflow")
-    leaves = reached.withColumn("kind", kinds).where(F.col("kind").isNotNull()).select(
-        "prefix", "kind", "rows"
-    )
-    ends = split.where(F.col("_ending") > 0).select(
-        "prefix", F.lit("ends").alias("kind"), F.col("_ending").alias("rows")
-    )
     bare = F.when(F.col(name).isNull(), "null").when(F.length(name) == 0, "empty")
-    without = names.select(bare.alias("kind")).where("kind is not null").groupBy("kind").agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-    return leaves.unionByName(ends).unionByName(without.select(F.lit("").alias("prefix"), "kind", "rows"))
+    counted = names.select(F.lower(name).alias("text"), bare.alias("bare")).groupBy("text", "bare").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut_lineage(counted)
+    rows = counted.where("bare is not null").select(F.lit("").alias("prefix"), F.col("bare").alias("kind"), F.col("n").alias("rows"))
+    below, level = counted.where("bare is null"), 1
+    while True:
+        prefix = F.substring("text", F.lit(1), F.lit(level)).alias("prefix")
+        level_rows = below.groupBy(prefix).agg(
+            F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.length("text") == level, F.col("n"))), F.lit(0)).alias("ending")
+        )
+        level_rows = cut_lineage(level_rows)
+        split = (F.col("rows") > cap) & F.lit(level != depth)
+        kind = F.when(F.col("rows") <= cap, "leaf").otherwise("overflow")
+        rows = rows.unionByName(level_rows.where(~split).select("prefix", kind.alias("kind"), "rows"))
+        rows = rows.unionByName(
+            level_rows.where(split & (F.col("ending") > 0)).select("prefix", F.lit("ends").alias("kind"), F.col("ending").alias("rows"))
+        )
+        parents = level_rows.where(split & (F.col("ending") < F.col("rows"))).select("prefix")
+        if not parents.take(1):
+            return rows
+        # a split prefix lies below split ones only, so the names below it are found by it alone
+        below = counted.where((F.col("bare").isNull()) & (F.length("text") > level)).withColumn("prefix", prefix)
+        below = below.join(parents, "prefix", "left_semi").drop("prefix")
+        level += 1
 
 
 def merge_report(before: DataFrame, after: DataFrame, office: str = "VN") -> DataFrame:

@@ -34,7 +34,7 @@ from lexgrove.operators import (
     sequences,
     vectors,
 )
-from lexgrove.plans import evaluation_set, sheet_merge
+from lexgrove.plans import corpus, evaluation_set, sheet_merge
 from lexgrove.sources.readers import payloads, sheet_records, spread
 from lexgrove.streaming import incremental
 
@@ -115,7 +115,7 @@ def _plain_lines() -> Column:
     return F.filter(bare, lambda line: line != "")
 
 
-def statute_articles(spark, sf):
+def _decrees(spark, sf) -> DataFrame:
     """Documents written out as decrees: each line an article, a chapter every seventh."""
 
     def article(line: Column, i: Column) -> Column:
@@ -131,14 +131,21 @@ def statute_articles(spark, sf):
         F.lit("/2020/NĐ-CP\nHà Nội, ngày 5 tháng 6 năm 2020\n"),
         F.array_join(F.transform(_plain_lines(), article), "\n"),
     )
-    docs = documents(spark, sf).select(F.col("source").alias("filename"), decree.alias("text"))
-    return chunking.statute_chunks(docs).select(
+    return documents(spark, sf).select(_file_name(), decree.alias("text"))
+
+
+def _file_name() -> Column:
+    return F.concat(F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename")
+
+
+def statute_articles(spark, sf):
+    return chunking.statute_chunks(_decrees(spark, sf)).select(
         "chunk_id", "doc_id", "content", "chunk_index", "chunk_type", "chuong", "chuong_title",
         "dieu", "dieu_title", "is_continuation", "doc_type", "issuing_agency", "signing_date",
     )
 
 
-def verdict_items(spark, sf):
+def _judgments(spark, sf) -> DataFrame:
     """Documents written out as judgments: lines dealt to facts, points and items."""
 
     def dealt(rest: int, form) -> Column:
@@ -160,8 +167,11 @@ def verdict_items(spark, sf):
         F.lit("\nVì các lẽ trên,\nQUYẾT ĐỊNH:\n"),
         dealt(2, lambda line, n: F.concat(n, F.lit(". "), line)),
     )
-    docs = documents(spark, sf).select(F.col("source").alias("filename"), judgment.alias("text"))
-    chunks = chunking.verdict_chunks(docs, size=1_000_000_000)
+    return documents(spark, sf).select(_file_name(), judgment.alias("text"))
+
+
+def verdict_items(spark, sf):
+    chunks = chunking.verdict_chunks(_judgments(spark, sf), size=1_000_000_000)
     return chunks.select(
         "vchunk_id", "verdict_id", "chunk_index", "content", "section_type", "party_role",
         "point_number", "item_number", "court_name", "judgment_date", "trial_level", "plaintiff",
@@ -353,7 +363,7 @@ def daily_activity(spark, sf):
 
 def prefix_plan(spark, sf):
     parts = table(spark, sf, "part")
-    return profile.prefix_plan(parts, "p_name")
+    return profile.prefix_plan(parts, "p_name", depth=None)
 
 
 def page_listing(spark, sf):
@@ -465,6 +475,7 @@ def retrieval_metrics(spark, sf):
     top = vectors.cosine_topk(queries, _points(spark, sf), max(fv.EVAL_KS), skip_self=True)
     section = _section_of(spark, sf)
     own = section.select(F.col("id").alias("query_id"), F.col("section_type").alias("wanted"))
+    own = own.join(queries.select("query_id"), "query_id", "left_semi")
     judged = (
         metrics.dedupe_ranked(top)
         .join(section, "id")
@@ -953,6 +964,36 @@ def _articles(spark, sf) -> DataFrame:
     )
 
 
+def corpus_tables(spark, sf):
+    """Documents, chunks and edges of both corpora, from chunk rows that are written once, and how many rows broke a key."""
+    folder = f"{session.shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    legal_tables = corpus.stored_legal_corpus(_decrees(spark, sf), f"{folder}/legal")
+    cases = corpus.stored_verdict_corpus(_judgments(spark, sf), f"{folder}/verdict", size=1_000_000_000)
+
+    def shown(tables, which, kind, src, dst, label):
+        return tables.select(
+            F.lit(which).alias("corpus"), F.lit(kind).alias("kind"), F.col(src).alias("src"),
+            (F.col(dst) if dst else F.lit(None).cast("string")).alias("dst"), label.cast("string").alias("label"),
+        )
+
+    none, position = F.lit(None).cast("string"), F.col("position")
+    parts = [
+        shown(legal_tables.documents, "legal", "document", "doc_id", None, F.concat_ws("|", "doc_type", "issuing_agency", "signing_date", "status")),
+        shown(legal_tables.chunks, "legal", "chunk", "chunk_id", "doc_id", position),
+        shown(legal_tables.next_edges, "legal", "next", "src", "dst", none),
+        shown(cases.documents, "verdict", "document", "verdict_id", None, F.concat_ws("|", "court_name", "judgment_date", "plaintiff", "ip_types_str")),
+        shown(cases.chunks, "verdict", "chunk", "vchunk_id", "verdict_id", position),
+        shown(cases.next_edges, "verdict", "next", "src", "dst", none),
+        shown(cases.typed_edges, "verdict", "typed", "src", "dst", F.col("rel_type")),
+    ]
+    broken = spark.createDataFrame(
+        [(w, "broken", None, None, str(t.rows_read - t.rows_kept)) for w, t in (("legal", legal_tables), ("verdict", cases))], parts[0].schema
+    )
+    for part in parts:
+        broken = broken.unionByName(part)
+    return broken
+
+
 def corpus_ids(spark, sf):
     rows = _articles(spark, sf)
     return rows.select("doc_id", corpus_id(F.col("doc_number"), F.col("dieu")).alias("corpus_id"))
@@ -1068,7 +1109,7 @@ QUERIES = {
         retrieval_metrics, complete_sections, prompt_blocks, verdict_blocks, evaluation_run, ann_topk, ann_report, lsh_topk, lsh_recall, hash_encode, unit_vectors,
         name_contains, name_fuzzy, name_pairs, name_search, trademark_blocks, merge_overwrite, merge_coalesce,
         dedupe_first, bridge_build, sheet_records_merged, sheet_report, trademark_merge,
-        route_queries, route_defaults, route_questions, routed_search, legal_search, verdict_search, corpus_ids, bench_queries,
+        route_queries, route_defaults, route_questions, routed_search, legal_search, verdict_search, corpus_tables, corpus_ids, bench_queries,
         bench_queries_mixed, bench_manifest, seeded_sample, seeded_order, stream_daily_activity,
         stream_chunks, stream_rolling_messages,
     )

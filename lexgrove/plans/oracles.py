@@ -329,12 +329,12 @@ add(
     "prefix_plan",
     f"""
 WITH p AS (
-  SELECT length(p_name) AS n, unnest(list_transform(range(1, least(length(p_name), {fv.PREFIX_DEPTH}) + 1),
-    lambda i: substr(lower(p_name), 1, i))) AS prefix FROM part),
+  SELECT length(p_name) AS n, unnest(list_transform(range(1, length(p_name) + 1), lambda i: substr(lower(p_name), 1, i))) AS prefix
+  FROM part),
 c AS (SELECT prefix, count(*) AS rows, count(*) FILTER (WHERE n = length(prefix)) AS ending FROM p GROUP BY 1),
-s AS (SELECT * FROM c WHERE rows > {fv.PREFIX_CAP} AND length(prefix) < {fv.PREFIX_DEPTH})
-SELECT c.prefix, CASE WHEN c.rows <= {fv.PREFIX_CAP} THEN 'leaf' ELSE 'overflow' END AS kind, c.rows
-FROM c WHERE c.prefix NOT IN (SELECT prefix FROM s)
+s AS (SELECT * FROM c WHERE rows > {fv.PREFIX_CAP})
+SELECT c.prefix, 'leaf' AS kind, c.rows
+FROM c WHERE c.rows <= {fv.PREFIX_CAP}
   AND (length(c.prefix) = 1 OR substr(c.prefix, 1, length(c.prefix) - 1) IN (SELECT prefix FROM s))
 UNION ALL SELECT prefix, 'ends', ending FROM s WHERE ending > 0
 """,

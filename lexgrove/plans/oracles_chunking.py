@@ -142,3 +142,22 @@ SELECT 'v_' || substr(md5('v_' || id || '_' || chunk_index || '_' || body), 1, 1
     || ' và Bà B, cấp sơ thẩm, tại TÒA ÁN NHÂN DÂN TỈNH A' AS summary
 FROM k JOIN j USING (id)
 """
+
+_RELATION = "CASE section_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in fv.SECTION_RELATIONS) + " END"
+
+
+def _tables(rows: str, corpus: str, chunk: str, doc: str, label: str) -> str:
+    return f"""
+SELECT '{corpus}' AS corpus, 'document' AS kind, {doc} AS src, NULL AS dst, {label} AS label FROM {rows} GROUP BY ALL
+UNION ALL SELECT '{corpus}', 'chunk', {chunk}, {doc}, (row_number() OVER w - 1)::VARCHAR FROM {rows} WINDOW w AS (PARTITION BY {doc} ORDER BY chunk_index)
+UNION ALL SELECT * FROM (
+  SELECT '{corpus}', 'next', {chunk}, lead({chunk}) OVER (PARTITION BY {doc} ORDER BY chunk_index) AS dst, NULL FROM {rows}) WHERE dst IS NOT NULL
+UNION ALL SELECT '{corpus}', 'broken', NULL, NULL, (count(*) - count(DISTINCT {chunk}))::VARCHAR FROM {rows}"""
+
+
+CHUNKING_ORACLES["corpus_tables"] = f"""
+WITH legal AS ({CHUNKING_ORACLES["statute_articles"]}), verdict AS ({CHUNKING_ORACLES["verdict_items"]})
+{_tables("legal", "legal", "chunk_id", "doc_id", "concat_ws('|', doc_type, issuing_agency, signing_date, 'active')")}
+UNION ALL {_tables("verdict", "verdict", "vchunk_id", "verdict_id", "concat_ws('|', court_name, judgment_date, plaintiff, ip_types)")}
+UNION ALL SELECT 'verdict', 'typed', vchunk_id, verdict_id, {_RELATION} FROM verdict WHERE {_RELATION} IS NOT NULL
+"""

@@ -32,6 +32,16 @@ def test_prefix_plan_covers_every_name(spark):
     assert sum(rows.values()) == len(names)
 
 
+def test_prefix_plan_goes_on_until_all_fit(spark):
+    names = ["abcdefgh"] * 9 + ["abcdefgi"] * 3 + ["abcdefg"] * 2 + ["ABCx"] * 2 + ["zz"] * 20 + [None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    rows = {(r["prefix"], r["kind"]): r["rows"] for r in profile.prefix_plan(df, "n", cap=4, depth=None).collect()}
+    assert rows == {
+        ("abcdefgh", "ends"): 9, ("abcdefgi", "leaf"): 3, ("abcdefg", "ends"): 2, ("abcx", "leaf"): 2, ("zz", "ends"): 20, ("", "null"): 1
+    }
+    assert profile.prefix_plan(df.limit(0), "n", depth=None).collect() == []
+
+
 def test_seeded_order_is_total_and_stable(spark):
     df = spark.range(5000).select(F.col("id").alias("k"))
     a = sampling.seeded_positions(df, "k", 42)
