@@ -36,7 +36,7 @@ from lexgrove.operators import (
 )
 from lexgrove.plans import corpus, evaluation_set, sheet_merge
 from lexgrove.sources.readers import payloads, sheet_records, spread
-from lexgrove.streaming import incremental
+from lexgrove.streaming import incremental, log
 
 KNN_K = 5
 
@@ -774,9 +774,9 @@ def sheet_report(spark, sf):
     return report
 
 
-def trademark_merge(spark, sf):
+def _records(spark, sf) -> DataFrame:
     """Parts as records: sized ones have an st13, others only a number."""
-    records = table(spark, sf, "part").select(
+    return table(spark, sf, "part").select(
         F.col("p_partkey").alias("row"),
         F.col("p_name").alias("brand_name"),
         F.when(F.col("p_size") > 25, F.concat(F.lit("S"), F.col("p_size"))).alias("st13"),
@@ -784,7 +784,10 @@ def trademark_merge(spark, sf):
         F.when(F.col("p_type") != "SMALL", F.col("p_type")).alias("status"),
         F.col("p_retailprice").cast("string").alias("feature"),
     )
-    suppliers = table(spark, sf, "supplier").select(
+
+
+def _register(spark, sf) -> DataFrame:
+    return table(spark, sf, "supplier").select(
         F.col("s_name").alias("brand_name"),
         F.lower("s_name").alias("brand_name_lower"),
         F.concat(F.lit("S"), F.col("s_suppkey")).alias("st13"),
@@ -795,7 +798,10 @@ def trademark_merge(spark, sf):
             if c not in ("brand_name", "brand_name_lower", "st13", "registration_number")
         ],
     )
-    merged, _ = merge.trademark_upsert(suppliers, records, "row")
+
+
+def trademark_merge(spark, sf):
+    merged, _ = merge.trademark_upsert(_register(spark, sf), _records(spark, sf), "row")
     return merged.select("brand_name", "st13", "registration_number", "status")
 
 
@@ -1081,6 +1087,19 @@ def stream_chunks(spark, sf):
     return incremental.current_chunks(spark, f"{out}/log").drop("filename")
 
 
+def stream_trademarks(spark, sf):
+    """Records in three arrivals into a register; the log is compacted after the second."""
+    out = _scratch(spark, "trademarks")
+    parts = [F.col("row") % 3 == rest for rest in (2, 0, 1)]
+    for number, records in enumerate(_arrivals(_records(spark, sf), parts, f"{out}/records")):
+        incremental.start_log(records, f"{out}/log", f"{out}/checkpoint").awaitTermination()
+        if number == 1:
+            log.compact(spark, f"{out}/log", incremental.latest_records)
+            log.sweep(spark, f"{out}/log")
+    merged, _ = incremental.current_trademarks(spark, f"{out}/log", _register(spark, sf))
+    return merged.select("brand_name", "st13", "registration_number", "status")
+
+
 def stream_rolling_messages(spark, sf):
     """Conversations in two arrivals, the later turns first."""
     out = _scratch(spark, "messages")
@@ -1111,6 +1130,6 @@ QUERIES = {
         dedupe_first, bridge_build, sheet_records_merged, sheet_report, trademark_merge,
         route_queries, route_defaults, route_questions, routed_search, legal_search, verdict_search, corpus_tables, corpus_ids, bench_queries,
         bench_queries_mixed, bench_manifest, seeded_sample, seeded_order, stream_daily_activity,
-        stream_chunks, stream_rolling_messages,
+        stream_chunks, stream_trademarks, stream_rolling_messages,
     )
 }

@@ -717,6 +717,15 @@ WHERE registration_number NOT IN (SELECT registration_number FROM b)
 )
 
 
+#: The same with the order of arrival first, then the order inside an arrival.
+add(
+    "stream_trademarks",
+    ORACLES["trademark_merge"].replace(
+        "p_partkey AS o", "CASE p_partkey % 3 WHEN 2 THEN 0 WHEN 0 THEN 1 ELSE 2 END * 1000000000000 + p_partkey AS o"
+    ),
+)
+
+
 # ----------------------------------------------------------- routing, benchmark
 def _score(patterns) -> str:
     return " + ".join(

@@ -3,33 +3,22 @@
 Merges are logged, not rewritten: every micro-batch writes its rows under its
 own batch number (a replayed batch overwrites only its own folder), and readers
 collapse the log by key with the batch operators. The cost of a batch follows the
-batch, and the log can be compacted at any time.
+batch; ``log.compact`` puts the collapsed rows in the place of finished batches, so that readers
+need not collapse the whole log again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lexgrove.operators import chunking
-from lexgrove.operators.merge import last_by, trademark_upsert
+from lexgrove.operators.merge import last_by, latest_values, trademark_upsert, valid_records
 from lexgrove.operators.sequences import last_n
-
-BATCH = "batch_id"
-
-
-def batch_writer(path: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df):
-    """``foreachBatch`` function that logs ``prepare(batch)`` under its batch number."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        prepare(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
-
-    return write
-
+from lexgrove.streaming.log import BATCH, batch_writer, read_log
 
 def start_log(
     stream: DataFrame,
@@ -45,16 +34,6 @@ def start_log(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """All rows logged so far; none, with this schema, if nothing has arrived yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if schema is None or error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return spark.createDataFrame([], f"{schema}, {BATCH} int")
-
-
 # K1 ------------------------------------------------------------ corpus ingest
 def new_texts(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Stream of new ``*.txt`` files, one row per file."""
@@ -72,12 +51,30 @@ def ingest_statutes(
     return start_log(new_texts(spark, folder), path, checkpoint, chunking.statute_chunks, once)
 
 
+def latest_chunks(log: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """What a compaction keeps of a log of chunks."""
+    return last_by(log, [key], [BATCH, "filename", "chunk_index"])
+
+
 def current_chunks(spark: SparkSession, path: str, key: str = "chunk_id") -> DataFrame:
     """Chunks as of the log: the latest batch wins, then the last file name."""
-    return last_by(read_log(spark, path), [key], [BATCH, "filename", "chunk_index"]).drop(BATCH)
+    return latest_chunks(read_log(spark, path), key).drop(BATCH)
 
 
 # K2 ------------------------------------------------------------ trademark merge
+def latest_records(log: DataFrame, order: str = "row") -> DataFrame:
+    """What a compaction keeps of a log of records: the last of each st13 and, without one, the latest values of each number.
+
+    All values of a kept row are older than every later batch, so its place inside its batch does not matter.
+    """
+    placed = F.struct(BATCH, order)
+    tidy = valid_records(log.withColumn("_order", placed).drop(BATCH, order), "_order")
+    keyed = F.col("st13").isNotNull()
+    last = last_by(tidy.where(keyed), ["st13"], ["_order"])
+    kept = last.unionByName(latest_values(tidy.where(~keyed), ["registration_number"], ["_order"]))
+    return kept.select(F.col(f"_order.{order}").alias(order), *[c for c in kept.columns if c != "_order"], F.col(f"_order.{BATCH}").alias(BATCH))
+
+
 def current_trademarks(
     spark: SparkSession, path: str, base: DataFrame, order: str = "row"
 ) -> tuple[DataFrame, DataFrame]:
@@ -103,10 +100,15 @@ def log_daily_activity(
     return start_log(events, path, checkpoint, lambda batch: day_counts(batch, ts), once)
 
 
+def summed_days(log: DataFrame) -> DataFrame:
+    """What a compaction keeps of a log of day counts."""
+    return log.groupBy("day").agg(F.sum("visits").alias("visits"), F.max(BATCH).alias(BATCH))
+
+
 def current_days(spark: SparkSession, path: str) -> DataFrame:
     """``(day, visits)`` over all batches logged so far."""
     log = read_log(spark, path, "day date, visits long")
-    return log.groupBy("day").agg(F.sum("visits").alias("visits"))
+    return summed_days(log).drop(BATCH)
 
 
 # K4 ------------------------------------------------------ rolling last messages
@@ -122,13 +124,18 @@ def log_last_messages(
     return start_log(messages, path, checkpoint, prepare, once)
 
 
+def latest_messages(log: DataFrame, session: str, order: str, content: str, n: int = 5) -> DataFrame:
+    """What a compaction keeps of a log of messages."""
+    return last_n(log, session, [F.col(order), F.col(BATCH), F.col(content)], n)
+
+
 def current_messages(
     spark: SparkSession, path: str, session: str, order: str, content: str, n: int = 5, schema: str | None = None
 ) -> DataFrame:
     """``(session, orders, contents)`` of the last ``n`` messages over all batches; of equal orders the later batch's
     message is the later one."""
     log = read_log(spark, path, schema)
-    newest = last_n(log, session, [F.col(order), F.col(BATCH), F.col(content)], n)
+    newest = latest_messages(log, session, order, content, n)
     # at most n rows of a session
     rows = F.array_sort(F.collect_list(F.struct(order, BATCH, content)))
     return newest.groupBy(session).agg(rows.alias("_rows")).select(

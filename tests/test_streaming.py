@@ -1,7 +1,9 @@
 import datetime
+import random
 
 from lexgrove.operators.merge import TRADEMARK_FIELDS
 from lexgrove.streaming import incremental as inc
+from lexgrove.streaming import log
 
 
 def test_incremental_statutes(spark, tmp_path):
@@ -63,3 +65,51 @@ def test_rolling_messages(spark, tmp_path):
     assert seen[1] == ([4, 6, 8], ["m4", "m6", "m8"]) and sorted(seen[2][1], key=str) == [None, "x"]
     seen = arrive(df.where("t % 2 = 1"))  # older messages of the same session
     assert seen[1] == ([6, 7, 8], ["m6", "m7", "m8"]) and seen[None] == ([1], ["n"])
+
+
+def logged(spark, path, number, rows, schema):
+    log.batch_writer(str(path))(spark.createDataFrame(rows, schema), number)
+
+
+def test_compaction_leaves_results_as_they_are(spark, tmp_path):
+    rng, path, plain = random.Random(4), str(tmp_path / "log"), str(tmp_path / "plain")
+    schema = "row int, brand_name string, st13 string, registration_number string, status string"
+    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in TRADEMARK_FIELDS))
+    pick = lambda *values: rng.choice(values)
+    for number in range(5):
+        rows = [(i, pick("A", "B", "C", None), pick(None, None, "S1", "S2", "S3"), pick("R1", "R2", "R3", None), pick("x", "y", None)) for i in range(8)]
+        for folder in (path, plain):
+            logged(spark, folder, number, rows, schema)
+        if number in (1, 3):
+            found = log.compact(spark, path, inc.latest_records)
+            assert found.up_to == number and log.compact(spark, path, inc.latest_records) is None
+            if number == 3:
+                assert len(log.sweep(spark, path)) == 5  # four batches and the first snapshot
+        for whole, compacted in zip(inc.current_trademarks(spark, plain, empty), inc.current_trademarks(spark, path, empty)):
+            assert sorted(map(repr, whole.collect())) == sorted(map(repr, compacted.collect()))
+
+
+def test_compaction_of_other_logs(spark, tmp_path):
+    days, talk = str(tmp_path / "days"), str(tmp_path / "talk")
+    for number in range(3):
+        logged(spark, days, number, [(datetime.date(2024, 1, d), d + number) for d in range(1, 4)], "day date, visits long")
+        logged(spark, talk, number, [(s, t, f"{number}") for s in (1, 2) for t in range(number, 5)], "s int, t long, c string")
+    rows = lambda: (
+        sorted(map(tuple, inc.current_days(spark, days).collect())), sorted(map(repr, inc.current_messages(spark, talk, "s", "t", "c", 3).collect()))
+    )
+    before = rows()
+    assert log.compact(spark, days, inc.summed_days) and log.compact(spark, talk, lambda r: inc.latest_messages(r, "s", "t", "c", 3))
+    assert rows() == before
+    log.sweep(spark, days)
+    log.sweep(spark, talk)
+    assert rows() == before
+
+
+def test_an_unfinished_batch_is_not_compacted(spark, tmp_path):
+    path = tmp_path / "log"
+    for number in range(2):
+        logged(spark, path, number, [(datetime.date(2024, 1, 1), 1)], "day date, visits long")
+    (path / "batch_id=1" / "_SUCCESS").unlink()
+    assert log.compact(spark, str(path), inc.summed_days).up_to == 0
+    assert inc.current_days(spark, str(path)).first()["visits"] == 2
+    assert log.compact(spark, str(tmp_path / "nothing"), inc.summed_days) is None and log.sweep(spark, str(tmp_path / "nothing")) == []
