@@ -110,6 +110,21 @@ def evaluate(
     return mean_metrics(per_query, ks), per_query
 
 
+def evaluate_by_label(
+    queries: DataFrame, labels: DataFrame, hits: DataFrame, ks: Sequence[int] = fv.EVAL_KS, limit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``evaluate`` where a hit is relevant if it has the query's label: ``queries(query_id, text, label)``, ``labels(id, label)``.
+
+    The relevant rows of a query are counted by label, so no table of all relevant pairs is made.
+    """
+    totals = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_relevant"))
+    known = queries.join(totals, "label")
+    wanted = evaluation_queries(known.select("query_id"), known, limit).select("query_id", "label", "n_relevant")
+    judged = dedupe_ranked(hits).join(labels.withColumnRenamed("label", "_found"), "id").join(wanted, "query_id")
+    per_query = per_query_metrics(judged.withColumn("relevant", F.col("label") == F.col("_found")), wanted.drop("label"), ks)
+    return mean_metrics(per_query, ks), per_query
+
+
 def as_record(per_query: DataFrame) -> DataFrame:
     """Map form: ``precision`` and ``recall`` by cut-off, and the reciprocal rank."""
     def by_k(value: str):

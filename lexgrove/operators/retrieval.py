@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexgrove.functions import fixed_values as fv
 from lexgrove.operators.sequences import context_of
 from lexgrove.operators.sizes import if_small
-from lexgrove.operators.vectors import cosine_topk
+from lexgrove.operators.vectors import cosine_topk, tagged_topk
 
 LEGAL_HIT_FIELDS = ["content", "dieu", "dieu_title", "chuong", "doc_id", "chunk_index"]
 LEGAL_DOC_FIELDS = ["doc_name", "doc_number", "doc_type", "effective_date"]
@@ -190,14 +190,21 @@ def legal_search(
     ids_only: bool = False,
 ) -> DataFrame:
     """Statute search of a table of queries; chunks need a dense ``position``."""
-    allowed = None
-    if prefilter:
-        valid = valid_at(documents, day, doc_types, status)
-        allowed = of_documents(chunks, valid, "doc_id").select(F.col("chunk_id").alias("id"))
+    allowed = legal_candidates(chunks, documents, day, doc_types, status) if prefilter else None
     top = cosine_topk(queries, _candidates(vectors, allowed), k)
-    if ids_only:
-        return top
-    most = queries.count() * k
+    return top if ids_only else legal_hits(top, chunks, documents, queries.count() * k, context_window)
+
+
+def legal_candidates(
+    chunks: DataFrame, documents: DataFrame, day: str | None = None, doc_types: Sequence[str] | None = None, status: str = "active"
+) -> DataFrame:
+    """Ids of the chunks whose statute meets the filters."""
+    valid = valid_at(documents, day, doc_types, status)
+    return of_documents(chunks, valid, "doc_id").select(F.col("chunk_id").alias("id"))
+
+
+def legal_hits(top: DataFrame, chunks: DataFrame, documents: DataFrame, most: int, context_window: int = 1) -> DataFrame:
+    """Ranked ids (at most ``most``) with their chunk, document and neighbouring texts."""
     hits = hydrate(
         top,
         chunks.select("chunk_id", "position", *LEGAL_HIT_FIELDS),
@@ -224,14 +231,23 @@ def verdict_search(
     context_window: int = 1,
 ) -> DataFrame:
     """Verdict search: over-fetch, boost, cut, complete key sections, add context."""
-    allowed = None
-    if prefilter and (ip_types or trial_level):
-        chosen = matching_verdicts(verdicts, ip_types, trial_level)
-        allowed = of_documents(chunks, chosen, "verdict_id").select(
-            F.col("vchunk_id").alias("id")
-        )
+    allowed = verdict_candidates(chunks, verdicts, ip_types, trial_level) if prefilter and (ip_types or trial_level) else None
     top = cosine_topk(queries, _candidates(vectors, allowed), k * 2 if boost else k)
-    most = queries.count() * k * 2
+    return verdict_hits(top, chunks, verdicts, queries.count() * k * 2, k, boost, context_window)
+
+
+def verdict_candidates(
+    chunks: DataFrame, verdicts: DataFrame, ip_types: Sequence[str] | None = None, trial_level: str | None = None
+) -> DataFrame:
+    """Ids of the chunks whose verdict meets the filters."""
+    chosen = matching_verdicts(verdicts, ip_types, trial_level)
+    return of_documents(chunks, chosen, "verdict_id").select(F.col("vchunk_id").alias("id"))
+
+
+def verdict_hits(
+    top: DataFrame, chunks: DataFrame, verdicts: DataFrame, most: int, k: int = fv.VERDICT_TOP_K, boost: bool = True, context_window: int = 1
+) -> DataFrame:
+    """Ranked ids (at most ``most``) boosted and cut to ``k``, with what completes their cases, and neighbouring texts."""
     details = chunks.select("vchunk_id", "position", *VERDICT_HIT_FIELDS).join(
         verdicts.select("verdict_id", *VERDICT_DOC_FIELDS), "verdict_id"
     )
@@ -249,6 +265,35 @@ def verdict_search(
     return rows
 
 
+def shared_search(
+    routed: DataFrame, vectors: DataFrame, legal: tuple[DataFrame, DataFrame], verdict: tuple[DataFrame, DataFrame],
+    sources: dict[str, Sequence[str]], legal_filters: dict | None = None, verdict_filters: dict | None = None,
+    legal_k: int = fv.LEGAL_TOP_K, verdict_k: int = fv.VERDICT_TOP_K, context_window: int = 1,
+) -> tuple[DataFrame, DataFrame]:
+    """Statute hits and verdict hits of routed queries ``(query_id, route, vector)`` from one scan of the vectors.
+
+    ``sources`` lists the sources (``legal``, ``verdict``) of each route; queries of other routes get no hits. A source
+    is a tag: every vector carries the tags whose filters its chunk meets, every query those of its route, and only equal
+    tags meet. The rows are those of ``legal_search`` and ``verdict_search`` over the queries routed there.
+    ``legal`` and ``verdict`` are ``(chunks, documents)``.
+    """
+    listed = F.create_map(*[x for r, names in sources.items() for x in (F.lit(r), F.array(*[F.lit(n) for n in names]))])
+    asked = routed.select("query_id", "vector", F.explode(F.try_element_at(listed, F.col("route"))).alias("tag"))
+    tagged = vectors
+    for name, allowed in (
+        ("legal", legal_candidates(*legal, **(legal_filters or {}))), ("verdict", verdict_candidates(*verdict, **(verdict_filters or {})))
+    ):
+        tagged = tagged.join(allowed.distinct().withColumn(f"_{name}", F.lit(name)), "id", "left")
+    tagged = tagged.select("id", "vector", F.array_compact(F.array("_legal", "_verdict")).alias("tags"))
+    top = tagged_topk(asked, tagged, {"legal": legal_k, "verdict": 2 * verdict_k})
+    n = routed.count()
+    of = lambda tag: top.where(F.col("tag") == tag).drop("tag")
+    return (
+        legal_hits(of("legal"), *legal, n * legal_k, context_window),
+        verdict_hits(of("verdict"), *verdict, n * verdict_k * 2, verdict_k, True, context_window),
+    )
+
+
 def reranked_by_route(
     top: DataFrame,
     routes: DataFrame,

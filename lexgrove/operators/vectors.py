@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -230,6 +231,68 @@ def cosine_topk(
     return ranked(_cogrouped(left, right, ["_q", "_v"], k, skip_self, schema), k)
 
 
+def tagged_topk(
+    queries: DataFrame, vectors: DataFrame, ks: dict[str, int], broadcast_values: int = BROADCAST_QUERY_VALUES
+) -> DataFrame:
+    """``(query_id, tag, rank, id, score)``: exact best ``ks[tag]`` vectors with that tag for every tagged query.
+
+    ``queries(query_id, tag, vector)``; ``vectors(id, vector, tags)`` with an array of tags. All queries share each scan
+    of the vectors; those beyond ``broadcast_values`` numbers are asked in further blocks, a scan each.
+    """
+    ship_package(vectors.sparkSession)
+    queries = queries.select("query_id", "tag", "vector").where(F.col("vector").isNotNull() & F.col("tag").isin(*ks))
+    vectors = vectors.select("id", "vector", "tags").where(F.col("vector").isNotNull() & (F.size("tags") > 0))
+    fields = _hit_schema(queries, vectors).fields
+    schema = T.StructType([fields[0], T.StructField("tag", T.StringType()), *fields[1:]])
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
+    blocks = max(1, -(-size["n"] * (size["width"] or 0) // broadcast_values))
+    dealt = queries.withColumn("_block", _block_key("query_id", blocks))
+    best = None
+    for block in range(blocks):
+        part = _scan_tagged(dealt.where(F.col("_block") == block).toArrow(), vectors, ks, schema)
+        best = part if best is None else best.unionByName(part)
+    order = Window.partitionBy("query_id", "tag").orderBy(F.col("score").desc(), F.col("id"))
+    most = F.create_map(*[F.lit(x) for pair in ks.items() for x in pair])
+    placed = best.withColumn("rank", F.row_number().over(order))
+    return placed.where(F.col("rank") <= most[F.col("tag")]).select("query_id", "tag", "rank", "id", "score")
+
+
+def _scan_tagged(queries: pa.Table, vectors: DataFrame, ks: dict[str, int], schema: T.StructType) -> DataFrame:
+    sides = {}
+    for tag in ks:
+        own = queries.filter(pa.compute.equal(queries["tag"], tag)).combine_chunks()
+        if own.num_rows:
+            sides[tag] = (own["query_id"].combine_chunks(), _matrix(own["vector"]))
+    shared = vectors.sparkSession.sparkContext.broadcast(sides)
+
+    def best_of_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, matrix, tags = batch.column("id"), _matrix(batch.column("vector")), batch.column("tags")
+            row = np.repeat(np.arange(batch.num_rows), tags.value_lengths().to_numpy(zero_copy_only=False))
+            names = np.asarray(tags.flatten().to_pandas())
+            for tag, (qids, asked) in shared.value.items():
+                held = np.unique(row[names == tag])
+                if not len(held):
+                    continue
+                found = _block_best(qids, asked, ids.take(pa.array(held)), matrix[held], ks[tag], False)
+                if tag in best:
+                    old = best[tag]
+                    found = _cut(
+                        np.concatenate([old[0], found[0]]), pa.concat_arrays([old[1], found[1]]), np.concatenate([old[2], found[2]]), ks[tag]
+                    )
+                best[tag] = found
+        for tag, (query, ids, score) in best.items():
+            qids = shared.value[tag][0].take(pa.array(query))
+            yield pa.RecordBatch.from_arrays(
+                [qids, pa.array([tag] * len(query), pa.string()), ids, pa.array(score, pa.float64())], names=["query_id", "tag", "id", "score"]
+            )
+
+    return vectors.mapInArrow(best_of_share, schema)
+
+
 def _planes(seed: int, tables: int, bits: int, width: int) -> np.ndarray:
     """Fewer tables have the first planes of more."""
     return np.random.default_rng(seed).standard_normal((tables * bits, width))

@@ -897,8 +897,8 @@ def _context_digests() -> list[Column]:
     return [F.md5(c).alias(f"{c}_md5") for c in ("content", "context_before", "context_after")]
 
 
-def legal_search(spark, sf):
-    """Statutes are sources, their chunks the documents; status, day and type follow the source's number."""
+def _statutes(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """``(chunks, statutes)``: statutes are sources, their chunks the documents; status, day and type follow the source's number."""
     docs, n = table(spark, sf, "documents"), _source_number()
     statutes = docs.select("source").distinct().select(
         F.col("source").alias("doc_id"), F.upper("source").alias("doc_name"),
@@ -915,8 +915,12 @@ def legal_search(spark, sf):
         ),
         "doc_id", "chunk_index",
     )
+    return chunks, statutes
+
+
+def legal_search(spark, sf):
     found = retrieval.legal_search(
-        _asked_vectors(spark, sf), _points(spark, sf), chunks, statutes, 5, "2015-06-30", ["law", "decree"]
+        _asked_vectors(spark, sf), _points(spark, sf), *_statutes(spark, sf), 5, "2015-06-30", ["law", "decree"]
     )
     return _shown(found).select(
         "query_id", "rank", "chunk_id", "score", "doc_id", "doc_name", "doc_number", "doc_type", "effective_date", "dieu",
@@ -924,8 +928,8 @@ def legal_search(spark, sf):
     )
 
 
-def verdict_search(spark, sf):
-    """Verdicts are sources; the language of a document stands for its section."""
+def _cases(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """``(chunks, verdicts)``: verdicts are sources; the language of a document stands for its section."""
     docs, n = table(spark, sf, "documents"), _source_number()
     blank = F.lit(None).cast("string")
     verdicts = docs.select("source").distinct().select(
@@ -945,8 +949,12 @@ def verdict_search(spark, sf):
         ),
         "verdict_id", "chunk_index",
     )
+    return chunks, verdicts
+
+
+def verdict_search(spark, sf):
     found = retrieval.verdict_search(
-        _asked_vectors(spark, sf), _points(spark, sf), chunks, verdicts, 8, ["mark", "design"], "first"
+        _asked_vectors(spark, sf), _points(spark, sf), *_cases(spark, sf), 8, ["mark", "design"], "first"
     )
     return _shown(found).select(
         "query_id", "rank", "vchunk_id", "score", "verdict_id", "case_number", "court_name", "trial_level", "section_type",
@@ -954,6 +962,48 @@ def verdict_search(spark, sf):
     )
 
 
+FAN_OUT = {"legal": ["legal"], "verdict": ["verdict"], "combined": ["legal", "verdict"]}
+
+
+def _shared_hits(spark, sf, routed: DataFrame, context_window: int = 1) -> tuple[DataFrame, DataFrame]:
+    return retrieval.shared_search(
+        routed, _points(spark, sf), _statutes(spark, sf), _cases(spark, sf), FAN_OUT,
+        {"day": "2015-06-30", "doc_types": ["law", "decree"]}, {"ip_types": ["mark", "design"], "trial_level": "first"},
+        5, 8, context_window,
+    )
+
+
+def fan_out_search(spark, sf):
+    """Queries routed by their number to statutes, verdicts or both; one scan of the vectors, both result blocks."""
+    route = F.get(F.array(*[F.lit(r) for r in FAN_OUT]), (F.col("query_id") / 50).cast("int") % 3)
+    routed = _asked_vectors(spark, sf).withColumn("route", route)
+    laws, cases = _shared_hits(spark, sf, routed)
+    both = retrieval.combined_search(
+        laws.withColumnsRenamed({"chunk_id": "id", "doc_id": "owner"}), cases.withColumnsRenamed({"vchunk_id": "id", "verdict_id": "owner"})
+    )
+    return _shown(both.join(routed.select("query_id", "route"), "query_id")).select(
+        "query_id", "route", "source", "rank", "id", "score", "owner", "doc_type", "trial_level", *_context_digests()
+    )
+
+
+def search_evaluation(spark, sf):
+    """Quality of both searches over the first 30 of the asked documents; relevant is the query's label."""
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    queries = texts.join(labels.withColumnRenamed("id", "query_id"), "query_id").where(F.col("query_id") % 50 == 0)
+    laws, cases = _shared_hits(spark, sf, _asked_vectors(spark, sf).withColumn("route", F.lit("combined")), 0)
+    out = []
+    for source, hits in (("legal", laws.select("query_id", "rank", F.col("chunk_id").alias("id"))),
+                         ("verdict", cases.select("query_id", "rank", F.col("vchunk_id").alias("id")))):
+        means, _ = metrics.evaluate_by_label(queries, labels, hits, (1, 3, 5, 10), limit=30)
+        zero = metrics.looks_unmatched(means)
+        out.append(means.select(
+            F.lit(source).alias("source"), "k", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr")], "queries",
+            zero.scalar().cast("int").alias("all_zero"),
+        ))
+    return out[0].unionByName(out[1])
+
+
 def _articles(spark, sf) -> DataFrame:
     """Documents as article payloads: the source is the statute, the id the article."""
     docs = table(spark, sf, "documents")
@@ -1128,7 +1178,7 @@ QUERIES = {
         retrieval_metrics, complete_sections, prompt_blocks, verdict_blocks, evaluation_run, ann_topk, ann_report, lsh_topk, lsh_recall, hash_encode, unit_vectors,
         name_contains, name_fuzzy, name_pairs, name_search, trademark_blocks, merge_overwrite, merge_coalesce,
         dedupe_first, bridge_build, sheet_records_merged, sheet_report, trademark_merge,
-        route_queries, route_defaults, route_questions, routed_search, legal_search, verdict_search, corpus_tables, corpus_ids, bench_queries,
+        route_queries, route_defaults, route_questions, routed_search, legal_search, verdict_search, fan_out_search, search_evaluation, corpus_tables, corpus_ids, bench_queries,
         bench_queries_mixed, bench_manifest, seeded_sample, seeded_order, stream_daily_activity,
         stream_chunks, stream_trademarks, stream_rolling_messages,
     )

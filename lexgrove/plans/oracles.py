@@ -838,6 +838,38 @@ SELECT query_id, rank, id AS vchunk_id, round(score, 6) AS score, source AS verd
 FROM r JOIN c ON c.chunk_id = r.id
 """,
 )
+_ROUTE = "CASE query_id // 50 % 3 WHEN 0 THEN 'legal' WHEN 1 THEN 'verdict' ELSE 'combined' END"
+add(
+    "fan_out_search",
+    f"""
+SELECT query_id, {_ROUTE} AS route, 'legal' AS source, rank, chunk_id AS id, score, doc_id AS owner, doc_type, NULL AS trial_level,
+  content_md5, context_before_md5, context_after_md5 FROM ({ORACLES["legal_search"]}) WHERE query_id // 50 % 3 <> 1
+UNION ALL SELECT query_id, {_ROUTE}, 'verdict', rank, vchunk_id, score, verdict_id, NULL, trial_level,
+  content_md5, context_before_md5, context_after_md5 FROM ({ORACLES["verdict_search"]}) WHERE query_id // 50 % 3 <> 0
+""",
+)
+add(
+    "search_evaluation",
+    f"""
+WITH h AS (
+  SELECT 'legal' AS source, query_id, rank, chunk_id AS id FROM ({ORACLES["legal_search"]})
+  UNION ALL SELECT 'verdict', query_id, rank, vchunk_id FROM ({ORACLES["verdict_search"]})),
+q AS (
+  SELECT doc_id AS query_id, label, n FROM documents JOIN embeddings ON vec_id = doc_id
+  JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label)
+  WHERE doc_id % 50 = 0 AND coalesce(text, '') <> '' ORDER BY doc_id LIMIT 30),
+m AS (
+  SELECT s.source, q.query_id, k, n, count(*) FILTER (WHERE e.label = q.label AND rank <= k) AS found,
+    min(rank) FILTER (WHERE e.label = q.label) AS first
+  FROM q CROSS JOIN (SELECT unnest(['legal', 'verdict']) AS source) s CROSS JOIN (SELECT unnest([1, 3, 5, 10]) AS k)
+  LEFT JOIN h ON h.query_id = q.query_id AND h.source = s.source LEFT JOIN embeddings e ON e.vec_id = h.id GROUP BY ALL),
+a AS (
+  SELECT source, k, avg(found::DOUBLE / k) AS precision, avg(found::DOUBLE / n) AS recall, avg(coalesce(1.0::DOUBLE / first, 0)) AS mrr,
+    count(*) AS queries FROM m GROUP BY source, k)
+SELECT source, k, round(precision, 6) AS precision, round(recall, 6) AS recall, round(mrr, 6) AS mrr, queries,
+  (max(precision + recall + mrr) OVER (PARTITION BY source) = 0)::INTEGER AS all_zero FROM a
+""",
+)
 _ROUTED_QUERIES = (
     f"(SELECT conv_id * 1000 + turn AS vec_id, embedding, route FROM ({_routed(_ASKED, _RULES)}) "
     "JOIN embeddings ON embeddings.vec_id = conv_id)"

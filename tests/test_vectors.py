@@ -124,3 +124,19 @@ def test_null_vectors_take_no_part_and_widths_must_agree(spark):
     ragged = vec.unionByName(spark.createDataFrame([(902, [1.0, 2.0])], vec.schema))
     with pytest.raises(Exception, match="different widths"):
         vx.cosine_topk(queries, ragged, 5).collect()
+
+
+@pytest.mark.parametrize("limit", [10**6, 90])
+def test_tagged_search_equals_separate_searches(spark, limit):
+    data, queries, vec = frames(spark, n=120, q=12)
+    tags = F.when(F.col("id") % 3 == 0, F.array(F.lit("a"))).when(F.col("id") % 3 == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    tagged = vec.withColumn("tags", tags)
+    names = F.when(F.col("query_id") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("none")))
+    asked = queries.withColumn("tag", F.explode(names))
+    got = vx.tagged_topk(asked, tagged, {"a": 3, "b": 5}, broadcast_values=limit)
+    for tag, k in (("a", 3), ("b", 5)):
+        apart = vx.cosine_topk(asked.where(F.col("tag") == tag), tagged.where(F.array_contains("tags", tag)), k)
+        rows = got.where(F.col("tag") == tag).drop("tag")
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, apart.collect()))
+    assert got.where("tag = 'none'").count() == 0
+    assert vx.tagged_topk(asked.limit(0), tagged, {"a": 3}).collect() == []
