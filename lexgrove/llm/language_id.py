@@ -14,15 +14,15 @@ of ``languages x BUCKETS`` sums comes to the driver. Prediction reads the text a
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with
 one learned language every other text is that language; with none (or an empty
 table) all are ``und``; a null doc_id counts as the empty text in the fold rule;
-repeated rows get equal predictions; further columns are ignored.
+repeated rows get equal predictions; a text of any length is read whole, its n-grams in
+blocks; further columns are ignored, a kept one may have any name but a result's.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ NGRAMS = (2, 3, 4)
 #: Two best codewords nearer than this, as a share of their loss, are ambiguous.
 NARROW = 0.02
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BLOCK = 1 << 16
 
 
@@ -164,9 +164,13 @@ def identify(
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits and BUCKETS x bits numbers
     keep = keep or ("doc_id",)
-    narrow = docs.select(*[F.col(f"`{k}`") for k in keep], F.col("`text`").cast("string").alias("_text"))
-    types = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + [f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"))])
+    if clash := set(keep) & set(names):
+        raise ValueError(f"columns {sorted(clash)} are results")
+    numbered = [f"k{i}" for i in range(len(keep))]  # kept columns may have any name
+    kept = [F.col(f"`{k}`").alias(n) for k, n in zip(keep, numbered)]
+    narrow = docs.select(*kept, F.col("`text`").cast("string").alias("_text"))
+    types = [docs.schema[k].dataType.simpleString() for k in keep]
+    schema = ", ".join([f"{n} {t}" for n, t in zip(numbered, types)] + ["_lang string, _score double, _unclear boolean"])
 
     def run(batches):
         model = shared.value
@@ -174,8 +178,8 @@ def identify(
             table = pa.Table.from_batches([batch])
             said = [model.predict(t) for t in table.column("_text").to_pylist()]
             lang, score, unclear = zip(*said) if said else ((), (), ())
-            out = table.select(list(keep)).append_column(names[0], pa.array(lang, pa.string()))
-            out = out.append_column(names[1], pa.array(score, pa.float64()))
-            yield from out.append_column(names[2], pa.array(unclear, pa.bool_())).to_batches()
+            out = table.select(numbered).append_column("_lang", pa.array(lang, pa.string()))
+            out = out.append_column("_score", pa.array(score, pa.float64()))
+            yield from out.append_column("_unclear", pa.array(unclear, pa.bool_())).to_batches()
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema).toDF(*keep, *names)

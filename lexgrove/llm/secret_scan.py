@@ -11,7 +11,8 @@ The dictionary and the character pairs are counted over all texts. The forest is
 trained on at most about ``TRAINING`` labelled findings (a documented bound).
 
 Defined cases: a null or empty text has no candidates; a null path is the empty path;
-repeated rows give repeated findings; an empty table gives an empty result; without
+repeated rows give repeated findings; a text of any length is searched whole, a key may be as
+long as it likes, and a value lies at most ``BLANKS`` blanks after its sign; an empty table gives an empty result; without
 labelled findings of both kinds no forest can be trained, ``score`` is null and every
 candidate stays; further columns are ignored.
 """
@@ -34,6 +35,8 @@ TRAINING = 20_000
 DICTIONARY = 1500
 TREES, DEPTH, SEED = 24, 6, 17
 NEIGHBOURS = 64
+#: Blanks at most on either side of the sign between a name and its value: a look-behind needs a bound.
+BLANKS = 32
 #: A candidate stays if the forest gives it this much.
 STAYS = 0.5
 _RUN = "A-Za-z0-9+/_-"
@@ -42,8 +45,8 @@ _NAMES = "token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|pri
 _QUOTE = r"\\?[\"']"
 _SIGN = r"(?:[=:]=?|=>)"
 #: From a credential's name to its value: NAME=, "name": ', name => and the like.
-_ASSIGNED = rf"(?:{_NAMES})(?:{_QUOTE})?[ \t]{{0,8}}{_SIGN}[ \t]{{0,8}}"
-_DIGIT = r"(?=[A-Za-z+/=_-]{0,64}[0-9])"
+_ASSIGNED = rf"(?:{_NAMES})(?:{_QUOTE})?[ \t]{{0,{BLANKS}}}{_SIGN}[ \t]{{0,{BLANKS}}}"
+_DIGIT = r"(?=[A-Za-z+/=_-]*+[0-9])"
 #: In quotes to the closing quote; otherwise to white space, the next field of a query string or the last punctuation.
 _VALUE = (
     r"(?<=\")[^\"\r\n]{8,}?(?=\\?\")|(?<=')[^'\r\n]{8,}?(?=\\?')"
@@ -56,7 +59,7 @@ _LEFT = (
 )
 #: Short look-behinds first: few places need the long one.
 CANDIDATE = (
-    rf"(?<=[\s\"'=:>])(?<=[=:>][ \t]{{0,8}}(?:{_QUOTE})?)(?<=(?i:{_ASSIGNED})(?:{_QUOTE})?)(?:{_VALUE})"
+    rf"(?<=[\s\"'=:>])(?<=[=:>][ \t]{{0,{BLANKS}}}(?:{_QUOTE})?)(?<=(?i:{_ASSIGNED})(?:{_QUOTE})?)(?:{_VALUE})"
     rf"|(?<![{_RUN}])(?!=)(?!{_LEFT}){_DIGIT}[{_KEY}]{{12,}}"
 )
 _FEATURES = [

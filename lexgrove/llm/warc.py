@@ -13,7 +13,8 @@ ones. ``reconstruct`` joins them to the original records, byte for byte.
 Defined cases: a null html is the empty payload; a null page_id or url is left out of the
 headers and read back as null; of repeated rows one is the response and the others are
 revisits; pages with one payload and equal page_ids are told apart by url, then number;
-an empty table gives an empty archive; further columns are ignored.
+an empty table gives an empty archive; a page of any length is one record, in memory as a whole; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -124,13 +125,28 @@ def parse(data: bytes):
             if name:
                 fields[name] = value
         stop = end + int(fields["Content-Length"])
-        inner = data.index(b"\r\n\r\n", end, stop) + 4
+        inner = end
+        if fields.get("Content-Type", "").startswith("application/http"):
+            found = data.find(b"\r\n\r\n", end, stop)
+            inner = stop if found < 0 else found + 4
         yield data[at:inner], fields, data[inner:stop]
         if data[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"record {fields.get('WARC-Record-ID')} does not end at its Content-Length")
         at = stop + 4
 
 
+def unzipped(data: bytes) -> bytes:
+    """All gzip members of a file; each record may be one of its own."""
+    parts = []
+    while data:
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(data))
+        if not member.eof:
+            raise ValueError("a gzip member is cut short")
+        data = member.unused_data
+    return b"".join(parts)
+
+
 _READ = (
     "record_id string, page_id long, url string, record_type string, refers_to long, sha256 string, sha1 string, "
     "length long, header binary, payload binary"
@@ -140,7 +156,9 @@ _READ = (
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the archive's files, its digests verified where it holds a payload.
 
-    One file is in memory at a time; files have at most ``RECORDS_A_FILE`` records.
+    Archives of other writers are read as well: digests that they do not declare are computed, and records
+    other than revisits hold their payload. One file is in memory at a time; this writer's files have at most
+    ``RECORDS_A_FILE`` records.
     """
     import base64
 
@@ -148,17 +166,19 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     names = [part.split(" ")[0] for part in _READ.split(", ")]
 
     def row(header, fields, payload):
-        holds = fields["WARC-Type"] == "response"
-        sha1 = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        holds, name = fields["WARC-Type"] != "revisit", fields.get("WARC-Record-ID")
+        kind, _, sha1 = fields.get("WARC-Payload-Digest", "").partition(":")
+        sha1 = sha1 if kind.lower() == "sha1" else None
+        sha256, length = fields.get("X-Payload-SHA-256"), fields.get("X-Payload-Length")
         if holds:
-            found = hashlib.sha256(payload).hexdigest(), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-            if found != (fields["X-Payload-SHA-256"], sha1) or len(payload) != int(fields["X-Payload-Length"]):
-                raise ValueError(f"payload of {fields['WARC-Record-ID']} does not have its digest")
-        number = lambda name: int(fields[name]) if name in fields else None
+            found = hashlib.sha256(payload).hexdigest(), base64.b32encode(hashlib.sha1(payload).digest()).decode(), str(len(payload))
+            if any(said not in (None, own) for said, own in zip((sha256, sha1, length), found)):
+                raise ValueError(f"payload of {name} does not have its digest")
+            sha256, sha1, length = found
+        number = lambda value: None if value is None else int(value)
         return (
-            fields["WARC-Record-ID"], number("X-Page-ID"), fields.get("WARC-Target-URI"), fields["WARC-Type"],
-            number("X-Refers-To-Page-ID"), fields["X-Payload-SHA-256"], sha1, number("X-Payload-Length"), header,
-            payload if holds else None,
+            name, number(fields.get("X-Page-ID")), fields.get("WARC-Target-URI"), fields["WARC-Type"],
+            number(fields.get("X-Refers-To-Page-ID")), sha256, sha1, number(length), header, payload if holds else None,
         )
 
     def run(batches):
@@ -169,7 +189,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for record in parse(zlib.decompress(content.as_py(), 31)):
+                for record in parse(unzipped(content.as_py())):
                     rows.append(row(*record))
                     if len(rows) == 256:
                         yield _batch(rows, names, types)
@@ -177,7 +197,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield _batch(rows, names, types)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
     return files.mapInArrow(run, _READ)
 
 
@@ -191,14 +211,20 @@ def headers(archive: DataFrame) -> DataFrame:
 
 
 def payloads(archive: DataFrame) -> DataFrame:
-    """``(sha256, payload)``: each payload once; verified when it was read."""
-    return archive.where("payload is not null").select("sha256", "payload")
+    """``(sha256, payload)``: each payload once, whatever number of archives holds it; verified when it was read."""
+    return archive.where("payload is not null").select("sha256", "payload").dropDuplicates(["sha256"])
+
+
+def with_digests(records: DataFrame, archive: DataFrame) -> DataFrame:
+    """``records`` whose SHA-256 is not declared (revisits of other writers) get it from the payload with their SHA-1."""
+    known = archive.where("payload is not null").select("sha1", F.col("sha256").alias("_found")).dropDuplicates(["sha1"])
+    return records.join(known, "sha1", "left").withColumn("sha256", F.coalesce("sha256", "_found")).select(*records.columns)
 
 
 def reconstruct(records: DataFrame, store: DataFrame) -> DataFrame:
-    """Records with ``payload`` (also of a revisit) and ``record``, the original bytes."""
-    joined = records.join(store, "sha256")
-    own = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    """Records with ``payload`` (also of a revisit; null if no archive holds it) and ``record``, the original bytes."""
+    joined = records.join(store, "sha256", "left")
+    own = F.when(F.col("record_type") != "revisit", F.col("payload")).otherwise(F.lit(b""))
     return joined.withColumn("record", F.concat("header", own))
 
 

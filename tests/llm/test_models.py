@@ -209,3 +209,35 @@ def test_secrets_of_ordinary_forms(spark):
         [("3f9a77c0d1e25b8846aa", "stands free ", " "), ("4785380592391139", "free ", " "), ("Tr0ub4dor", 'PWD = "', '"')],
         "candidate string, before string, after string")).collect()}
     assert labels == {"4785380592391139": 0, "Tr0ub4dor": 1}
+
+
+def test_numbers_and_signs_are_no_letters(spark, documents):
+    texts = ["½ ① ² ३ ⅷ", "१२ _ 3", "½ a", "漢", "́"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    said = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.fit(documents)).collect()}
+    assert [said[i] == "und" for i in range(5)] == [True, True, False, False, True]
+
+
+def test_predictions_equal_plain_counting(documents):
+    """The same codes from a dictionary of n-grams, without blocks or buckets summed by Spark."""
+    model = language_id.fit(documents, sample=10**6)
+    counts = {lang: Counter() for lang in model.languages}
+    taught = documents.where(~language_id.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect()
+    for r in taught:
+        for buckets in language_id.grams(r.text):
+            counts[r.lang].update(buckets.tolist())
+    table = np.zeros((len(model.languages), language_id.BUCKETS))
+    for i, lang in enumerate(model.languages):
+        table[i, list(counts[lang])] = list(counts[lang].values())
+    plain = language_id.Model(model.languages, table)
+    for r in language_id.identify(documents, model, "doc_id", "text").collect():
+        lang, score, unclear = plain.predict(r.text)
+        assert (r.lang_pred, r.ambiguous) == (lang, unclear) and abs(r.score - score) < 1e-9
+
+
+def test_long_keys_and_wide_assignments_are_candidates(spark):
+    late = "k" * 100 + "7" + "q" * 40
+    texts = [f"x {late} y", 'password' + " " * 9 + "=" + " " * 9 + '"correct-horse"', "token" + " " * 40 + '= "far-too-far-away"', "Z" * 200_000 + "9"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = {(r.doc_id, r.candidate) for r in secret_scan.candidates(docs).collect()}
+    assert found == {(0, late), (1, "correct-horse"), (3, texts[3])}
