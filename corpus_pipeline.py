@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Collection
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.llm import exact_dedup, language_id, mixing, packing, simhash_dedup
@@ -15,66 +16,90 @@ from lexgrove.llm.queries import tokenizer_file
 ORACLE_SQL = None
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_name``, the digest of the text, which names a row together with its doc_id."""
-    return docs.withColumn("_name", F.sha2(text_of(), 256))
+def opened(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with numbered columns, and their names, beside the columns that operators read.
+
+    So a column of any name can be carried through a stage and never meets one that the stage computes.
+    """
+    numbered = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*numbered)
+    read = {n: numbered[docs.columns.index(n)] for n in ("doc_id", "text", "lang", "source") if n in docs.columns}
+    return rows.select("*", *[F.col(c).alias(n) for n, c in read.items()]), numbered
 
 
-def only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of ``docs`` named in ``chosen(doc_id, _name)``, one of each."""
-    named = chosen.select(F.col("doc_id").alias("_id"), F.col("_name").alias("_n"))
-    kept = identified(docs).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_name") == F.col("_n")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_name"]).select(*docs.columns)
+def only(docs: DataFrame, digest: Column, chosen: DataFrame) -> DataFrame:
+    """Rows of ``docs`` named in ``chosen(doc_id, digest)``; of rows with equal names one, whichever comes first."""
+    rows, numbered = opened(docs)
+    narrow = rows.select(*numbered, "doc_id", digest.alias("digest"))
+    named = chosen.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    kept = narrow.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "digest"]).select(*numbered).toDF(*docs.columns)
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without text or letters go. Where no row teaches a language, only those go."""
-    names = ("_said", "_score", "_unclear")
-    model = language_id.fit(docs)
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str, wanted: Collection[str] | None = None) -> DataFrame:
+    """Documents whose predicted language is clear and, with ``wanted``, one of these.
+
+    A text that is null or has no letter is rejected, and one whose two nearest codewords are about as near.
+    Repeated rows stay or go together. Where no row teaches a language, only texts without letters go.
+    """
+    rows, numbered = opened(docs)
+    model = language_id.fit(rows)
     if not model.languages:
-        return docs.where(text_of().rlike(r"\p{L}"))
-    said = language_id.identify(docs, model, *docs.columns, names=names)
-    return said.where(F.col("_said") != language_id.UNKNOWN).select(*docs.columns)
+        return docs.where(text_of("`text`").rlike(r"\p{L}"))
+    said = language_id.identify(rows, model, *numbered, names=("said", "score", "unclear"))
+    clear = (F.col("said") != language_id.UNKNOWN) & ~F.col("unclear")
+    if wanted is not None:
+        clear &= F.col("said").isin(*wanted)
+    return said.where(clear).select(*numbered).toDF(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, white space aside: the one with the smallest doc_id."""
-    kept = exact_dedup.deduplicate(docs).where("kept").select("doc_id", F.col("text_sha256").alias("_norm"))
-    normal = docs.withColumn("_norm", F.sha2(exact_dedup.normal_space(text_of()), 256))
-    named = kept.select(F.col("doc_id").alias("_id"), F.col("_norm").alias("_n"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_norm") == F.col("_n"))
-    return normal.join(named, same, "left_semi").dropDuplicates(["doc_id", "_norm"]).select(*docs.columns)
+    """One document of each text, white space aside: the one with the smallest doc_id, one without doc_id only if all are.
+
+    Null and empty texts are equal texts. Of rows with that doc_id and text one stays, whatever their other columns hold.
+    """
+    kept = exact_dedup.deduplicate(docs).where("kept").select("doc_id", F.col("text_sha256").alias("digest"))
+    return only(docs, F.sha2(exact_dedup.normal_space(text_of("`text`")), 256), kept)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest doc_id.
+    """One document of each component of near duplicates: the one with the smallest doc_id, a null one last, then by digest.
 
     The rule is operator 3's, at most 4 of 64 bits over 4-word shingles; it finds close copies. Of edited copies with
-    a Jaccard similarity of 0.8 to 0.9 of their 5-word shingles, most stay (figures in the README).
+    a Jaccard similarity of 0.8 to 0.9 of their 5-word shingles, most stay (figures in the README). Texts without words
+    have one fingerprint and so are one component. Of rows with one doc_id and text one stays.
     """
-    rows = checkpointed(simhash_dedup.with_fingerprint(identified(docs), ["doc_id", "_name"]))
+    named, _ = opened(docs)
+    digest = F.sha2(text_of("`text`"), 256)
+    rows = checkpointed(simhash_dedup.with_fingerprint(named.select("doc_id", "text", digest.alias("digest")), ["doc_id", "digest"]))
     roots = simhash_dedup.fingerprint_roots(rows.select("fp").distinct())
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_name")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     first = rows.groupBy("fp").agg(F.min(order).alias("first"))
     first = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    return only(docs, checkpointed(first.select("first.doc_id", "first._name")))
+    return only(docs, digest, checkpointed(first.select("first.doc_id", "first.digest")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: its words of a document, divided by its size and
-    rounded, give 0, 1 or 2 whole copies. At most a document or two of a source are rounded."""
-    named = identified(docs)
-    times = mixing.taken(named, "doc_id", "_name").groupBy("doc_id", "_name").agg(
-        F.floor(F.avg("taken") / F.greatest(F.first("size"), F.lit(1)) + 0.5).cast("int").alias("_times")
+    rounded, give 0, 1 or 2 whole copies. At most a document or two of a source are rounded.
+
+    A null source is a source; documents without words are taken 0 times. Rows with one doc_id and text are
+    taken equally often, by the mean of what the mix takes of each.
+    """
+    rows, numbered = opened(docs)
+    named = rows.withColumn("digest", F.sha2(text_of("`text`"), 256))
+    times = mixing.taken(named, "doc_id", "digest").groupBy("doc_id", "digest").agg(
+        F.floor(F.avg("taken") / F.greatest(F.first("size"), F.lit(1)) + 0.5).cast("int").alias("times")
     )
-    times = times.where("_times > 0").select(F.col("doc_id").alias("_id"), F.col("_name").alias("_n"), "_times")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_name") == F.col("_n"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return named.join(times, same).select(*docs.columns, copies.alias("_copy")).drop("_copy")
+    times = times.where("times > 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "times")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
+    taken = named.select(*numbered, "doc_id", "digest").join(times, same)
+    return taken.select(*numbered, copies.alias("copy")).drop("copy").toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document (copies apart) with its sequence and place."""
+    """Every piece of every document (copies apart) with its sequence and place. A null text is the empty document: one piece."""
     return packing.pack_documents(docs, tokenizer_file())
 
 
