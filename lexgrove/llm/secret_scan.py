@@ -42,6 +42,8 @@ STAYS = 0.5
 _RUN = "A-Za-z0-9+/_-"
 _KEY = "A-Za-z0-9+/=_-"
 _NAMES = "token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth|bearer"
+#: The same names as plain strings, optional signs written out.
+_SPELLED = [n.replace("[_-]?", sign) for n in _NAMES.split("|") for sign in (("", "_", "-") if "[_-]?" in n else ("",))]
 _QUOTE = r"\\?[\"']"
 _SIGN = r"(?:[=:]=?|=>)"
 #: From a credential's name to its value: NAME=, "name": ', name => and the like.
@@ -75,6 +77,11 @@ def candidates(docs: DataFrame, *ids: str, path: str = "source") -> DataFrame:
         *[F.col(f"`{i}`") for i in ids], F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("path"),
         text_of("`text`").alias("_text"),
     )
+    # what no candidate can be in goes before the pattern: those that are no assignment have a digit
+    low, sign = F.lower("_text"), F.col("_text").rlike("[0-9]")
+    for name in _SPELLED:
+        sign = sign | low.contains(name)
+    rows = rows.where(sign)
     rows = rows.withColumn("_found", F.regexp_extract_all("_text", F.lit(CANDIDATE), 0)).where(F.size("_found") > 0)
     rows = rows.withColumn("_between", F.split("_text", CANDIDATE, -1)).drop("_text")
     sides = F.transform(F.col("_between"), lambda b: F.struct(F.right(b, F.lit(48)).alias("end"), F.left(b, F.lit(48)).alias("start")))
