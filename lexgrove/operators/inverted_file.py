@@ -206,13 +206,10 @@ def report(queries: DataFrame, vectors: DataFrame, k: int, skip_self: bool = Fal
     lengths = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
     coded = asked.groupBy("list").agg(F.count(F.lit(1)).alias("asked")).join(lengths, "list")
     coded = coded.agg(F.coalesce(F.sum(F.col("asked") * F.col("n")), F.lit(0)).alias("coded"))
-    totals = [df.agg(F.count("vector").alias(name)) for df, name in ((queries, "queries"), (vectors, "vectors"))]
-    joined = recall.withColumn("_one", F.lit(1))
-    for single in (coded, *totals):  # single rows, side by side
-        joined = joined.join(single.withColumn("_one", F.lit(1)), "_one")
-    pairs = F.col("queries") * F.col("vectors")
-    return joined.select(
+    asked_n, held_n = (df.agg(F.count("vector")).scalar() for df in (queries, vectors))
+    pairs, coded_pairs = asked_n * held_n, coded.scalar()
+    return recall.select(
         F.lit(k).alias("k"), F.lit(len(centroids.vectors)).alias("lists"), F.lit(centroids.probes).alias("probes"), "neighbours", "found",
-        F.try_divide("found", "neighbours").alias("recall"), F.try_divide("coded", pairs).alias("coded_share"),
-        F.try_divide(F.least(F.col("coded"), F.col("queries") * F.lit(CANDIDATES * k)), pairs).alias("scored_share"),
+        F.try_divide("found", "neighbours").alias("recall"), F.try_divide(coded_pairs, pairs).alias("coded_share"),
+        F.try_divide(F.least(coded_pairs, asked_n * F.lit(CANDIDATES * k)), pairs).alias("scored_share"),
     )
