@@ -786,7 +786,7 @@ def _records(spark, sf) -> DataFrame:
     )
 
 
-def _register(spark, sf) -> DataFrame:
+def _trademark_register(spark, sf) -> DataFrame:
     return table(spark, sf, "supplier").select(
         F.col("s_name").alias("brand_name"),
         F.lower("s_name").alias("brand_name_lower"),
@@ -801,7 +801,7 @@ def _register(spark, sf) -> DataFrame:
 
 
 def trademark_merge(spark, sf):
-    merged, _ = merge.trademark_upsert(_register(spark, sf), _records(spark, sf), "row")
+    merged, _ = merge.trademark_upsert(_trademark_register(spark, sf), _records(spark, sf), "row")
     return merged.select("brand_name", "st13", "registration_number", "status")
 
 
@@ -1146,7 +1146,7 @@ def stream_trademarks(spark, sf):
         if number == 1:
             log.compact(spark, f"{out}/log", incremental.latest_records)
             log.sweep(spark, f"{out}/log")
-    merged, _ = incremental.current_trademarks(spark, f"{out}/log", _register(spark, sf))
+    merged, _ = incremental.current_trademarks(spark, f"{out}/log", _trademark_register(spark, sf))
     return merged.select("brand_name", "st13", "registration_number", "status")
 
 
