@@ -183,13 +183,68 @@ def page_records(spark, sf):
     """Block elements of pages as labelled lines; headings name the records."""
     blocks = F.regexp_replace("html", r"<(h1|h2|p|li|title)[ >/]", "\n$1\n")
     pages = table(spark, sf, "pages").select("page_id", blocks.alias("lines"))
-    rows = lines.lines_of(pages, "page_id", F.col("lines"))
-    values = lines.labelled_values(rows, "page_id", "h1", ["h2", "p", "li", "title"])
-    return lines.first_values(
-        values, "page_id", {lines.NAME: "lead", "h1": "heading", "p": "paragraph", "li": "item"}
+    found = lines.records_in_rows(pages, "page_id", F.col("lines"), "h1", ["h2", "p", "li", "title"])
+    shown = {lines.NAME: "lead", "h1": "heading", "p": "paragraph", "li": "item"}
+    return found.select(
+        "page_id", "record", *[F.get(lines.part_values(F.col("parts"), label), 0).alias(name) for label, name in shown.items()]
     )
 
 
+def trademark_cards(spark, sf):
+    """Documents written out as result pages: every line is a mark with an owner, classes, and every other one a status."""
+
+    def card(line: Column, i: Column) -> Column:
+        number = (i + 1).cast("string")
+        status = F.concat(F.lit("\nStatus\nRegistered (day "), number, F.lit(")\nIPR\nTrademark"))
+        return F.concat(
+            line, F.lit("\nOwner\n"), line, F.lit(" ("), F.col("source"), F.lit(")\nNice class\n"), number, F.lit(", x "), F.col("doc_id").cast("string"),
+            F.lit("\n9"), F.when(i % 2 == 0, status).otherwise(""), F.lit("\nNumber\n"), number, F.lit("\nFilters\n"),
+        )
+
+    shown = F.concat(F.lit("Results view\nOwner\n"), F.array_join(F.transform(_plain_lines(), card), "\n"))
+    pages = documents(spark, sf).select("doc_id", shown.alias("page"))
+    return lines.trademark_pages(pages, "doc_id", F.col("page")).withColumn("nice_classes", F.array_join("nice_classes", ","))
+
+
+#: Heads of written-out statutes, one for each way in which type, number, title, issuer and dates are told.
+STATUTE_HEADS = (
+    "QUỐC HỘI\nLuật số: {id}/2005/QH11\nTrang 12\nHà Nội, ngày 29 tháng 11 năm 2005\nLUẬT\nSỞ HỮU TRÍ TUỆ.\n"
+    "Luật này có hiệu lực thi hành kể từ ngày 1 tháng 7 năm 2006.",
+    "BỘ TÀI CHÍNH\nSố: {id}/2011/TTLT\nHà Nội, ngày 3 tháng 4 năm 2011\nTHÔNG TƯ LIÊN TỊCH\nCó hiệu lực sau 45 ngày.",
+    "BỘ Y TẾ.\nsố {id}/2012/TT-BYT\nThông tư ký 7/8/2012\nThông tư này có hiệu lực kể từ ngày ký.",
+    "BỘ LUẬT\nDÂN SỰ.\nQUỐC HỘI\n{id}/2015/QH13\nKhông ghi ngày",
+    "BỘ VĂN HOÁ\nQuyết định số: {id}/2016/QĐ-BVH\nNgày 9 tháng 10 năm 2016",
+    "Văn bản không có tên\n1. Điều 5 được sửa đổi, bổ sung",
+    '"Điều 9. Tên"\nNghị định số: {id}/2013/NĐ-CP\nCHÍNH PHỦ\n1/2/2013',
+)
+#: Openings of the articles and headings before them, dealt to the lines in turn; ``{n}`` is the line's number.
+STATUTE_LINES = (
+    "PHẦN THỨ {n}\nChương IV\nTÊN CHƯƠNG.\nĐiều {n}. ", "Mục {n}\nĐiều {n}a. ", '"Điều {n}. ', "{n}. Điều {n} được sửa đổi ",
+    "CHƯƠNG XI\nPHẠM VI.\nĐiều {n} của ", "Chương {n}\nTiêu đề\nxem Điều {n} ", "Phụ lục {n} ",
+)
+STATUTE_TAIL = "TM. ỦY BAN\nNơi nhận"
+
+
+def _statutes_in_forms(spark, sf) -> DataFrame:
+    """Documents written out as statutes of all forms, by the number of the document and of the line."""
+
+    def opening(line: Column, i: Column) -> Column:
+        start = F.get(F.array(*[F.lit(t) for t in STATUTE_LINES]), i % len(STATUTE_LINES))
+        return F.concat(F.replace(start, F.lit("{n}"), (i + 1).cast("string")), line)
+
+    head = F.get(F.array(*[F.lit(t) for t in STATUTE_HEADS]), (F.col("doc_id") % len(STATUTE_HEADS)).cast("int"))
+    text = F.concat_ws(
+        "\n", F.replace(head, F.lit("{id}"), F.col("doc_id").cast("string")),
+        F.array_join(F.transform(_plain_lines(), opening), "\n"), F.lit(STATUTE_TAIL),
+    )
+    return documents(spark, sf).select(_file_name(), text.alias("text"))
+
+
+def statute_forms(spark, sf):
+    """Metadata, headings and kinds of the chunks of statutes in all forms, cut small so that short documents have several."""
+    return chunking.statute_chunks(_statutes_in_forms(spark, sf), size=250, overlap=40)
+
+
 # -------------------------------------------------------------------- sequences
 def carry_forward(spark, sf):
     turns = table(spark, sf, "conversations")
@@ -1170,7 +1225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_lines, doc_metadata, doc_type_route, section_chunks, packed_chunks, statute_chunks,
-        verdict_chunks, statute_articles, verdict_items, page_records, carry_forward, next_edges, context_window, context_window_2,
+        verdict_chunks, statute_articles, verdict_items, page_records, trademark_cards, statute_forms, carry_forward, next_edges, context_window, context_window_2,
         history_last5, session_titles, typed_edges, doc_dimension, duplicate_keys,
         validity_filter, corpus_subset, resume_anti, point_lookup, related_rows, null_profile,
         type_counts, store_stats, daily_activity, prefix_plan, page_listing, retention,

@@ -151,6 +151,42 @@ FROM c WHERE record IS NOT NULL AND NOT skip GROUP BY page_id, record
 """,
 )
 
+_CHROME = " OR ".join(f"starts_with(line, {quoted(x)})" for x in fv.RESULT_PAGE_CHROME)
+add(
+    "trademark_cards",
+    rf"""
+WITH d AS (
+  SELECT doc_id, 'Results view' || chr(10) || 'Owner' || chr(10) || array_to_string(list_transform(ls, lambda l, i:
+    l || chr(10) || 'Owner' || chr(10) || l || ' (' || source || ')' || chr(10) || 'Nice class' || chr(10) || i || ', x ' || doc_id
+    || chr(10) || '9' || CASE WHEN i % 2 = 1 THEN chr(10) || 'Status' || chr(10) || 'Registered (day ' || i || ')' || chr(10) || 'IPR'
+    || chr(10) || 'Trademark' ELSE '' END || chr(10) || 'Number' || chr(10) || i || chr(10) || 'Filters' || chr(10)), chr(10)) AS page
+  FROM (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)),
+    lambda l: trim(regexp_replace(l, '[^\p{{L}} ]+', ' ', 'g'))), lambda l: l <> '') AS ls FROM documents)),
+l AS (SELECT doc_id, unnest(string_split(page, chr(10))) AS line, generate_subscripts(string_split(page, chr(10)), 1) - 1 AS pos FROM d),
+n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM l WHERE trim(line) <> ''),
+m AS (
+  SELECT *, coalesce(nxt = 'Owner', false) AND NOT ({_CHROME}) AS is_start,
+    line IN ('Owner', 'Nice class', 'IPR', 'Country of filing', 'Status', 'Number') AS is_label FROM n),
+c AS (
+  SELECT doc_id, pos, line, is_label AND NOT is_start AS skip,
+    last_value(CASE WHEN is_start THEN pos END IGNORE NULLS) OVER w AS record,
+    last_value(CASE WHEN is_start THEN '_name' WHEN is_label THEN line END IGNORE NULLS) OVER w AS label
+  FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+r AS (
+  SELECT doc_id, record, arg_min(line, pos) FILTER (WHERE label = '_name') AS brand_name,
+    arg_min(line, pos) FILTER (WHERE label = 'Owner') AS owner, arg_min(line, pos) FILTER (WHERE label = 'IPR') AS ipr_type,
+    arg_min(line, pos) FILTER (WHERE label = 'Country of filing') AS country_of_filing,
+    arg_min(line, pos) FILTER (WHERE label = 'Status') AS status, arg_min(line, pos) FILTER (WHERE label = 'Number') AS registration_number,
+    string_agg(line, ',' ORDER BY pos) FILTER (WHERE label = 'Nice class') AS classes
+  FROM c WHERE record IS NOT NULL AND NOT skip GROUP BY doc_id, record)
+SELECT doc_id, record, brand_name, ipr_type, country_of_filing, status, registration_number,
+  array_to_string(list_filter(regexp_split_to_array(classes, '[,\s]+'), lambda p: regexp_matches(p, '^\d+$')), ',') AS nice_classes,
+  trim(regexp_extract(owner, '^(.*)\((.*)$', 1)) AS owner_name, trim(regexp_extract(owner, '^(.*)\((.*)$', 2), '() ') AS owner_country,
+  nullif(regexp_extract(status, '\(([^)]*)\)', 1), '') AS status_date
+FROM r
+""".replace("\\\\", "\\"),
+)
+
 # -------------------------------------------------------------------- sequences
 add(
     "carry_forward",

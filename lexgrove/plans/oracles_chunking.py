@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexgrove.functions import fixed_values as fv
+from lexgrove.plans.bindings import STATUTE_HEADS, STATUTE_LINES, STATUTE_TAIL
 from lexgrove.plans.oracles import CHUNK_ID, quoted, strip
 
 CHUNKING_ORACLES: dict[str, str] = {}
@@ -112,6 +113,85 @@ SELECT {_chunk_id("doc")} AS chunk_id, doc AS doc_id, content, chunk_index,
 FROM x
 """
 
+
+def _texts(values) -> str:
+    return "[" + ", ".join(quoted(v) for v in values) + "]"
+
+
+def _any(c: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({c}, {quoted(n)})" for n in needles) + ")"
+
+
+# what each head of a written-out statute says: type, number, title, issuer, day of signing, day of effect
+_TOLD = """(VALUES
+  (0, 'Luật', '/2005/QH11', 'Luật Sở Hữu Trí Tuệ', 'Quốc hội', '2005-11-29', '2006-07-01'),
+  (1, 'Thông tư liên tịch', '/2011/TTLT', NULL, 'Bộ Tài chính', '2011-04-03', '2011-05-18'),
+  (2, 'Thông tư', '/2012/TT-BYT', NULL, 'Bộ Y Tế', '2012-08-07', '2012-08-07'),
+  (3, 'Bộ luật', '/2015/QH13', 'Luật Dân Sự', 'Quốc hội', NULL, NULL),
+  (4, 'Quyết định', '/2016/QĐ-BVH', NULL, 'Bộ Văn hóa, Thể thao và Du lịch', '2016-10-09', NULL),
+  (5, 'Văn bản pháp luật', NULL, NULL, NULL, NULL, NULL),
+  (6, 'Nghị định', '/2013/NĐ-CP', NULL, 'Chính phủ', '2013-02-01', NULL)
+) AS told(form, doc_type, ending, title, issuing_agency, signing_date, effective_date)"""
+_FORMS = f"""
+  SELECT doc_id, {strip(f"""array_to_string(list_concat([replace(replace(({_texts(STATUTE_HEADS)})[doc_id % {len(STATUTE_HEADS)} + 1],
+      'Trang 12' || chr(10), ''), '{{id}}', doc_id::VARCHAR)],
+    [array_to_string(list_transform(ls, lambda l, i: replace(({_texts(STATUTE_LINES)})[(i - 1) % {len(STATUTE_LINES)} + 1],
+      '{{n}}', i::VARCHAR) || l), chr(10))], [{quoted(STATUTE_TAIL)}]), chr(10))""")} AS text
+  FROM (SELECT doc_id, {_PLAIN_LINES} AS ls FROM documents)
+"""
+CHUNKING_ORACLES["statute_forms"] = rf"""
+WITH c AS ({_split(_FORMS, "doc_id", fv.STATUTE_SEPARATORS, 250, 40)}),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total, upper(substr(content, 1, 800)) AS top,
+    nullif(regexp_extract(content, '^(Điều\s+\d+[a-z]?)\.?\s*([^
+]*)', 1), '') AS a1,
+    trim(regexp_extract(content, '^(Điều\s+\d+[a-z]?)\.?\s*([^
+]*)', 2)) AS t1,
+    nullif(regexp_extract(substr(content, 1, 500), '(\d+)\.\s*(Điều\s+\d+[a-z]?)\s+được\s+sửa\s+đổi', 2), '') AS a2,
+    nullif(regexp_extract(substr(content, 1, 500), '^["'']?(Điều\s+\d+[a-z]?)\.?\s*([^"''
+]*)["'']?', 1), '') AS a3,
+    trim(regexp_extract(substr(content, 1, 500), '^["'']?(Điều\s+\d+[a-z]?)\.?\s*([^"''
+]*)["'']?', 2)) AS t3,
+    nullif(regexp_extract(substr(content, 1, 1000), '(Điều\s+\d+[a-z]?)\.?\s*([^
+]{{0,100}})', 1), '') AS a4,
+    trim(regexp_extract(substr(content, 1, 1000), '(Điều\s+\d+[a-z]?)\.?\s*([^
+]{{0,100}})', 2)) AS t4,
+    nullif(regexp_extract(content, '(?i)(PHẦN THỨ\s+[\p{{L}}\p{{N}}_]+)', 1), '') AS phan,
+    nullif(regexp_extract(content, '(?i)(Mục\s+\d+)', 1), '') AS muc,
+    [{{'c': regexp_extract(content, '(Chương\s+[IVXLC]+)[:\s]*
+', 1), 't': 'TÊN CHƯƠNG'}},
+     {{'c': regexp_extract(content, '(CHƯƠNG\s+[IVXLC]+)[:\s]*
+', 1), 't': 'PHẠM VI'}},
+     {{'c': regexp_extract(content, '(Chương\s+\d+)[:\s]*
+\s*[^
+]+', 1), 't': 'Tiêu đề'}}] AS forms
+  FROM c),
+o AS (SELECT *, coalesce(a1, a2, a3, a4) AS dieu, list_filter(forms, lambda f: f.c <> '')[1] AS chapter,
+    CASE WHEN a1 IS NOT NULL THEN CASE WHEN length(t1) >= 3 THEN t1 END
+      WHEN a2 IS NOT NULL THEN 'sửa đổi, bổ sung' WHEN a3 IS NOT NULL THEN nullif(t3, '')
+      WHEN a4 IS NOT NULL AND (t4 = '' OR (length(t4) >= 3 AND NOT starts_with(t4, 'của') AND NOT starts_with(t4, 'và')))
+      THEN t4 END AS own_title,
+    regexp_matches(upper(content), '^(CHƯƠNG|PHẦN|MỤC|QUỐC HỘI|CHÍNH PHỦ|BỘ )') AS headed
+  FROM n),
+w AS (SELECT * EXCLUDE (phan, muc), last_value(phan IGNORE NULLS) OVER p AS phan, last_value(muc IGNORE NULLS) OVER p AS muc,
+    last_value(chapter IGNORE NULLS) OVER p AS held, last_value(dieu IGNORE NULLS) OVER p AS carried
+  FROM o WINDOW p AS (PARTITION BY doc_id ORDER BY chunk_index ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT w.*, told.*, source || '-' || w.doc_id AS stem, w.doc_id || ending AS number,
+    dieu IS NULL AND carried IS NOT NULL AND NOT headed AS cont
+  FROM w JOIN documents USING (doc_id) JOIN {_TOLD} ON form = w.doc_id % 7),
+y AS (SELECT * EXCLUDE (doc_id), coalesce(number, stem || '.txt') AS doc FROM x)
+SELECT {_chunk_id("doc")} AS chunk_id, doc AS doc_id, stem || '.txt' AS filename, content, chunk_index,
+  CASE WHEN chunk_index = 0 OR (chunk_index < 3 AND NOT regexp_matches(content, 'Điều\s+\d+') AND
+      {_any("top", ["QUỐC HỘI", "CHÍNH PHỦ", "CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM", "ĐỘC LẬP - TỰ DO - HẠNH PHÚC", "NƯỚC CỘNG HÒA"])}) THEN 'header'
+    WHEN {_any("top", ["PHỤ LỤC", "BIỂU MẪU", "MẪU SỐ", "DANH MỤC"])} THEN 'appendix'
+    WHEN chunk_index >= total - 3 AND regexp_matches(content, '(?i)TM\.|T\.M\.|THAY MẶT|CHỦ TỊCH|BỘ TRƯỞNG|THỦ TƯỚNG|Nơi nhận') THEN 'signature'
+    ELSE 'content' END AS chunk_type,
+  phan, held.c AS chuong, held.t AS chuong_title, muc, CASE WHEN cont THEN carried ELSE dieu END AS dieu,
+  CASE WHEN cont THEN '(tiếp theo ' || carried || ')' ELSE own_title END AS dieu_title, cont AS is_continuation,
+  coalesce(title, stem) AS doc_name, doc_type, coalesce(number, '') AS doc_number, issuing_agency, signing_date,
+  effective_date, 'active' AS status
+FROM y
+"""
+
 CHUNKING_ORACLES["verdict_items"] = f"""
 WITH j AS (SELECT doc_id || '/2020/DS-ST' AS id, source, {_PLAIN_LINES} AS ls FROM documents),
 l AS (SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM j),
