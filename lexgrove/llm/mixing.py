@@ -85,8 +85,9 @@ def stream(sizes: DataFrame, plan: DataFrame, *ids: str) -> DataFrame:
 
 
 def blocks(placed: DataFrame, *ids: str) -> DataFrame:
-    """``source_no, block, ids, size, start, word, length``: the part of a document in each block of its
-    source's stream, up to the words the source takes; ``word`` counts from the document's start."""
+    """``source_no, block, round, ids, size, start, word, length``: the part of a document in each block of its
+    source's stream, up to the words the source takes; ``round`` tells the passes over the source apart, ``word``
+    counts from the document's start."""
     passes = F.explode(F.sequence(F.lit(0), F.lit(REPEAT - 1)))
     here = placed.where("size > 0").select("*", passes.alias("round"))
     here = here.withColumn("at", F.col("start") + F.col("round") * F.col("source_size"))
@@ -94,7 +95,7 @@ def blocks(placed: DataFrame, *ids: str) -> DataFrame:
     number = F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("end") - 1) / BLOCK)))
     cut = here.select("*", number.alias("block"))
     low, high = F.greatest("at", F.col("block") * BLOCK), F.least("end", (F.col("block") + 1) * BLOCK)
-    return cut.select("source_no", "block", *ids, "size", "start", (low - F.col("at")).alias("word"), (high - low).alias("length"))
+    return cut.select("source_no", "block", "round", *ids, "size", "start", (low - F.col("at")).alias("word"), (high - low).alias("length"))
 
 
 def schedule(plan: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def schedule(plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, *ids: str) -> tuple[DataFrame, DataFrame]:
     """The mix as ``(pieces, placed)``.
 
-    ``pieces``: ``place, source_no, ids, size, start, word, length`` - read in the
+    ``pieces``: ``place, source_no, round, ids, size, start, word, length`` - read in the
     order of ``place`` and then ``start`` they are the mixed words.
     ``placed``: every row of ``docs`` with its size, source and target.
     """
@@ -132,12 +133,22 @@ def mix(docs: DataFrame, *ids: str) -> tuple[DataFrame, DataFrame]:
 
 
 def taken(docs: DataFrame, *ids: str) -> DataFrame:
-    """``ids, size, source_size, target, taken`` for every row: words of it that the mix takes, repeats counted."""
+    """``ids, size, source_size, target, taken`` for every row: words of it that the mix takes, repeats counted.
+
+    ``first_place`` and ``second_place`` tell where in the schedule its first and second pass begin: the earliest
+    place of a block that holds words of it; null if that pass takes none. Ordered by place, rows come as mixed.
+    """
     ids = ids or ("doc_id",)
     pieces, placed = mix(docs, *ids)
     # a document with words is the only one at its place of its source's stream
-    sums = pieces.groupBy("source_no", "start").agg(F.sum("length").alias("_taken"))
+    sums = pieces.groupBy("source_no", "start").agg(
+        F.sum("length").alias("_taken"),
+        *[F.min(F.when(F.col("round") == n, F.col("place"))).alias(f"_place{n}") for n in range(REPEAT)],
+    )
+    has_words = F.col("size") > 0
     return placed.join(sums.hint("merge"), ["source_no", "start"], "left").select(
         *ids, "size", "source_size", "target",
-        F.when(F.col("size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(0).cast("long").alias("taken"),
+        F.when(has_words, F.coalesce("_taken", F.lit(0))).otherwise(0).cast("long").alias("taken"),
+        F.when(has_words, F.col("_place0")).alias("first_place"),
+        F.when(has_words, F.col("_place1")).alias("second_place"),
     )

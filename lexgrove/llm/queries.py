@@ -166,11 +166,31 @@ ORACLES = LATER_ORACLES | {
             FROM fill JOIN w ON fill.source IS NOT DISTINCT FROM w.source
             WHERE fill.round = (SELECT count(*) FROM s)),
         p AS (
-            SELECT d.doc_id, d.size, t.source_size, t.target, t.quota,
+            SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.quota,
                    sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id) - d.size AS start
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        need AS (
+            SELECT t.source, (t.quota + 2047) // 2048 AS n,
+                   sum((t.quota + 2047) // 2048) OVER (ORDER BY w.no) - (t.quota + 2047) // 2048 AS low,
+                   greatest(16, length(bin(sum((t.quota + 2047) // 2048) OVER () - 1))) AS bits
+            FROM t JOIN w ON t.source IS NOT DISTINCT FROM w.source WHERE t.quota > 0),
+        slots AS (SELECT source, bits, unnest(range(low::BIGINT, (low + n)::BIGINT)) AS x FROM need),
+        turned AS (
+            SELECT source, list_sum(list_transform(range(bits::BIGINT),
+                       lambda i: ((x >> i::INTEGER) & 1) * (2 ** (bits - 1 - i))::BIGINT))::BIGINT AS place FROM slots),
+        ranked AS (SELECT source, place, row_number() OVER (PARTITION BY source ORDER BY place) - 1 AS block FROM turned),
+        passes AS (
+            SELECT doc_id, source, pass, start + pass * source_size AS low,
+                   least(start + size + pass * source_size, quota) AS high
+            FROM p, (VALUES (0), (1)) AS passes(pass) WHERE size > 0),
+        met AS (
+            SELECT doc_id, source, pass, unnest(range((low // 2048)::BIGINT, ((high - 1) // 2048 + 1)::BIGINT)) AS block
+            FROM passes WHERE low < high),
+        begun AS (
+            SELECT doc_id, min(place) FILTER (WHERE pass = 0) AS first_place, min(place) FILTER (WHERE pass = 1) AS second_place
+            FROM met JOIN ranked ON met.source IS NOT DISTINCT FROM ranked.source AND met.block = ranked.block GROUP BY doc_id)
         SELECT doc_id, size, source_size, target,
                (greatest(0, least(start + size, quota) - start)
-                + greatest(0, least(start + size, quota - source_size) - start))::BIGINT AS taken
-        FROM p""",
+                + greatest(0, least(start + size, quota - source_size) - start))::BIGINT AS taken, first_place, second_place
+        FROM p LEFT JOIN begun USING (doc_id)""",
 }
