@@ -80,22 +80,26 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: its words of a document, divided by its size and
-    rounded, give 0, 1 or 2 whole copies. At most a document or two of a source are rounded.
+    """Documents as often as the mix takes them, in the order of its schedule: its words of a document, divided by
+    its size and rounded, give 0, 1 or 2 whole copies. At most a document or two of a source are rounded.
 
-    A null source is a source; documents without words are taken 0 times. Rows with one doc_id and text are
-    taken equally often, by the mean of what the mix takes of each.
+    A copy stands where the schedule first takes words of that pass over its source; rows are dealt to files by
+    ranges of places and sorted inside, copies of one place by doc_id and text. A null source is a source; documents
+    without words are taken 0 times. Rows with one doc_id and text are taken equally often, by the mean of what the
+    mix takes of each, and stand where the earliest of them does.
     """
     rows, numbered = opened(docs)
     named = rows.withColumn("digest", F.sha2(text_of("`text`"), 256))
     times = mixing.taken(named, "doc_id", "digest").groupBy("doc_id", "digest").agg(
-        F.floor(F.avg("taken") / F.greatest(F.first("size"), F.lit(1)) + 0.5).cast("int").alias("times")
+        F.floor(F.avg("taken") / F.greatest(F.first("size"), F.lit(1)) + 0.5).cast("int").alias("times"),
+        F.min("first_place").alias("first"), F.min("second_place").alias("second"),
     )
-    times = times.where("times > 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "times")
+    places = F.slice(F.array("first", F.coalesce("second", "first")), 1, F.col("times"))
+    times = times.where("times > 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), places.alias("places"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
-    taken = named.select(*numbered, "doc_id", "digest").join(times, same)
-    return taken.select(*numbered, copies.alias("copy")).drop("copy").toDF(*docs.columns)
+    copies = named.select(*numbered, "doc_id", "digest").join(times, same).withColumn("place", F.explode("places"))
+    order = ["place", "doc_id", "digest"]
+    return copies.repartitionByRange(*order).sortWithinPartitions(*order).select(*numbered).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
