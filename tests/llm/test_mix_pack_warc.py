@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,6 +285,54 @@ def test_stages_carry_columns_of_any_name(spark, data, edge, stage):
         assert all(r[n] == f"{n} {'-' if r['doc_id'] is None else r['doc_id']}" for n in names)
 
 
+def test_mix_is_written_in_the_order_of_its_schedule(spark, data, documents, tmp_path, monkeypatch):
+    def written(name):
+        path = str(tmp_path / name)
+        corpus_pipeline.mixed(spark, documents, data).write.parquet(path)
+        parts = sorted(f for f in (tmp_path / name).iterdir() if f.suffix == ".parquet")
+        return [i for f in parts for i in pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist()]
+
+    def expected():
+        """Places by reversed bits over the sources' slots side by side, blocks by running words in hashed order."""
+        named = documents.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+        rows = mixing.taken(named, "doc_id", "digest").collect()
+        of = {r.doc_id: r for r in rows}
+        source = {r.doc_id: r.source for r in documents.collect()}
+        names, low, slots = sorted(set(source.values()), key=lambda x: (x is None, x or "")), 0, {}
+        needs = {n: -(-round(next(r.target for r in rows if source[r.doc_id] == n)) // mixing.BLOCK) for n in names}
+        bits = max(16, (sum(needs.values()) - 1).bit_length())
+        for name in names:
+            slots[name] = sorted(int(format(x, f"0{bits}b")[::-1], 2) for x in range(low, low + needs[name]))
+            low += needs[name]
+        out = []
+        for name in names:
+            ids = sorted((i for i in of if source[i] == name), key=lambda i: hashlib.md5(f"{i} {of[i].digest}".encode()).hexdigest())
+            at, quota = 0, round(of[ids[0]].target)
+            for turn in range(2):
+                for i in ids:
+                    end = min(at + of[i].size, quota)
+                    met = [slots[name][b] for b in range(at // mixing.BLOCK, (end - 1) // mixing.BLOCK + 1)] if at < end else []
+                    assert (of[i].first_place, of[i].second_place)[turn] == min(met, default=None)
+                    at += of[i].size
+        for r in rows:
+            times = int(r.taken / max(r.size, 1) + 0.5)
+            out += [(p, r.doc_id) for p in [r.first_place, r.second_place if r.second_place is not None else r.first_place][:times]]
+        return Counter(i for _, i in out), sorted(out)
+
+    for block in (mixing.BLOCK, 100):
+        monkeypatch.setattr(mixing, "BLOCK", block)
+        counts, order = expected()
+        got = written(f"b{block}")
+        assert Counter(got) == counts
+        places = {}
+        for place, i in order:
+            places.setdefault(i, []).append(place)
+        # of a document taken twice the earlier place comes first
+        met = [places[i].pop(places[i].index(min(places[i]))) for i in got]
+        assert met == sorted(met)
+    assert len({i for i in got}) > 10
+
+
 def test_language_stage_follows_the_prediction(spark, data, documents):
     kept = lambda docs, **how: {r.doc_id for r in corpus_pipeline.language(spark, docs, data, **how).collect()}
     own = {r.doc_id: r.lang for r in documents.collect()}
