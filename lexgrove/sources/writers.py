@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.operators.merge import merge_overwrite
+from lexgrove.operators.metrics import as_record
 
 
 def chunk_file(chunks: DataFrame, path: str, metadata: list[str]) -> None:
@@ -34,6 +35,19 @@ def manifest(counters: DataFrame, folder: str, settings: dict[str, object]) -> N
     )
 
 
+def evaluation_result(means: DataFrame, per_query: DataFrame, folder: str, settings: dict[str, object]) -> None:
+    """``aggregate.json`` (settings beside the means, one line per cut-off) and ``per_query.json``
+    (one line per query: precision and recall by cut-off, reciprocal rank), from what ``metrics.evaluate`` returns.
+
+    Settings, such as the measured seconds, must not carry a name that the means have. No query: no line per query.
+    """
+    clash = set(settings) & set(means.columns)
+    if clash:
+        raise ValueError(f"settings named like a metric: {sorted(clash)}")
+    means.select(*[F.lit(v).alias(k) for k, v in settings.items()], "*").write.json(f"{folder}/aggregate.json")
+    as_record(per_query).write.json(f"{folder}/per_query.json")
+
+
 def merged_points(
     existing: DataFrame, points: DataFrame, key: str, order: list[str], path: str
 ) -> None:

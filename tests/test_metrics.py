@@ -52,3 +52,24 @@ def test_dedupe_keeps_first_rank(spark):
     got = mt.dedupe_ranked(hits).orderBy("rank").select("id", "rank").collect()
     assert [tuple(r) for r in got] == [("a", 1), ("b", 2), ("c", 3)]
     assert mt.dedupe_ranked(hits).where(F.col("rank") > 3).count() == 0
+
+
+def test_result_is_written_with_its_settings(spark, tmp_path):
+    from lexgrove.sources import writers
+
+    q = spark.createDataFrame([("a", "x"), ("b", "y")], "query_id string, text string")
+    rel = spark.createDataFrame([("a", "1"), ("b", "2")], "query_id string, corpus_id string")
+    hits = spark.createDataFrame([("a", 1, "1"), ("b", 1, "3"), ("b", 2, "2")], "query_id string, rank int, id string")
+    means, per_query = mt.evaluate(q, rel, hits, ks=(1, 3))
+    folder = str(tmp_path / "run")
+    writers.evaluation_result(means, per_query, folder, {"searcher": "exact", "seconds": 1.5})
+    rows = spark.read.json(f"{folder}/aggregate.json").orderBy("k").collect()
+    assert [(r.searcher, r.seconds, r.k, r.precision, r.recall) for r in rows][0] == ("exact", 1.5, 1, 0.5, 0.5)
+    each = {r.query_id: r for r in spark.read.json(f"{folder}/per_query.json").collect()}
+    assert each["a"].mrr == 1.0 and each["b"].mrr == 0.5 and each["b"].recall["1"] == 0.0 and each["b"].recall["3"] == 1.0
+    try:
+        writers.evaluation_result(means, per_query, folder, {"k": 1})
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("a clash must be refused")
