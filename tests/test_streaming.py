@@ -113,3 +113,16 @@ def test_an_unfinished_batch_is_not_compacted(spark, tmp_path):
     assert log.compact(spark, str(path), inc.summed_days).up_to == 0
     assert inc.current_days(spark, str(path)).first()["visits"] == 2
     assert log.compact(spark, str(tmp_path / "nothing"), inc.summed_days) is None and log.sweep(spark, str(tmp_path / "nothing")) == []
+
+
+def test_stream_of_a_table_in_one_file_or_a_folder(spark, tmp_path):
+    from lexgrove.plans import bindings
+
+    rows = [(i, f"a{i}\nb{i}", "en", "s") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.repartition(3).write.parquet(str(tmp_path / "many/documents.parquet"))
+    (tmp_path / "one").mkdir()
+    docs.toPandas().to_parquet(tmp_path / "one/documents.parquet")
+    for folder in ("many", "one"):
+        got = bindings.stream_chunks(spark, str(tmp_path / folder)).collect()
+        assert {(r["doc_id"], r["content"]) for r in got} == {(i, f"{c}{i}") for i in range(6) for c in "ab"}
