@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lexgrove.operators import retrieval as rt
@@ -99,3 +101,40 @@ def test_lookup_and_completion_order(spark):
     hits = details.where("vchunk_id in ('C2-0', 'C1-4')").withColumn("query_id", F.lit(1))
     extra = rt.complete_sections(hits, details, "case_number", "section_type", "vchunk_id", max_hits=2)
     assert [r["vchunk_id"] for r in extra.orderBy("extra_rank").collect()] == ["C1-2", "C1-3", "C2-2", "C2-3", "C2-4"]
+
+
+def test_completion_equals_sorting_each_query(spark):
+    rng = random.Random(5)
+    rows = [(f"k{rng.randrange(90)}", rng.choice(["A", "B", "C"]), rng.choice(["r", "d", "f"]), i) for i in range(120)]
+    chunks = spark.createDataFrame(rows, "id string, case string, section string, place int")
+    asked = [(q, *rng.choice(rows)) for q in range(8) for _ in range(rng.randint(1, 3))]
+    asked += [(9, "k0", None, "r", 0), (9, "k1", "", "d", 0)]
+    hits = spark.createDataFrame(asked, "query_id int, id string, case string, section string, place int")
+    got = rt.complete_sections(hits, chunks, "case", "section", "id", ("r", "d"), "place")
+    want = set()
+    for q in {a[0] for a in asked}:
+        own = [a for a in asked if a[0] == q and a[2]]
+        present, ids = {(a[2], a[3]) for a in own}, {a[1] for a in asked if a[0] == q}
+        lacking = {(a[2], s) for a in own for s in ("r", "d")} - present
+        added = sorted((c, p, i) for i, c, s, p in rows if (c, s) in lacking and i not in ids)
+        want |= {(q, i, p, n) for n, (c, p, i) in enumerate(added, 1)}
+    assert want and {(r["query_id"], r["id"], r["place"], r["extra_rank"]) for r in got.collect()} == want
+    assert dict(got.dtypes)["extra_rank"] == "int"
+
+
+def test_texts_are_derived_once_per_chunk(spark):
+    verdicts, chunks, vec = verdict_tables(spark)
+    chunks = chunks.withColumn("content", F.when(F.col("vchunk_id") != "C1-1", F.col("content")))
+    queries = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20)], "query_id int, vector array<double>")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def length(text):
+        calls.add(1)
+        return text and len(text)
+
+    derive = lambda rows: rows.withColumn("n", length("content")).drop("content")
+    found = rt.verdict_search(queries, vec, chunks, verdicts, k=1, derive=derive).collect()
+    assert len(found) == 80 and {r["n"] for r in found} == {9}
+    assert {r["context_before"] for r in found} == {None, "", "text C1 2\n---\n", "text C1 3\n---\n"}
+    assert calls.value < 80  # the completing chunks are the same for all queries
