@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrove.functions import fixed_values as fv
+from lexgrove.operators.sizes import if_small
 
 
 def dedupe_ranked(hits: DataFrame, item: str = "id") -> DataFrame:
@@ -120,7 +121,9 @@ def evaluate_by_label(
     totals = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_relevant"))
     known = queries.join(totals, "label")
     wanted = evaluation_queries(known.select("query_id"), known, limit).select("query_id", "label", "n_relevant")
-    judged = dedupe_ranked(hits).join(labels.withColumnRenamed("label", "_found"), "id").join(wanted, "query_id")
+    # hits of queries that are not evaluated go before they are sorted
+    asked = hits.join(if_small(wanted.select("query_id"), limit), "query_id", "left_semi")
+    judged = dedupe_ranked(asked).join(labels.withColumnRenamed("label", "_found"), "id").join(wanted, "query_id")
     per_query = per_query_metrics(judged.withColumn("relevant", F.col("label") == F.col("_found")), wanted.drop("label"), ks)
     return mean_metrics(per_query, ks), per_query
 

@@ -73,3 +73,13 @@ def test_result_is_written_with_its_settings(spark, tmp_path):
         pass
     else:
         raise AssertionError("a clash must be refused")
+
+
+def test_only_hits_of_evaluated_queries_are_sorted(spark):
+    queries = spark.createDataFrame([(i, "t", "a") for i in range(10)], "query_id int, text string, label string")
+    labels = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(10)], "id int, label string")
+    hits = spark.createDataFrame([(q, r, (q + r) % 10) for q in range(10) for r in (1, 2)], "query_id int, rank int, id int")
+    means, each = mt.evaluate_by_label(queries, labels, hits, (1, 2), limit=3)
+    assert "LeftSemi" in each._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["k"]: (r["precision"], r["queries"]) for r in means.collect()}
+    assert round(got[1][0], 6) == round(2 / 3, 6) and got[2] == (0.5, 3)
