@@ -80,18 +80,19 @@ def _expanded(
 ) -> DataFrame:
     """Register rows of the chosen names, cut to ``limit`` per query again.
 
-    There are at most ``queries * limit`` chosen names. If they cannot be sent to
-    the register scan, copies of a name that can never be used, those beyond
-    ``limit`` in key order, are cut before the join.
+    There are at most ``queries * limit`` chosen names. Only their rows are kept of the
+    register, and of these at most ``limit`` copies of a name, in key order: later ones can
+    never be used. So a name with very many copies is not repeated for every query that chose it.
     """
-    chosen = if_small(best_names, queries * limit)
-    if chosen is best_names:
-        of_name = Window.partitionBy("name").orderBy("key")
-        register = (
-            register.withColumn("_copy", F.row_number().over(of_name))
-            .where(F.col("_copy") <= limit)
-            .drop("_copy")
-        )
+    most = queries * limit
+    of_name = Window.partitionBy("name").orderBy("key")
+    register = (
+        register.join(if_small(best_names.select("name").distinct(), most), "name", "left_semi")
+        .withColumn("_copy", F.row_number().over(of_name))
+        .where(F.col("_copy") <= limit)
+        .drop("_copy")
+    )
+    chosen = if_small(best_names, most)
     of_query = Window.partitionBy("query_id").orderBy(*order, "name", "key")
     return (
         register.join(chosen, "name")

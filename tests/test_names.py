@@ -135,3 +135,12 @@ def test_rows_without_key_are_dropped(spark):
     reg = spark.createDataFrame([("", "abc"), ("k", "abc")], "key string, name string")
     asked = spark.createDataFrame([(1, "abc")], "query_id int, name string")
     assert [r["key"] for r in nm.search(asked, reg).collect()] == ["k"]
+
+
+def test_copies_are_cut_before_they_meet_queries(spark):
+    register = spark.range(3000).select(F.col("id").alias("key"), F.lit("tea VN").alias("name"), F.lit("x").alias("more"))
+    queries = spark.createDataFrame([(i, "tea VN") for i in range(30)], "query_id int, name string")
+    for tier in (nm.contains_tier, nm.fuzzy_tier):
+        found = tier(queries, register, limit=3)
+        assert "_copy" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r["query_id"], r["key"], r["rank"]) for r in found.collect()} == {(q, k, k + 1) for q in range(30) for k in range(3)}
