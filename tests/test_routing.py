@@ -48,3 +48,18 @@ def test_fan_out(spark):
     search = lambda name: lambda q: q.select("query_id", F.lit(name).alias("by"))
     out = routing.fan_out(routed, {r: search(r) for r in ("legal", "verdict", "trademark", "combined")})
     assert out.count() == len(QUESTIONS) and out.where("by <> route").count() == 0
+
+
+def test_turns_of_a_conversation_share_a_search(spark, data, monkeypatch):
+    from lexgrove.plans import bindings
+
+    asked, search = [], bindings.vectors.cosine_topk
+
+    def counted(queries, *more):
+        asked.append((queries.count(), queries.select("query_id").distinct().count()))
+        return search(queries, *more)
+
+    monkeypatch.setattr(bindings.vectors, "cosine_topk", counted)
+    rows = bindings.routed_search(spark, data)
+    turns = rows.select("query_id").distinct().count()
+    assert asked[0][0] == asked[0][1] < turns

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,17 @@ def test_tagged_search_equals_separate_searches(spark, limit):
         assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, apart.collect()))
     assert got.where("tag = 'none'").count() == 0
     assert vx.tagged_topk(asked.limit(0), tagged, {"a": 3}).collect() == []
+
+
+def test_best_of_a_wide_block_with_ties_and_no_numbers():
+    rng = np.random.default_rng(3)
+    data = rng.integers(-2, 3, (5000, 6)).astype(float)  # many equal scores
+    data[7] = np.nan
+    units = data / np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-300)
+    ids, k = pa.array(np.arange(5000)), 9
+    query, found, score = vx._block_best(ids.slice(0, 40), units[:40], ids, units, k, True)
+    for q in range(40):
+        scores = np.round(units @ units[q], vx.SCORE_DIGITS)
+        want = sorted((-s, i) for i, s in enumerate(scores) if i != q and not np.isnan(s))[:k]
+        mine = query == q
+        assert [(-s, i) for s, i in zip(score[mine], found.to_numpy()[mine])] == want
