@@ -14,6 +14,7 @@ from lexgrove.functions.text import (
     first_rule,
     head,
     iso_date,
+    let,
     rx,
     strip,
     title_case,
@@ -36,14 +37,15 @@ def _typed(c: Column, rules) -> list[tuple[Column, Column]]:
 
 def document_type(filename: Column, text: Column) -> Column:
     """File-name rules first, then the head of the text, else the default."""
-    by_name = _typed(F.lower(filename), fv.FILE_NAME_TYPES)
-    by_head = _typed(F.lower(head(text, fv.TYPE_HEADER_CHARS)), fv.HEADER_TYPES)
-    return first_rule(by_name + by_head, F.lit(fv.DEFAULT_DOC_TYPE))
+    by_head = let(
+        F.lower(head(text, fv.TYPE_HEADER_CHARS)), lambda top: first_rule(_typed(top, fv.HEADER_TYPES), F.lit(fv.DEFAULT_DOC_TYPE))
+    )
+    return let(F.lower(filename), lambda name: first_rule(_typed(name, fv.FILE_NAME_TYPES), by_head))
 
 
 def document_number(text: Column) -> Column:
-    found = first_group(
-        head(text, fv.DOC_NUMBER_CHARS), fv.DOC_NUMBER_PATTERNS, ignore_case=True
+    found = let(
+        head(text, fv.DOC_NUMBER_CHARS), lambda top: first_group(top, fv.DOC_NUMBER_PATTERNS, ignore_case=True)
     )
     return F.coalesce(found, F.lit(""))
 
@@ -63,15 +65,18 @@ def document_name(text: Column, filename: Column) -> Column:
 
 
 def issuing_agency(text: Column) -> Column:
-    top = F.upper(head(text, fv.AGENCY_CHARS))
-    rules = [(any_contains(top, needles), F.lit(name)) for needles, name in fv.AGENCIES]
-    other = title_case(strip(first_group(top, [fv.AGENCY_FALLBACK])))
-    return first_rule(rules, other)
+    def named(top: Column) -> Column:
+        rules = [(any_contains(top, needles), F.lit(name)) for needles, name in fv.AGENCIES]
+        return first_rule(rules, title_case(strip(first_group(top, [fv.AGENCY_FALLBACK]))))
+
+    return let(F.upper(head(text, fv.AGENCY_CHARS)), named)
 
 
 def signing_date(text: Column) -> Column:
-    top = head(text, fv.SIGNING_CHARS)
-    return F.coalesce(*[iso_date(top, p, ignore_case=True) for p in fv.SIGNING_DATE_PATTERNS])
+    return let(
+        head(text, fv.SIGNING_CHARS),
+        lambda top: F.coalesce(*[iso_date(top, p, ignore_case=True) for p in fv.SIGNING_DATE_PATTERNS]),
+    )
 
 
 def effective_date(text: Column, signed: Column) -> Column:
@@ -82,63 +87,73 @@ def effective_date(text: Column, signed: Column) -> Column:
     later = F.date_add(
         F.try_to_date(signed, "yyyy-MM-dd"), days.try_cast("int")
     )
-    return F.when(explicit.isNotNull(), explicit).when(at_signing, signed).otherwise(
-        F.date_format(later, "yyyy-MM-dd")
+    stated = let(
+        explicit, lambda day: F.when(day.isNotNull(), day).when(at_signing, signed).otherwise(F.date_format(later, "yyyy-MM-dd"))
     )
+    return F.when(text.rlike(rx(fv.EFFECTIVE_PHRASE, ignore_case=True)), stated)
 
 
 def own_article(text: Column) -> Column:
     """``struct(dieu, dieu_title)`` named in the chunk itself; null if there is none."""
-    body = strip(text)
-    near, wide = head(body, 500), head(body, 1000)
-
     def found(source: Column, pattern: str, group: int, title: Column) -> Column:
-        article = F.nullif(F.regexp_extract(source, rx(pattern), group), F.lit(""))
-        return F.when(
-            article.isNotNull(), F.struct(article.alias("dieu"), title.alias("dieu_title"))
+        def titled(article: Column) -> Column:
+            return F.when(article != "", F.struct(article.alias("dieu"), title.alias("dieu_title")))
+
+        return let(F.regexp_extract(source, rx(pattern), group), titled)
+
+    def title_of(source: Column, pattern: str, shown) -> Column:
+        return let(strip(F.regexp_extract(source, rx(pattern), 2)), shown)
+
+    def loose_title(loose: Column) -> Column:
+        stops = F.lit(False)
+        for word in fv.ARTICLE_TITLE_STOPS:
+            stops = stops | loose.startswith(word)
+        return F.when((loose == "") | ~((F.length(loose) < 3) | stops), loose)
+
+    def named(body: Column) -> Column:
+        near, wide = head(body, 500), head(body, 1000)
+        start = title_of(body, fv.ARTICLE_AT_START, lambda title: F.when(F.length(title) >= 3, title))
+        return F.coalesce(
+            found(body, fv.ARTICLE_AT_START, 1, start),
+            found(near, fv.ARTICLE_AMENDED, 2, F.lit(fv.ARTICLE_AMENDED_TITLE)),
+            found(near, fv.ARTICLE_QUOTED, 1, title_of(near, fv.ARTICLE_QUOTED, blank_to_null)),
+            found(wide, fv.ARTICLE_ANYWHERE, 1, title_of(wide, fv.ARTICLE_ANYWHERE, loose_title)),
         )
 
-    start = strip(F.regexp_extract(body, rx(fv.ARTICLE_AT_START), 2))
-    quoted = strip(F.regexp_extract(near, rx(fv.ARTICLE_QUOTED), 2))
-    loose = strip(F.regexp_extract(wide, rx(fv.ARTICLE_ANYWHERE), 2))
-    stops = F.lit(False)
-    for word in fv.ARTICLE_TITLE_STOPS:
-        stops = stops | loose.startswith(word)
-    loose_title = F.when((loose == "") | ~((F.length(loose) < 3) | stops), loose)
-    return F.coalesce(
-        found(body, fv.ARTICLE_AT_START, 1, F.when(F.length(start) >= 3, start)),
-        found(near, fv.ARTICLE_AMENDED, 2, F.lit(fv.ARTICLE_AMENDED_TITLE)),
-        found(near, fv.ARTICLE_QUOTED, 1, blank_to_null(quoted)),
-        found(wide, fv.ARTICLE_ANYWHERE, 1, loose_title),
-    )
+    return let(strip(text), named)
 
 
 def starts_with_heading(text: Column) -> Column:
-    top = F.upper(head(strip(text), 40))
-    hit = F.lit(False)
-    for word in fv.ARTICLE_HEADING_STARTS:
-        hit = hit | top.startswith(word)
-    return hit
+    def starts(top: Column) -> Column:
+        hit = F.lit(False)
+        for word in fv.ARTICLE_HEADING_STARTS:
+            hit = hit | top.startswith(word)
+        return hit
+
+    return let(F.upper(head(strip(text), 40)), starts)
 
 
 def chunk_type(text: Column, index: Column, total: Column) -> Column:
-    top = F.upper(head(text, fv.CHUNK_TYPE_CHARS))
     has_article = text.rlike(rx(fv.ARTICLE_MENTION))
     signed = text.rlike(
         rx("(?:" + "|".join(fv.SIGNATURE_PATTERNS) + ")", ignore_case=True)
     )
-    return first_rule(
-        [
-            (index == 0, F.lit("header")),
-            (
-                (index < 3) & any_contains(top, fv.HEADER_KEYWORDS) & ~has_article,
-                F.lit("header"),
-            ),
-            (any_contains(top, fv.APPENDIX_KEYWORDS), F.lit("appendix")),
-            ((index >= total - 3) & signed, F.lit("signature")),
-        ],
-        F.lit("content"),
-    )
+
+    def by_top(top: Column) -> Column:
+        return first_rule(
+            [
+                (index == 0, F.lit("header")),
+                (
+                    (index < 3) & any_contains(top, fv.HEADER_KEYWORDS) & ~has_article,
+                    F.lit("header"),
+                ),
+                (any_contains(top, fv.APPENDIX_KEYWORDS), F.lit("appendix")),
+                ((index >= total - 3) & signed, F.lit("signature")),
+            ],
+            F.lit("content"),
+        )
+
+    return let(F.upper(head(text, fv.CHUNK_TYPE_CHARS)), by_top)
 
 
 def part_heading(text: Column) -> Column:
@@ -147,16 +162,14 @@ def part_heading(text: Column) -> Column:
 
 def chapter_heading(text: Column) -> Column:
     """``struct(chuong, chuong_title)`` of the first matching heading form, else null."""
-    forms = []
-    for pattern in fv.CHAPTER_PATTERNS:
-        chapter = F.nullif(F.regexp_extract(text, rx(pattern), 1), F.lit(""))
+    def form(pattern: str) -> Column:
         title = strip(F.regexp_extract(text, rx(pattern), 2))
-        forms.append(
-            F.when(
-                chapter.isNotNull(), F.struct(chapter.alias("chuong"), title.alias("chuong_title"))
-            )
+        return let(
+            F.regexp_extract(text, rx(pattern), 1),
+            lambda chapter: F.when(chapter != "", F.struct(chapter.alias("chuong"), title.alias("chuong_title"))),
         )
-    return F.coalesce(*forms)
+
+    return F.coalesce(*[form(pattern) for pattern in fv.CHAPTER_PATTERNS])
 
 
 def section_heading(text: Column) -> Column:

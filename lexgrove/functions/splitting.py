@@ -106,8 +106,13 @@ def _spans(edges: Column, opens: Column, size: int, overlap: int) -> Column:
     start = F.struct(
         F.lit(0).alias("at"), F.lit(0).alias("first"), F.array().cast("array<struct<first:int,after:int>>").alias("out")
     )
+    # Two chunks of a run that follow each other have more than ``size - overlap`` new characters, so there are
+    # far fewer steps than pieces. (An array that grows step by step is copied at each.)
+    most = n.cast("long")
+    if size > overlap:
+        most = F.least(most, F.floor(edge(n) * 2 / (size - overlap)) + F.size(opens) * 2 + 4)
     return F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start,
+        F.sequence(F.lit(1), F.greatest(most, F.lit(1)).cast("int")), start,
         lambda acc, _: F.when(acc["at"] < n, chunk(acc)).otherwise(acc), lambda acc: acc["out"],
     )
 

@@ -142,3 +142,18 @@ def test_corpus_edges(spark):
         "Bản án số 12/2020/KDTM-PT, Tranh chấp quyền sở hữu trí tuệ, giữa Công ty A và Công ty B, "
         "cấp phúc thẩm, tại TÒA ÁN NHÂN DÂN THÀNH PHỐ HÀ NỘI"
     )
+
+
+def test_a_text_is_folded_once(spark):
+    from lexgrove.functions import legal
+
+    docs = spark.createDataFrame([(None,), ("",), ("NHÃN HIỆU và Sáng Chế",), ("abc",)], "t string")
+    types = docs.select(verdict.right_types(F.col("t")).alias("x"), legal.document_type(F.lit("a"), F.col("t")).alias("d"))
+    plan = types._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(t") == 1 and plan.count("lower(substring") <= 1
+    default = ["sở hữu trí tuệ"]
+    assert [r["x"] for r in types.collect()][1:] == [default, ["nhãn hiệu", "sáng chế"], default]
+    refs = docs.select(verdict.law_references(F.col("t"))).collect()
+    assert [r[0] for r in refs] == [None, [], [], []]
+    one = spark.createDataFrame([("theo ĐIỀU 5 Luật Sở hữu trí tuệ",)], "t string")
+    assert one.select(verdict.law_references(F.col("t"))).first()[0] == ["ĐIỀU 5 Luật Sở hữu trí tuệ"]
