@@ -226,18 +226,20 @@ def _serve(level: int):
         for body in frame["body"]:
             parent, word, seen, counts = unpacked(body)
             parent = np.cumsum(parent.astype(np.int64))
-            asked.append((parent, _words_of_steps(parent, word), seen.astype(np.int64), counts.astype(np.int64)))
+            asked.append((parent, _words_of_steps(parent, word), seen, counts))  # counts in the narrow types they came in
         parent, word, seen, counts = (np.concatenate(a) for a in zip(*asked))
         ends = np.cumsum([len(a[0]) for a in asked]).tolist()
         del asked
         order = _order(parent, word)
-        parent, word = parent[order], word[order]
+        parent = parent[order]
+        word = word[order]
         new = np.concatenate(([True], (parent[1:] != parent[:-1]) | (word[1:] != word[:-1]))) if len(parent) else np.zeros(0, bool)
         starts = np.flatnonzero(new)
-        counts = np.add.reduceat(counts[order], starts) if len(starts) else counts
+        counts = np.add.reduceat(counts[order], starts, dtype=np.int64) if len(starts) else counts
         distinct = np.empty(len(order), np.int32)  # of each asked entry
         distinct[order] = np.cumsum(new, dtype=np.int32) - 1
-        parent, word, seen = parent[starts], word[starts], seen[order][starts]
+        parent, word, seen = parent[starts], word[starts], seen[order[starts]]
+        del order, new
         kept = counts > 0
         n_kept, shares = int(kept.sum()), counts[kept] / (seen[kept] + M)
         codes = quantised(shares) if level > 1 else np.zeros(n_kept, np.uint16)
