@@ -31,7 +31,7 @@ END_ID = 2
 OPEN = 128
 TASK_TOKENS = 8_000_000
 #: Words after which the older half of what a Python worker remembers goes.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Pre-tokenisation of a byte-level tokenizer with use_regex (fixed value).
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
@@ -128,10 +128,10 @@ class Encoder:
         split = [self.words(t) if t else [] for t in texts]
         if len(self.recent) > REMEMBERED:  # the older half goes, but for what is asked for again
             self.known, self.recent = self.recent, {}
-        here = set().union(*split) - self.recent.keys()
+        here = set().union(*split).difference(self.recent)  # looks each word up; ``-`` with keys visits all that is remembered
         for word in here & self.known.keys():
             self.recent[word] = self.known[word]
-        unknown, long = list(here - self.recent.keys()), {}
+        unknown, long = list(here.difference(self.recent)), {}
         for i in range(0, len(unknown), 4096):
             for word, ids in self._encoded(unknown[i : i + 4096]).items():
                 (self.recent if len(word) <= 64 else long)[word] = ids
