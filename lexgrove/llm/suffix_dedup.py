@@ -51,24 +51,37 @@ _SPAN = WINDOW - ANCHOR + 1
 _PART = 1 << 16
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, anchor): the first window of each cell of a text and the place of its anchor. Cells follow each other."""
+def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, anchor, counts) of texts that follow each other in ``data``: the first window of each cell and the place of
+    its anchor, and how many cells each text has. Cells of a text follow each other."""
+    start = np.cumsum(lengths) - lengths
+    windows = np.maximum(lengths - WINDOW + 1, 0)
     n = len(data) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words, parts = _words(data), []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
+    words, place = _words(data), np.empty(n, np.int64)
     for at in range(0, n, _PART):
         size = min(_PART, n - at)
-        key = _hash24(words, at, size + _SPAN - 1) & ~np.uint64(0xFFFFFFFF)
+        key = _hash24(words, at, size + _SPAN - 1)
+        key &= ~np.uint64(0xFFFFFFFF)
         key |= np.arange(len(key), dtype=np.uint64)  # the leftmost of equal ones
         width = 1
         while 2 * width <= _SPAN:
             key, width = np.minimum(key[:-width], key[width:]), 2 * width
         key = np.minimum(key[: size], key[_SPAN - width : _SPAN - width + size])
-        parts.append((key & np.uint64(0xFFFFFFFF)).astype(np.int64) + at)
-    place = np.concatenate(parts)
-    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    return first, place[first]
+        place[at : at + size] = (key & np.uint64(0xFFFFFFFF)).astype(np.int64) + at
+    new = np.concatenate(([True], place[1:] != place[:-1]))
+    new[start[windows > 0]] = True
+    new &= _inside(lengths, windows)[:n]  # windows over the border of two texts are none
+    first = np.flatnonzero(new)
+    ends = np.searchsorted(first, np.cumsum(lengths))
+    return first, place[first], np.diff(ends, prepend=0)
+
+
+def _inside(lengths: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """For each place of texts that follow each other whether a window starts there."""
+    flags = np.tile([True, False], len(lengths))
+    return np.repeat(flags, np.column_stack((windows, lengths - windows)).ravel())
 
 
 def _hash24(words: np.ndarray, at, size: int | None = None) -> np.ndarray:
@@ -89,14 +102,9 @@ def _batches(docs: DataFrame) -> DataFrame:
 
         def row():
             ids = [d for d, _ in waiting]
-            texts = [t for _, t in waiting]
-            cells = [anchors(np.frombuffer(t, np.uint8)) for t in texts]
-            counts = np.array([len(c[0]) for c in cells])
-            firsts, places = (np.concatenate(x).astype(np.int64) for x in zip(*cells))
-            body = packed(
-                ids, b"".join(texts), np.array([len(t) for t in texts]), counts, _steps(firsts, counts),
-                (places - firsts).astype(np.uint8),
-            )
+            text, lengths = b"".join(t for _, t in waiting), np.array([len(t) for _, t in waiting])
+            firsts, places, counts = anchors(np.frombuffer(text, np.uint8), lengths)
+            body = packed(ids, text, lengths, counts, _steps(firsts, counts), (places - firsts).astype(np.uint8))
             return pa.RecordBatch.from_pydict({"batch": [first + number], "n_bytes": [size], "body": [body]})
 
         for frame in frames:
@@ -147,19 +155,33 @@ class _Batch:
 
 def _count_requests(batch_id: int, batch: _Batch, n_shards: int):
     """Distinct anchors of a batch with the number of its documents that have each."""
-    keys, counts = np.unique(_distinct_pairs(batch.hash, batch.owner), return_counts=True)
-    shard = shard_of(keys, n_shards)
-    for number in np.unique(shard):
-        mine = shard == number
-        yield int(number), batch_id, packed(gaps(keys[mine]), narrow(counts[mine]))
+    keys, counts = _distinct_owners(batch.hash, batch.owner)
+    for number, mine in _by_shard(shard_of(keys, n_shards)):
+        yield number, batch_id, packed(gaps(keys[mine]), narrow(counts[mine]))
+
+
+def _by_shard(shard: np.ndarray):
+    """Each shard's number and the places that have it, in their order."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    return [(int(shard[part[0]]), part) for part in np.split(order, cuts) if len(part)]
 
 
-def _distinct_pairs(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Keys, each as often as it has different owners."""
-    order = np.lexsort((owner, key))
+def _distinct_owners(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how many different owners each has."""
+    order = np.argsort(key)
     k, o = key[order], owner[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1]))) if len(k) else np.zeros(0, bool)
-    return k[new]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(k)))
+    group = np.repeat(np.arange(len(first)), counts)
+    several = np.flatnonzero(counts[group] > 1)
+    if len(several):
+        g, o = group[several], o[several]
+        by = np.lexsort((o, g))
+        g, o = g[by], o[by]
+        again = g[1:][(g[1:] == g[:-1]) & (o[1:] == o[:-1])]
+        counts -= np.bincount(again, minlength=len(first))
+    return k[first], counts
 
 
 def _count(frame: pd.DataFrame) -> pd.DataFrame:
@@ -178,14 +200,14 @@ def _cells(batch: _Batch, counted: pd.DataFrame, n_shards: int):
     """Texts to send: (document, start, windows, route) of every cell with an anchor in several documents; cells of
     very common anchors window by window."""
     keys, number = np.unique(batch.hash, return_inverse=True)
-    shard, code = shard_of(keys, n_shards), np.zeros(len(keys), np.uint8)
-    for s, body in zip(counted["shard"], counted["body"]):
-        code[shard == s] = unpacked(body)[0]
+    parts = {s: unpacked(body)[0] for s, body in zip(counted["shard"], counted["body"])}
+    code = np.zeros(len(keys), np.uint8)
+    for s, mine in _by_shard(shard_of(keys, n_shards)):
+        code[mine] = parts[s]
     code = code[number]
     some, very = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
     doc = np.concatenate((batch.doc[some], np.repeat(batch.doc[very], batch.count[very])))
-    within = np.arange(batch.count[very].sum()) - np.repeat(np.cumsum(batch.count[very]) - batch.count[very], batch.count[very])
-    single = np.repeat(batch.first[very], batch.count[very]) + within
+    single = _ranges(batch.first[very], batch.count[very])
     start = np.concatenate((batch.first[some], single))
     count = np.concatenate((batch.count[some], np.ones(len(single), np.int64)))
     words = _words(batch.data)
@@ -194,97 +216,113 @@ def _cells(batch: _Batch, counted: pd.DataFrame, n_shards: int):
     return doc, start, count, route
 
 
-def _distinct(batch: _Batch, doc, start, count):
-    """Number of each cell's distinct text, and for each such text its first cell."""
-    known: dict[bytes, int] = {}
-    text = batch.text
-    name = [known.setdefault(text[a : a + c + WINDOW - 1], len(known)) for a, c in zip(start.tolist(), count.tolist())]
-    return np.array(name, np.int64), list(known)
+def _distinct(batch: _Batch, start, count):
+    """Number of each cell's distinct text, and the distinct texts."""
+    return _numbered(batch.text, start, start + count + WINDOW - 1, {})
+
+
+def _numbered(text: bytes, start: np.ndarray, end: np.ndarray, known: dict[bytes, int]) -> tuple[np.ndarray, dict[bytes, int]]:
+    """Number of each part's text in ``known``, which takes in the new ones."""
+    name = np.empty(len(start), np.int64)
+    for at in range(0, len(start), _PART):
+        parts = list(map(text.__getitem__, map(slice, start[at : at + _PART].tolist(), end[at : at + _PART].tolist())))
+        new = [t for t in dict.fromkeys(parts) if t not in known]
+        known.update(zip(new, range(len(known), len(known) + len(new))))
+        name[at : at + _PART] = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+    return name, known
 
 
 def _cell_requests(batch_id: int, batch: _Batch, counted: pd.DataFrame, n_shards: int, n_count: int):
     doc, start, count, route = _cells(batch, counted, n_count)
-    name, texts = _distinct(batch, doc, start, count)
-    if not texts:
+    name, known = _distinct(batch, start, count)
+    if not known:
         return
+    texts = list(known)
     least = np.full(len(texts), _NO_ID, np.int64)
     np.minimum.at(least, name, batch.own[doc])
     shard = np.zeros(len(texts), np.int64)
     shard[name] = shard_of(route, n_shards)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.unique(shard))
-    for part in np.split(order, cuts[1:]):
-        mine = [texts[i] for i in part.tolist()]
-        yield int(shard[part[0]]), batch_id, packed(b"".join(mine), narrow(np.array([len(t) for t in mine])), least[part])
+    size = np.zeros(len(texts), np.int64)
+    size[name] = count + WINDOW - 1
+    for number, mine in _by_shard(shard):
+        yield number, batch_id, packed(b"".join([texts[i] for i in mine.tolist()]), narrow(size[mine]), least[mine])
 
 
 def _least_ids(frame: pd.DataFrame) -> pd.DataFrame:
     """One shard: for each window of each cell the smallest doc_id that has it, by the suffix array of all cells."""
     known: dict[bytes, int] = {}
-    least: list[int] = []
-    asked = []
+    asked, ids = [], []
     for body in frame["body"]:
-        text, lengths, ids = unpacked(body)
-        ends = np.cumsum(lengths.astype(np.int64)).tolist()
-        numbers = []
-        for a, b, i in zip([0, *ends], ends, ids.tolist()):
-            number = known.setdefault(text[a:b], len(known))
-            if number == len(least):
-                least.append(i)
-            elif i < least[number]:
-                least[number] = i
-            numbers.append(number)
-        asked.append(np.array(numbers))
+        text, lengths, given = unpacked(body)
+        ends = np.cumsum(lengths.astype(np.int64))
+        asked.append(_numbered(text, ends - lengths, ends, known)[0])
+        ids.append(given)
     texts = list(known)
+    least = np.full(len(texts), _NO_ID, np.int64)
+    np.minimum.at(least, np.concatenate(asked), np.concatenate(ids))
     data = np.frombuffer(bytes([_SEPARATOR]).join(texts), np.uint8)
     size = np.array([len(t) for t in texts])
-    begin = np.cumsum(size + 1) - size - 1
-    owner = np.repeat(np.array(least, np.int64), size + 1)[: len(data)]
+    count = size - WINDOW + 1
+    inside = _inside(size + 1, count)[: len(data)]
     order = suffix_array(data)
     common = permuted_prefixes(data, order)
-    inside = np.repeat(begin + size - WINDOW, size + 1)[: len(data)] >= np.arange(len(data))  # a window starts here
     # a suffix in common for 50 bytes, none of which is the separator, is the same window
-    same = np.zeros(len(order), bool)
-    same[1:] = (common[order[1:]] >= WINDOW) & inside[order[1:]] & inside[order[:-1]]
-    starts = np.flatnonzero(~same)
-    lowest = np.minimum.reduceat(owner[order], starts)
-    answer = np.empty(len(data), np.int64)
-    answer[order] = np.repeat(lowest, np.diff(np.append(starts, len(order))))
-    rows = []
+    windows = order[inside[order]]
+    starts = np.flatnonzero(common[windows] < WINDOW)
+    number = (np.cumsum(inside, dtype=np.int32) - 1)[windows]
+    lowest = np.minimum.reduceat(np.repeat(least, count)[number], starts)
+    answer = np.empty(len(windows), np.int64)
+    answer[number] = np.repeat(lowest, np.diff(np.append(starts, len(windows))))
+    begin, rows = np.cumsum(count) - count, []
     for batch, numbers in zip(frame["batch"], asked):
-        count = size[numbers] - WINDOW + 1
-        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        rows.append((batch, int(frame["shard"].iloc[0]), packed(answer[np.repeat(begin[numbers], count) + within])))
+        rows.append((batch, int(frame["shard"].iloc[0]), _runs(answer[_ranges(begin[numbers], count[numbers])])))
     return pd.DataFrame(rows, columns=["batch", "shard", "body"])
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers ``start, start + 1, ...``, ``count`` of each."""
+    return np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
+
+
+def _runs(values: np.ndarray) -> bytes:
+    """Values as runs of equal ones."""
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return packed(values[first], narrow(np.diff(np.append(first, len(values)))))
+
+
 def _result(batch: _Batch, counted: pd.DataFrame, answered: pd.DataFrame, n_shards: int, n_count: int) -> pd.DataFrame:
-    covered = np.zeros(len(batch.data) + 1, np.int32)
+    gone = np.zeros(len(batch.data), bool)  # at first where a window starts that goes
     doc, start, count, route = _cells(batch, counted, n_count)
-    name, texts = _distinct(batch, doc, start, count)
-    if texts:
-        shard = np.zeros(len(texts), np.int64)
-        shard[name] = shard_of(route, n_shards)
-        windows = np.array([len(t) for t in texts]) - WINDOW + 1
+    name, known = _distinct(batch, start, count)
+    if known:
+        shard, windows = np.zeros((2, len(known)), np.int64)
+        shard[name], windows[name] = shard_of(route, n_shards), count
         order = np.argsort(shard, kind="stable")
-        offset = np.zeros(len(texts), np.int64)
+        offset = np.zeros(len(known), np.int64)
         offset[order] = np.cumsum(windows[order]) - windows[order]
-        parts = {s: unpacked(body)[0] for s, body in zip(answered["shard"], answered["body"])}
+        parts = {s: np.repeat(*unpacked(body)) for s, body in zip(answered["shard"], answered["body"])}
         least = np.concatenate([parts[s] for s in np.unique(shard).tolist()])
-        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        smaller = least[np.repeat(offset[name], count) + within] < np.repeat(batch.own[doc], count)
-        at = (np.repeat(start, count) + within)[smaller]
-        np.add.at(covered, at, 1)
-        np.subtract.at(covered, at + WINDOW, 1)
-    gone = np.cumsum(covered)[:-1] > 0
-    keep = ~gone
-    rows = []
-    for doc_id, a, n in zip(batch.ids, batch.start.tolist(), batch.lengths.tolist()):
-        own, stays = gone[a : a + n], keep[a : a + n]
-        spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum())
-        left = batch.data[a : a + n][stays].tobytes()
-        rows.append((doc_id, n, n - len(left), spans, hashlib.sha256(left).hexdigest(), left))
-    return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        smaller = least[_ranges(offset[name], count)] < np.repeat(batch.own[doc], count)
+        gone[_ranges(start, count)[smaller]] = True
+    width = 1
+    while width < WINDOW:  # each place that has one of the last 50 places marked
+        step = min(width, WINDOW - width)
+        gone[step:] |= gone[:-step].copy()
+        width += step
+    text = batch.data[~gone].tobytes()
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    some = np.flatnonzero(batch.lengths)
+    start = batch.start[some]
+    begins[start] = gone[start]  # a document's runs are its own
+    removed, spans = np.zeros((2, len(batch.lengths)), np.int64)
+    if len(some):
+        removed[some], spans[some] = (np.add.reduceat(x, start, dtype=np.int64) for x in (gone, begins))
+    last = np.cumsum(batch.lengths - removed)
+    kept = [text[a:b] for a, b in zip((last - batch.lengths + removed).tolist(), last.tolist())]
+    digests = [hashlib.sha256(left).hexdigest() for left in kept]
+    values = (batch.ids, batch.lengths, removed, spans, digests, kept)
+    return pd.DataFrame(dict(zip(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], values)))
 
 
 def deduplicated(docs: DataFrame, texts: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ import xxhash
 
 from lexgrove.llm import exact_dedup, fuse_filter, simhash_dedup, suffix_dedup
 from lexgrove.llm.components import components
-from lexgrove.llm.suffix_array import permuted_prefixes, suffix_array
+from lexgrove.llm.suffix_array import _words, permuted_prefixes, suffix_array
 
 
 def fingerprint(text):
@@ -128,6 +129,48 @@ def test_suffix_array_and_prefixes():
             assert permuted_prefixes(data, np.array(order)).tolist() == lengths
 
 
+def test_suffix_array_of_long_repeats():
+    rng = np.random.default_rng(6)
+    for letters in (2, 3, 90, 256):
+        passage = bytes(rng.integers(0, letters, 150, dtype=np.uint8))
+        runs = bytes(range(letters)) + bytes([letters - 1]) * 40 + bytes(30) + bytes([letters // 2]) * 25
+        parts = [passage[a : a + 70] for a in rng.integers(0, 100, 12)] + [passage, runs, runs[3:], passage]
+        text = b"\xff".join(parts[i] for i in rng.permutation(len(parts)))
+        order = suffix_array(np.frombuffer(text, np.uint8))
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        lengths = permuted_prefixes(np.frombuffer(text, np.uint8), order)
+        for a, b in zip(order.tolist(), order[1:].tolist()):
+            n = int(lengths[b])
+            assert text[a : a + n] == text[b : b + n] and text[a + n : a + n + 1] != text[b + n : b + n + 1]
+
+
+def test_words_of_bytes_are_not_copied():
+    data = np.frombuffer(bytes(range(250)) * 4000, np.uint8)
+    tracemalloc.start()
+    words = _words(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * len(data)
+    padded = data.tobytes() + bytes(8)
+    assert [int(words[i]) for i in (0, 3, len(data) - 2, len(data))] == [
+        int.from_bytes(padded[i : i + 8], "little") for i in (0, 3, len(data) - 2, len(data))
+    ]
+
+
+def test_cells_of_joined_texts():
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (0, 49, 50, 300, 0, 51, 7, 120, 0)] + [b"a" * 90, b""]
+    data, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    first, anchor, counts = suffix_dedup.anchors(data, lengths)
+    hashes = suffix_dedup._hash24(_words(data), np.arange(len(data) - 23)) >> np.uint64(32)
+    want, cells, begin = [], [], 0
+    for text in texts:
+        places = [w + int(np.argmin(hashes[w : w + 27])) for w in range(begin, begin + len(text) - 49)]
+        new = [(w, p) for w, p, q in zip(range(begin, begin + len(text)), places, [None, *places]) if p != q]
+        want, cells, begin = want + new, cells + [len(new)], begin + len(text)
+    assert list(zip(first.tolist(), anchor.tolist())) == want and counts.tolist() == cells
+
+
 def removed(docs):
     """Brute force over (doc_id, text)."""
     big = lambda x: float("inf") if x is None else x
