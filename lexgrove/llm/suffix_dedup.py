@@ -14,6 +14,9 @@ Equal windows have equal anchors, so:
    of such a group is the answer for each of its windows.
 4. A batch marks the windows whose answer is smaller than the document's own id and cuts their bytes out.
 
+A batch sends one message to each shard, or, with many shards, to each block of shards, whose suffix arrays are
+then built one after the other in one task; so messages stay large when the corpus grows.
+
 Cells of an anchor that is in more than ``COMMON`` documents are sent window by window, by the window's
 own hash, so that no shard gets all documents with a common line.
 
@@ -42,9 +45,13 @@ WINDOW = 50
 ANCHOR = 24
 COMMON = 1000
 BATCH_BYTES = 8_000_000
-#: Bytes of corpus for one shard of the anchor count and of the suffix arrays.
+#: Bytes of corpus for one shard of the suffix arrays and for one of the anchor count.
 BYTES_A_SHARD = 4_000_000
+BYTES_A_COUNT = 16_000_000
 LEAST_SHARDS = 64
+#: Beyond so many, shards are asked in blocks of up to so many, one message a batch and block: fewer, larger messages.
+BLOCKS = 256
+SHARDS_A_BLOCK = 16
 _NO_ID = np.iinfo(np.int64).max
 _SEPARATOR = 0xFF  # in no UTF-8 text
 _SPAN = WINDOW - ANCHOR + 1
@@ -160,11 +167,11 @@ def _count_requests(batch_id: int, batch: _Batch, n_shards: int):
         yield number, batch_id, packed(gaps(keys[mine]), narrow(counts[mine]))
 
 
-def _by_shard(shard: np.ndarray):
-    """Each shard's number and the places that have it, in their order."""
+def _by_shard(shard: np.ndarray, block: int = 1):
+    """The number of each shard, or block of shards, and the places that have it, by shard and then in their order."""
     order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    return [(int(shard[part[0]]), part) for part in np.split(order, cuts) if len(part)]
+    cuts = np.flatnonzero(np.diff(shard[order] // block)) + 1
+    return [(int(shard[part[0]] // block), part) for part in np.split(order, cuts) if len(part)]
 
 
 def _distinct_owners(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +239,7 @@ def _numbered(text: bytes, start: np.ndarray, end: np.ndarray, known: dict[bytes
     return name, known
 
 
-def _cell_requests(batch_id: int, batch: _Batch, counted: pd.DataFrame, n_shards: int, n_count: int):
+def _cell_requests(batch_id: int, batch: _Batch, counted: pd.DataFrame, n_shards: int, n_count: int, block: int = 1):
     doc, start, count, route = _cells(batch, counted, n_count)
     name, known = _distinct(batch, start, count)
     if not known:
@@ -244,22 +251,32 @@ def _cell_requests(batch_id: int, batch: _Batch, counted: pd.DataFrame, n_shards
     shard[name] = shard_of(route, n_shards)
     size = np.zeros(len(texts), np.int64)
     size[name] = count + WINDOW - 1
-    for number, mine in _by_shard(shard):
-        yield number, batch_id, packed(b"".join([texts[i] for i in mine.tolist()]), narrow(size[mine]), least[mine])
+    for number, mine in _by_shard(shard, block):
+        cuts = np.bincount(shard[mine] % block, minlength=block)  # texts of each shard
+        yield number, batch_id, packed(b"".join([texts[i] for i in mine.tolist()]), narrow(size[mine]), least[mine], cuts)
 
 
 def _least_ids(frame: pd.DataFrame) -> pd.DataFrame:
-    """One shard: for each window of each cell the smallest doc_id that has it, by the suffix array of all cells."""
-    known: dict[bytes, int] = {}
-    asked, ids = [], []
+    """One block of shards: for each window of each cell the smallest doc_id that has it, one shard after the other."""
+    asked = []
     for body in frame["body"]:
-        text, lengths, given = unpacked(body)
-        ends = np.cumsum(lengths.astype(np.int64))
-        asked.append(_numbered(text, ends - lengths, ends, known)[0])
-        ids.append(given)
+        text, lengths, ids, cuts = unpacked(body)
+        ends, upto = np.append(0, np.cumsum(lengths, dtype=np.int64)), np.append(0, np.cumsum(cuts))
+        asked.append([(text, ends[a : b + 1], ids[a:b]) for a, b in zip(upto[:-1], upto[1:])])
+    answers = zip(*map(_least_of_shard, zip(*asked)))
+    rows = [(batch, int(shard), _runs(np.concatenate(parts))) for batch, shard, parts in zip(frame["batch"], frame["shard"], answers)]
+    return pd.DataFrame(rows, columns=["batch", "shard", "body"])
+
+
+def _least_of_shard(asked) -> list[np.ndarray]:
+    """The answers to each of ``(text, ends of the cells, ids)``, by the suffix array of all cells."""
+    known: dict[bytes, int] = {}
+    numbers = [_numbered(text, ends[:-1], ends[1:], known)[0] for text, ends, _ in asked]
+    if not known:
+        return numbers
     texts = list(known)
     least = np.full(len(texts), _NO_ID, np.int64)
-    np.minimum.at(least, np.concatenate(asked), np.concatenate(ids))
+    np.minimum.at(least, np.concatenate(numbers), np.concatenate([ids for _, _, ids in asked]))
     data = np.frombuffer(bytes([_SEPARATOR]).join(texts), np.uint8)
     size = np.array([len(t) for t in texts])
     count = size - WINDOW + 1
@@ -273,10 +290,8 @@ def _least_ids(frame: pd.DataFrame) -> pd.DataFrame:
     lowest = np.minimum.reduceat(np.repeat(least, count)[number], starts)
     answer = np.empty(len(windows), np.int64)
     answer[number] = np.repeat(lowest, np.diff(np.append(starts, len(windows))))
-    begin, rows = np.cumsum(count) - count, []
-    for batch, numbers in zip(frame["batch"], asked):
-        rows.append((batch, int(frame["shard"].iloc[0]), _runs(answer[_ranges(begin[numbers], count[numbers])])))
-    return pd.DataFrame(rows, columns=["batch", "shard", "body"])
+    begin = np.cumsum(count) - count
+    return [answer[_ranges(begin[n], count[n])] for n in numbers]
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -290,7 +305,7 @@ def _runs(values: np.ndarray) -> bytes:
     return packed(values[first], narrow(np.diff(np.append(first, len(values)))))
 
 
-def _result(batch: _Batch, counted: pd.DataFrame, answered: pd.DataFrame, n_shards: int, n_count: int) -> pd.DataFrame:
+def _result(batch: _Batch, counted: pd.DataFrame, answered: pd.DataFrame, n_shards: int, n_count: int, block: int = 1) -> pd.DataFrame:
     gone = np.zeros(len(batch.data), bool)  # at first where a window starts that goes
     doc, start, count, route = _cells(batch, counted, n_count)
     name, known = _distinct(batch, start, count)
@@ -301,7 +316,7 @@ def _result(batch: _Batch, counted: pd.DataFrame, answered: pd.DataFrame, n_shar
         offset = np.zeros(len(known), np.int64)
         offset[order] = np.cumsum(windows[order]) - windows[order]
         parts = {s: np.repeat(*unpacked(body)) for s, body in zip(answered["shard"], answered["body"])}
-        least = np.concatenate([parts[s] for s in np.unique(shard).tolist()])
+        least = np.concatenate([parts[s] for s in np.unique(shard // block).tolist()])
         smaller = least[_ranges(offset[name], count)] < np.repeat(batch.own[doc], count)
         gone[_ranges(start, count)[smaller]] = True
     width = 1
@@ -336,13 +351,14 @@ def deduplicated(docs: DataFrame, texts: bool = False) -> DataFrame:
     writer.bucketBy(width, "batch").saveAsTable(name)  # joins below move requests and answers, not texts
     table = spark.table(name)
     size = table.agg(F.sum("n_bytes")).first()[0] or 0
-    n_shards = max(LEAST_SHARDS, -(-int(size) // BYTES_A_SHARD))
+    n_shards, n_count = (max(LEAST_SHARDS, -(-int(size) // most)) for most in (BYTES_A_SHARD, BYTES_A_COUNT))
+    block = min(SHARDS_A_BLOCK, max(1, n_shards // BLOCKS))
     batches = table.select("batch", "body")
 
     def count_requests(frames):
         for frame in frames:
             for batch_id, body in zip(frame["batch"], frame["body"]):
-                asked = list(_count_requests(int(batch_id), _Batch(body), n_shards))
+                asked = list(_count_requests(int(batch_id), _Batch(body), n_count))
                 yield pd.DataFrame(asked, columns=["shard", "batch", "body"])
 
     request = "shard long, batch long, body binary"
@@ -352,7 +368,7 @@ def deduplicated(docs: DataFrame, texts: bool = False) -> DataFrame:
     )
 
     def cell_requests(own, given):
-        asked = [r for i, b in zip(own["batch"], own["body"]) for r in _cell_requests(int(i), _Batch(b), given, n_shards, n_shards)]
+        asked = [r for i, b in zip(own["batch"], own["body"]) for r in _cell_requests(int(i), _Batch(b), given, n_shards, n_count, block)]
         return pd.DataFrame(asked, columns=["shard", "batch", "body"])
 
     cells = batches.groupBy("batch").cogroup(counted.groupBy("batch")).applyInPandas(cell_requests, request)
@@ -362,7 +378,7 @@ def deduplicated(docs: DataFrame, texts: bool = False) -> DataFrame:
 
     def results(own, given):
         one, two = given[given["step"] == 1], given[given["step"] == 2]
-        out = [_result(_Batch(b), one, two, n_shards, n_shards)[names] for b in own["body"]]
+        out = [_result(_Batch(b), one, two, n_shards, n_count, block)[names] for b in own["body"]]
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({n: [] for n in names})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")

@@ -206,5 +206,24 @@ def test_suffix_dedup_equals_brute_force(request, table, common, monkeypatch):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in rows)
 
 
+def test_suffix_dedup_in_blocks_of_shards(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 9, 60)]
+    passages = [" ".join(rng.choice(words, 40)) for _ in range(12)]
+    data = [(i, " ".join(passages[p][rng.integers(0, 40) :] for p in rng.integers(0, 12, 3))) for i in range(40)]
+    data += [(99, None), (None, passages[0]), (5, passages[1]), (100, "short")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    for blocks, most in ((5, 16), (1, 64)):  # 64 shards in blocks of 12, the last one smaller, and in one block
+        monkeypatch.setattr(suffix_dedup, "BLOCKS", blocks)
+        monkeypatch.setattr(suffix_dedup, "SHARDS_A_BLOCK", most)
+        rows = suffix_dedup.deduplicated(docs).collect()
+        assert sorted(repr(tuple(r)) for r in rows) == removed(data)
+    shard = rng.integers(0, 64, 500)
+    for block, most in ((1, 64), (12, 6), (64, 1)):  # one message for each block, its shards one after the other
+        parts = suffix_dedup._by_shard(shard, block)
+        assert [n for n, _ in parts] == list(range(most))
+        assert np.concatenate([p for _, p in parts]).tolist() == np.argsort(shard, kind="stable").tolist()
+
+
 def test_suffix_dedup_of_no_rows(nothing):
     assert suffix_dedup.deduplicated(nothing).collect() == []
