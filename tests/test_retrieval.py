@@ -138,3 +138,16 @@ def test_texts_are_derived_once_per_chunk(spark):
     assert len(found) == 80 and {r["n"] for r in found} == {9}
     assert {r["context_before"] for r in found} == {None, "", "text C1 2\n---\n", "text C1 3\n---\n"}
     assert calls.value < 80  # the completing chunks are the same for all queries
+
+
+def test_native_expressions_are_derived_once_per_chunk(spark):
+    """A broadcast join evaluates what is below it once a match, unless an exchange lies between."""
+    verdicts, chunks, vec = verdict_tables(spark)
+    queries = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20)], "query_id int, vector array<double>")
+    derive = lambda rows: rows.withColumn("digest", F.md5("content")).drop("content")
+    found = rt.verdict_search(queries, vec, chunks, verdicts, k=1, derive=derive)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    places = [i for i, line in enumerate(plan) if "md5(" in line]
+    completing = plan[places[-1] - 1]
+    assert len(places) == 2 and "Exchange hashpartitioning(vchunk_id" in completing
+    assert len({r["digest"] for r in found.collect()}) == 4
