@@ -155,3 +155,43 @@ def test_best_of_a_wide_block_with_ties_and_no_numbers():
         want = sorted((-s, i) for i, s in enumerate(scores) if i != q and not np.isnan(s))[:k]
         mine = query == q
         assert [(-s, i) for s, i in zip(score[mine], found.to_numpy()[mine])] == want
+
+
+def ranks(df):
+    return {(r["query_id"], r["rank"], r["id"]) for r in df.collect()}
+
+
+def test_dealt_queries_equal_brute_force(spark, monkeypatch):
+    data, queries, vec = frames(spark, q=300)
+    expected = {row[:3] for row in brute(data, 300, 12, True)}
+    monkeypatch.setattr(vx, "TASK_PAIRS", 9000)
+    monkeypatch.setattr(vx, "TASK_QUERIES", 40)
+    blocks = vx.cosine_topk(queries, vec, 12, True, broadcast_values=0, block_values=500)  # five blocks
+    assert ranks(blocks) == expected
+    monkeypatch.setattr(vx, "MANY_QUERIES", 10)
+    assert ranks(vx.cosine_topk(queries, vec, 12, True)) == expected
+    assert vx.cosine_topk(queries, vec.limit(0), 12, broadcast_values=0).collect() == []
+    monkeypatch.setattr(vx, "SENT_BLOCKS", 0)
+    assert ranks(vx.cosine_topk(queries, vec, 12, True, broadcast_values=0, block_values=500)) == expected
+
+
+def test_many_queries_are_shared_by_tasks(spark, monkeypatch):
+    """However few files the vectors come in: their partitions do not bound the tasks."""
+    data, queries, vec = frames(spark, q=300)
+    monkeypatch.setattr(vx, "MANY_QUERIES", 10)
+    monkeypatch.setattr(vx, "TASK_PAIRS", 9000)
+    monkeypatch.setattr(vx, "TASK_QUERIES", 40)
+    near = vx.cosine_topk(queries.coalesce(1), vec.coalesce(1), 3, True)
+    assert "REPARTITION_BY_NUM" in near._jdf.queryExecution().executedPlan().toString()
+    assert ranks(near) == {row[:3] for row in brute(data, 300, 3, True)}
+
+
+def test_single_precision_loses_no_candidate(spark):
+    rng = np.random.default_rng(4)
+    data = rng.standard_normal(40) + 1e-6 * rng.standard_normal((3000, 40))  # scores differ beyond single precision
+    units = data / np.linalg.norm(data, axis=1, keepdims=True)
+    ids = pa.array([f"k{i:04d}" for i in range(3000)])
+    query, found, score = vx._block_best(ids.slice(0, 30), units[:30], ids, units, 4, True)
+    for q in range(30):
+        want = sorted((-s, f"k{i:04d}") for i, s in enumerate(np.round(units @ units[q], vx.SCORE_DIGITS)) if i != q)[:4]
+        assert [(-s, i) for s, i in zip(score[query == q], found.take(pa.array(np.flatnonzero(query == q))).to_pylist())] == want
