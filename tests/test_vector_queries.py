@@ -44,3 +44,9 @@ def test_knn_topk(spark, folder):
     at, scores = folder
     rows = bindings.knn_topk(spark, at).collect()
     assert {(r["query_id"], r["rank"], r["id"]) for r in rows} == ranks(nearest(scores, 5)) and len(rows) == 5 * N
+
+
+def test_knn_filtered(spark, folder):
+    at, scores = folder
+    rows = bindings.knn_filtered(spark, at).collect()
+    assert {(r["query_id"], r["rank"], r["id"]) for r in rows} == ranks(nearest(scores, 5, GOOD)) and len(rows) == 5 * N
