@@ -50,3 +50,13 @@ def test_knn_filtered(spark, folder):
     at, scores = folder
     rows = bindings.knn_filtered(spark, at).collect()
     assert {(r["query_id"], r["rank"], r["id"]) for r in rows} == ranks(nearest(scores, 5, GOOD)) and len(rows) == 5 * N
+
+
+def test_boosted_rerank(spark, folder):
+    at, scores = folder
+    weight = {0: 1.0, 1: 1.3, 2: 1.1}
+    best = {
+        q: sorted(ids, key=lambda i: -scores[q - 1, i - 1] * weight[i % 3])[:5] for q, ids in nearest(scores, 10).items()
+    }
+    rows = bindings.boosted_rerank(spark, at).collect()
+    assert {(r["query_id"], r["rank"], r["id"]) for r in rows} == ranks(best) and len(rows) == 5 * N
