@@ -60,3 +60,10 @@ def test_boosted_rerank(spark, folder):
     }
     rows = bindings.boosted_rerank(spark, at).collect()
     assert {(r["query_id"], r["rank"], r["id"]) for r in rows} == ranks(best) and len(rows) == 5 * N
+
+
+def test_hydrate_hits(spark, folder):
+    at, scores = folder
+    rows = bindings.hydrate_hits(spark, at).collect()
+    want = {(q, rank, i, f"src{i % 5}") for q, rank, i in ranks(nearest(scores, 5)) if i not in WITHOUT_TEXT}
+    assert {(r["query_id"], r["rank"], r["doc_id"], r["source"]) for r in rows} == want and len(rows) == len(want)
