@@ -67,3 +67,10 @@ def test_hydrate_hits(spark, folder):
     rows = bindings.hydrate_hits(spark, at).collect()
     want = {(q, rank, i, f"src{i % 5}") for q, rank, i in ranks(nearest(scores, 5)) if i not in WITHOUT_TEXT}
     assert {(r["query_id"], r["rank"], r["doc_id"], r["source"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_hits_per_query(spark, folder):
+    at, scores = folder
+    rows = bindings.hits_per_query(spark, at).collect()
+    want = {(q, len(GOOD.intersection(ids))) for q, ids in nearest(scores, 5).items()}
+    assert {(r["query_id"], r["total_found"]) for r in rows} == want and len(rows) == N
