@@ -74,3 +74,15 @@ def test_hits_per_query(spark, folder):
     rows = bindings.hits_per_query(spark, at).collect()
     want = {(q, len(GOOD.intersection(ids))) for q, ids in nearest(scores, 5).items()}
     assert {(r["query_id"], r["total_found"]) for r in rows} == want and len(rows) == N
+
+
+def test_retrieval_metrics(spark, folder):
+    at, scores = folder
+    hits = {q: [i % 3 == q % 3 for i in ids] for q, ids in nearest(scores, 20).items()}
+    same = N // 3 - 1
+    for r in bindings.retrieval_metrics(spark, at).collect():
+        found = [sum(h[: r["k"]]) for h in hits.values()]
+        assert r["queries"] == N
+        assert r["precision"] == pytest.approx(sum(found) / N / r["k"], abs=1e-6)
+        assert r["recall"] == pytest.approx(sum(found) / N / same, abs=1e-6)
+        assert r["mrr"] == pytest.approx(sum(1 / (h.index(True) + 1) if any(h) else 0 for h in hits.values()) / N, abs=1e-6)
