@@ -86,3 +86,12 @@ def test_retrieval_metrics(spark, folder):
         assert r["precision"] == pytest.approx(sum(found) / N / r["k"], abs=1e-6)
         assert r["recall"] == pytest.approx(sum(found) / N / same, abs=1e-6)
         assert r["mrr"] == pytest.approx(sum(1 / (h.index(True) + 1) if any(h) else 0 for h in hits.values()) / N, abs=1e-6)
+
+
+def test_prompt_blocks(spark, folder):
+    at, scores = folder
+    rows = bindings.prompt_blocks(spark, at).collect()
+    best = nearest(scores, 5)
+    want = {(q, ", ".join(dict.fromkeys(f"src{i % 5}" for i in ids if i not in WITHOUT_TEXT))) for q, ids in best.items()}
+    assert {(r["query_id"], r["case_list"]) for r in rows} == want and len(rows) == N
+    assert all(r["prompt_chars"] > 100 for r in rows) and len({r["prompt_md5"] for r in rows}) == N
