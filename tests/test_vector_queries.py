@@ -95,3 +95,14 @@ def test_prompt_blocks(spark, folder):
     want = {(q, ", ".join(dict.fromkeys(f"src{i % 5}" for i in ids if i not in WITHOUT_TEXT))) for q, ids in best.items()}
     assert {(r["query_id"], r["case_list"]) for r in rows} == want and len(rows) == N
     assert all(r["prompt_chars"] > 100 for r in rows) and len({r["prompt_md5"] for r in rows}) == N
+
+
+def test_verdict_blocks(spark, folder):
+    at, scores = folder
+    found = bindings.verdict_blocks(spark, at)
+    rows = found.collect()
+    cited = lambda ids: ", ".join(dict.fromkeys(f"src{i % 5}" for i in ids if i not in WITHOUT_TEXT and i % 4))
+    want = {(q, cited(ids) or None) for q, ids in nearest(scores, 5).items()}
+    assert {(r["query_id"], r["case_list"]) for r in rows} == want and len(rows) == N
+    assert len({r["context_md5"] for r in rows}) == N
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()  # the search is not repeated
